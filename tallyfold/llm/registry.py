@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import decontaminate, near_join, packing, quality
+from tallyfold.llm import decontaminate, near_join, packing, pii, quality
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op6_ngram_jaccard_join": near_join.op6_ngram_jaccard_join,
+    "op7_pii": pii.op7_pii,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
 }
