@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import decontaminate, near_join, packing, pii, quality
+from tallyfold.llm import decontaminate, language_model, near_join, packing, pii, quality
 
 QUERIES = {
+    "op1_lm_scoring": language_model.op1_lm_scoring,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op6_ngram_jaccard_join": near_join.op6_ngram_jaccard_join,
     "op7_pii": pii.op7_pii,
