@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyfold.plans import facts, metrics
+from tallyfold.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+for _module in (facts, metrics):
+    QUERIES |= _module.P.queries
+    SQL |= _module.P.sql
