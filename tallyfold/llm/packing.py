@@ -31,39 +31,93 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 _tokenizers: dict[str, WordPieces] = {}
 
 
+class Recent:
+    """A memory of at most twice ``limit`` entries that forgets what was not used lately."""
+
+    def __init__(self, limit: int):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.limit = limit
+
+    def get(self, key: bytes) -> bytes | None:
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+_MARKS = b".,;:!?#$%&*|"
+
+
 class WordPieces:
     """Token ids of a text as little-endian uint32 bytes.
 
     White space is dropped by this vocabulary and no token crosses it, so a text's ids
-    are its space-separated parts' ids in a row. Each different part goes through the
-    library once and is remembered, up to ``limit`` parts.
+    are its space-separated parts' ids in a row. The vocabulary is also blind to case
+    and keeps letters apart from marks, so a part that ends in a letter and ASCII marks
+    is the one, then the other. Each different core goes through the library once and
+    is remembered while it keeps occurring.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
-        self.limit = limit
-
-    def learn(self, parts: list[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
-            for raw, got in zip(some, self.encode([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.known[raw] = np.array(got.ids, dtype="<u4").tobytes()
+        self.parts, self.cores = Recent(limit), Recent(limit)
+
+    def learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that are not remembered."""
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        ids: dict[bytes, bytes] = {b"": b""}
+        for p in parts:
+            core = p.lower()
+            bare = core.rstrip(_MARKS)
+            if len(bare) < len(core) and bare and bare.decode().lower()[-1].isalpha():
+                split[p] = bare, core[len(bare) :]
+            else:
+                split[p] = core, b""
+        todo = []
+        for x in {x for pair in split.values() for x in pair if x}:
+            if (got := self.cores.get(x)) is None:
+                todo.append(x)
+            else:
+                ids[x] = got
+        for i in range(0, len(todo), 20_000):
+            some = todo[i : i + 20_000]
+            for raw, got in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
+                ids[raw] = np.array(got.ids, dtype="<u4").tobytes()
+                self.cores.put(raw, ids[raw])
+        out = {}
+        for p, (core, marks) in split.items():
+            out[p] = ids[core] + ids[marks]
+            self.parts.put(p, out[p])
+        return out
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of many texts; new parts of about 2 MB of text are learnt together."""
+        out, at = [], 0
+        while at < len(texts):
+            end, n = at, 0
+            while end < len(texts) and n < 2_000_000:
+                n += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[at:end]]
+            get = self.parts.new.get
+            got = [[get(p) for p in parts] for parts in split]
+            new = {p for parts, g in zip(split, got, strict=True) for p, x in zip(parts, g, strict=True) if x is None}
+            known = {p: x for p in new if (x := self.parts.get(p)) is not None}
+            known |= self.learn(new - known.keys())
+            out += [b"".join([known[p] if x is None else x for p, x in zip(parts, g, strict=True)]) for parts, g in zip(split, got, strict=True)]
+            at = end
+        return out
 
     def __call__(self, text: bytes) -> bytes:
-        parts = text.split()
-        get = self.known.get
-        out = [get(p) for p in parts]
-        if None in out:
-            self.learn(list({p for p, o in zip(parts, out, strict=True) if o is None}))
-            get = self.known.get
-            out = [o if o is not None else get(p) for p, o in zip(parts, out, strict=True)]
-        return b"".join(out)
+        return self.batch([text])[0]
 
 
 def tokenizer(name: str) -> WordPieces:
@@ -82,11 +136,11 @@ def cut(docs: DataFrame, name: str = TOKENIZER, max_tokens: int = MAX_TOKENS, en
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(name)
+        encode = tokenizer(name).batch
         for batch in it:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["raw"].to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
