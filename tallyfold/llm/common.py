@@ -70,26 +70,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
+class WordHasher(dict):
     """64-bit hash of each word, remembered for repeated words; the memory is bounded."""
 
-    def __init__(self, limit: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
+    limit = 500_000
 
-    def __call__(self, toks: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        get = self.known.get
-        out = [get(t) for t in toks]
-        if None in out:
-            digest = xxhash.xxh3_64_intdigest
-            if len(self.known) > self.limit:
-                self.known.clear()
-            for i, v in enumerate(out):
-                if v is None:
-                    out[i] = self.known[toks[i]] = digest(toks[i])
-        return np.array(out, dtype=np.uint64)
+        if len(self) > self.limit:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def __call__(self, toks: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, toks), np.uint64, len(toks))
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

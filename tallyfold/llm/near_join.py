@@ -11,11 +11,12 @@ Steps, each written once to shared storage:
    stand out locally; equal sets form one class, represented by its smallest id;
 2. the orders put tokens of high corpus frequency last (at most ``MAX_FREQUENT`` of
    them are sent to the tasks) and the others by a hash, a different one per order;
-3. prefix tokens of the first order meet in buckets. First every member of a bucket is
-   compared with the bucket's smallest member, so a bucket of k near copies costs k
-   pairs; components are formed; then only pairs of a bucket that are still in
-   different components are compared, and components are formed again. A link that is
-   never compared lies inside a component already, so the components are exact.
+3. prefix tokens of the first order meet in buckets. First members of a bucket are
+   compared with its smallest member if that leads them in enough buckets, so k near
+   copies cost about k pairs; components are formed; then pairs of a bucket that are
+   still in different components are counted over all their buckets, compared if the
+   count allows a link, and components are formed again. A link that is never compared
+   lies inside a component already, so the components are exact.
 
 Results on odd input: null, empty and blank texts have no shingles and stand alone; a
 text of fewer than five words is one shingle; repeated rows give repeated result rows;
@@ -41,6 +42,7 @@ NEED, OF = 75, 100  # link when OF * intersection >= NEED * union
 ORDERS = 3
 MAX_FREQUENT = 2**17
 LOCAL_COUNT, BLOCK = 6, 2_000_000
+LED_SHARE = 0.03  # of a set: tokens a leader must share; the others are decided later
 BROADCAST_IDS = 2_000_000
 
 _hasher: list[WordHasher] = []
@@ -162,6 +164,14 @@ def sizes_allow(a, b):
     return OF * F.least(a, b) >= NEED * F.greatest(a, b)
 
 
+def prefixes_allow(shared, a, b):
+    """Of two prefixes, all tokens of the one that ends first, in the global order, that
+    the other set has at all are in the other prefix too. So the intersection is at most
+    the shared prefix tokens plus what follows the prefix of that set."""
+    rest = F.greatest(*(F.ceil(NEED * n / OF) - 1 for n in (a, b)))
+    return shared + rest >= F.ceil(NEED * (a + b) / (OF + NEED))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every other order and whose
     exact Jaccard reaches the threshold."""
@@ -195,16 +205,15 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     buckets = materialize(buckets.join(copies, "doc_id", "left_anti").distinct(), "buckets")
 
     led = buckets.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_token)).filter("doc_id <> lead.doc_id").filter(sizes_allow(F.col("n"), F.col("lead.n")))
-    star = materialize(led.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    star = led.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead.n")).alias("n"))
+    star = materialize(star.filter(F.col("shared") >= LED_SHARE * F.col("n")).select("a", "b"), "star")
     ids = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     found = materialize(verified(star, whole_sets(docs, ids, often, width)), "links")
 
-    for _ in range(1):
-        rest = materialize(_undecided(buckets, components(found)).join(star, ["a", "b"], "left_anti"), "rest")
-        ids = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        more = materialize(verified(rest, whole_sets(docs, ids, often, width)), "more-links")
-        found = found.unionByName(more)
-    return members, found
+    rest = materialize(_undecided(buckets, components(found)).join(star, ["a", "b"], "left_anti"), "rest")
+    ids = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    more = materialize(verified(rest, whole_sets(docs, ids, often, width)), "more-links")
+    return members, found.unionByName(more)
 
 
 def _undecided(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -218,7 +227,12 @@ def _undecided(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     mixed = mixed.join(largest, "token")
     x = mixed.filter("component <> major").select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "component")))
     pairs = x.join(mixed, "token").filter("component <> x_component and (component = major or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")))
-    return pairs.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
+    # every token in both prefixes gives the pair once, so the count is exact
+    first = F.col("doc_id") < F.col("x_doc_id")
+    ends = [F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")]
+    sizes = [F.when(first, F.col("n")).otherwise(F.col("x_n")).alias("n_a"), F.when(first, F.col("x_n")).otherwise(F.col("n")).alias("n_b")]
+    counted = pairs.select(*ends, *sizes).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return counted.filter(prefixes_allow(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
