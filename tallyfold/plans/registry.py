@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import facts, logs, metrics
+from tallyfold.plans import facts, lake, logs, metrics, text
 from tallyfold.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-for _module in (facts, metrics, logs):
+for _module in (facts, metrics, logs, text, lake):
     QUERIES |= _module.P.queries
     SQL |= _module.P.sql
