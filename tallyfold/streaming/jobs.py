@@ -16,10 +16,17 @@ from tallyfold.sources.tables import upsert
 LATE = "1 day"
 
 
+def timed(src: DataFrame) -> DataFrame:
+    """Event time with its watermark; a stream needs it as a timestamp with time zone."""
+    if src.isStreaming:
+        src = src.withColumn("ts", F.col("ts").cast("timestamp"))
+    return src.withWatermark("ts", LATE) if src.isStreaming else src
+
+
 def stream_new_filings(src: DataFrame) -> DataFrame:
     """O1. Each accession once within the watermark. Stream columns: ticker, accession,
     ts."""
-    return src.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["accession"])
+    return timed(src).dropDuplicatesWithinWatermark(["accession"])
 
 
 def stream_notify(filings: DataFrame, deals: DataFrame) -> DataFrame:
@@ -38,22 +45,22 @@ def _counts(log: DataFrame, window, *keys: str) -> DataFrame:
 
 def stream_log_rates(log: DataFrame, length: str = "7 days", slide: str = "1 day") -> DataFrame:
     """O3. Rolling usage per tenant."""
-    return _counts(log.withWatermark("ts", LATE), F.window("ts", length, slide), "tenant")
+    return _counts(timed(log), F.window("ts", length, slide), "tenant")
 
 
 def stream_counters(log: DataFrame) -> DataFrame:
     """O4. Five-minute counters by method."""
-    return _counts(log.withWatermark("ts", LATE), F.window("ts", "5 minutes"), "method")
+    return _counts(timed(log), F.window("ts", "5 minutes"), "method")
 
 
 def stream_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """O5. Sessions that end after ``gap`` without events, with their totals."""
-    return log.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("latency", F.lit(0.0)).cast("decimal(20,4)")).alias("total"))
+    return timed(log).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("latency", F.lit(0.0)).cast("decimal(20,4)")).alias("total"))
 
 
 def stream_rates(log: DataFrame, limit: int, length: str = "1 minute") -> DataFrame:
     """O6. Windows with more requests than allowed."""
-    return log.withWatermark("ts", LATE).groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    return timed(log).groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
 
 
 def ingest_batch(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], quarantine: Callable[[DataFrame], None], keys: Sequence[str], valid) -> Callable[[DataFrame, int], None]:
