@@ -31,8 +31,14 @@ def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near copies."""
-    copies = near_join.groups(docs).filter("component_id <> doc_id").select("doc_id")
-    return without(docs, copies)
+    groups = materialize(near_join.groups(docs).select("doc_id", "component_id"), "groups")
+    kept = without(docs, groups.filter("component_id <> doc_id").select("doc_id"))
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    # one row of each id that occurs several times; the others pass without a shuffle
+    once = kept.join(materialize(repeated, "repeated-ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, repeated).unionByName(once.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
