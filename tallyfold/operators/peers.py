@@ -40,7 +40,7 @@ def distribution(values: DataFrame, group: Sequence[str]) -> DataFrame:
     """D20. Count, mean, median and linear quartiles; nulls dropped."""
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     d = values.groupBy(*group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), q.alias("q"))
-    return d.select(*group, "n", F.round("mean", 4).alias("mean"), *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "median", "p75"))))
+    return d.select(*group, "n", F.round("mean", 6).alias("mean"), *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "median", "p75"))))
 
 
 def comp_table(facts: DataFrame, metrics: Sequence[str], period: str, companies: Sequence[str] | None = None) -> DataFrame:

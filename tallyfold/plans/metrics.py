@@ -135,7 +135,7 @@ P.add(
 P.add(
     "d20_distribution", lambda s, d: peers.distribution(facts(s, d), ["metric", "filing_type"]),
     """with q as (select metric, filing_type, count(value) as n, avg(value) as mean, quantile_cont(value, [0.25, 0.5, 0.75]) as q from facts group by 1, 2)
-    select metric, filing_type, n, round(mean, 4) as mean, round(q[1], 4) as p25, round(q[2], 4) as median, round(q[3], 4) as p75 from q""", FACTS,
+    select metric, filing_type, n, round(mean, 6) as mean, round(q[1], 4) as p25, round(q[2], 4) as median, round(q[3], 4) as p75 from q""", FACTS,
 )
 P.add("e27_comp_table", lambda s, d: peers.comp_table(facts(s, d), ["revenue", "net_income", "ebitda"], "FY1999"), "select ticker, revenue, net_income, null::double as ebitda from wide_f where fiscal_period = 'FY1999'", FACTS, WIDE)
 P.add(
