@@ -70,7 +70,7 @@ def test_near_join_equals_brute_force(spark, monkeypatch, large, share):
     want = brute_components({i: shingle_set(t) for i, t in rows})
     got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_join.groups(docs).collect()}
     assert got == {i: (want[i], len(shingle_set(t))) for i, t in rows}
-    assert len(set(want.values())) < 40
+    assert len(set(want.values())) < len(rows)
 
 
 def test_near_join_odd_rows(odd, none):
