@@ -80,20 +80,23 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     links = messages.select("conv", "id", "parent", "score")
     there = links.select("conv", F.col("id").alias("parent"), F.lit(True).alias("there"))
     jump = links.join(there, ["conv", "parent"], "left").select("conv", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops"))
-    jumps = [materialize(jump, "jump")]
-    rounds = max(1, int(jumps[0].count()).bit_length())
-    while len(jumps) <= rounds and not jumps[-1].filter("up is not null").isEmpty():
-        far = jumps[-1].select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
-        both = jumps[-1].join(far, ["conv", "up"], "left")
-        step = both.select("conv", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
-        jumps.append(materialize(step, "jump"))
-    whole = jumps[-1].filter("up is null").select("conv", "id", "total", "hops")  # those whose root is known
-    inner = jumps[0].filter("up is not null").select("conv", F.col("up").alias("id")).distinct()
+    state = materialize(jump, "jump")
+    rounds, jumps, done = max(1, int(state.count()).bit_length()), [], state.filter("up is null")
+    active = state.filter("up is not null")
+    inner = active.select("conv", F.col("up").alias("id")).distinct()
+    while len(jumps) < rounds and not active.isEmpty():  # only messages that do not see their root yet
+        jumps.append(active)
+        far = done.unionByName(active).select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
+        both = active.join(far, ["conv", "up"])
+        step = both.select("conv", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"))
+        step = materialize(step, "jump")
+        done, active = done.unionByName(step.filter("up is null")), step.filter("up is not null")
+    whole = done.select("conv", "id", "total", "hops")
     leaves = whole.join(inner, ["conv", "id"], "left_anti")
     rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("hops")), "id"))
     path = leaves.withColumn("rank", rank).filter(F.col("rank") <= top).select("conv", F.col("id").alias("leaf"), "rank", "id")
     for jump in reversed(jumps):  # every ancestor's distance is one sum of powers of two
-        path = path.unionByName(path.join(jump.filter("up is not null").select("conv", "id", "up"), ["conv", "id"]).select("conv", "leaf", "rank", F.col("up").alias("id")))
+        path = path.unionByName(path.join(jump.select("conv", "id", "up"), ["conv", "id"]).select("conv", "leaf", "rank", F.col("up").alias("id")))
         path = materialize(path, "path")
     return path.join(whole, ["conv", "id"]).select("conv", "leaf", "rank", "id", F.col("hops").alias("depth"))
 
@@ -138,7 +141,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(conversations(linear(rows.unionByName(extra))))
+    made = materialize(conversations(linear(rows.unionByName(extra))), "formatted")
+    return read_back(made)
 
 
 OP5_SQL = """
