@@ -38,6 +38,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, limit: int, col: str = "n") -> DataFrame:
+    """At most ``limit`` rows, those of the largest counts (positive), whole count bands
+    at a time. The band comes from a histogram of at most a few hundred rows, so no task
+    and not the driver ever sorts or holds more than the result."""
+    band = F.floor(F.log2(col) * 16).cast("int")
+    sizes = counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect()
+    total, least = 0, None
+    for r in sizes:
+        if total + r["count"] > limit:
+            break
+        total, least = total + r["count"], r["band"]
+    return counts.filter(band >= least) if least is not None else counts.limit(0)
+
+
 def text_bytes(col: str | Column = "text") -> Column:
     """UTF-8 bytes of a text; null counts as the empty text."""
     col = F.col(col) if isinstance(col, str) else col

@@ -13,10 +13,11 @@ Steps, each written once to shared storage:
    them are sent to the tasks) and the others by a hash, a different one per order;
 3. prefix tokens of the first order meet in buckets. First members of a bucket are
    compared with its smallest member if that leads them in enough buckets, so k near
-   copies cost about k pairs; components are formed; then pairs of a bucket that are
-   still in different components are counted over all their buckets, compared if the
-   count allows a link, and components are formed again. A link that is never compared
-   lies inside a component already, so the components are exact.
+   copies cost about k pairs, and components are formed; this repeats a few times with
+   other members of a bucket's largest component for those still outside. Then all
+   pairs of a bucket that are in different components are counted over their buckets,
+   compared if the count allows a link, and components are formed again. A link that
+   is never compared lies inside a component already, so the components are exact.
 
 Results on odd input: null, empty and blank texts have no shingles and stand alone; a
 text of fewer than five words is one shingle; repeated rows give repeated result rows;
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import WordHasher, materialize, mix64, shingles, table, text_bytes, words
+from tallyfold.llm.common import WordHasher, materialize, mix64, most_frequent, shingles, table, text_bytes, words
 from tallyfold.llm.components import components
 
 WIDTH = 5
@@ -43,6 +44,8 @@ ORDERS = 3
 MAX_FREQUENT = 2**17
 LOCAL_COUNT, BLOCK = 6, 2_000_000
 LED_SHARE = 0.03  # of a set: tokens a leader must share; the others are decided later
+MORE_LEADS = 1  # rounds of comparing with one member of the largest component
+LARGE = 8  # members from which a component is met as a whole first
 BROADCAST_IDS = 2_000_000
 
 _hasher: list[WordHasher] = []
@@ -109,10 +112,8 @@ def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, ascending, and their counts: at most MAX_FREQUENT.
     They only steer the order, so leaving some out costs time, never a link."""
-    top = (
-        scanned.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= 2 * LOCAL_COUNT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    )
+    counts = scanned.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2 * LOCAL_COUNT)
+    top = most_frequent(materialize(counts, "frequent"), MAX_FREQUENT).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(tokens)
     return tokens[at], top["n"].to_numpy(np.int64)[at]
@@ -207,32 +208,75 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     led = buckets.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_token)).filter("doc_id <> lead.doc_id").filter(sizes_allow(F.col("n"), F.col("lead.n")))
     star = led.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead.n")).alias("n"))
     star = materialize(star.filter(F.col("shared") >= LED_SHARE * F.col("n")).select("a", "b"), "star")
-    ids = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    found = materialize(verified(star, whole_sets(docs, ids, often, width)), "links")
+    found = _compared(docs, star, often, width)
 
-    rest = materialize(_undecided(buckets, components(found)).join(star, ["a", "b"], "left_anti"), "rest")
-    ids = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    more = materialize(verified(rest, whole_sets(docs, ids, often, width)), "more-links")
-    return members, found.unionByName(more)
+    for k in range(MORE_LEADS):
+        lead = _led_again(_mixed(buckets, components(found)), k).join(star, ["a", "b"], "left_anti")
+        lead = materialize(lead, "star")
+        star, found = star.unionByName(lead), found.unionByName(_compared(docs, lead, often, width))
 
+    comps = components(found)
+    rest = _undecided(_mixed(buckets, comps), comps).join(star, ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
+    return members, found.unionByName(_compared(docs, rest, often, width))
 
-def _undecided(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, sizes allowing. The bucket's largest
-    component pairs only with the others, so a bucket with one large component and few
-    strangers gives few pairs."""
+
+def _compared(docs: DataFrame, pairs: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return materialize(verified(pairs, whole_sets(docs, ids, often, width)), "links")
+
+
+def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Buckets with members of several components, each row with its own and the
+    bucket's largest one."""
     named = buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.withColumn("lo", F.min("component").over(W.partitionBy("token"))).withColumn("hi", F.max("component").over(W.partitionBy("token"))).filter("lo <> hi").drop("lo", "hi")
+    by_token = W.partitionBy("token")
+    mixed = named.withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token)).filter("lo <> hi").drop("lo", "hi")
     mixed = materialize(mixed, "mixed")
     largest = mixed.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
-    mixed = mixed.join(largest, "token")
-    x = mixed.filter("component <> major").select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "component")))
-    pairs = x.join(mixed, "token").filter("component <> x_component and (component = major or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")))
+    return mixed.join(largest, "token")
+
+
+def _led_again(mixed: DataFrame, k: int) -> DataFrame:
+    """Strangers of each bucket with another member of its largest component, the one
+    of lowest hash in round ``k``: most late members of a large group of near copies
+    join it here, at one pair each."""
+    leads = mixed.filter("component = major").groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias("lead"))
+    led = mixed.filter("component <> major").join(leads, "token").filter(sizes_allow(F.col("n"), F.col("lead.n")))
+    ends = [F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")]
+    counted = led.groupBy(*ends).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead.n")).alias("n"))
+    return counted.filter(F.col("shared") >= LED_SHARE * F.col("n")).select("a", "b")
+
+
+def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different components that a link is possible for.
+
+    Against a component of LARGE members or more, a document is first counted as a
+    whole: the buckets it shares with any member bound those it shares with one. Most
+    strangers in the buckets of a large group fall here, at one row per bucket.
+    """
+    large = comps.groupBy("component").count().filter(F.col("count") >= LARGE).select("component", F.lit(True).alias("large"))
+    rows = mixed.drop("major").join(large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    rows = materialize(rows, "mixed")
+    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "component", "large")))
+
+    whole = rows.filter("large").groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # of two large components only the later one's documents are counted
+    meet = x.join(whole, "token").filter("x_component <> component and (not x_large or x_component > component)")
+    near = meet.groupBy("x_doc_id", "x_n", "component").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lo, hi = F.greatest("lo", F.ceil(NEED * F.col("x_n") / OF)), F.least("hi", F.floor(OF * F.col("x_n") / NEED))
+    least = lambda n: NEED * (F.col("x_n") + n) / (OF + NEED) - NEED * F.greatest("x_n", n) / OF
+    near = near.filter(lo <= hi).filter(F.col("shared") >= F.least(least(lo), least(hi))).select("x_doc_id", "x_n", "component")
+    # each of the few left meets the members one by one, on whole prefixes
+    prefixes_ = rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("p"))
+    pairs = near.select("x_doc_id", "x_n", "component").join(rows.filter("large").select("doc_id", "component").distinct(), "component").select("x_doc_id", "x_n", "doc_id")
+    pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, "doc_id")
+    to_large = pairs.select("x_doc_id", "x_n", "doc_id", "n", F.size(F.array_intersect("x_p", "p")).alias("shared"))
+    small = x.filter("not x_large").join(rows.filter("not large"), "token").filter("component <> x_component and x_doc_id < doc_id").filter(sizes_allow(F.col("n"), F.col("x_n")))
     # every token in both prefixes gives the pair once, so the count is exact
-    first = F.col("doc_id") < F.col("x_doc_id")
-    ends = [F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")]
-    sizes = [F.when(first, F.col("n")).otherwise(F.col("x_n")).alias("n_a"), F.when(first, F.col("x_n")).otherwise(F.col("n")).alias("n_b")]
-    counted = pairs.select(*ends, *sizes).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return counted.filter(prefixes_allow(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    small = small.groupBy("x_doc_id", "x_n", "doc_id", "n").agg(F.count("*").alias("shared"))
+    counted = to_large.unionByName(small).filter(sizes_allow(F.col("n"), F.col("x_n"))).filter(prefixes_allow(F.col("shared"), F.col("x_n"), F.col("n")))
+    return counted.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
