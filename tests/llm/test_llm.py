@@ -190,6 +190,22 @@ def test_language_model_windows_and_base(spark, none, monkeypatch):
     assert lm.score(none, counted, v0, lm.train(none, v0)).count() == 0
 
 
+def test_language_model_reads_every_text(spark):
+    """A round covers all texts, however large the corpus is."""
+    from tallyfold.llm import language_model as lm
+
+    texts = [f"a{k} b{k % 3} c" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    v = lm.vocabulary(lm.count_words(docs))
+    v.tokens = 10**9
+    p = lm.fresh(v)
+    for k in range(lm.ROUNDS):
+        net = lm.Trainer(p, 0.012 / (1 + k))
+        net.read([lm.token_ids(lm.words(t.encode()), v.index) for t in texts])
+        p = net.p
+    assert lm.flatten(lm.train(docs, v)) == pytest.approx(lm.flatten(p), abs=1e-4)
+
+
 def test_unigram_model_is_the_start():
     from tallyfold.llm import language_model as lm
 
