@@ -1,26 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. A scan counts, for every word n-gram of the test items, the training documents that
-   have it; the counts cover all documents.
-2. Each item keeps as seeds the rarest ``seed_share`` of its n-grams (all that tie).
-   A passage copied into many documents keeps its seeds: rarity is taken within the
-   item, never as an absolute limit.
-3. A second scan joins each document's n-grams to the seeds. Every hit on an item's
-   diagonal opens a window of the passage, wide enough for insertions; overlapping
-   windows merge.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+
+1. Seeds of an item are all its pairs of neighbouring words. In a document a pair also
+   counts with one word between, so a word put in after every word hides nothing.
+2. ``seeds_needed`` derives from ``min_score`` how many of them any alignment of that
+   score must hit; where that is none (items of up to 3 words, or a low ``min_score``)
+   the seeds are single words. One scan finds the items whose seeds a document has.
+3. The hits of such an item open windows of the document, wide enough for every
+   insertion and gap the score allows; overlapping windows merge.
 4. Smith-Waterman over words scores window against item, many at a time; the best
    window per (document, item) with ``score / best possible >= min_score`` stays.
 
-Items travel to the tasks in blocks of at most ``BLOCK_ITEMS``, one pair of scans per
+No alignment of ``min_score`` is lost: the result is that of aligning all pairs.
+
+Items travel to the tasks in blocks of at most ``BLOCK_ITEMS``, one scan per
 block, so what a task holds is bounded however large the benchmark is.
 
 Results on odd input: null or blank texts match nothing and blank items are never
-found; items shorter than the seed width are matched whole, as one seed; repeated rows
+found; repeated rows
 give one row per (doc_id, item_id); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import WordHasher, ngrams, table, text_bytes
+from tallyfold.llm.common import WordHasher, mix64, table, text_bytes
 
-SEED_WORDS = 3
-SEED_SHARE = 0.75
 MIN_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, 1
 BLOCK_ITEMS = 20_000
@@ -51,80 +51,102 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _hasher[0](raw.decode().lower().encode().translate(None, _PUNCTUATION).split())
 
 
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(second))
+
+
+def most_errors(m: int, min_score: float, matches: int) -> int:
+    """Misses and gaps that an alignment of ``min_score`` with these matches can have."""
+    return math.floor(MATCH * (matches - min_score * m) + 1e-9)
+
+
+def seeds_needed(m: int, min_score: float) -> int:
+    """Neighbouring item words that every alignment of ``min_score`` matches with at most
+    one document word between; 0 where some alignment has none.
+
+    ``k`` matches have ``k - 1`` steps. An error that uses up an item word spoils one
+    step, and of insertions it takes two.
+    """
+    least = m
+    for k in range(max(1, math.ceil(min_score * m - 1e-9)), m + 1):
+        errors = most_errors(m, min_score, k)
+        within = min(errors, m - k)
+        least = min(least, k - 1 - within - (errors - within) // 2)
+    return max(0, least)
+
+
 class Items:
     """A block of test items: word hashes, and their seeds as (gram, item, offset)."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]):
+    def __init__(self, ids: list[int], texts: list[bytes], min_score: float = MIN_SCORE):
         self.ids = ids
         self.hashes = [word_hashes(t) for t in texts]
-        grams, owner, offset = [], [], []
+        self.need, self.slack = np.zeros(len(ids), np.int64), []
+        cols: dict[bool, list] = {True: [], False: []}
         for k, h in enumerate(self.hashes):
-            g = ngrams(h, min(SEED_WORDS, len(h)))  # no words, no grams
-            grams.append(g)
-            owner.append(np.full(len(g), k))
-            offset.append(np.arange(len(g)))
-        self.widths = sorted({min(SEED_WORDS, len(h)) for h in self.hashes if len(h)})
-        self.set([np.concatenate(x) if x else np.empty(0, np.int64) for x in (grams, owner, offset)])
-
-    def set(self, cols: list[np.ndarray]) -> None:
-        at = np.argsort(cols[0], kind="stable")
-        self.grams, self.owner, self.offset = (c[at] for c in cols)
-        self.unique = np.unique(self.grams)
-
-    def keep_rare(self, counts: dict[int, int], share: float = SEED_SHARE) -> None:
-        n = np.array([counts.get(int(g), 0) for g in self.grams])
-        keep = np.zeros(len(n), bool)
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.owner == k) if len(self.ids) < 500 else self._own(k)
-            if len(own):
-                keep[own] = n[own] <= np.quantile(n[own], share, method="lower")
-        self.set([self.grams[keep], self.owner[keep], self.offset[keep]])
-
-    def _own(self, k: int) -> np.ndarray:
-        if not hasattr(self, "_by_owner"):
-            self._by_owner = np.argsort(self.owner, kind="stable")
-            self._starts = np.searchsorted(self.owner[self._by_owner], np.arange(len(self.ids) + 1))
-        return self._by_owner[self._starts[k] : self._starts[k + 1]]
-
-    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the document and rows of the seed table, of all seed matches."""
-        where, rows = [], []
-        for width in self.widths:
-            g = ngrams(doc, width)
-            if not len(g) or not len(self.unique):
+            m = len(h)
+            n = seeds_needed(m, min_score)
+            self.need[k] = n or max(1, math.ceil(min_score * m - 1e-9))
+            self.slack.append(max(0, most_errors(m, min_score, m)))
+            g = pairs(h[:-1], h[1:]) if n else h
+            cols[n > 0].append((g, np.full(len(g), k), np.arange(len(g))))
+        self.seeds = {}
+        for paired, parts in cols.items():
+            if parts:
+                grams, owner, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at = np.argsort(grams, kind="stable")
+                self.seeds[paired] = (grams[at], owner[at], offset[at], np.unique(grams))
+
+    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, its seed's offset and the place in the document, of all seed matches of
+        the items of which the document has enough seeds."""
+        out = []
+        for paired, (grams, owner, offset, unique) in self.seeds.items():
+            g, at = doc, np.arange(len(doc))
+            if paired:
+                g = np.concatenate([pairs(doc[:-1], doc[1:]), pairs(doc[:-2], doc[2:])])
+                at = np.concatenate([at[:-1], at[:-2]])
+            if not len(g) or not len(unique):
                 continue
-            found = np.flatnonzero(self.unique[np.minimum(np.searchsorted(self.unique, g), len(self.unique) - 1)] == g)
+            found = np.flatnonzero(unique[np.minimum(np.searchsorted(unique, g), len(unique) - 1)] == g)
             if not len(found):
                 continue
-            lo, hi = np.searchsorted(self.grams, g[found]), np.searchsorted(self.grams, g[found], "right")
-            n = hi - lo
-            where.append(np.repeat(found, n))
-            rows.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-        if not where:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(where), np.concatenate(rows)
+            own = np.unique(g[found])
+            rows, _ = _rows(grams, own)
+            enough = np.bincount(owner[rows], minlength=len(self.ids)) >= self.need
+            if not enough[owner[rows]].any():
+                continue
+            keep = np.unique(grams[rows[enough[owner[rows]]]])
+            found = found[np.isin(g[found], keep)]
+            rows, n = _rows(grams, g[found])
+            where = np.repeat(at[found], n)
+            mine = enough[owner[rows]]
+            out.append((owner[rows[mine]], offset[rows[mine]], where[mine]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
     def windows(self, doc: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, end word) of the passages to align."""
-        where, rows = self.hits(doc)
-        if not len(where):
-            return []
-        item, start = self.owner[rows], where - self.offset[rows]
+        item, offset, where = self.hits(doc)
         out: list[tuple[int, int, int]] = []
         for k in np.unique(item):
-            m = len(self.hashes[k])
-            slack = m // 3 + 3
-            at = np.sort(start[item == k])
-            if m > 8 and len(at) == 1:
-                continue  # one seed of a long item: too little for min_score
-            breaks = np.flatnonzero(np.diff(at) > slack) + 1
-            for part in np.split(at, breaks):
-                if m > 8 and len(part) == 1:
-                    continue
-                out.append((int(k), max(0, int(part[0]) - slack), min(len(doc), int(part[-1]) + m + slack)))
+            m, slack = len(self.hashes[k]), self.slack[k]
+            own = item == k
+            start = where[own] - offset[own]
+            order = np.argsort(start, kind="stable")
+            start, seed = start[order], offset[own][order]
+            for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > slack) + 1):
+                if len(np.unique(seed[part])) >= self.need[k]:
+                    out.append((int(k), max(0, int(start[part[0]]) - slack), min(len(doc), int(start[part[-1]]) + m + slack)))
         return out
 
 
+def _rows(grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the sorted ``grams`` that equal each wanted one, and how many each has."""
+    lo = np.searchsorted(grams, wanted)
+    n = np.searchsorted(grams, wanted, "right") - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each pair, all pairs of a batch in step.
 
@@ -185,27 +207,6 @@ def _scan(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, HITS)
 
 
-def gram_counts(docs: DataFrame, grams: np.ndarray, widths: list[int]) -> dict[int, int]:
-    """Documents that have each of these n-grams; every task hands on one row per gram."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(grams), np.int64)
-        for batch in it:
-            for raw in batch["raw"].to_pylist():
-                h = word_hashes(raw)
-                for width in widths:
-                    g = ngrams(h, width)
-                    if len(g) and len(grams):
-                        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                        n[np.unique(at[grams[at] == g])] += 1
-        some = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some])], names=["gram", "n"])
-
-    rows = docs.select(text_bytes().alias("raw")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()  # at most one row per n-gram of a block of items
-    return dict(zip(got["gram"].to_numpy(np.int64).view(np.uint64).tolist(), got["n"].tolist(), strict=True))
-
-
 def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per (doc_id, item_id) whose passage aligns: the best score as a share of
     the highest possible, and the window's first word and length."""
@@ -214,8 +215,7 @@ def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) ->
     out = None
     for k in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").select("item_id", text_bytes().alias("raw")).toPandas()
-        block = Items(mine["item_id"].tolist(), [bytes(x) for x in mine["raw"]])
-        block.keep_rare(gram_counts(docs, block.unique, block.widths))
+        block = Items(mine["item_id"].tolist(), [bytes(x) for x in mine["raw"]], min_score)
         found = _scan(docs, block, min_score)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("score", "start_word", "n_words"), F.struct("score", -F.col("start_word"))).alias("m")

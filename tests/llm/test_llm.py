@@ -365,6 +365,30 @@ def test_decontamination_finds_edited_copies(spark, odd, none):
     assert op.find(none, bench).count() == 0 and op.find(docs, bench.limit(0)).count() == 0 and op.find(odd, bench).count() == 0
 
 
+def test_decontamination_equals_aligning_all_pairs(spark):
+    """Copies with every 4th word changed, with words put in, and with a single 3-gram."""
+    from tallyfold.llm import decontaminate as op
+
+    rng = np.random.default_rng(1)
+    items = [[f"w{x}" for x in rng.integers(0, 300, m)] for m in (1, 2, 3, 4, 5, 9, 16, 30, 59)]
+    docs = [[f"w{x}" for x in rng.integers(0, 300, 80)] for _ in range(20)]
+    for t in items:
+        docs += [["x", *(f"n{k}" if (k + p) % 4 == 0 else w for k, w in enumerate(t)), "y"] for p in range(4)]
+        docs.append([x for w in t for x in (w, "in")][:-1])
+        docs += [[w for w in t if rng.random() < 0.7 for w in ([w, "in"] if rng.random() < 0.3 else [w])] for _ in range(10)]
+    docs.append([w if c == "M" else "x" for w, c in zip(items[5], "MMMxMMxMM", strict=True)])
+    hashed = [[op.word_hashes(" ".join(t).encode()) for t in x] for x in (docs, items)]
+    want = {}
+    for (i, d), (k, t) in itertools.product(enumerate(hashed[0]), enumerate(hashed[1])):
+        share = float(op.smith_waterman([d], [t])[0]) / (op.MATCH * len(t)) if len(d) else 0.0
+        if share >= op.MIN_SCORE:
+            want[i, k] = share
+    assert (len(docs) - 1, 5) in want
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in op.find(rows, bench).collect()} == want
+
+
 # --- 9 -------------------------------------------------------------------------------
 
 
