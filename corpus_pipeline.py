@@ -23,9 +23,11 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of at least the threshold score."""
+    """Documents of at least the threshold score; all of them without rows of both labels."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     model = quality.fit(docs, labels)
+    if not model.learnt:
+        return docs
     return quality.score(docs, model).filter(F.col("score") >= quality.CUT_SCORE).select(*docs.columns)
 
 

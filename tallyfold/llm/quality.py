@@ -64,6 +64,11 @@ class Ranker:
     cut: float
     slope: float
 
+    @property
+    def learnt(self) -> bool:
+        """Whether there were rows of both labels."""
+        return bool(self.weights.any())
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         raw = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
         at = np.clip(self.slope * (raw - self.cut), -30, 30) + np.log(CUT_SCORE / (1 - CUT_SCORE))
@@ -84,7 +89,8 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 4096, steps: int = 400,
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     raw = z @ w
-    levels = np.arange(0.002, 0.7, 0.002)
+    ends = np.arange(1, max(2, 0.002 * len(raw))) / len(raw)  # single rows, where a label is very rare
+    levels = np.unique(np.concatenate([np.arange(0.002, 0.999, 0.002), ends, 1 - ends]))
     cuts = np.quantile(raw, levels)
     right = [((raw >= c) == (y == 1)).mean() for c in cuts]
     best = np.flatnonzero(np.isclose(right, max(right)))

@@ -402,6 +402,26 @@ def test_quality_on_held_out_rows(spark):
     assert (j.predicted == j.quality).mean() > 0.93 and ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
+def test_quality_cut_where_most_labels_are_bad():
+    from tallyfold.llm import quality
+
+    rng = np.random.default_rng(0)
+    for good in (5, 100, 500, 900):
+        y = (np.arange(1000) < good).astype(int)
+        x = rng.normal(size=(1000, quality.N_FEATURES))
+        x[:, 0] += 12 * y
+        assert ((quality.fit_pairs(x, y).scores(x) >= quality.CUT_SCORE) == (y == 1)).mean() > 0.99
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1)], [(1, 0)]])
+def test_pipeline_keeps_documents_without_both_labels(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "A clean text."), (2, "Another one."), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.rate(spark, docs, str(tmp_path)).collect()) == [1, 2, 3]
+
+
 def test_quality_odd_rows(spark, odd, none):
     from tallyfold.llm import quality
 
