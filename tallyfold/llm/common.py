@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share.
-
-    Only where that setting is absent (tests, one machine) a local folder is used.
-    """
+    """A new path under spark.checkpoint.dir, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _local_scratch.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+        # only on one machine is a local folder seen by every task
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{tag}"
 
 
@@ -84,10 +82,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(it: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``limit`` bytes of a text column (one text more at
+    most), so that what a task makes of them at once is bounded."""
+    for batch in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 class WordHasher(dict):
-    """64-bit hash of each word, remembered for repeated words; the memory is bounded."""
+    """64-bit hash of each word, remembered for repeated words; the memory is bounded and
+    lasts as long as the task that made it."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import materialize
@@ -15,17 +14,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every node hands its smallest
     neighbour to the larger, then to the smaller ones, until nothing changes. Rounds
-    grow with the logarithm of the nodes, and a step is a window minimum, so a node
-    with many neighbours is never gathered into one value.
+    grow with the logarithm of the nodes. A step is a minimum (combined before its
+    shuffle) joined back to the edges, so a node with many neighbours is never gathered
+    into one value, and a join may split its edges.
     """
     edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lead = both.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a"))))
-        large = lead.filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        small = large.withColumn("m", F.min("a").over(W.partitionBy("b")))
+        leads = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = edges.join(leads, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         step = small.select(F.col("m").alias("a"), "b").unionByName(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         step = materialize(step, "edges")
         # stars already: nobody has two leads, and no lead is led

@@ -11,18 +11,24 @@ Steps, each written once to shared storage:
    stand out locally; equal sets form one class, represented by its smallest id;
 2. the orders put tokens of high corpus frequency last (at most ``MAX_FREQUENT`` of
    them are sent to the tasks) and the others by a hash, a different one per order;
-3. prefix tokens of the first order meet in buckets. First members of a bucket are
-   compared with its smallest member if that leads them in enough buckets, so k near
-   copies cost about k pairs, and components are formed; this repeats a few times with
-   other members of a bucket's largest component for those still outside. Then all
-   pairs of a bucket that are in different components are counted over their buckets,
-   compared if the count allows a link, and components are formed again. A link that
-   is never compared lies inside a component already, so the components are exact.
+3. prefix tokens of the first order meet in buckets; buckets of tokens known to be
+   frequent are split. First members of a bucket are compared with its smallest member
+   if that leads them in enough buckets, so k near copies cost about k pairs, and
+   components are formed; this repeats a few times with other members of a bucket's
+   largest component for those still outside. Then documents of one bucket that are in
+   different components meet if their sizes and the token's place in both sets still
+   allow a link: a bucket is dealt into pairs of size bands, and into each goes only the
+   part of the prefix that two sets of such sizes must share. So texts that share most
+   of their words, but too few for a link, do not meet there. The pairs that do are
+   counted over their buckets, compared if the count allows a link, and components are
+   formed again. A link that is never compared lies inside a component already, so the
+   components are exact.
 
 Results on odd input: null, empty and blank texts have no shingles and stand alone; a
-text of fewer than five words is one shingle; repeated rows give repeated result rows;
-a row without an id has a null component; an empty table gives no rows; other columns
-are ignored.
+text of fewer than five words is one shingle; a very long one is one large set like any;
+repeated rows give repeated result rows; rows of one id with different texts are one node
+with the links of each; a row without an id has a null component; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import WordHasher, materialize, mix64, most_frequent, shingles, table, text_bytes, words
+from tallyfold.llm.common import WordHasher, materialize, mix64, most_frequent, shingles, slices, table, text_bytes, words
 from tallyfold.llm.components import components
 
 WIDTH = 5
@@ -47,15 +53,21 @@ LED_SHARE = 0.03  # of a set: tokens a leader must share; the others are decided
 MORE_LEADS = 1  # rounds of comparing with one member of the largest component
 LARGE = 8  # members from which a component is met as a whole first
 BROADCAST_IDS = 2_000_000
+PART = 4096  # documents of a frequent token that are kept together
+FEW, RATIO = 16, 1.15  # set sizes with a band of their own; growth of the bands beyond
 
-_hasher: list[WordHasher] = []
 
+def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in parts of bounded size, with the set of each row."""
+    hasher = WordHasher()
+    for batch in slices(it, "raw"):
+        yield batch, [shingles(hasher(words(raw)), width) for raw in batch["raw"].to_pylist()]
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    if not _hasher:
-        _hasher.append(WordHasher())
-    for raw in batch["raw"].to_pylist():
-        yield shingles(_hasher[0](words(raw)), width)
+
+def _print(s: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def prefix_length(n: np.ndarray | int, need: int = NEED, of: int = OF):
@@ -77,8 +89,6 @@ def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tokens with how many documents of a block have them, from LOCAL_COUNT on."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         held: list[np.ndarray] = []
 
         def out(ids, sizes, prints, tokens, counts):
@@ -93,13 +103,9 @@ def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             held.clear()
             return out([], [], [], _long(got[n >= LOCAL_COUNT]).tolist(), n[n >= LOCAL_COUNT].tolist())
 
-        for batch in it:
-            sizes, prints = [], []
-            for s in _sets(batch, width):
-                sizes.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                held.append(s)
-            yield out(batch["doc_id"].to_pylist(), sizes, prints, [], [])
+        for batch, sets in _sets(it, width):
+            held += sets
+            yield out(batch["doc_id"].to_pylist(), [len(s) for s in sets], [_print(s) for s in sets], [], [])
             if sum(map(len, held)) > BLOCK:
                 yield common()
         if held:
@@ -133,16 +139,33 @@ def prefix(s: np.ndarray, order: int, often: tuple[np.ndarray, np.ndarray], need
     return s[np.argsort(key, kind="stable")[: prefix_length(len(s), need, of)]]
 
 
-def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(token, doc_id, n): the prefix under the first order, one row per token."""
+def parts_of(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Into how many parts the bucket of each token is split: 1 but for frequent ones."""
+    out = np.ones(len(tokens), np.int32)
+    known, counts = often
+    if len(known) and len(tokens):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        hit = known[at] == tokens
+        out[hit] = -(-counts[at[hit]] // PART)
+    return out
+
+
+def prefixes(docs: DataFrame, copies: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
+    """(token, parts, part, doc_id, n, pos): the prefix under the first order, one row per
+    token, of all (doc_id, print) but ``copies``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            sets = list(_sets(batch, width))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, 1, often) for s in sets])], names=["doc_id", "n", "tokens"])
+        for batch, sets in _sets(it, width):
+            first = [prefix(s, 1, often) for s in sets]
+            ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            parts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([parts_of(s, often) for s in first])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_print(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(first), parts], names=["doc_id", "print", "n", "token", "parts"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "doc_id long, n int, tokens array<long>")
-    return rows.select(F.explode("tokens").alias("token"), "doc_id", "n")
+    rows = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "doc_id long, print binary, n int, token array<long>, parts array<int>")
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(copies) if few else copies, ["doc_id", "print"], "left_anti")
+    rows = rows.select("doc_id", "n", F.posexplode(F.arrays_zip("token", "parts")).alias("pos", "t"))
+    return rows.select("t.token", "t.parts", F.pmod(F.xxhash64("doc_id"), F.col("t.parts")).cast("int").alias("part"), "doc_id", "n", "pos")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
@@ -151,8 +174,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, often: tuple[np.ndarray, np.ndar
     named = docs.select("doc_id", text_bytes().alias("raw")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            sets = list(_sets(batch, width))
+        for batch, sets in _sets(it, width):
             more = [_lists([prefix(s, k, often) for s in sets]) for k in range(2, ORDERS + 1)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(sets), *more], names=["doc_id", "tokens", *(f"p{k}" for k in range(2, ORDERS + 1))])
 
@@ -185,31 +207,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.filter(OF * both >= NEED * union).select("a", "b")
 
 
-def _in_parts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text")
-
-
 def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents with set size and class representative, links between representatives
-    that span every component)."""
-    docs = _in_parts(docs)
+    """(documents with set size and class representative, links between ids that span
+    every component)."""
+    docs = docs.select("doc_id", "text")
     scanned = materialize(scan(docs, width), "sets")
     often = frequent(scanned)
     rows = scanned.filter("token is null").select("doc_id", "n_shingles", "print")
     classes = rows.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("first"))
-    members = rows.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first"))
+    members = rows.join(classes, "print", "left").select("doc_id", "n_shingles", "print", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first"))
     members = materialize(members, "members")
-    copies = members.filter("doc_id <> first").select("doc_id").distinct()
-
-    by_token = W.partitionBy("token")
-    buckets = prefixes(docs, often, width).withColumn("k", F.count("*").over(by_token)).filter("k > 1").drop("k")
-    buckets = materialize(buckets.join(copies, "doc_id", "left_anti").distinct(), "buckets")
-
-    led = buckets.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_token)).filter("doc_id <> lead.doc_id").filter(sizes_allow(F.col("n"), F.col("lead.n")))
-    star = led.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead.n")).alias("n"))
+    copies = members.filter("doc_id <> first").select("doc_id", "print").distinct()
+    # an id with different texts ties the classes of each together
+    ties = members.groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo <> hi").select("doc_id")
+    ties = members.join(ties, "doc_id", "left_semi").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+    by_part = W.partitionBy("token", "part")
+    buckets = prefixes(docs, copies, often, width).withColumn("k", F.count("*").over(by_part)).filter("k > 1 or parts > 1").drop("k")
+    buckets = buckets.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_part))
+    buckets = materialize(buckets.withColumn("hot", F.col("parts") > 1).distinct().drop("parts", "part"), "buckets")
+
+    # leads of the parts of a frequent token follow the smallest of them
+    leads = buckets.filter("hot").select("token", "lead").distinct()
+    leads = leads.join(F.broadcast(leads.groupBy("token").agg(F.min("lead").alias("least"))), "token")
+    led = buckets.select("lead", F.struct("doc_id", "n").alias("own")).unionByName(leads.select(F.col("least").alias("lead"), F.col("lead").alias("own")))
+    led = led.filter("own.doc_id <> lead.doc_id").filter(sizes_allow(F.col("own.n"), F.col("lead.n")))
+    star = led.groupBy(F.col("lead.doc_id").alias("a"), F.col("own.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("own.n", "lead.n")).alias("n"))
     star = materialize(star.filter(F.col("shared") >= LED_SHARE * F.col("n")).select("a", "b"), "star")
-    found = _compared(docs, star, often, width)
+    found = ties.unionByName(_compared(docs, star, often, width))
 
+    buckets = buckets.drop("lead")
     for k in range(MORE_LEADS):
         lead = _led_again(_mixed(buckets, components(found)), k).join(star, ["a", "b"], "left_anti")
         lead = materialize(lead, "star")
@@ -230,9 +257,13 @@ def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Buckets with members of several components, each row with its own and the
     bucket's largest one."""
     named = buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    ends = [F.min("component").alias("lo"), F.max("component").alias("hi")]
     by_token = W.partitionBy("token")
-    mixed = named.withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token)).filter("lo <> hi").drop("lo", "hi")
-    mixed = materialize(mixed, "mixed")
+    cold = named.filter("not hot").withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token))
+    # at most MAX_FREQUENT tokens are hot: their ends travel to the rows, not the rows to them
+    hot = named.filter("hot")
+    hot = hot.join(F.broadcast(hot.groupBy("token").agg(*ends)), "token").select(*cold.columns)
+    mixed = materialize(cold.unionByName(hot).filter("lo <> hi").drop("lo", "hi"), "mixed")
     largest = mixed.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
     return mixed.join(largest, "token")
 
@@ -269,14 +300,40 @@ def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
     near = near.filter(lo <= hi).filter(F.col("shared") >= F.least(least(lo), least(hi))).select("x_doc_id", "x_n", "component")
     # each of the few left meets the members one by one, on whole prefixes
     prefixes_ = rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("p"))
-    pairs = near.select("x_doc_id", "x_n", "component").join(rows.filter("large").select("doc_id", "component").distinct(), "component").select("x_doc_id", "x_n", "doc_id")
-    pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, "doc_id")
+    pairs = near.select("x_doc_id", "x_n", "component").join(rows.filter("large").select("doc_id", "n", "component").distinct(), "component").filter(sizes_allow(F.col("n"), F.col("x_n"))).drop("component")
+    pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, ["doc_id", "n"])
     to_large = pairs.select("x_doc_id", "x_n", "doc_id", "n", F.size(F.array_intersect("x_p", "p")).alias("shared"))
-    small = x.filter("not x_large").join(rows.filter("not large"), "token").filter("component <> x_component and x_doc_id < doc_id").filter(sizes_allow(F.col("n"), F.col("x_n")))
-    # every token in both prefixes gives the pair once, so the count is exact
-    small = small.groupBy("x_doc_id", "x_n", "doc_id", "n").agg(F.count("*").alias("shared"))
-    counted = to_large.unionByName(small).filter(sizes_allow(F.col("n"), F.col("x_n"))).filter(prefixes_allow(F.col("shared"), F.col("x_n"), F.col("n")))
-    return counted.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
+    small = _met(rows.filter("not large"))
+    to_large = to_large.filter(prefixes_allow(F.col("shared"), F.col("x_n"), F.col("n")))
+    return to_large.select("doc_id", "x_doc_id").unionByName(small).select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
+
+
+def band(n):
+    """Size band: sizes up to FEW each have their own, later ones grow by RATIO."""
+    n = n.cast("double")
+    return F.when(n <= FEW, n).otherwise(FEW + F.floor(F.log(n / FEW) / F.log(F.lit(RATIO)))).cast("int")
+
+
+def least_shared(n, b):
+    """What a set of ``n`` tokens must share with any of band ``b`` for a link."""
+    start = F.when(b <= FEW, b).otherwise(F.floor(FEW * F.pow(F.lit(RATIO), b - FEW)) - 1)
+    return F.ceil(NEED * (n + F.greatest(start, F.ceil(NEED * n / OF))) / (OF + NEED)).cast("int")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(x_doc_id, doc_id) of different components whose prefixes allow a link."""
+    bands = F.sequence(band(F.ceil(NEED * F.col("n") / OF)), band(F.floor(OF * F.col("n") / NEED)))
+    fitting = F.filter(bands, lambda b: F.col("pos") <= F.col("n") - least_shared(F.col("n"), b))
+    dealt = rows.select("token", "doc_id", "n", "component", band(F.col("n")).alias("own"), F.explode(fitting).alias("other"))
+    dealt = dealt.withColumn("need", least_shared(F.col("n"), F.col("other")))
+    key = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
+    cols = ("doc_id", "n", "component", "need")
+    x = dealt.filter("own <= other").select("token", *key, *(F.col(c).alias(f"x_{c}") for c in cols))
+    y = dealt.filter("own >= other").select("token", *key, *cols)
+    pairs = x.join(y, ["token", "lo", "hi"]).filter("component <> x_component and (lo < hi or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")))
+    # every token in both parts of the prefixes gives the pair once, so the count is exact
+    counted = pairs.groupBy("x_doc_id", "x_n", "doc_id", "n").agg(F.count("*").alias("shared"), F.max(F.greatest("need", "x_need")).alias("need"))
+    return counted.filter(F.col("shared") + F.col("need") - 1 >= F.ceil(NEED * (F.col("n") + F.col("x_n")) / (OF + NEED))).select("x_doc_id", "doc_id")
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
