@@ -1,28 +1,35 @@
-"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 1. Seeds of an item are all its pairs of neighbouring words. In a document a pair also
    counts with one word between, so a word put in after every word hides nothing.
 2. ``seeds_needed`` derives from ``min_score`` how many of them any alignment of that
    score must hit; where that is none (items of up to 3 words, or a low ``min_score``)
-   the seeds are single words. One scan finds the items whose seeds a document has.
-3. The hits of such an item open windows of the document, wide enough for every
+   the seeds are single words. If an alignment hits at least ``need`` of ``t`` seeds, it
+   hits one of any ``t - need + 1``: a scan counts in how many documents each seed
+   occurs, and the rarest ``t - need + 1`` of an item are its rare seeds.
+3. A second scan joins documents to items by their rare seeds, checks the number of all
+   seeds of the items met, and opens windows around the hits, wide enough for every
    insertion and gap the score allows; overlapping windows merge.
 4. Smith-Waterman over words scores window against item, many at a time; the best
    window per (document, item) with ``score / best possible >= min_score`` stays.
 
 No alignment of ``min_score`` is lost: the result is that of aligning all pairs.
 
-Items travel to the tasks in blocks of at most ``BLOCK_ITEMS``, one scan per
-block, so what a task holds is bounded however large the benchmark is.
+The join's small side, the items, travels to the tasks in blocks of at most
+``BLOCK_ITEMS``, two scans per block, so what a task holds is bounded however large the
+benchmark is, and no text is ever shuffled.
 
-Results on odd input: null or blank texts match nothing and blank items are never
-found; repeated rows
-give one row per (doc_id, item_id); an empty table gives no rows.
+Results on odd input: null or blank texts match nothing and blank items are never found; a
+very long text is read whole, window by window; several texts of one item id are all
+items, and items without an id are found under a null id; rows without a document id
+count as one document; ties go to the first window; repeated rows give one row per
+(doc_id, item_id); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import WordHasher, mix64, table, text_bytes
+from tallyfold.llm.common import WordHasher, mix64, slices, table, text_bytes
 
 MIN_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, 1
 BLOCK_ITEMS = 20_000
 HITS = "doc_id long, item_id long, score double, start_word long, n_words long"
 
-_hasher: list[WordHasher] = []
-
-
 _PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
+def word_hashes(raw: bytes, hasher: WordHasher) -> np.ndarray:
     """Hashes of the words without case and ASCII punctuation, so decoration and
     shouting do not hide a copy."""
-    if not _hasher:
-        _hasher.append(WordHasher())
-    return _hasher[0](raw.decode().lower().encode().translate(None, _PUNCTUATION).split())
+    return hasher(raw.decode().lower().encode().translate(None, _PUNCTUATION).split())
 
 
 def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -78,9 +80,9 @@ def seeds_needed(m: int, min_score: float) -> int:
 class Items:
     """A block of test items: word hashes, and their seeds as (gram, item, offset)."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], min_score: float = MIN_SCORE):
-        self.ids = ids
-        self.hashes = [word_hashes(t) for t in texts]
+    def __init__(self, ids: list[int | None], texts: list[bytes], min_score: float = MIN_SCORE):
+        self.ids, hasher = ids, WordHasher()
+        self.hashes = [word_hashes(t, hasher) for t in texts]
         self.need, self.slack = np.zeros(len(ids), np.int64), []
         cols: dict[bool, list] = {True: [], False: []}
         for k, h in enumerate(self.hashes):
@@ -95,33 +97,58 @@ class Items:
             if parts:
                 grams, owner, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
                 at = np.argsort(grams, kind="stable")
-                self.seeds[paired] = (grams[at], owner[at], offset[at], np.unique(grams))
+                self.seeds[paired] = (grams[at], owner[at], offset[at])
+        self.choose({})
+
+    def choose(self, counts: dict[int, int]) -> None:
+        """Keep as rare seeds of each item its rarest ones, as many as make a hit sure."""
+        self.rare = {}
+        for paired, (grams, owner, _) in self.seeds.items():
+            n = np.fromiter((counts.get(g, 0) for g in grams.tolist()), np.int64, len(grams))
+            order = np.lexsort((grams, n, owner))
+            place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+            total = np.bincount(owner, minlength=len(self.ids))
+            rare = np.zeros(len(grams), bool)
+            rare[order] = place <= (total - self.need)[owner[order]]
+            self.rare[paired] = (rare, np.unique(grams[rare]))
+
+    def grams(self, doc: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """For pairs and single words: those of a document, and where they begin."""
+        for paired in self.seeds:
+            if not paired:
+                yield False, doc, np.arange(len(doc))
+            elif len(doc) > 1:
+                at = np.arange(len(doc))
+                yield True, np.concatenate([pairs(doc[:-1], doc[1:]), pairs(doc[:-2], doc[2:])]), np.concatenate([at[:-1], at[:-2]])
+
+    def met(self, doc: np.ndarray) -> np.ndarray:
+        """The different seeds, of any item, that a document has."""
+        out = [np.unique(g[_among(g, np.unique(self.seeds[paired][0]))]) for paired, g, _ in self.grams(doc)]
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, its seed's offset and the place in the document, of all seed matches of
-        the items of which the document has enough seeds."""
+        the items of which the document has a rare seed, and enough seeds."""
         out = []
-        for paired, (grams, owner, offset, unique) in self.seeds.items():
-            g, at = doc, np.arange(len(doc))
-            if paired:
-                g = np.concatenate([pairs(doc[:-1], doc[1:]), pairs(doc[:-2], doc[2:])])
-                at = np.concatenate([at[:-1], at[:-2]])
-            if not len(g) or not len(unique):
-                continue
-            found = np.flatnonzero(unique[np.minimum(np.searchsorted(unique, g), len(unique) - 1)] == g)
-            if not len(found):
+        for paired, g, at in self.grams(doc):
+            grams, owner, offset = self.seeds[paired]
+            rare, unique = self.rare[paired]
+            own = np.unique(g[_among(g, unique)])
+            if not len(own):
                 continue
-            own = np.unique(g[found])
             rows, _ = _rows(grams, own)
-            enough = np.bincount(owner[rows], minlength=len(self.ids)) >= self.need
-            if not enough[owner[rows]].any():
+            items = np.unique(owner[rows[rare[rows]]])
+            mine = np.flatnonzero(np.isin(owner, items))
+            seeds = np.unique(grams[mine])
+            found = np.flatnonzero(_among(g, seeds))
+            there = _among(grams[mine], np.unique(g[found]))
+            enough = np.bincount(owner[mine[there]], minlength=len(self.ids)) >= self.need
+            if not enough[items].any():
                 continue
-            keep = np.unique(grams[rows[enough[owner[rows]]]])
-            found = found[np.isin(g[found], keep)]
             rows, n = _rows(grams, g[found])
             where = np.repeat(at[found], n)
-            mine = enough[owner[rows]]
-            out.append((owner[rows[mine]], offset[rows[mine]], where[mine]))
+            kept = np.isin(owner[rows], items) & enough[owner[rows]]
+            out.append((owner[rows[kept]], offset[rows[kept]], where[kept]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
     def windows(self, doc: np.ndarray) -> list[tuple[int, int, int]]:
@@ -140,6 +167,13 @@ class Items:
         return out
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which elements are among the sorted ``known``."""
+    if not len(known) or not len(x):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _rows(grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the sorted ``grams`` that equal each wanted one, and how many each has."""
     lo = np.searchsorted(grams, wanted)
@@ -189,12 +223,31 @@ def _align(found: list[tuple], items: Items, min_score: float) -> list[tuple]:
     return out
 
 
+def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    hasher = WordHasher()
+    for batch in slices(it, "raw"):
+        yield [(doc, word_hashes(raw, hasher)) for doc, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True)]
+
+
+def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
+    """In how many documents each seed of a block of items occurs."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
+        for rows in _hashed(it):
+            for _, h in rows:
+                seen.update(items.met(h).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+
+    counted = docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram % 2**64: r.n for r in counted.collect()}  # at most the block's own seeds
+
+
 def _scan(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for part in _hashed(it):
             found, rows = [], []
-            for doc, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True):
-                h = word_hashes(raw)
+            for doc, h in part:
                 found += [(doc, k, lo, hi, h[lo:hi]) for k, lo, hi in items.windows(h)]
                 if len(found) >= 4000:
                     rows += _align(found, items, min_score)
@@ -210,12 +263,13 @@ def _scan(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per (doc_id, item_id) whose passage aligns: the best score as a share of
     the highest possible, and the window's first word and length."""
-    items = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = benchmark.select("item_id", text_bytes().alias("raw")).distinct()
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     out = None
     for k in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").select("item_id", text_bytes().alias("raw")).toPandas()
-        block = Items(mine["item_id"].tolist(), [bytes(x) for x in mine["raw"]], min_score)
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "raw"), F.lit(blocks)) == k).orderBy("item_id", "raw").collect()
+        block = Items([r.item_id for r in mine], [bytes(r.raw) for r in mine], min_score)
+        block.choose(seed_counts(docs, block))
         found = _scan(docs, block, min_score)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("score", "start_word", "n_words"), F.struct("score", -F.col("start_word"))).alias("m")
