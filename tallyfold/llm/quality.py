@@ -9,9 +9,11 @@ curve through ``cut_score`` there.
 Fitting uses at most ``max_labels`` labelled documents, those with the lowest hash of
 their id; scoring covers every row and every whole text.
 
-Results on odd input: null text is the empty text, which has a score like any other;
-rows with a null label or id teach nothing; without both labels every score is 0.5;
-repeated rows are scored once each; other columns are ignored.
+Results on odd input: null text is the empty text, which has a score like any other, as
+has a very long one, read whole; rows with a null label or id teach nothing; without both
+labels every score is 0.5; of several labels of an id the least counts; repeated
+rows are scored once each, rows of an empty table not at all; other columns pass through,
+and a column named like the new one is an error.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyfold.llm.common import crc_mod, table, text_bytes
+from tallyfold.llm.common import crc_mod, slices, table
 
 CUT_SCORE = 0.7
 MAX_LABELS = 20_000
@@ -99,9 +102,9 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 4096, steps: int = 400,
     return Ranker(mean, scale, w, cut, 8.0 / max(gap, 1e-6))
 
 
-def _arrow_features(batch: pa.RecordBatch) -> np.ndarray:
-    got = [features(r) for r in batch["raw"].to_pylist()]
-    return np.array(got) if got else np.empty((0, N_FEATURES))
+def _features(texts: pa.Array) -> np.ndarray:
+    got = [features(r or b"") for r in texts.cast(pa.binary()).to_pylist()]
+    return np.array(got).reshape(-1, N_FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Ranker:
@@ -114,28 +117,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Ran
     )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b["quality"], pa.array(list(_arrow_features(b)), pa.list_(pa.float64()))], names=["quality", "x"])
+        for b in slices(it, "text"):
+            yield pa.RecordBatch.from_arrays([b["quality"], pa.array(list(_features(b["text"])), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    rows = docs.select("doc_id", text_bytes().alias("raw")).join(F.broadcast(kept), "doc_id").select("quality", "raw", "doc_id").orderBy("doc_id").select("quality", "raw")
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").orderBy("doc_id", "text").select("quality", "text")
     got = rows.mapInArrow(run, "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, N_FEATURES)
     return fit_pairs(x, got["quality"].to_numpy())
 
 
-def score(docs: DataFrame, model: Ranker) -> DataFrame:
-    """All columns of ``docs`` and a ``score``."""
-    name = "_raw_bytes"
-    with_raw = docs.drop("score").withColumn(name, text_bytes())
-    keep = [c for c in with_raw.columns if c != name]
+def score(docs: DataFrame, model: Ranker, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, which must be new."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already: give the score another name")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = np.array([features(r) for r in b[name].to_pylist()]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(model.scores(x))], names=[*keep, "score"])
+        for b in slices(it, "text"):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(_features(b["text"])))], names=[*b.schema.names, name])
 
-    schema = docs.drop("score").schema.add("score", "double")
-    return with_raw.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
