@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,6 +75,47 @@ def test_near_join_equals_brute_force(spark, monkeypatch, large, share):
     assert len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("part", [4096, 3])
+def test_near_join_of_ids_with_different_texts(spark, monkeypatch, part):
+    from tallyfold.llm import near_join
+
+    monkeypatch.setattr(near_join, "PART", part)
+    monkeypatch.setattr(near_join, "LOCAL_COUNT", 2)
+    w = [f"b{k}" for k in range(40)]
+    near = [*w[:39], "other"]
+    a = " ".join(f"a{k}" for k in range(40))
+    rows = [(1, a), (5, a), (5, " ".join(w)), (9, " ".join(near)), (9, " ".join(near)), (11, "x y z"), (None, a)]
+    rows += [(20 + k, " ".join([*w[:30], *(f"z{k}.{j}" for j in range(10))])) for k in range(12)]
+    got = near_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None and r.doc_id < 20) == [(1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (11, 11)]
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id and r.doc_id >= 20)
+
+
+def test_near_join_of_shared_boilerplate_makes_no_pairs(spark):
+    """Texts that share three of four shingles, too few for a link, meet nowhere."""
+    from tallyfold.llm import near_join
+
+    rows = [(k, f"all of these words are the same w{k}") for k in range(3000)] + [(10_000 + k, " ".join([*(f"c{j}" for j in range(60)), *(f"u{k}.{j}" for j in range(20))])) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scanned = near_join.scan(docs)
+    often = near_join.frequent(scanned)
+    none = scanned.select("doc_id", "print").limit(0)
+    alone = near_join.prefixes(docs, none, often).withColumn("component", F.col("doc_id"))
+    assert alone.groupBy("token").count().agg(F.max("count")).first()[0] >= 3000
+    assert near_join._met(alone).count() == 0
+    got = near_join.groups(docs)
+    assert got.filter("component_id <> doc_id").isEmpty() and got.count() == 3500
+
+
+def test_near_join_size_bands_are_safe(spark):
+    from tallyfold.llm import near_join
+
+    n = spark.range(1, 4000).select(F.col("id").alias("n"), near_join.band(F.col("id")).alias("b"))
+    got = n.select("n", "b", near_join.least_shared(F.lit(10**6), F.col("b")).alias("a"), near_join.least_shared(F.col("n"), F.col("b")).alias("own")).collect()
+    assert all(x.b <= y.b for x, y in itertools.pairwise(got))
+    assert all(r.own <= r.n and (r.n > 16 or r.own == -(-75 * 2 * r.n // 175)) for r in got)
+
+
 def test_near_join_odd_rows(odd, none):
     from tallyfold.llm import near_join
 
@@ -128,12 +171,25 @@ def test_word_pieces_equal_the_library():
 
     from tallyfold.llm import packing
 
-    path = public_tokenizers.path(packing.TOKENIZER)
-    lib, own, rnd = Tokenizer.from_file(path), packing.WordPieces(path, limit=50), random.Random(4)
-    parts = [*"aBé.,!'#1²Ǆʰ… <|>İΣ\n", "'s", "<|endoftext|>", "don't"]
-    for _ in range(3000):
-        s = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
-        assert own(s.encode()) == np.array(lib.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    lib, rnd = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), random.Random(4)
+    own = packing.WordPieces(lib, limit=50)
+    parts = [*"aBé.,!'#1²Ǆʰ… <|>İΣ\n\x1c\x85", "'s", "<|endoftext|>", "don't", "\t", "\u00a0", "\u2028"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(3000)] + ["", " ", "a " * 9000, "b" * 9000, "." * 9000]
+    for at in range(0, len(texts), 700):
+        some = texts[at : at + 700]
+        ids, edges = own(pa.array(some))
+        for k, t in enumerate(some):
+            assert ids[edges[k] : edges[k + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_groups_stay_even(spark):
+    """Rows without an id, or all alike, are dealt over the groups like any."""
+    from tallyfold.llm import packing
+
+    one = "cast(null as long) as doc_id, 0 as piece, 0L as start, 4L as length, 7L as ids_crc32"
+    got = packing.pack(spark.range(60_000).selectExpr(*one.split(", ")), group_pieces=6000)
+    sizes = [r["count"] for r in got.groupBy((got.sequence_id / 2**32).cast("int").alias("g")).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 60_000 and max(sizes) < 7000
 
 
 # --- 1 -------------------------------------------------------------------------------
@@ -292,7 +348,7 @@ def test_pii_spans(spark, odd, none):
 
     from tallyfold.llm import pii
 
-    text = "a@b@c.de x1@y-z.co.uk 10.0.0.1 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +49 (30) 123456-78 +1 2"
+    text = "a@b@c.de x1@y-z.co.uk 10.0.0.1 999.1.1.1 1.2.3.4.5.6.7.8 x4111 1111 1111 1111 +49 (30) 123456-78 +1 2"
     base = pii.base_spans(text)
     want = []
     for kind, p in pii.PATTERNS.items():
@@ -300,10 +356,67 @@ def test_pii_spans(spark, odd, none):
     assert base == want and [k for k, _, _ in base] == ["email", "email", "ip", "ip", "ip", "card", "phone"]
     docs = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
     out = pii.redact(docs, None).first()
-    assert "@" not in out.text and out.n_chars == len(out.text)
+    assert out.text.startswith("a@[EMAIL] [EMAIL] [IP] 999.1.1.1 ") and out.n_chars == len(out.text)
     assert pii.detect(odd, None).count() == odd.count() and pii.train(*pii.labelled_windows(none)) is None
 
 
+def test_pii_addresses_equal_the_pattern():
+    import random
+    import re
+
+    from tallyfold.llm import pii
+
+    rnd = random.Random(2)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["1", "25", "300", ".", ".", "..", " ", "x", "007"]) for _ in range(rnd.randrange(30)))
+        want = [("ip", *m.span()) for m in re.finditer(pii.PATTERNS["ip"], t) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[0] == "ip"] == want
+
+
+@pytest.mark.parametrize("text", ["1" * 5000 + ".1.1.1", "1" * 200_000 + " x.", "+" + "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + "(" * 200_000, "key = " + "a1" * 100_000, "dot " * 50_000])
+def test_pii_reads_long_runs_in_linear_time(text):
+    import time
+
+    from tallyfold.llm import pii
+
+    began = time.process_time()
+    known = pii.base_spans(text) + pii.secrets(text)
+    pii.added(text, known, [("email", 0, 9), ("phone", 10, 20)])
+    assert time.process_time() - began < 3
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    from tallyfold.llm import pii
+
+    return pii.train(*pii.labelled_windows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_pii_tagger_adds_what_no_pattern_matches(spark, tagger):
+    from tallyfold.llm import pii
+
+    hidden = ["anna.schmidt (at) example (dot) org", "joe.miller at mail dot example dot com", "(030) 555-123-4567", "0049 30 5551 2345", "10 . 20 . 30 . 40", "192[.]168[.]4[.]20", "5425.2334.3010.9903", "tom@mail . example . net", "jane_doe [at] web [dot] de", "030/5551/2345", "4539-1488/0343/6467", "0 171 555 12 34"]
+    clean = ["we met on 2024-05-17 at noon, 12:30:15, and paid 1,234,567.89 for No. 8007782375593431", "look at the dot on the i and at page 12 of 300", "It was 3.5 or 4, not 17."]
+    rows = [(k, f"hinganly reea {t} thandwh of it") for k, t in enumerate(hidden)] + [(100 + k, t) for k, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(docs, tagger).collect()}
+    assert all(r.base_sha256 == pii.digest([]) and r.n_email + r.n_ip + r.n_card + r.n_phone == 0 for r in got.values())
+    assert sum(got[k].n_spans == 1 for k in range(len(hidden))) >= len(hidden) - 2 and all(got[100 + k].n_spans == 0 for k in range(len(clean)))
+    out = {r.doc_id: r.text for r in pii.redact(docs, tagger).collect()}
+    for k, t in enumerate(hidden):
+        assert (t in out[k]) == (got[k].n_spans == 0)
+    assert [out[100 + k] for k in range(len(clean))] == clean
+
+
+def test_pii_secrets_have_columns_of_their_own(spark):
+    from tallyfold.llm import pii
+
+    docs = spark.createDataFrame([(1, 'my token = "2321bac4d15ec8f90433955b" and a@b.de'), (2, "total = 2321222222222222222")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(docs, None).collect()}
+    assert (got[1].spans, got[1].secrets, got[1].n_secrets) == ("email:42:48", "secret:12:36", 1) and got[2].n_secrets == 0
+    assert {r.text for r in pii.redact(docs, None).collect()} == {'my token = "[SECRET]" and [EMAIL]', "total = 2321222222222222222"}
+
+
 def test_pii_tagger_learns(spark):
     from tallyfold.llm import pii
 
@@ -322,7 +435,7 @@ def test_crf_gradient():
     rng = np.random.default_rng(0)
     net = pii.Tagger.fresh(width=4, size=3)
     net.p = {k: a.astype(float) for k, a in net.p.items()}
-    x, y = rng.integers(0, pii.N_CHARS, (2, 6)), rng.integers(0, 5, (2, 6))
+    x, y = rng.integers(0, pii.N_CHARS, (2, 6)), rng.integers(0, len(pii.TAGS) + 1, (2, 6))
     _, g = net.gradient(x, y)
     for k, a in net.p.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), a.shape)
@@ -365,6 +478,14 @@ def test_decontamination_finds_edited_copies(spark, odd, none):
     assert op.find(none, bench).count() == 0 and op.find(docs, bench.limit(0)).count() == 0 and op.find(odd, bench).count() == 0
 
 
+def test_decontamination_of_items_with_odd_ids(spark):
+    from tallyfold.llm import decontaminate as op
+
+    docs = spark.createDataFrame([(1, "p q one two three four five six r"), (2, "s seven eight nine ten eleven twelve t"), (3, "none null id text of the bench here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three four five six"), (7, "seven eight nine ten eleven twelve"), (None, "null id text of the bench")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op.find(docs, bench).collect()} == {(1, 7), (2, 7), (3, None)}
+
+
 def test_decontamination_equals_aligning_all_pairs(spark):
     """Copies with every 4th word changed, with words put in, and with a single 3-gram."""
     from tallyfold.llm import decontaminate as op
@@ -377,7 +498,8 @@ def test_decontamination_equals_aligning_all_pairs(spark):
         docs.append([x for w in t for x in (w, "in")][:-1])
         docs += [[w for w in t if rng.random() < 0.7 for w in ([w, "in"] if rng.random() < 0.3 else [w])] for _ in range(10)]
     docs.append([w if c == "M" else "x" for w, c in zip(items[5], "MMMxMMxMM", strict=True)])
-    hashed = [[op.word_hashes(" ".join(t).encode()) for t in x] for x in (docs, items)]
+    hasher = op.WordHasher()
+    hashed = [[op.word_hashes(" ".join(t).encode(), hasher) for t in x] for x in (docs, items)]
     want = {}
     for (i, d), (k, t) in itertools.product(enumerate(hashed[0]), enumerate(hashed[1])):
         share = float(op.smith_waterman([d], [t])[0]) / (op.MATCH * len(t)) if len(d) else 0.0
@@ -427,6 +549,8 @@ def test_quality_odd_rows(spark, odd, none):
 
     nobody = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.score(odd, quality.fit(odd, nobody)).collect()} == {0.5}
+    with pytest.raises(ValueError):
+        quality.score(odd.withColumn("score", F.lit(1)), quality.fit(odd, nobody))
     model = quality.fit(odd, spark.createDataFrame([(4, 1), (8, 0), (None, 1), (3, None)], "doc_id long, quality int"))
     assert quality.score(odd, model).count() == odd.count() and quality.score(none, model).count() == 0
 
@@ -456,6 +580,29 @@ def test_top_k_equals_brute_force(spark):
 # --- pipeline ------------------------------------------------------------------------
 
 
+def test_pipeline_decides_rows_by_their_texts(spark, tmp_path):
+    """Ids that repeat or are missing, clashing columns, null and empty texts, no rows."""
+    import corpus_pipeline as cp
+
+    a, b = (" ".join(f"{p}{k}" for k in range(30)) for p in "ab")
+    item = " ".join(f"t{k}" for k in range(12))
+    cols = "doc_id long, text string, score double, row_number_ int, component_id string"
+    rows = [(1, a), (1, b), (None, a), (None, f"x {item} y"), (2, b), (3, None), (3, ""), (4, "call +1 (555) 123-4567 now"), (4, "call +1 (555) 123-4567 now")]
+    docs = spark.createDataFrame([(*r, 0.5, k, "c") for k, r in enumerate(rows)], cols)
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        kept, left = table, []
+        for _, stage in cp.STAGES[:-1]:
+            kept = cp.materialize(stage(spark, kept, str(tmp_path)), "t")
+            assert kept.schema == docs.schema
+            left.append(sorted(r.row_number_ for r in kept.collect()))
+        if table is docs:
+            assert left[0] == [*range(9)] and left[1][:6] == [0, 1, 3, 5, 6, 7] and len(left[1]) == 6 and left[2] == left[3] == [0, 1, 5, 6, 7]
+            assert kept.filter("row_number_ = 7").first().text == "call [PHONE] now"
+        assert cp.STAGES[-1][1](spark, kept, str(tmp_path)).count() == len(left[-1])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
