@@ -2,6 +2,12 @@
 
 Each stage is written as Parquet under spark.checkpoint.dir and the next one reads that,
 so a lost executor costs rereads of one stage at most.
+
+Results on odd input, for every stage: a null text counts as the empty text, and stays
+null in the rows that are kept; very long texts are read whole; where rows are dropped,
+each row is decided by a number of its own, so rows that share a doc_id or have none are
+kept or dropped by their texts alone; columns that documents does not have pass through,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,14 +18,27 @@ from pyspark.sql import functions as F
 from tallyfold.llm import decontaminate, near_join, packing, pii, quality
 from tallyfold.llm.common import materialize, table
 
-FEW_IDS = 2_000_000  # ids that may be broadcast; beyond, the join shuffles
+FEW_IDS = 2_000_000  # rows that may be broadcast; beyond, the join shuffles
+
+
+def new_column(docs: DataFrame, name: str) -> str:
+    """``name``, longer if the table has such a column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a written number for each row, and that column's name."""
+    row = new_column(docs, "row_number_")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows without an id stay."""
-    ids = materialize(ids.distinct(), "dropped-ids")
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` but those numbered in ``dropped``, without the number."""
+    dropped = materialize(dropped.distinct(), "dropped")
+    few = dropped.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select(*(c for c in rows.columns if c != row))
 
 
 def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,33 +47,35 @@ def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels)
     if not model.learnt:
         return docs
-    return quality.score(docs, model).filter(F.col("score") >= quality.CUT_SCORE).select(*docs.columns)
+    name = new_column(docs, "score")
+    return quality.score(docs, model, name).filter(F.col(name) >= quality.CUT_SCORE).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies."""
-    groups = materialize(near_join.groups(docs).select("doc_id", "component_id"), "groups")
-    kept = without(docs, groups.filter("component_id <> doc_id").select("doc_id"))
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    # one row of each id that occurs several times; the others pass without a shuffle
-    once = kept.join(materialize(repeated, "repeated-ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, repeated).unionByName(once.select(*docs.columns))
+    """One document of each group of near copies: the smallest id, of equal ids any row."""
+    rows, row = numbered(docs)
+    groups = near_join.groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    groups = materialize(groups.join(rows.select(row, "doc_id"), row), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    dropped = groups.join(first, "component_id").filter(F.col(row) != F.col(f"first.{row}")).select(row)
+    return without(rows, row, dropped)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows, row = numbered(docs)
+    found = decontaminate.find(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, row, found.select(F.col("doc_id").alias(row)))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced."""
+    """Every document, personal data and secrets replaced."""
     return pii.redact(docs, pii.train(*pii.labelled_windows(docs)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset; a null text is one piece
+    with the end id alone."""
     return packing.pack(packing.cut(docs))
 
 
