@@ -301,6 +301,14 @@ def test_license_scan_equals_no_pruning(spark, odd, none):
         ("<body><nav><a>Menu</a></nav><article><h1>T &amp; U</h1><p>One.<p>Two <b>bo</b>ld.<script>if (a<b) {}</script></article><footer>c</footer>", "T & U One. Two bold."),
         ("<main><p>Kept.</p><aside>no</aside><form>no</form><div class='ad box'>no</div><div id=comments><p>no, no, no.</p></div></main>", "Kept."),
         ("<div id=sidebar><p>no</p></div><div class=post><p>Long enough, is it not, to be the text of a page.</p><p>Short.</p></div><p class=cookie-notice>no</p>", "Long enough, is it not, to be the text of a page. Short."),
+        ("<div class='site has-sidebar'><article><p>One text, here.</p></article></div>", "One text, here."),
+        ("<div class='main no-comments'><article><h2 id='related-work'>Related</h2><p class='notice-of-sale'>One text, here.</p></article></div>", "Related One text, here."),
+        ("<section id='search-methods'><h1>T</h1><p>One text, here, and more of it.</p></section>", "T One text, here, and more of it."),
+        ("<article><p>Main text, it is.</p></article><section class='comments'><article class='comment'><p>" + "I like it, really. " * 30 + "</p></article></section>", "Main text, it is."),
+        ("<header><h1>Site</h1></header><main><article><header><h1>T</h1></header><p>text, a b c.</p><ul><li>x</li></ul><footer>tags</footer></article></main>", "T text, a b c. x"),
+        ("<ul><li><a href=/>Home</a></li><li><a>link</a></li></ul><div><h1>Title</h1><p>" + "Some words, more. " * 9 + "</p><ul><li>item</li></ul><p>End.</p></div><div>(c) site</div>", "Title " + "Some words, more. " * 9 + "item End."),
+        ("<form><div id=header>no</div><div><p>A sentence, with words.</p></div></form>", "A sentence, with words."),
+        ("<p>a < b and c <3", "a < b and c <3"), ("<p title='a>b'>x</p><p title='unclosed>y</p>", "x y"),
     ],
 )
 def test_html_content(page, text):
@@ -309,6 +317,42 @@ def test_html_content(page, text):
     assert content(page or "") == text
 
 
+def test_html_threshold_decides():
+    import pyarrow.parquet as pq
+
+    from tallyfold.llm.html_extract import content
+
+    pages = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()
+    assert sum(content(p or "") != content(p or "", spread=-1e9) for p in pages) > 0.9 * len(pages)
+
+
+def test_html_path_values_equal_plain_sums():
+    from tallyfold.llm import html_extract as op
+
+    page = op.parse("<div class=a><p>One, two.</p><p>Three <a>four</a>.</p><ul><li>x</li><li>y, z</li></ul></div><nav><p>m</p></nav><div class=b>w</div>")
+    got = op.path_values(page)
+    # paths in order: text length, punctuation, share of links, blocks, parent, prior
+    rows = [(len("One, two.") + len("Three") + len("four") + 1, 3, 4 / 19, 2, "a", 1), (5, 1, 0, 2, "ul", 1), (1, 0, 0, 1, "nav", op.OF_FURNITURE), (1, 0, 0, 1, "", 1)]
+    text, mark = ([r[k] * (1 - (r[2] if k == 0 else 0)) / r[3] for r in rows] for k in (0, 1))
+    want = []
+    for i, r in enumerate(rows):
+        w = [np.exp(-((i - j) ** 2) / 2) * (1 if r[4] == q[4] else op.APART) * (abs(i - j) <= 2) for j, q in enumerate(rows)]
+        t, m = (sum(a * b for a, b in zip(w, x, strict=True)) / sum(w) for x in (text, mark))
+        want.append(np.sqrt(t * (1 + m)) * r[5])
+    assert got.value[got.used] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "</b>" * 100_000, '<a "' * 100_000, "<a href='" * 50_000, "<!" * 100_000, "<p><b>" * 50_000, "<article>" * 50_000 + "x", "<p><button>" + "<b>" * 4000 + "<div></div>" * 20_000, "<ul>" + "<li>a, b.<ul>" * 30_000])
+def test_html_reads_any_page_in_linear_time(page):
+    import time
+
+    from tallyfold.llm.html_extract import content
+
+    began = time.process_time()
+    content(page)
+    assert time.process_time() - began < 10
+
+
 def test_html_table(spark):
     from tallyfold.llm import html_extract
 
