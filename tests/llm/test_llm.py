@@ -274,23 +274,73 @@ def test_unigram_model_is_the_start():
 # --- 2 -------------------------------------------------------------------------------
 
 
-def test_license_scan_equals_no_pruning(spark, odd, none):
+def every_window(op, known, words):
+    """The best dice of any window, by template name, without any pruning."""
+    numbers = known.bigrams(known.numbers(words))
+    at = np.searchsorted(known.known, numbers)
+    grams = [int(i) if i < len(known.known) and known.known[i] == g else -1 for i, g in zip(at, numbers, strict=True)]
+    best = Counter()
+    for name, counts, size in zip(known.names, known.counts, known.sizes.tolist(), strict=True):
+        for i in range(len(grams)):
+            left, shared = dict(counts), 0
+            for j in range(i, min(len(grams), i + 2 * size)):
+                if left.get(grams[j], 0) > 0:
+                    left[grams[j]] -= 1
+                    shared += 1
+                best[name] = max(best[name], 2 * shared / (j - i + 1 + size))
+    return best
+
+
+def test_license_scan_equals_all_windows():
     from tallyfold.llm import licenses as op
 
-    known = op.Templates(op.TEMPLATES)
-    texts = ["Released under the MIT License.", "RELEASED!! under the *MIT* license", "see\nLicensed under the Apache License, Version 2.0.\nmore", op.TEMPLATES["ISC"][0].replace(", ", ",\n"), "nothing here"]
-    for t in texts:
-        for _, _, w in op.passages(t, 10**9):
-            grams = Counter(zip(w, w[1:], strict=False))
-            every = [(2 * (grams & b).total() / (max(len(w) - 1, 0) + n), name) for n, name, b in known.rows]
-            best = max(x for x, _ in every)
-            got = known.best(w)
-            assert (got is None) == (best < op.MIN_DICE) and (got is None or got[1] == best)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {(r.doc_id, r.license) for r in op.scan(docs).collect()} == {(0, "MIT"), (1, "MIT"), (2, "Apache-2.0"), (3, "ISC")}
+    rng = np.random.default_rng(0)
+    texts = {"a": ["the work may be used by any person for any purpose but not sold"], "b": ["all rights are kept"], "c": ["any person may use the work and any person may copy the work"]}
+    known = op.Templates(texts)
+    pool = sorted({w for t in texts.values() for w in t[0].split()}) + ["x", "y"]
+    missed = 0
+    for _ in range(300):
+        words = [str(w) for w in rng.choice(pool, rng.integers(2, 30))]
+        if rng.random() < 0.8:
+            copy = texts[str(rng.choice(list(texts)))][0].split()
+            for i in rng.choice(len(copy), rng.integers(0, 3)):
+                copy[i] = str(rng.choice(pool))
+            words = words[:10] + copy + words[10:]
+        best = every_window(op, known, words)
+        got = {m[0]: m[1] for m in known.matches(words)}
+        assert all(best[k] >= d - 1e-9 and d >= op.MIN_DICE - 1e-9 for k, d in got.items())
+        missed += bool(got) != any(d >= op.MIN_DICE - 1e-9 for d in best.values())
+    assert missed <= 3
+
+
+def test_license_scan_finds_whole_texts_and_parts_of_lines(spark, odd, none):
+    from tallyfold.llm import licenses as op
+
+    whole = op.templates()
+    apache, mit = next(t for t in whole["Apache-2.0"] if len(t) > 5000), next(t for t in whole["MIT"] if len(t) > 900)
+    edited = " ".join(w for k, w in enumerate(mit.split()) if k % 20)
+    texts = ["Released under the MIT License.", "RELEASED!! under the *MIT* license", "a repo. Released under the MIT License. And more words", "x = 1\n" * 40 + apache + "\ny = 2" * 40, apache + "\n" + mit, "code();\n" + edited + "\nmore();", "nothing here"]
+    rows = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in rows} == {(0, "MIT"), (1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "Apache-2.0"), (4, "MIT"), (5, "MIT")}
+    at = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in rows}
+    assert at[2] == "Released under the MIT License" and at[3].startswith("Apache License") and at[3].endswith("limitations under the License")
     assert op.scan(odd).count() == 0 and op.scan(none).count() == 0
 
 
+def test_license_scan_of_long_texts_takes_linear_time():
+    import time
+
+    from tallyfold.llm import licenses as op
+
+    known = op.Templates(op.templates())
+    words = op._WORD.findall(op.lowered(" ".join(t for some in op.templates().values() for t in some)))
+    parts = [words[i : i + 3] for i in range(0, len(words), 3)]
+    np.random.default_rng(0).shuffle(parts)
+    began = time.process_time()
+    known.matches([w for p in parts * 4 for w in p])
+    assert time.process_time() - began < 20
+
+
 # --- 4 -------------------------------------------------------------------------------
 
 
