@@ -10,14 +10,20 @@ bound on their distance. A candidate whose bound, coarse to fine, does not reach
 query's k-th best so far is dropped; exact products are computed for survivors.
 
 Work is dealt in blocks: queries are packed into blocks of at most ``QUERY_BLOCK``,
-candidates into blocks of at most ``ROW_BLOCK``; each candidate block meets each query
-block in one task and hands on at most k rows per query. No task holds more than one
-block of either, and no side is broadcast.
+candidates, partition by partition, into blocks of at most ``ROW_BLOCK``. Every query
+starts from the k-th best of one sample of ``SAMPLE`` candidates, so all blocks prune by
+a bound that holds for the whole table. One block of queries is sent to every task; more
+are dealt by (candidate group, query group): a query block goes to each candidate group,
+a candidate block to each query group, and every pair of blocks meets once. There are
+few query groups, only as many as keep all tasks busy, so it is mostly the queries, the
+smaller side, that are sent several times. A pair of blocks hands on at most k rows per
+query, and no task holds more than one block of either.
 
 Results on odd input: vectors that are null or hold null or non-finite components take
-no part; shorter vectors count as padded with zeros; repeated rows are candidates (and
-queries) once each, a query never meets rows of its own id; fewer than k candidates
-give fewer rows; an empty table gives none; other columns are ignored.
+no part, nor do rows without an id; shorter vectors count as padded with zeros, very long
+ones are compared whole; repeated rows are candidates (and queries) once each, a query
+never meets rows of its own id; fewer than k candidates give fewer rows; ties go to the
+smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +40,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import table
 
 SCALE, TOP = 1024, 10
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+QUERY_BLOCK, ROW_BLOCK, SAMPLE = 1024, 4096, 4096
+GROUP_BLOCKS = 64  # candidate blocks of a group
 SEGMENTS = (4, 16)
 PACKED = "n long, width long, ids binary, data binary"
 
@@ -103,18 +110,28 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): each query's k best of the block, all its ties kept
-    out beyond k by the smaller id."""
+def kth_best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among some candidates; the least number if fewer."""
+    least = np.iinfo(np.int64).min
+    if len(x) < k:
+        return np.full(len(q), least)
+    got = np.where(ids[:, None] == qids[None, :], least, products(x, q))
+    return np.partition(got, len(got) - k, 0)[len(got) - k]
+
+
+def same_width(x: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
     width = max(x.shape[1], q.shape[1])
-    x, q = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (x, q))
-    stats = [(segment_statistics(x, s), segment_statistics(q, s)) for s in SEGMENTS] if width else []
+    return [np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (x, q)]
+
+
+def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, candidate, score): each query's k best of the block among those that reach
+    its ``floor``; ties beyond k go to the smaller id."""
+    x, q = same_width(x, q)
+    stats = [(segment_statistics(x, n), segment_statistics(q, n)) for n in SEGMENTS] if x.shape[1] else []
     out = []
     pilot = min(len(x), 64 * k)
-    first = products(x[:pilot], q)
-    first = np.where(ids[:pilot, None] == qids[None, :], np.iinfo(np.int64).min, first)
-    floor = np.sort(first, 0)[-k] if pilot > k else np.full(len(q), np.iinfo(np.int64).min)
-    floor = floor.astype(float)  # at least k of the block reach it
+    floor = np.maximum(floor, kth_best(ids[:pilot], x[:pilot], qids, q, k)).astype(float)
     alive = np.ones((len(x), len(q)), bool)
     for sx, sq in stats:  # coarse to fine, finer bounds only for the rows still wanted
         rows = np.flatnonzero(alive.any(1))
@@ -132,31 +149,42 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarra
 def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: exact, ties to the smaller vec_id."""
     spark = rows.sparkSession
-    n_queries = queries.count()
-    per_block = -(-n_queries // max(1, -(-n_queries // QUERY_BLOCK))) if n_queries else 1
-    blocks = max(1, -(-n_queries // per_block))
-    dealt = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qb"))
+    n_queries, n_rows = queries.count(), rows.count()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    dealt = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("qb"))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    some = unpacked(*_pack([r.vec_id for r in sample], [r.v for r in sample]))
 
-    def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         made = []
         for at in range(0, len(pdf), QUERY_BLOCK):
             part = pdf.iloc[at : at + QUERY_BLOCK]
-            made.append((int(pdf["qb"].iloc[0]), *_pack(part["vec_id"].tolist(), part["v"].tolist())))
-        return pd.DataFrame(made, columns=["qb", "qn", "qwidth", "qids", "qdata"])
-
-    q = dealt.groupBy("qb").applyInPandas(pack_queries, "qb int, qn long, qwidth long, qids binary, qdata binary")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    c = packed(rows.repartition(tasks), ROW_BLOCK).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+            n, width, ids, data = _pack(part["vec_id"].tolist(), part["v"].tolist())
+            x, q = same_width(some[1], unpacked(n, width, ids, data)[1])
+            made.append((int(key[0]), n, width, ids, data, kth_best(some[0], x, np.frombuffer(ids, np.int64), q, k).tobytes()))
+        return pd.DataFrame(made, columns=["qb", "qn", "qwidth", "qids", "qdata", "qfloor"])
+
+    q = dealt.groupBy("qb").applyInPandas(pack_queries, "qb int, qn long, qwidth long, qids binary, qdata binary, qfloor binary")
+    c = packed(rows, ROW_BLOCK)
+    if blocks == 1:
+        pairs = c.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
+    else:
+        c_groups = max(1, n_rows // (GROUP_BLOCKS * ROW_BLOCK))
+        q_groups = min(blocks, max(1, -(-4 * spark.sparkContext.defaultParallelism // c_groups)))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        c = c.withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(c_groups))).select("*", each(q_groups).alias("qg"))
+        q = q.withColumn("qg", F.pmod(F.xxhash64("qids"), F.lit(q_groups))).select("*", each(c_groups).alias("cg"))
+        pairs = c.join(q, ["cg", "qg"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 ids, x = unpacked(r["n"], r["width"], r["ids"], r["data"])
                 qids, qx = unpacked(r["qn"], r["qwidth"], r["qids"], r["qdata"])
-                found = list(zip(*best_of_block(ids, x, qids, qx, k), strict=True)) or [[]] * 3
+                found = list(zip(*best_of_block(ids, x, qids, qx, np.frombuffer(r["qfloor"], np.int64), k), strict=True)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["query_id", "vec_id", "score"])
 
-    pairs = c.join(F.broadcast(q), "qb") if n_queries <= QUERY_BLOCK else c.join(q, "qb")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
