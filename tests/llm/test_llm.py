@@ -671,6 +671,24 @@ def test_top_k_equals_brute_force(spark):
     assert op.top_k(usable.limit(0), usable.limit(0)).count() == 0
 
 
+def test_top_k_of_many_queries(spark, monkeypatch):
+    """More queries than a block holds are dealt by groups, with the same result."""
+    from tallyfold.llm import vector_search as op
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (3000, 8))
+    rows = spark.createDataFrame([(int(i), [float(c) / 1024 for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    usable = op.usable(rows)
+    monkeypatch.setattr(op, "GROUP_BLOCKS", 1)
+    monkeypatch.setattr(op, "ROW_BLOCK", 500)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in op.top_k(usable.filter("vec_id % 2 = 0"), usable, 3).collect()}
+    s = x @ x.T
+    for q in range(0, 3000, 2):
+        order = [i for i in np.lexsort((np.arange(3000), -s[q]))[:4].tolist() if i != q][:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, s[q, i]) for i in order]
+    assert len(got) == 4500
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
