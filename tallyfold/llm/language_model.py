@@ -5,24 +5,25 @@ task, then one shuffle by word). The counts table stays in Spark; only its
 ``TOP_WORDS`` most frequent rows and a few totals go to the tasks.
 
 Vocabulary. The most frequent ``CLASSES * PER_CLASS`` words have vectors of their own,
-in classes of ``PER_CLASS`` by frequency. Every other word, known or not, belongs to one
-of ``RARE_CLASSES`` classes by its ending, within which it has its smoothed share of the
-counts. So ``P(word) = P(class | state) * P(word | class, state)``, where the second
-factor is a softmax for frequent words and the count share for the others. Logits start
-at the log counts: an untrained model is the smoothed unigram model.
+in classes of ``PER_CLASS`` by frequency. Every other word, known or not, is in one more
+class, whose members are ``RARE_CLASSES`` endings; within its ending a word has its
+smoothed share of the counts. So ``P(word) = P(class | state) * P(member | class, state)``,
+two small softmaxes, and the share for rare words. Logits start at the log counts: an
+untrained model is the smoothed unigram model.
 
 Training. GRU weights learn by truncated backpropagation (numpy, ``STEPS`` tokens back,
 the state carried on). In each of ``ROUNDS`` rounds every partition trains from the
 common weights on all its training texts and the weights are averaged in proportion to
-the tokens, in Spark, block by block. A round covers every training text at every size.
+the tokens, in Spark, block by block and in two steps, so that no task meets more than
+about ``FAN_IN`` vectors. A round covers every training text at every size.
 
 Scoring reads whole texts; the state is carried across windows. Counts of words beyond
 ``TOP_WORDS`` are found by one join.
 
-Results on odd input: a null text is the empty text (its only token is the end); rows
-without an id count as training rows; repeated rows are scored once each; without
-training tokens every text gets the uniform smoothed score; an empty table gives no
-rows; other columns are ignored.
+Results on odd input: a null text is the empty text (its only token is the end); a very
+long one is read whole; rows without an id count as training rows; repeated rows are
+scored once each; ties in frequency go by the word; without training tokens every text
+gets the uniform smoothed score; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,19 +35,19 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import crc_mod, materialize, most_frequent, table, text_bytes, words
+from tallyfold.llm.common import crc_mod, materialize, most_frequent, slices, table, text_bytes, words
 
 CLASSES, PER_CLASS, RARE_CLASSES = 48, 64, 96
 TOP_WORDS = 65_536
 SIZE = 24
-STEPS, STREAMS = 20, 64
+STEPS, STREAMS = 20, 256
 ROUNDS = 3
-LEAST_TOKENS = 1_500_000  # has no effect: every round reads all texts; a test sets it
+FAN_IN = 1024
 FLUSH = 300_000
 END = b"\n"  # no word can hold it
 HALF = 0.5
@@ -63,7 +64,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             seen.clear()
             return b
 
-        for batch in it:
+        for batch in slices(it, "raw"):
             for raw in batch["raw"].to_pylist():
                 seen.update(words(raw))
                 seen[END] += 1
@@ -77,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def ending_class(word: bytes) -> int:
-    """Class of a word outside the frequent ones: by its last two bytes."""
+    """Member of the rare class that a word is: by its last two bytes."""
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7) % RARE_CLASSES
 
 
@@ -92,9 +93,9 @@ class Vocabulary:
 
     tokens: int
     distinct: int
-    top: dict[bytes, int]  # counts of the TOP_WORDS most frequent words
+    top: dict[bytes, int]  # counts of the TOP_WORDS most frequent words, and of the end
     index: dict[bytes, int]  # the frequent words' numbers, by frequency
-    rare_mass: np.ndarray  # by rare class: sum of (count + 1/2), and 1/2 for the unseen
+    rare_mass: np.ndarray  # by ending: sum of (count + 1/2), and 1/2 for the unseen
 
     @property
     def base_norm(self) -> float:
@@ -111,8 +112,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     mass = np.full(RARE_CLASSES, HALF)
     mass[by_class["c"].to_numpy(int)] += by_class["m"].to_numpy(float)
     top = dict(zip(names, n, strict=True))
+    if END not in top:
+        top[END] = int(counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     for w in index:
-        if w in top:
+        if top[w]:
             mass[ending_class(w)] -= top[w] + HALF
     return Vocabulary(int(total[0]), int(total[1]), top, index, np.maximum(mass, HALF))
 
@@ -121,7 +124,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 WORDS = CLASSES * PER_CLASS
 START = WORDS + RARE_CLASSES  # input before the first token
-SHAPES = {"x": (START + 1, SIZE), "xw": (SIZE, 3 * SIZE), "hw": (SIZE, 3 * SIZE), "b": (3 * SIZE,), "cls": (SIZE, CLASSES + RARE_CLASSES), "cls_b": (CLASSES + RARE_CLASSES,), "word": (CLASSES, SIZE, PER_CLASS), "word_b": (CLASSES, PER_CLASS)}
+SHAPES = {"x": (START + 1, SIZE), "xw": (SIZE, 3 * SIZE), "hw": (SIZE, 3 * SIZE), "b": (3 * SIZE,), "cls": (SIZE, CLASSES + 1), "cls_b": (CLASSES + 1,), "word": (CLASSES, SIZE, PER_CLASS), "word_b": (CLASSES, PER_CLASS), "rare": (SIZE, RARE_CLASSES), "rare_b": (RARE_CLASSES,)}
 
 
 def fresh(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
@@ -130,13 +133,15 @@ def fresh(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     p["b"] *= 0
     p["cls"] *= 0
     p["word"] *= 0
+    p["rare"] *= 0
     mass = np.full(WORDS, 1e-9)  # numbers without a word
     for w, k in v.index.items():
         mass[k] = v.top.get(w, 0) + HALF
     by_class = mass.reshape(CLASSES, PER_CLASS)
-    masses = np.concatenate([by_class.sum(1), v.rare_mass])
+    masses = np.append(by_class.sum(1), v.rare_mass.sum())
     p["word_b"] = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
     p["cls_b"] = np.log(masses / masses.sum()).astype(np.float32)
+    p["rare_b"] = np.log(v.rare_mass / v.rare_mass.sum()).astype(np.float32)
     return p
 
 
@@ -145,7 +150,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < WORDS, ids // PER_CLASS, ids - WORDS + CLASSES)
+    return np.minimum(ids // PER_CLASS, CLASSES).astype(np.uint8)
+
+
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in the order of their class, and (class, first, end) of each that occurs."""
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(CLASSES + 2)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+
+
+def members(p: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the members of a class."""
+    return (p["word"][k], p["word_b"][k]) if k < CLASSES else (p["rare"], p["rare_b"])
 
 
 def step(pre: np.ndarray, h: np.ndarray, hw: np.ndarray):
@@ -158,10 +175,11 @@ def step(pre: np.ndarray, h: np.ndarray, hw: np.ndarray):
     return n + z * (h - n), z, r, n, un
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row and their sum, unnormalised."""
     x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+    np.exp(x, out=x)
+    return x, x.sum(1)
 
 
 def log_norm(x: np.ndarray) -> np.ndarray:
@@ -176,17 +194,18 @@ def log_norm(x: np.ndarray) -> np.ndarray:
 
 
 def log_probs(h: np.ndarray, ids: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Natural log of P(class) * P(word | class); of P(class) alone for rare words."""
+    """Natural log of P(class) * P(member | class)."""
     cls = classes_of(ids)
+    order, parts = by_class(cls)
+    h, ids, cls = h[order], ids[order], cls[order]
     x = h @ p["cls"] + p["cls_b"]
-    out = (x[np.arange(len(ids)), cls] - log_norm(x)).astype(np.float64)
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        rows = order[edges[k] : edges[k + 1]]
-        if len(rows):
-            x = h[rows] @ p["word"][k] + p["word_b"][k]
-            out[rows] += x[np.arange(len(rows)), ids[rows] - k * PER_CLASS] - log_norm(x)
+    got = x[np.arange(len(ids)), cls] - log_norm(x)
+    for k, a, b in parts:
+        w, bias = members(p, k)
+        x = h[a:b] @ w + bias
+        got[a:b] += x[np.arange(b - a), ids[a:b] - k * PER_CLASS] - log_norm(x)
+    out = np.empty(len(ids))
+    out[order] = got
     return out
 
 
@@ -233,29 +252,28 @@ def gradient(ids: np.ndarray, prev: np.ndarray, h: np.ndarray, p: dict[str, np.n
         h, z, r, m, un = step(pre[t], h0, p["hw"])
         kept.append((h0, z, r, m, un, fresh_))
         states[t] = h
-    flat, y = states.reshape(-1, SIZE), ids.ravel()
-    cls, total = classes_of(y), steps * n
-    at = np.arange(total)
-    lp = log_softmax(flat @ p["cls"] + p["cls_b"])
-    loss = -lp[at, cls].sum()
-    d = np.exp(lp)
-    d[at, cls] -= 1
-    d /= total
-    g = {"cls": flat.T @ d, "cls_b": d.sum(0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"])}
-    dflat = d @ p["cls"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        rows = order[edges[k] : edges[k + 1]]
-        if len(rows):
-            own, i = y[rows] - k * PER_CLASS, np.arange(len(rows))
-            lw = log_softmax(flat[rows] @ p["word"][k] + p["word_b"][k])
-            loss -= lw[i, own].sum()
-            dw = np.exp(lw)
-            dw[i, own] -= 1
-            dw /= total
-            g["word"][k], g["word_b"][k] = flat[rows].T @ dw, dw.sum(0)
-            dflat[rows] += dw @ p["word"][k].T
+    y = ids.ravel()
+    order, parts = by_class(classes_of(y))
+    flat, y, total = states.reshape(-1, SIZE)[order], y[order], steps * n
+    cls, at = classes_of(y), np.arange(total)
+    d, norm = softmax(flat @ p["cls"] + p["cls_b"])
+    loss = -np.log(d[at, cls] / norm).sum()
+    d *= (1 / (total * norm))[:, None]
+    d[at, cls] -= 1 / total
+    g = {"cls": flat.T @ d, "cls_b": d.sum(0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"]), "rare": np.zeros_like(p["rare"]), "rare_b": np.zeros_like(p["rare_b"])}
+    dsorted = d @ p["cls"].T
+    for k, a, b in parts:
+        own, i = y[a:b] - k * PER_CLASS, at[: b - a]
+        w, bias = members(p, k)
+        d, norm = softmax(flat[a:b] @ w + bias)
+        loss -= np.log(d[i, own] / norm).sum()
+        d *= (1 / (total * norm))[:, None]
+        d[i, own] -= 1 / total
+        gw, gb = members(g, k)
+        gw[:], gb[:] = flat[a:b].T @ d, d.sum(0)
+        dsorted[a:b] += d @ w.T
+    dflat = np.empty_like(dsorted)
+    dflat[order] = dsorted
     dh_out = dflat.reshape(states.shape)
     dh, g["hw"] = np.zeros((n, SIZE), np.float32), np.zeros_like(p["hw"])
     dpre = np.empty_like(pre)
@@ -282,22 +300,25 @@ class Trainer:
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
         self.p, self.rate, self.t, self.tokens = {k: a.copy() for k, a in p.items()}, rate, 0, 0
         self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-
-    def read(self, texts: list[np.ndarray]) -> None:
-        """One pass over some texts, dealt to the streams end to end."""
-        if not texts:
-            return
-        ids = np.concatenate(texts)
-        prev = np.concatenate([[START], ids[:-1]])
-        prev[np.cumsum([0, *map(len, texts)])[:-1]] = START
-        streams = max(1, min(STREAMS, len(ids) // STEPS))
-        n = len(ids) // streams
-        ids, prev = (a[: n * streams].reshape(streams, n).T for a in (ids, prev))
-        h = np.zeros((streams, SIZE), np.float32)
-        for at in range(0, n, STEPS):
-            _, g, h = gradient(ids[at : at + STEPS], prev[at : at + STEPS], h, self.p)
-            self.update(g)
-        self.tokens += n * streams
+        self.rest = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def read(self, texts: list[np.ndarray], last: bool = True) -> None:
+        """One pass over some texts, dealt to the streams end to end. What does not fill
+        all streams waits for the next texts, or is read by fewer if these are the last."""
+        ids = [self.rest[0], *texts]
+        prev = [self.rest[1], *(np.append(START, t[:-1]) for t in texts)]
+        ids, prev = np.concatenate(ids), np.concatenate(prev)
+        while len(ids) >= (1 if last else STREAMS * STEPS):
+            streams = max(1, min(STREAMS, len(ids) // STEPS))
+            n = len(ids) // streams
+            x, y = (a[: n * streams].reshape(streams, n).T for a in (ids, prev))
+            h = np.zeros((streams, SIZE), np.float32)
+            for at in range(0, n, STEPS):
+                _, g, h = gradient(x[at : at + STEPS], y[at : at + STEPS], h, self.p)
+                self.update(g)
+            self.tokens += n * streams
+            ids, prev = ids[n * streams :], prev[n * streams :]
+        self.rest = ids, prev
 
     def update(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
@@ -344,21 +365,23 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.
 
         def run(it: Iterator[pa.RecordBatch], flat=flat, index=index, rate=rate) -> Iterator[pa.RecordBatch]:
             net = Trainer(unflatten(flat), rate)
-            for batch in it:
-                net.read([token_ids(words(r), index) for r in batch["raw"].to_pylist()])
+            for batch in slices(it, "raw"):
+                net.read([token_ids(words(r), index) for r in batch["raw"].to_pylist()], last=False)
+            net.read([])
             if net.tokens:
                 x = flatten(net.p)
                 parts = [x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(net.tokens)] * len(parts)), pa.array(parts, pa.binary())], names=["block", "weight", "part"])
+                lot = TaskContext.get().partitionId() % FAN_IN
+                yield pa.RecordBatch.from_arrays([pa.array([lot] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([float(net.tokens)] * len(parts)), pa.array(parts, pa.binary())], names=["lot", "block", "weight", "part"])
 
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            w = pdf["weight"].to_numpy()
-            total = sum(np.frombuffer(bytes(x), np.float32) * a for x, a in zip(pdf["part"], w, strict=True))
-            return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "weight": [float(w.sum())], "part": [(total / w.sum()).astype(np.float32).tobytes()]})
+        def mean(rows: pa.Table) -> pa.Table:
+            w = rows["weight"].to_numpy()
+            total = sum(np.frombuffer(x, np.float32) * a for x, a in zip(rows["part"].to_pylist(), w, strict=True))
+            return pa.table({"lot": rows["lot"][:1], "block": rows["block"][:1], "weight": [float(w.sum())], "part": pa.array([(total / w.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-        schema = "block int, weight double, part binary"
+        schema = "lot int, block int, weight double, part binary"
         mine = docs.select(text_bytes().alias("raw")).mapInArrow(run, schema)
-        got = mine.groupBy("block").applyInPandas(mean, schema).toPandas().sort_values("block")
+        got = mine.groupBy("lot", "block").applyInArrow(mean, schema).groupBy("block").applyInArrow(mean, schema).toPandas().sort_values("block")
         if len(got):
             p = unflatten(np.concatenate([np.frombuffer(bytes(x), np.float32) for x in got["part"]]))
     return p
@@ -376,8 +399,8 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.nda
         net, rank = unflatten(flat), {w: k for k, w in enumerate(top)}
         logs = np.log10(np.array([*top.values(), 0], float) + HALF)  # the last: not in the top
         number = np.array([index[w] if w in index else WORDS + ending_class(w) for w in top] + [-1])
-        end = rank.get(END, -1)
-        for batch in it:
+        end = rank[END]
+        for batch in slices(it, "raw"):
             far_uid, far_word, far_n, heads, ids = [], [], [], [], []
             for uid, doc, raw in zip(batch["uid"].to_pylist(), batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True):
                 toks = words(raw)
@@ -391,7 +414,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.nda
                 rare = x[:-1] >= WORDS
                 # log10 of (count + 1/2) / mass of rare words; for those beyond the top the join adds the first part
                 share = logs[at[rare & (at >= 0)]].sum() - rare_norm[x[:-1][rare] - WORDS].sum()
-                heads.append((uid, doc, len(x), len(toks) - len(beyond) + (end >= 0), inside + logs[end], share))
+                heads.append((uid, doc, len(x), len(toks) - len(beyond) + (top[END] > 0), inside + logs[end], share))
                 for t, n in Counter(beyond).items():
                     far_uid.append(uid)
                     far_word.append(t)
