@@ -214,7 +214,7 @@ def test_language_model_gradient():
         assert (up - down) / 2e-3 == pytest.approx(g[k][at], rel=1e-2, abs=1e-5)
 
 
-def test_language_model_windows_and_base(spark, none, monkeypatch):
+def test_language_model_windows_and_base(spark, none):
     import math
 
     from tallyfold.llm import language_model as lm
@@ -225,7 +225,6 @@ def test_language_model_windows_and_base(spark, none, monkeypatch):
     whole = [lm.text_log_probs([t], p, window=500)[0] for t in texts]
     assert lm.text_log_probs(texts, p, group=2, window=5) == pytest.approx(whole, rel=1e-4)
 
-    monkeypatch.setattr(lm, "LEAST_TOKENS", 20_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = lm.op1_lm_scoring(spark, SF).toPandas().set_index("doc_id")
     rows = docs.select("doc_id", "text").toPandas()
@@ -262,6 +261,32 @@ def test_language_model_reads_every_text(spark):
     assert lm.flatten(lm.train(docs, v)) == pytest.approx(lm.flatten(p), abs=1e-4)
 
 
+def test_language_model_counts_the_end_of_few_long_texts(spark, monkeypatch):
+    """The end is known even where all its count band is beyond the most frequent words."""
+    import math
+
+    from tallyfold.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "TOP_WORDS", 50)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(300)))], "doc_id long, text string")
+    counts = lm.count_words(docs).cache()
+    v = lm.vocabulary(counts)
+    r = lm.score(docs, counts, v, lm.fresh(v)).first()
+    assert v.top == {lm.END: 1} and (r.n_tokens, r.n_known) == (301, 301)
+    assert r.base_score == pytest.approx(301 * math.log10(1.5 / (301 + 0.5 * 302)))
+    assert r.score == pytest.approx(r.base_score, rel=0.02)
+
+
+def test_language_model_averages_in_two_steps(spark, monkeypatch):
+    from tallyfold.llm import language_model as lm
+
+    docs = spark.createDataFrame([(k, f"a{k} b{k % 3} c " * (1 + k)) for k in range(40)], "doc_id long, text string").repartition(6, "doc_id").cache()
+    v = lm.vocabulary(lm.count_words(docs))
+    one = lm.flatten(lm.train(docs, v, 1))
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    assert lm.flatten(lm.train(docs, v, 1)) == pytest.approx(one, abs=1e-5)
+
+
 def test_unigram_model_is_the_start():
     from tallyfold.llm import language_model as lm
 
