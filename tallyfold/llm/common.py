@@ -12,7 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 2**23
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of this size at most, unless the session asks for
+    smaller ones: both sides hold whole batches, outside the heap."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +45,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: lineage ends there, so a
     lost executor costs a reread and not a recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -84,13 +99,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def slices(it: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``limit`` bytes of a text column (one text more at
-    most), so that what a task makes of them at once is bounded."""
+    most), so that what a task makes of them at once is bounded. When the task is done
+    its free memory goes back to the machine: the worker waits for other stages' tasks."""
     for batch in it:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this worker, back to the machine (where its C library can)."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 class WordHasher(dict):

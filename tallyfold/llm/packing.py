@@ -5,22 +5,29 @@ once to shared storage, dealt evenly into groups of about ``group_pieces`` by a
 and each group is packed on its own, so no task sees more than its share. A group
 leaves at most a few part-filled sequences.
 
-Results on odd input: a null text is an empty document (one end id); an empty table
-gives no rows; repeated rows are packed once each; other columns are ignored.
+Results on odd input: a null text is an empty document (one end id); a very long text is
+cut into as many full pieces as it has and one rest; rows without an id are packed like
+any; an empty table gives no rows; repeated rows are packed once each; ties in length go
+by id and piece; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import materialize, table, text_bytes
+from tallyfold.llm.common import materialize, slices, table
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -28,107 +35,139 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-_tokenizers: dict[str, WordPieces] = {}
-
+_pieces: dict[str, WordPieces] = {}  # of this worker, from one task to the next
+_MARKS = ".,;:!?#$%&*|"
+# byte-level vocabularies write the bytes that are no visible Latin-1 sign as the letters from 256 on
+_UNSEEN = [x for x in range(256) if not (33 <= x < 127 or 161 <= x < 173 or 174 <= x)]
+_BYTE_LETTERS = {x: 256 + n for n, x in enumerate(_UNSEEN)}
 
-class Recent:
-    """A memory of at most twice ``limit`` entries that forgets what was not used lately."""
 
-    def __init__(self, limit: int):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.limit = limit
+def word_pieces(name: str) -> WordPieces:
+    if name not in _pieces:
+        import os
 
-    def get(self, key: bytes) -> bytes | None:
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    def put(self, key: bytes, value: bytes) -> None:
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _pieces[name] = WordPieces(Tokenizer.from_file(public_tokenizers.path(name)))
+    return _pieces[name]
 
 
-_MARKS = b".,;:!?#$%&*|"
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each piece, one piece after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordPieces:
-    """Token ids of a text as little-endian uint32 bytes.
+    """Token ids of many texts at once.
 
     White space is dropped by this vocabulary and no token crosses it, so a text's ids
     are its space-separated parts' ids in a row. The vocabulary is also blind to case
     and keeps letters apart from marks, so a part that ends in a letter and ASCII marks
-    is the one, then the other. Each different core goes through the library once and
-    is remembered while it keeps occurring.
+    is the one, then the other. The parts of many texts are split, numbered and looked
+    up as columns. Each different core goes through the library once and is remembered
+    by a hash of 96 bits, at about 40 bytes a core: ``keys`` ascending, and where its ids
+    are in ``flat``. Beyond ``limit`` cores only those of the last texts are kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.cores = Recent(limit), Recent(limit)
-
-    def learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts that are not remembered."""
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        ids: dict[bytes, bytes] = {b"": b""}
-        for p in parts:
-            core = p.lower()
-            bare = core.rstrip(_MARKS)
-            if len(bare) < len(core) and bare and bare.decode().lower()[-1].isalpha():
-                split[p] = bare, core[len(bare) :]
+    def __init__(self, library: Tokenizer, limit: int = 1_000_000):
+        self.library, self.limit = library, limit
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def places(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of each core begin, and how many they are."""
+        import xxhash
+
+        raw = [c.encode() for c in cores]
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        checks = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            known = (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+            if known.all():
+                break
+            todo = np.flatnonzero(~known)
+            pieces = self._encoded([cores[i] for i in todo])
+            if len(self.keys) + len(todo) > self.limit:
+                self._keep(np.unique(at[known]))
+            self._learn(keys[todo], checks[todo], pieces)
+        return self.start[at], self.length[at]
+
+    def _encoded(self, cores: list[str]) -> list[array]:
+        """Ids of each core by the library. A core of Latin letters is one word to its
+        normaliser and splitter, so it goes to its model at once, in byte letters."""
+        model, out, rest = self.library.model, [], []
+        for core in cores:
+            low = core.lower()
+            if low.isalpha() and max(low) < "\u0250":
+                out.append(array("I", [t.id for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS))]))
             else:
-                split[p] = core, b""
-        todo = []
-        for x in {x for pair in split.values() for x in pair if x}:
-            if (got := self.cores.get(x)) is None:
-                todo.append(x)
-            else:
-                ids[x] = got
-        for i in range(0, len(todo), 20_000):
-            some = todo[i : i + 20_000]
-            for raw, got in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                ids[raw] = np.array(got.ids, dtype="<u4").tobytes()
-                self.cores.put(raw, ids[raw])
-        out = {}
-        for p, (core, marks) in split.items():
-            out[p] = ids[core] + ids[marks]
-            self.parts.put(p, out[p])
-        return out
-
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of many texts; new parts of about 2 MB of text are learnt together."""
-        out, at = [], 0
-        while at < len(texts):
-            end, n = at, 0
-            while end < len(texts) and n < 2_000_000:
-                n += len(texts[end])
-                end += 1
-            split = [t.split() for t in texts[at:end]]
-            get = self.parts.new.get
-            got = [[get(p) for p in parts] for parts in split]
-            new = {p for parts, g in zip(split, got, strict=True) for p, x in zip(parts, g, strict=True) if x is None}
-            known = {p: x for p in new if (x := self.parts.get(p)) is not None}
-            known |= self.learn(new - known.keys())
-            out += [b"".join([known[p] if x is None else x for p, x in zip(parts, g, strict=True)]) for parts, g in zip(split, got, strict=True)]
-            at = end
+                rest.append(len(out))
+                out.append(core)
+        for k in range(0, len(rest), 10_000):
+            some = rest[k : k + 10_000]
+            for i, got in zip(some, self.library.encode_batch([out[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = array("I", got.ids)
         return out
 
-    def __call__(self, text: bytes) -> bytes:
-        return self.batch([text])[0]
-
-
-def tokenizer(name: str) -> WordPieces:
-    if name not in _tokenizers:
-        import os
-
-        import public_tokenizers
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _tokenizers[name] = WordPieces(public_tokenizers.path(name))
-    return _tokenizers[name]
+    def _keep(self, at: np.ndarray) -> None:
+        self.flat = self.flat[spread(self.start[at], self.length[at])]
+        self.keys, self.checks, self.length = self.keys[at], self.checks[at], self.length[at]
+        self.start = np.cumsum(self.length) - self.length
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[array]) -> None:
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = len(self.flat) + np.cumsum(length) - length
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), np.uint32)])
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.checks, self.start, self.length = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.checks, checks), (self.start, start), (self.length, length)))
+
+    def __call__(self, texts: pa.Array, words: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some texts at a time, in order: all their ids in a row, and where each text's
+        begin (one place more at the end). ``texts``: strings without nulls."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        parts, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        del split
+        whole = parts.dictionary
+        cut_ = pc.extract_regex(whole, rf"^(?P<bare>.*?)(?P<marks>[{_MARKS}]*)$")
+        bare, marks = pc.struct_field(cut_, "bare"), pc.struct_field(cut_, "marks")
+        # lower case of the dotted capital I ends in a mark
+        apart = pc.and_not(pc.match_substring_regex(bare, r"\pL$"), pc.ends_with(bare, "İ"))
+        core = pc.if_else(apart, bare, whole).dictionary_encode()
+        marks = pc.if_else(apart, marks, "").dictionary_encode()
+        both = self.places([*core.dictionary.to_pylist(), *marks.dictionary.to_pylist()])
+        (begin, begin2), (m, m2) = (np.split(x, [len(core.dictionary)]) for x in both)
+        # a part's ids: its core's, then its marks'
+        begin, m, begin2, m2 = begin[i := core.indices.to_numpy()], m[i], begin2[j := marks.indices.to_numpy()], m2[j]
+        length = m + m2
+        start, flat = np.cumsum(length) - length, np.empty(length.sum(), np.uint32)
+        flat[spread(start, m)] = self.flat[spread(begin, m)]
+        flat[spread(start + m, m2)] = self.flat[spread(begin2, m2)]
+        codes = parts.indices.to_numpy()
+        del core, parts, begin, begin2
+        first = 0
+        while first < len(offsets) - 1:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + words, "right")) - 1)
+            some = codes[offsets[first] : offsets[last]]
+            n = length[some]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            yield flat[spread(start[some], n)], ends[offsets[first : last + 1] - offsets[first]]
+            first = last
+
+
+def together(it: Iterator[pa.RecordBatch], least: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least that many bytes: words that repeat are looked up once."""
+    some: list[pa.RecordBatch] = []
+    for batch in it:
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= least:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some = []
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 def cut(docs: DataFrame, name: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -136,19 +175,22 @@ def cut(docs: DataFrame, name: str = TOKENIZER, max_tokens: int = MAX_TOKENS, en
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(name).batch
-        for batch in it:
-            rows = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["raw"].to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at : at + 4 * max_tokens]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, PIECES)
+        encode = word_pieces(name)
+        for batch in slices(together(it), "text", 16_000_000):
+            ids_of, at = batch["doc_id"].to_pylist(), 0
+            for flat, edges in encode(batch["text"]):
+                rows = []
+                for doc, lo, hi in zip(ids_of[at : at + len(edges) - 1], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    ids = flat[lo:hi].tobytes() + end
+                    for k, begin in enumerate(range(0, len(ids), 4 * max_tokens)):
+                        part = ids[begin : begin + 4 * max_tokens]
+                        rows.append((doc, k, begin // 4, len(part) // 4, zlib.crc32(part)))
+                at += len(edges) - 1
+                cols = list(zip(*rows, strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: float, weights: tuple[float, float, float], rule: str) -> np.ndarray:
@@ -201,18 +243,24 @@ def pack(
     """Sequence and offset of each piece. ``max_docs`` and ``max_cost`` (sum of squared
     piece lengths, as attention costs) default to values that never bind."""
     docs_cap, cost_cap = max_docs or max_tokens, max_cost or float(max_tokens) ** 2
-    pieces = materialize(pieces, "pieces")
+    # dealt by a number of the row: equal ids or repeated rows do not meet in one group
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins = best_fit(pdf.length.to_numpy(), max_tokens, docs_cap, cost_cap, weights, rule)
-        pdf["sequence_id"] = bins + pdf["grp"].astype("int64") * 2**32
-        pdf["offset"] = pdf.groupby("sequence_id").length.cumsum() - pdf.length
-        return pdf.drop(columns="grp")
-
-    grp = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("grp")
-    return pieces.select("*", grp).groupBy("grp").applyInPandas(run, PACKED)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32"))])
+        length = rows["length"].to_numpy()
+        bins = best_fit(length, max_tokens, docs_cap, cost_cap, weights, rule)
+        order = np.argsort(bins, kind="stable")
+        ends = np.cumsum(length[order])
+        first = np.searchsorted(bins[order], bins[order])
+        offset = np.empty_like(ends)
+        offset[order] = ends - length[order] - (ends - length[order])[first]
+        group = rows["grp"][0].as_py() * 2**32
+        return rows.drop_columns("grp").append_column("sequence_id", pa.array(bins + group)).append_column("offset", pa.array(offset))
+
+    grp = F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("grp")
+    return pieces.select(*pieces.columns[:-1], grp).groupBy("grp").applyInArrow(run, PACKED)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
