@@ -29,15 +29,15 @@ count as one document; ties go to the first window; repeated rows give one row p
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import WordHasher, mix64, slices, table, text_bytes
+from tallyfold.llm.common import slices, table, text_bytes
 
 MIN_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, 1
@@ -47,14 +47,10 @@ HITS = "doc_id long, item_id long, score double, start_word long, n_words long"
 _PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
-def word_hashes(raw: bytes, hasher: WordHasher) -> np.ndarray:
-    """Hashes of the words without case and ASCII punctuation, so decoration and
-    shouting do not hide a copy."""
-    return hasher(raw.decode().lower().encode().translate(None, _PUNCTUATION).split())
-
-
-def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(second))
+def normalised(raw: bytes) -> list[bytes]:
+    """The words without case and ASCII punctuation, so decoration and shouting do not
+    hide a copy."""
+    return raw.decode().lower().encode().translate(None, _PUNCTUATION).split()
 
 
 def most_errors(m: int, min_score: float, matches: int) -> int:
@@ -78,77 +74,89 @@ def seeds_needed(m: int, min_score: float) -> int:
 
 
 class Items:
-    """A block of test items: word hashes, and their seeds as (gram, item, offset)."""
+    """A block of test items: their words by number, and their seeds as (gram, item,
+    offset). A word of a document that no item has is 0 and in no gram."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], min_score: float = MIN_SCORE):
-        self.ids, hasher = ids, WordHasher()
-        self.hashes = [word_hashes(t, hasher) for t in texts]
+        self.ids, self.number = ids, {}
+        self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in normalised(t)], np.int64) for t in texts]
         self.need, self.slack = np.zeros(len(ids), np.int64), []
         cols: dict[bool, list] = {True: [], False: []}
-        for k, h in enumerate(self.hashes):
+        for k, h in enumerate(self.words):
             m = len(h)
             n = seeds_needed(m, min_score)
             self.need[k] = n or max(1, math.ceil(min_score * m - 1e-9))
             self.slack.append(max(0, most_errors(m, min_score, m)))
-            g = pairs(h[:-1], h[1:]) if n else h
+            g = self.pairs(h[:-1], h[1:]) if n else h
             cols[n > 0].append((g, np.full(len(g), k), np.arange(len(g))))
         self.seeds = {}
         for paired, parts in cols.items():
             if parts:
                 grams, owner, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
                 at = np.argsort(grams, kind="stable")
-                self.seeds[paired] = (grams[at], owner[at], offset[at])
+                unique, first = np.unique(grams[at], return_index=True)
+                self.seeds[paired] = (unique, np.append(first, len(at)), owner[at], offset[at])
         self.choose({})
 
-    def choose(self, counts: dict[int, int]) -> None:
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * (len(self.number) + 1) + second
+
+    def read(self, raw: bytes) -> np.ndarray:
+        toks = normalised(raw)
+        return np.fromiter(map(self.number.get, toks, repeat(0)), np.int64, len(toks))
+
+    def choose(self, counts: dict[tuple[bool, int], int]) -> None:
         """Keep as rare seeds of each item its rarest ones, as many as make a hit sure."""
         self.rare = {}
-        for paired, (grams, owner, _) in self.seeds.items():
-            n = np.fromiter((counts.get(g, 0) for g in grams.tolist()), np.int64, len(grams))
-            order = np.lexsort((grams, n, owner))
+        for paired, (unique, first, owner, _) in self.seeds.items():
+            seen = np.fromiter((counts.get((paired, g), 0) for g in unique.tolist()), np.int64, len(unique))
+            gram = np.repeat(np.arange(len(unique)), np.diff(first))
+            order = np.lexsort((gram, seen[gram], owner))
             place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
             total = np.bincount(owner, minlength=len(self.ids))
-            rare = np.zeros(len(grams), bool)
+            rare = np.zeros(len(order), bool)
             rare[order] = place <= (total - self.need)[owner[order]]
-            self.rare[paired] = (rare, np.unique(grams[rare]))
-
-    def grams(self, doc: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-        """For pairs and single words: those of a document, and where they begin."""
-        for paired in self.seeds:
-            if not paired:
-                yield False, doc, np.arange(len(doc))
-            elif len(doc) > 1:
-                at = np.arange(len(doc))
-                yield True, np.concatenate([pairs(doc[:-1], doc[1:]), pairs(doc[:-2], doc[2:])]), np.concatenate([at[:-1], at[:-2]])
-
-    def met(self, doc: np.ndarray) -> np.ndarray:
-        """The different seeds, of any item, that a document has."""
-        out = [np.unique(g[_among(g, np.unique(self.seeds[paired][0]))]) for paired, g, _ in self.grams(doc)]
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            self.rare[paired] = (rare, np.bincount(gram[rare], minlength=len(unique)) > 0)
+
+    def met(self, doc: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """For pairs and single words: the seeds a document has, by their number among
+        all, and where each occurrence begins."""
+        there = np.flatnonzero(doc)
+        if not len(there):
+            return
+        for paired, (unique, *_) in self.seeds.items():
+            g, at = doc[there], there
+            if paired:
+                after = [x[doc[x + d] > 0] for d in (1, 2) for x in [there[there < len(doc) - d]]]
+                at = np.concatenate(after)
+                g = np.concatenate([self.pairs(doc[x], doc[x + d]) for d, x in enumerate(after, 1)])
+            if len(g) and len(unique):
+                place = np.minimum(np.searchsorted(unique, g), len(unique) - 1)
+                hit = unique[place] == g
+                yield paired, place[hit], at[hit]
 
     def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, its seed's offset and the place in the document, of all seed matches of
         the items of which the document has a rare seed, and enough seeds."""
         out = []
-        for paired, g, at in self.grams(doc):
-            grams, owner, offset = self.seeds[paired]
-            rare, unique = self.rare[paired]
-            own = np.unique(g[_among(g, unique)])
-            if not len(own):
+        for paired, gram, at in self.met(doc):
+            _, first, owner, offset = self.seeds[paired]
+            rare, any_rare = self.rare[paired]
+            own = np.unique(gram)
+            if not any_rare[own].any():
                 continue
-            rows, _ = _rows(grams, own)
-            items = np.unique(owner[rows[rare[rows]]])
-            mine = np.flatnonzero(np.isin(owner, items))
-            seeds = np.unique(grams[mine])
-            found = np.flatnonzero(_among(g, seeds))
-            there = _among(grams[mine], np.unique(g[found]))
-            enough = np.bincount(owner[mine[there]], minlength=len(self.ids)) >= self.need
-            if not enough[items].any():
+            rows, _ = _rows(first, own)
+            mine = owner[rows]
+            enough = np.bincount(mine, minlength=len(self.ids)) >= self.need
+            enough &= np.bincount(mine[rare[rows]], minlength=len(self.ids)) > 0
+            if not enough[mine].any():
                 continue
-            rows, n = _rows(grams, g[found])
-            where = np.repeat(at[found], n)
-            kept = np.isin(owner[rows], items) & enough[owner[rows]]
-            out.append((owner[rows[kept]], offset[rows[kept]], where[kept]))
+            keep = np.zeros(len(first), bool)
+            keep[np.repeat(own, first[own + 1] - first[own])[enough[mine]]] = True
+            kept = keep[gram]
+            rows, n = _rows(first, gram[kept])
+            where, mine = np.repeat(at[kept], n), enough[owner[rows]]
+            out.append((owner[rows[mine]], offset[rows[mine]], where[mine]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
     def windows(self, doc: np.ndarray) -> list[tuple[int, int, int]]:
@@ -156,7 +164,7 @@ class Items:
         item, offset, where = self.hits(doc)
         out: list[tuple[int, int, int]] = []
         for k in np.unique(item):
-            m, slack = len(self.hashes[k]), self.slack[k]
+            m, slack = len(self.words[k]), self.slack[k]
             own = item == k
             start = where[own] - offset[own]
             order = np.argsort(start, kind="stable")
@@ -167,18 +175,11 @@ class Items:
         return out
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which elements are among the sorted ``known``."""
-    if not len(known) or not len(x):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def _rows(grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the sorted ``grams`` that equal each wanted one, and how many each has."""
-    lo = np.searchsorted(grams, wanted)
-    n = np.searchsorted(grams, wanted, "right") - lo
-    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+def _rows(first: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seed rows of each gram, and how many it has."""
+    n = first[grams + 1] - first[grams]
+    ends = np.cumsum(n)
+    return np.repeat(first[grams] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
 
 
 def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -190,7 +191,7 @@ def smith_waterman(windows: list[np.ndarray], items: list[np.ndarray]) -> np.nda
     if not windows:
         return np.empty(0, np.int32)
     wide, tall = max(map(len, windows)), max(map(len, items))
-    doc, item = np.zeros((len(windows), wide), np.uint64), np.zeros((len(windows), tall), np.uint64)
+    doc, item = np.zeros((len(windows), wide), np.int64), np.zeros((len(windows), tall), np.int64)
     there, need = np.zeros(doc.shape, bool), np.zeros(item.shape, bool)
     for k, (w, i) in enumerate(zip(windows, items, strict=True)):
         doc[k, : len(w)], there[k, : len(w)] = w, True
@@ -214,38 +215,40 @@ def _align(found: list[tuple], items: Items, min_score: float) -> list[tuple]:
     while at < len(found):
         step = max(1, 400_000 // max(1, found[min(at + 400, len(found) - 1)][3] - found[min(at + 400, len(found) - 1)][2]))
         part = found[at : at + min(step, 400)]
-        best = smith_waterman([x[4] for x in part], [items.hashes[x[1]] for x in part])
+        best = smith_waterman([x[4] for x in part], [items.words[x[1]] for x in part])
         for (doc, k, lo, hi, _), b in zip(part, best, strict=True):
-            share = float(b) / (MATCH * len(items.hashes[k]))
+            share = float(b) / (MATCH * len(items.words[k]))
             if share >= min_score:
                 out.append((doc, items.ids[k], share, lo, hi - lo))
         at += len(part)
     return out
 
 
-def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    hasher = WordHasher()
+def _read(it: Iterator[pa.RecordBatch], items: Items) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     for batch in slices(it, "raw"):
-        yield [(doc, word_hashes(raw, hasher)) for doc, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True)]
+        yield [(doc, items.read(raw)) for doc, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True)]
 
 
-def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
+def seed_counts(docs: DataFrame, items: Items) -> dict[tuple[bool, int], int]:
     """In how many documents each seed of a block of items occurs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[int] = Counter()
-        for rows in _hashed(it):
-            for _, h in rows:
-                seen.update(items.met(h).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+        seen = {paired: np.zeros(len(unique), np.int64) for paired, (unique, *_) in items.seeds.items()}
+        for rows in _read(it, items):
+            for _, doc in rows:
+                for paired, gram, _ in items.met(doc):
+                    seen[paired][np.unique(gram)] += 1
+        for paired, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([paired] * len(at), pa.bool_()), pa.array(items.seeds[paired][0][at]), pa.array(n[at])], names=["paired", "gram", "n"])
 
-    counted = docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram % 2**64: r.n for r in counted.collect()}  # at most the block's own seeds
+    counted = docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "paired boolean, gram long, n long").groupBy("paired", "gram").agg(F.sum("n").alias("n"))
+    return {(r.paired, r.gram): r.n for r in counted.collect()}  # at most the block's own seeds
 
 
 def _scan(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _hashed(it):
+        for part in _read(it, items):
             found, rows = [], []
             for doc, h in part:
                 found += [(doc, k, lo, hi, h[lo:hi]) for k, lo, hi in items.windows(h)]
