@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Ran
         for b in slices(it, "text"):
             yield pa.RecordBatch.from_arrays([b["quality"], pa.array(list(_features(b["text"])), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").orderBy("doc_id", "text").select("quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").orderBy("doc_id", F.xxhash64("text")).select("quality", "text")
     got = rows.mapInArrow(run, "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, N_FEATURES)
     return fit_pairs(x, got["quality"].to_numpy())
