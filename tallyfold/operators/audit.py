@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators import series
-from tallyfold.operators.facts import ranked
+from tallyfold.operators.facts import ranked, small
 from tallyfold.operators.ratios import apply_sign
 from tallyfold.operators.resolve import map_tags
 from tallyfold.operators.text import slug
@@ -16,10 +16,11 @@ from tallyfold.operators.text import slug
 
 def statement_completeness(extracted: DataFrame, available: DataFrame, expected: DataFrame) -> DataFrame:
     """D24. Per ticker and statement: share of the expected or available metrics that
-    were extracted. ``expected``: (statement_type, metric)."""
+    were extracted. ``expected``: (statement_type, metric), at most 10,000 rows, each
+    expected of every ticker."""
     keys = ["ticker", "statement_type", "metric"]
     tickers = available.select("ticker").distinct()
-    want = available.select(*keys).unionByName(tickers.withColumn("one", F.lit(1)).join(F.broadcast(expected.withColumn("one", F.lit(1))), "one").select(*keys)).distinct()
+    want = available.select(*keys).unionByName(tickers.withColumn("one", F.lit(1)).join(small(expected.withColumn("one", F.lit(1))), "one").select(*keys)).distinct()
     got = extracted.select(*keys).distinct().withColumn("hit", F.lit(1))
     g = want.join(got, keys, "left").groupBy("ticker", "statement_type").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
     return g.withColumn("completeness", F.round(F.col("found") / F.col("wanted"), 6))

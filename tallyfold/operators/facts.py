@@ -21,6 +21,13 @@ def ranked(df: DataFrame, keys: Sequence[str | Column], *order: Column | str, to
 first_per = ranked  # E1
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table that every task gets whole: more than ``most`` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table of at most {most} rows is expected here")
+    return F.broadcast(df)
+
+
 def query_facts(facts: DataFrame, ticker: str | None = None, metric: str | None = None, form: str | None = None, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
     """B1. Any of the filters; newest filing first, then metric."""
     for col, op, value in (("ticker", "=", ticker), ("metric", "=", metric), ("filing_type", "=", form), ("filing_date", ">=", start), ("filing_date", "<=", end)):
@@ -199,3 +206,24 @@ def audit_sets(extracted: DataFrame, available: DataFrame, keys: Sequence[str])
     both = extracted.select(*keys).distinct().withColumn("x", F.lit(1)).join(available.select(*keys).distinct().withColumn("y", F.lit(1)), list(keys), "full")
     n = both.groupBy("ticker").agg(F.count_if(F.col("y").isNull()).alias("extra"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("common"))
     return n.withColumn("share", F.round(F.col("common") / F.nullif(F.col("common") + F.col("missing"), F.lit(0)), 6))
+
+
+def industry_of(rows: DataFrame, mapping: DataFrame, default: str = "other", key: str = "ticker") -> DataFrame:
+    """H30. The industry of each row's ticker, whatever its case; ``default`` where the
+    mapping (ticker, industry) has none."""
+    m = mapping.select(F.lower("ticker").alias("_key"), "industry").groupBy("_key").agg(F.min("industry").alias("industry"))
+    return rows.withColumn("_key", F.lower(F.col(key).cast("string"))).join(m, "_key", "left").drop("_key").withColumn("industry", F.coalesce("industry", F.lit(default)))
+
+
+def parent_metric(metric: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """H30. The parent of the first rule (pattern, parent) that a metric's name matches,
+    unless it is the parent itself."""
+    out = F.lit(None).cast("string")
+    for pattern, parent in reversed(rules):
+        out = F.when(F.lower(metric).rlike(pattern) & (F.lower(metric) != parent), parent).otherwise(out)
+    return out
+
+
+def indent_of(metric: Column, parent: Column) -> Column:
+    """H30. Totals stand at the margin, parts of a parent one step in."""
+    return F.when(F.lower(metric).rlike("^total") | parent.isNull(), 0).otherwise(1)

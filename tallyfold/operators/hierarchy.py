@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.operators.facts import ranked
+from tallyfold.sources.scratch import materialize
 
 
 def with_children(nodes: DataFrame) -> DataFrame:
@@ -22,6 +25,22 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").select(*nodes.columns)
 
 
+def children(nodes: DataFrame, parent: str) -> DataFrame:
+    """L1. A node's children by position."""
+    return nodes.filter(F.col("parent") == parent).orderBy("pos", "id")
+
+
+def siblings(nodes: DataFrame, id: str) -> DataFrame:
+    """L1. The other children of a node's parent, or the other roots, by position."""
+    mine = nodes.filter(F.col("id") == id).select(F.col("parent").alias("p")).limit(1)
+    return nodes.join(F.broadcast(mine), nodes["parent"].eqNullSafe(F.col("p")), "left_semi").filter(F.col("id") != id).orderBy("pos", "id")
+
+
+def by_statement(nodes: DataFrame, statement: str) -> DataFrame:
+    """L1. Nodes of a statement, whatever its case, by level and position."""
+    return nodes.filter(F.lower("statement_type") == statement.lower()).orderBy("level", "pos", "id")
+
+
 def by_level(nodes: DataFrame, level: int) -> DataFrame:
     """L1."""
     return nodes.filter(F.col("level") == level).orderBy("pos", "id")
@@ -48,81 +67,94 @@ def key_drivers(nodes: DataFrame, n: int) -> DataFrame:
     return top.select("parent", "id", "value", share.alias("contribution_pct"))
 
 
+def _walked(nodes: DataFrame, first: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, acc) of every node that reaches a root (a null parent): ``first`` of each node
+    on its way from the root, merged in that order. Every round joins the nodes with
+    themselves and doubles how far each one sees, so depth costs its logarithm; nodes on
+    or below a cycle, or below a parent that is not there, reach no root."""
+    state = materialize(nodes.select("id", F.col("parent").alias("up"), first.alias("acc")), "walk")
+    done, active = state.filter("up is null"), state.filter("up is not null")
+    for _ in range(max(1, int(state.count()).bit_length())):
+        if active.isEmpty():
+            break
+        above = done.unionByName(active).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("acc").alias("acc2"))
+        step = materialize(active.join(above, "up").select("id", F.col("up2").alias("up"), merge(F.col("acc2"), F.col("acc")).alias("acc")), "walk")
+        done, active = done.unionByName(step.filter("up is null")), step.filter("up is not null")
+    return done.select("id", "acc")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
-    """L2. Path from the root to every node, by a recursive query."""
-    return nodes.sparkSession.sql(
-        """
-        with recursive walk(id, path, depth) as (
-          select id, array(id), 0 from {nodes} where parent is null
-          union all select n.id, array_append(w.path, n.id), w.depth + 1 from walk w join {nodes} n on n.parent = w.id
-        ) select id, array_join(path, '/') as path, depth from walk
-        """,
-        nodes=nodes,
-    )
+    """L2. Path from the root to every node."""
+    walked = _walked(nodes, F.array(F.col("id").cast("string")), F.concat)
+    return walked.select("id", F.array_join("acc", "/").alias("path"), (F.size("acc") - 1).alias("depth"))
 
 
 def subtree(nodes: DataFrame, root: str) -> DataFrame:
     """L3. A node and what is below it, in pre-order by position."""
-    out = nodes.sparkSession.sql(
-        """
-        with recursive walk(id, path, depth) as (
-          select id, array(pos), 0 from {nodes} where id = {root}
-          union all select n.id, array_append(w.path, n.pos), w.depth + 1 from walk w join {nodes} n on n.parent = w.id
-        ) select id, path, depth from walk
-        """,
-        nodes=nodes, root=root,
-    )
-    return out.orderBy("path").select("id", "depth")
+    mine = nodes.withColumn("parent", F.when(F.col("id") != root, F.col("parent"))).filter(F.col("parent").isNotNull() | (F.col("id") == root))
+    walked = _walked(mine, F.array("pos"), F.concat)
+    return walked.orderBy("acc", "id").select("id", (F.size("acc") - 1).alias("depth"))
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
     """L7. All nodes with a sort key that gives the pre-order, and their indent."""
-    pad = "lpad(cast({} as string), 12, '0')"
-    return nodes.sparkSession.sql(
-        f"""
-        with recursive walk(id, sort_key, indent) as (
-          select id, {pad.format("pos")}, 0 from {{nodes}} where parent is null
-          union all select n.id, concat(w.sort_key, '.', {pad.format("n.pos")}), w.indent + 1 from walk w join {{nodes}} n on n.parent = w.id
-        ) select id, sort_key, indent from walk
-        """,
-        nodes=nodes,
-    )
+    walked = _walked(nodes, F.array(F.lpad(F.col("pos").cast("string"), 12, "0")), F.concat)
+    return walked.select("id", F.array_join("acc", ".").alias("sort_key"), (F.size("acc") - 1).alias("indent"))
 
 
 def max_depth(nodes: DataFrame) -> DataFrame:
     """L4."""
-    return paths(nodes).agg(F.max("depth").alias("max_depth"))
-
-
-def cycles(edges: DataFrame, bound: int = 20) -> DataFrame:
-    """L5. Cycles of (src, dst) up to ``bound`` long, each once, from its smallest node."""
-    return edges.sparkSession.sql(
-        f"""
-        with recursive walk(start, node, path, n) as (
-          select src, dst, array(src), 1 from {{edges}} where dst >= src
-          union all select w.start, e.dst, array_append(w.path, w.node), w.n + 1 from walk w join {{edges}} e on e.src = w.node
-          where w.node <> w.start and not array_contains(w.path, w.node) and e.dst >= w.start and w.n < {bound}
-        ) select distinct array_join(array_append(path, node), '>') as cycle, n as length from walk where node = start
-        """,
-        edges=edges,
-    )
-
-
-def levels(edges: DataFrame, bound: int = 50) -> DataFrame:
+    return _walked(nodes, F.lit(1), lambda above, own: above + own).agg((F.max("acc") - 1).alias("max_depth"))
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle or between cycles: those of nodes that nothing leads to or
+    that lead nowhere are taken away, wave by wave, until nothing changes."""
+    edges, n = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges"), -1
+    while (now := edges.count()) != n and now:
+        n = now
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = materialize(kept.select("src", "dst"), "edges")
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """L5. Cycles of (src, dst), of any length: for every node that is the smallest of some
+    cycle a shortest such cycle (of several the first by its nodes). Each wave reaches one
+    node further from every start and keeps one way to each node, so dense graphs cost no
+    more than starts times edges."""
+    core = _core(edges)
+    found = core.filter("src = dst").select(F.array("src").alias("way"))
+    reach = materialize(core.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("way")), "reach")
+    seen, last = reach.select("start", "node"), reach
+    while not last.isEmpty():
+        step = last.join(core.withColumnRenamed("src", "node"), "node").filter("dst >= start")
+        closed = step.filter("dst = start").groupBy("start").agg(F.min("way").alias("way"))
+        found = found.unionByName(materialize(closed, "cycles").select("way"))
+        on = step.filter("dst > start").select("start", F.col("dst").alias("node"), F.concat("way", F.array("dst")).alias("way"))
+        on = on.join(seen, ["start", "node"], "left_anti").join(found.select(F.col("way")[0].alias("start")), "start", "left_anti")
+        last = materialize(on.groupBy("start", "node").agg(F.min("way").alias("way")), "reach")
+        seen = seen.unionByName(last.select("start", "node"))
+    return found.select(F.concat_ws(">", F.col("way").cast("array<string>"), F.col("way")[0].cast("string")).alias("cycle"), F.size("way").alias("length"))
+
+
+def levels(edges: DataFrame) -> DataFrame:
     """L6. Dependency level of every node of (metric, input): inputs without inputs are
     0, others one above their highest input; members of a cycle, and what needs them,
-    have none. Each wave takes the nodes all of whose inputs are placed."""
-    edges = edges.select("metric", "input").distinct()
-    placed = edges.select(F.col("input").alias("node")).distinct().join(edges.select(F.col("metric").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
-    left = edges
-    for wave in range(1, bound):
-        blocked = left.join(placed.select(F.col("node").alias("input")), "input", "left_anti").select("metric").distinct()
-        ready = left.select("metric").distinct().join(blocked, "metric", "left_anti").select(F.col("metric").alias("node"), F.lit(wave).alias("level"))
+    have none. Each wave takes the nodes all of whose inputs are placed, until there are
+    none."""
+    left = materialize(edges.select("metric", "input").distinct(), "edges")
+    ready = left.select(F.col("input").alias("node")).distinct().join(left.select(F.col("metric").alias("node")), "node", "left_anti")
+    placed, wave = None, 0
+    while True:
+        ready = materialize(ready.select("node", F.lit(wave).alias("level")), "level")
+        placed = ready if placed is None else placed.unionByName(ready)
         if ready.isEmpty():
-            break
-        placed = placed.unionByName(ready)
-        left = left.join(ready.select(F.col("node").alias("metric")), "metric", "left_anti")
-    return placed
+            return placed
+        wave += 1
+        rest = materialize(left.join(ready.select(F.col("node").alias("input")), "input", "left_anti"), "edges")
+        ready = left.select(F.col("metric").alias("node")).distinct().join(rest.select(F.col("metric").alias("node")), "node", "left_anti")
+        left = rest
 
 
 def infer_formula(nodes: DataFrame, known: dict[str, str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -100,7 +101,8 @@ def diff_paragraphs(a: DataFrame, b: DataFrame, key: str, separator: str = r"\n\
 
 def embed_missing(chunks: DataFrame, embed) -> DataFrame:
     """K8, P4. Vectors for rows that have none, by the caller's function on batches of
-    texts; a batch that fails stays without, for the next run."""
+    texts; a batch that fails is logged and stays without (null), to be counted and for
+    the next run."""
 
     @F.pandas_udf("array<float>")
     def vector(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,6 +110,7 @@ def embed_missing(chunks: DataFrame, embed) -> DataFrame:
             try:
                 yield pd.Series(list(embed(texts.tolist())))
             except Exception:  # the caller's function; the rows stay open
+                logging.getLogger(__name__).exception("no vectors for %d texts", len(texts))
                 yield pd.Series([None] * len(texts))
 
     todo = chunks.filter("v is null").withColumn("v", vector("content"))

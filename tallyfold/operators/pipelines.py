@@ -44,8 +44,11 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, max_tokens:
 
 
 def register_formulas(formulas: DataFrame, facts: DataFrame) -> DataFrame:
-    """P1. Approved formulas of a table (name, formula, status), at most 1000, evaluated."""
-    rows = formulas.filter("status = 'approved'").select("name", "formula").limit(1000).collect()
+    """P1. Approved formulas of a table (name, formula, status), evaluated. They become
+    columns of one plan; more than 1000 are an error."""
+    rows = formulas.filter("status = 'approved'").select("name", "formula").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 approved formulas: evaluate them in parts")
     return evaluate(facts, {r["name"]: r["formula"] for r in rows})
 
 

@@ -51,7 +51,9 @@ def fuzzy(queries: DataFrame, synonyms: DataFrame, floor: float = 0.7) -> DataFr
         return counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
 
     a, b = grams(queries, "query"), grams(synonyms.select("name"), "name").withColumnRenamed("n", "m")
-    both = a.join(b, ["g", "k"]).groupBy("query", "name", "n", "m").agg(F.count("*").alias("both"))
+    # Dice of at least the floor needs sizes within these bounds
+    sizes = (F.col("m") >= floor * F.col("n") / (2 - floor) - 1e-9) & (F.col("m") <= (2 - floor) * F.col("n") / floor + 1e-9)
+    both = a.join(b, ["g", "k"]).filter(sizes).groupBy("query", "name", "n", "m").agg(F.count("*").alias("both"))
     scored = both.withColumn("score", F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6)).filter(F.col("score") >= floor)
     named = scored.join(synonyms.select("name", "canonical").distinct(), "name")
     return named.groupBy("query", "canonical").agg(F.max("score").alias("score"))
@@ -80,6 +82,17 @@ def unmapped_tags(rows: DataFrame, mapping: DataFrame, least: int = 1) -> DataFr
     return out.filter(F.col("n") >= least).withColumn("suggested", slug(F.regexp_replace("raw_label", "^[A-Za-z0-9-]+:", "")))
 
 
+def match_concepts(queries: DataFrame, concepts: DataFrame, floor: float = 0.8) -> DataFrame:
+    """C4. The concept of each query: the same key, else the best name by Dice of at least
+    ``floor`` (ties by concept). ``concepts``: (concept, name)."""
+    key = concepts.select(lookup_key(F.col("name")).alias("key"), "concept").groupBy("key").agg(F.min("concept").alias("exact"))
+    j = queries.select("query").distinct().withColumn("key", lookup_key(F.col("query"))).join(key, "key", "left")
+    near = fuzzy(j.filter("exact is null").select("query"), concepts.select(F.col("concept").alias("canonical"), "name"), floor)
+    best = ranked(near, ["query"], F.desc("score"), "canonical").select("query", F.col("canonical").alias("near"), "score")
+    found = j.join(best, "query", "left").select("query", F.coalesce("exact", "near").alias("concept"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
+    return found.filter("concept is not null")
+
+
 def concept_bundle(concepts: DataFrame, sector: DataFrame) -> DataFrame:
     """C4. Metrics of a concept in order: its own, then its sector's, distinct."""
     both = concepts.join(sector, "concept", "left")

@@ -10,23 +10,41 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.facts import ranked
 from tallyfold.operators.text import cosine, token_estimate
+from tallyfold.sources.scratch import materialize
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, limit: int = 1000) -> DataFrame:
     """F3. Exact cosine top k per query. The floor applies after the limit. The query
-    side is broadcast only up to ``limit`` rows; more queries are dealt in groups, each
-    met by one copy of the vectors."""
-    n = queries.count()
-    groups = max(1, -(-n // limit))
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"))
-    rows = vectors.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = rows.join(F.broadcast(q) if groups == 1 else q, "g").filter(F.col("id") != F.col("query_id"))
+    side is broadcast only up to ``limit`` rows; beyond, the vectors are dealt in parts
+    and every query goes to each part, so the larger side is shuffled once."""
+    parts = 1 if queries.limit(limit + 1).count() <= limit else max(1, -(-vectors.count() // 20_000))
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"))
+    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("g"))
+    pairs = rows.join(F.broadcast(q) if parts == 1 else q, "g").filter(F.col("id") != F.col("query_id"))
     scored = pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
     return out if floor is None else out.filter(F.col("score") >= floor)
 
 
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """K3. Top k among the vectors of the wanted section and subsection; for queries that
+    find none the subsection is dropped, then the section. ``queries`` and ``vectors``:
+    (id, v, section, subsection). ``stage`` 1 to 3 tells what was kept."""
+    left, out = queries, None
+    for stage, keys in enumerate((["section", "subsection"], ["section"], []), 1):
+        if keys:
+            pairs = left.select(F.col("id").alias("query_id"), F.col("v").alias("q"), *keys).join(vectors.select("id", "v", *keys), keys).filter("id <> query_id")
+            scored = pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+            hits = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+        else:
+            hits = vector_top_k(left.select("id", "v"), vectors.select("id", "v"), k)
+        hits = materialize(hits.withColumn("stage", F.lit(stage)), "hits")
+        out = hits if out is None else out.unionByName(hits)
+        left = left.join(hits.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti")
+    return out
+
+
 def semantic_match(queries: DataFrame, index: DataFrame, k: int, floor: float) -> DataFrame:
     """F4. Best vector of each metric among the 3k nearest above the floor, then top k."""
     near = vector_top_k(queries, index.select("id", "v"), 3 * k, floor).join(index.select("id", "metric"), "id")
@@ -72,20 +90,34 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, max_tokens: int) -> Data
 
 
 def search_chunks(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """K1. Cascade: the phrase, all key words, any key word; of each query only the first
-    stage that finds something. ``queries``: (query_id, phrase, terms).
-
-    Chunks meet queries on a shared word, so the join is an equi-join; stages are then
-    read off the matched terms.
+    """K1. Cascade: the phrase, all key words, any key word, each within the wanted section
+    and subsection; then any key word in the section, then anywhere, then whatever the
+    section that the query's words suggest has to offer. Of each query only the first
+    stage that finds something.
+
+    ``queries``: (query_id, phrase, terms) and, if wanted, section, subsection and
+    suggested (the section its words suggest); chunks may have section_type and
+    subsection. Chunks meet queries on a shared word, so the join is an equi-join; stages
+    are then read off the matched terms.
     """
-    t = queries.select("query_id", "phrase", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    w = chunks.select("doc_id", "chunk_index", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    hits = w.join(t, "term").groupBy("query_id", "phrase", "n", "doc_id", "chunk_index").agg(F.count("*").alias("matched"))
-    hits = hits.join(chunks.select("doc_id", "chunk_index", F.lower("content").alias("c")), ["doc_id", "chunk_index"])
-    stage = F.when((F.length("phrase") > 10) & F.col("c").contains(F.lower(F.col("phrase"))), 1).when(F.col("matched") == F.col("n"), 2).otherwise(3)
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", "phrase", "terms", *(has(queries, c).alias(c) for c in ("section", "subsection", "suggested")))
+    texts = chunks.select("doc_id", "chunk_index", "content", *(has(chunks, c).alias(n) for c, n in (("section_type", "own_section"), ("subsection", "own_subsection"))))
+    t = asked.select("query_id", "phrase", "section", "subsection", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    w = texts.select("doc_id", "chunk_index", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    hits = w.join(t, "term").groupBy("query_id", "phrase", "n", "section", "subsection", "doc_id", "chunk_index").agg(F.count("*").alias("matched"))
+    hits = hits.join(texts.withColumn("c", F.lower("content")).drop("content"), ["doc_id", "chunk_index"])
+    in_section = F.col("section").isNull() | F.col("section").eqNullSafe(F.col("own_section"))
+    in_both = in_section & (F.col("subsection").isNull() | F.col("subsection").eqNullSafe(F.col("own_subsection")))
+    phrase = (F.length("phrase") > 10) & F.col("c").contains(F.lower(F.col("phrase")))
+    stage = F.when(in_both & phrase, 1).when(in_both & (F.col("matched") == F.col("n")), 2).when(in_both, 3).when(in_section, 4).otherwise(5)
     staged = hits.withColumn("stage", stage).withColumn("first", F.min("stage").over(W.partitionBy("query_id"))).filter("stage = first")
     score = F.round(F.least(F.lit(0.95), F.lit(0.3) + F.when(F.col("stage") == 1, 0.4).otherwise(0.0) + 0.2 * F.col("matched") / F.col("n") + F.when(F.length("c") > 1000, 0.05).otherwise(0.0)), 6)
-    return ranked(staged.withColumn("score", score), ["query_id"], F.desc("score"), "doc_id", "chunk_index", top=k).select("query_id", "doc_id", "chunk_index", "stage", "score")
+    cols = ["query_id", "doc_id", "chunk_index", "stage", "score"]
+    best = ranked(staged.withColumn("score", score), ["query_id"], F.desc("score"), "doc_id", "chunk_index", top=k).select(*cols)
+    nothing = asked.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("suggested").alias("own_section"))
+    rest = ranked(nothing.join(texts, "own_section"), ["query_id"], "doc_id", "chunk_index", top=k)
+    return best.unionByName(rest.select("query_id", "doc_id", "chunk_index", F.lit(6).alias("stage"), F.lit(0.3).alias("score")))
 
 
 def needs_follow_up(hits: DataFrame, floor: float = 0.5, spread: float = 0.1) -> DataFrame:
@@ -109,7 +141,7 @@ def dedupe_hash(docs: DataFrame) -> DataFrame:
     return ranked(docs, ["tenant", F.sha2("text", 256)], F.desc("doc_id"))
 
 
-def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, buckets: float = 0.5, tables: int = 8) -> DataFrame:
+def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, buckets: float = 0.5, tables: int = 12) -> DataFrame:
     """K7. Random-projection hashing finds candidates, exact cosine ranks them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

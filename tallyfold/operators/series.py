@@ -64,6 +64,7 @@ def ttm_chain(facts: DataFrame, as_of: str | None = None) -> DataFrame:
     q = facts.filter("filing_type = '10-Q'")
     if as_of:
         q = q.filter(F.col("statement_date") <= F.lit(as_of).cast("date"))
+    q = ranked(q, [*KEY, "statement_date"], F.desc("filing_date"), F.desc("value"))  # of a quarter told twice the newest filing
     q = ranked(q, KEY, F.desc("statement_date"), top=16)
     points = F.sort_array(F.collect_list(F.struct(F.col("statement_date").alias("end"), F.col("value").cast("decimal(20,2)").alias("value"))), asc=False)
     out = q.groupBy(*KEY).agg(chain_fold(points).alias("c"))
@@ -86,7 +87,7 @@ def resolve_by_priority(facts: DataFrame, priorities: DataFrame) -> DataFrame:
 
     ``priorities``: (target, metric, priority, sign).
     """
-    p = facts.join(F.broadcast(priorities), "metric").filter("value is not null")
+    p = facts.join(priorities, "metric").filter("value is not null")
     best = F.min_by(F.struct("metric", "value", "sign", "priority"), "priority").alias("b")
     got = p.groupBy("ticker", "fiscal_period", "filing_type", "target").agg(best)
     return got.select("ticker", "fiscal_period", "filing_type", "target", F.col("b.metric").alias("metric"), (F.col("b.value") * F.col("b.sign")).alias("value"), F.col("b.priority").alias("attempts"))

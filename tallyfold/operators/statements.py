@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.facts import ranked
+from tallyfold.operators.facts import ranked, small
 
 
 def statement(facts: DataFrame, template: DataFrame, periods: Sequence[str], keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """N1, C30. Template rows in order for every ticker, a value column per period;
     headers keep their place without values. ``template``: (position, name, metric,
-    is_header, indent); periods are a given list, so one pivot pass does it."""
+    is_header, indent); periods are a given list, so one pivot pass does it. The grid has a row per ticker
+    and template row; a template has at most 10,000 rows."""
     best = ranked(facts.filter(F.col("fiscal_period").isin(list(periods))), [*keys, "metric", "fiscal_period"], F.desc("filing_date"), F.desc("value"))
     values = best.groupBy(*keys, "metric").pivot("fiscal_period", list(periods)).agg(F.first("value"))
-    grid = facts.select(*keys).distinct().withColumn("one", F.lit(1)).join(F.broadcast(template.withColumn("one", F.lit(1))), "one").drop("one")
+    grid = facts.select(*keys).distinct().withColumn("one", F.lit(1)).join(small(template.withColumn("one", F.lit(1))), "one").drop("one")
     return grid.join(values, [*keys, "metric"], "left").select(*keys, "position", "name", "is_header", "indent", *(F.col(f"`{p}`") for p in periods))
 
 
@@ -24,10 +25,10 @@ def statement_industry(facts: DataFrame, template: DataFrame, aliases: DataFrame
     """N2. As N1, a cell falling back to the first alias that has a value.
 
     ``aliases``: (position, metric, priority)."""
-    hit = facts.filter(F.col("fiscal_period").isin(list(periods))).join(F.broadcast(aliases), "metric")
+    hit = facts.filter(F.col("fiscal_period").isin(list(periods))).join(aliases, "metric")
     cell = ranked(hit, ["ticker", "position", "fiscal_period"], "priority", F.desc("filing_date"), F.desc("value"))
     values = cell.groupBy("ticker", "position").pivot("fiscal_period", list(periods)).agg(F.first("value"))
-    grid = facts.select("ticker").distinct().withColumn("one", F.lit(1)).join(F.broadcast(template.withColumn("one", F.lit(1))), "one").drop("one")
+    grid = facts.select("ticker").distinct().withColumn("one", F.lit(1)).join(small(template.withColumn("one", F.lit(1))), "one").drop("one")
     return grid.join(values, ["ticker", "position"], "left").select("ticker", "position", "name", *(F.col(f"`{p}`") for p in periods))
 
 

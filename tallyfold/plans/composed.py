@@ -16,13 +16,13 @@ def asked(s):
     return s.createDataFrame([(1, "src1", "the of", ["the", "tion"]), (2, "src2", "something", ["und", "der"]), (3, "src3", "none", ["zzzzz"])], "query_id int, ticker string, phrase string, terms array<string>")
 
 
-P.add("k2_search_multi", lambda s, d: op.search_multi(asked(s), chunks(s, d), 3).groupBy("query_id", "ticker").agg(F.count("*").alias("n")))
+P.add("k2_search_multi", lambda s, d: op.search_multi(asked(s), chunks(s, d), 3))
 P.add(
     "k4_context_metrics", lambda s, d: op.context_metrics(s.createDataFrame([(1, "Sales"), (1, "xyz"), (2, "none")], "query_id int, term string"), s.createDataFrame([("revenue", "sales")], "canonical string, name string"), facts(s, d), ["net_income", "units"]),
     """with l as (select ticker, metric, fiscal_period, value from facts where filing_type = '10-K' qualify row_number() over (partition by ticker, metric order by filing_date desc, fiscal_period) = 1)
     select 1 as query_id, ticker, metric, fiscal_period, value from l where metric = 'revenue' union all select 2, ticker, metric, fiscal_period, value from l where metric in ('net_income', 'units')""", FACTS,
 )
-P.add("k5_retrieve_context", lambda s, d: op.retrieve_context(asked(s).drop("ticker"), chunks(s, d), 5, 900).groupBy("query_id").agg(F.count("*").alias("n"), F.max("running").alias("tokens")))
+P.add("k5_retrieve_context", lambda s, d: op.retrieve_context(asked(s).drop("ticker"), chunks(s, d), 5, 900).select("query_id", "doc_id", "chunk_index", "running"))
 P.add(
     "p1_register_formulas", lambda s, d: op.register_formulas(s.createDataFrame([("net_margin", "net_income / revenue", "approved"), ("bad", "drop table", "pending")], "name string, formula string, status string"), facts(s, d)).select("ticker", "fiscal_period", "filing_type", "metric", "value"),
     "select ticker, fiscal_period, filing_type, 'net_margin' as metric, round(net_income / nullif(revenue, 0), 6) as value from wide_f", FACTS, WIDE,
@@ -32,7 +32,7 @@ P.add(
     "select distinct p_type as query, case when lower(p_type) = 'small' then 'own' else upper(p_type) end as canonical from part",
 )
 P.add("p3_add_mapping", lambda s, d: op.add_mapping(s.createDataFrame([("a", "x", "1.0.3")], "tag string, canonical string, version string"), s.createDataFrame([("us-gaap:units", "units")], "tag string, canonical string"), facts(s, d))[2].select("ticker", "fiscal_period", "metric"), "select ticker, fiscal_period, metric from facts where metric = 'units'", FACTS)
-P.add("p4_with_embedding", lambda s, d: op.with_embedding(chunks(s, d).filter("chunk_index = 0"), _size).select("doc_id", F.col("v")[0].cast("int").alias("n")), "select doc_id, length(content)::int as n from chunks where chunk_index = 0", CHUNKS)
+P.add("p4_with_embedding", lambda s, d: op.with_embedding(chunks(s, d), _size).select("doc_id", "chunk_index", F.col("v")[0].cast("int").alias("n")), "select doc_id, chunk_index, length(content)::int as n from chunks", CHUNKS)
 
 
 def _chunked(s, d):

@@ -185,7 +185,7 @@ def nation_edges(s, d):
 
 
 P.add(
-    "l5_cycles", lambda s, d: hierarchy.cycles(nation_edges(s, d), 24),
+    "l5_cycles", lambda s, d: hierarchy.cycles(nation_edges(s, d)),
     """with recursive e as (select n_nationkey as src, (n_nationkey * 3 + 1) % 25 as dst from nation), w as (select src as start, dst as node, src::varchar as path, 1 as n from e where dst >= src
     union all select w.start, e.dst, w.path || '>' || w.node, w.n + 1 from w join e on e.src = w.node where w.node <> w.start and e.dst >= w.start and w.n < 24) select distinct path || '>' || node as cycle, n as length from w where node = start""",
 )

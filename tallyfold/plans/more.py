@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import audit, narrative, ratios, search
+from tallyfold.operators import audit, chunking, narrative, ratios, search
 from tallyfold.operators import facts as fo
 from tallyfold.operators import text as op
 from tallyfold.plans.base import Plans
 from tallyfold.plans.metrics import WIDE
-from tallyfold.plans.text import COS, vectors
+from tallyfold.plans.text import COS, QUALITY, vectors
+from tallyfold.sources import tables
 from tallyfold.sources.bindings import CHUNKS, FACTS, FILINGS, INSIDERS, chunks, facts, filings, insiders, log, table
 
 P = Plans()
+RULES = [("cost|gross", "revenue"), ("expense", "net_income")]
 
 
 def half(s, d):
@@ -47,7 +49,7 @@ P.add(
     union all select ticker, fiscal_period, filing_type, 'gross_profit_from_sales' from wide_f where filing_type = '10-Q' and round(abs(gross_sales - cost_of_revenue - units) / greatest(abs(units), 1), 6) > 0.05
     union all select ticker, fiscal_period, filing_type, 'sales_cover_revenue' from wide_f where filing_type = '10-Q' and revenue > gross_sales and round(abs(revenue - gross_sales) / greatest(abs(gross_sales), 1), 6) > 0.05""", FACTS, WIDE,
 )
-P.add("m14_anomalies", lambda s, d: audit.anomalies(facts(s, d)).groupBy("kind", "severity").agg(F.count("*").alias("n")))
+P.add("m14_anomalies", lambda s, d: audit.anomalies(facts(s, d)))
 P.add(
     "g9_persistable", lambda s, d: audit.persistable(log(s, d).select((F.col("event_id") % 20).alias("doc_id"), F.col("method").alias("metric"), F.lit("FY2024").alias("fiscal_period"), F.col("latency").alias("value"), F.col("event_id").alias("position")), s.createDataFrame([("Click", "engagement"), ("view", "engagement")], "name string, canonical string")),
     "with m as (select event_id % 20 as doc_id, case when event_type in ('click', 'view') then 'engagement' else event_type end as canonical, event_type in ('click', 'view') as resolved, value, event_id from events) select doc_id, canonical, 'FY2024' as fiscal_period, value, resolved from m qualify row_number() over (partition by doc_id, canonical order by event_id) = 1",
@@ -83,18 +85,45 @@ P.add(
 )
 P.add("i13_severity", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", narrative.severity(F.col("content"), ["the of"], ["tion", "und"]).alias("severity")), "select doc_id, chunk_index, case when contains(lower(content), 'the of') then 'RED_FLAG' when contains(lower(content), 'tion') or contains(lower(content), 'und') then 'AMBER' else 'GREEN_CHALLENGE' end as severity from chunks", CHUNKS)
 P.add("i14_footnotes", lambda s, d: narrative.footnotes(table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))), "select page_id as id, case when contains(lower(html), 'polic') then 'policy' when contains(lower(html), 'segment') then 'segment' when contains(lower(html), 'reconcil') then 'reconciliation' else 'other' end as kind, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>'))::int as items from pages")
-P.add("i15_latest_pair", lambda s, d: narrative.latest_pair(chunks(s, d).filter("chunk_index = 0"), ["ticker", "section_type"]).select("ticker", "section_type", "new_date", "old_date"), "with k as (select distinct ticker, section_type, filing_date, dense_rank() over (partition by ticker, section_type order by filing_date desc) as k from chunks) select a.ticker, a.section_type, a.filing_date as new_date, b.filing_date as old_date from k a join k b on b.ticker = a.ticker and b.section_type = a.section_type and a.k = 1 and b.k = 2", CHUNKS)
-P.add("i5_concept_change", lambda s, d: narrative.concept_change(narrative.latest_pair(chunks(s, d).filter("chunk_index = 0"), ["ticker", "section_type"]), ["the"], ["of"], ["tion"]).groupBy("changed").agg(F.count("*").alias("n")))
-P.add("i8_trends", lambda s, d: narrative.trends(chunks(s, d).withColumn("content", F.concat("content", F.lit(" Revenue increased by 12% and margin fell 3 percent"))), ["revenue", "margin"]).select("ticker", "metric", "direction", "magnitude"), "select distinct ticker, unnest(['revenue', 'margin']) as metric, unnest(['up', 'down']) as direction, unnest([12.0, 3.0])::double as magnitude from chunks", CHUNKS)
-P.add("i9_drivers", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", F.array_join(narrative.drivers(F.concat(F.lit("It fell due to lower demand abroad. Also driven by lower demand abroad. "), "content")), "|").alias("drivers")).filter("chunk_index = 0"), "select doc_id, chunk_index, 'lower demand abroad' as drivers from chunks where chunk_index = 0", CHUNKS)
-P.add("i11_guidance", lambda s, d: narrative.guidance(chunks(s, d).filter("chunk_index = 0").withColumn("content", F.concat(F.lit("We expect strong growth. "), "content")), ["strong", "growth"], ["weak"]).select("doc_id", "guidance", "tone"), "select doc_id, 'We expect strong growth.' as guidance, 'positive' as tone from chunks where chunk_index = 0", CHUNKS)
-P.add("c20_diff_paragraphs", lambda s, d: (lambda c: narrative.diff_paragraphs(c.select("doc_id", F.col("text").alias("content")), c.select("doc_id", F.concat(F.lit("brand new opening line here\n"), F.col("text")).alias("content")), "doc_id", r"\n"))(table(s, d, "documents").filter("lang = 'en'")).groupBy("change").agg(F.count("*").alias("n")))
-P.add("k3_filtered_vectors", lambda s, d: search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d).filter("metric = 1"), 3).select("query_id", "id"), "select query_id, id from (select * from cosx where metric = 1) qualify row_number() over (partition by query_id order by score desc, id) <= 3", COS)
-P.add("k8_embed_missing", lambda s, d: narrative.embed_missing(chunks(s, d).filter("chunk_index = 0").select("doc_id", "content", F.lit(None).cast("array<float>").alias("v")), _lengths).select("doc_id", F.col("v")[0].cast("int").alias("n")), "select doc_id, length(content)::int as n from chunks where chunk_index = 0", CHUNKS)
+P.add("i15_latest_pair", lambda s, d: narrative.latest_pair(chunks(s, d), ["ticker", "section_type"]).select("ticker", "section_type", "new_date", "old_date"), "with k as (select distinct ticker, section_type, filing_date, dense_rank() over (partition by ticker, section_type order by filing_date desc) as k from chunks) select a.ticker, a.section_type, a.filing_date as new_date, b.filing_date as old_date from k a join k b on b.ticker = a.ticker and b.section_type = a.section_type and a.k = 1 and b.k = 2", CHUNKS)
+P.add(
+    "i5_concept_change", lambda s, d: narrative.concept_change(narrative.latest_pair(chunking.assemble_sections(chunks(s, d), 0), ["ticker", "section_type"]), ["the"], ["of"], ["tion"]).select("ticker", "section_type", "similarity", "tone", "changed"),
+    r"""with g as (select ticker, section_type, filing_date, doc_id, string_agg(trim(content), ' ' order by chunk_index) as c from chunks group by 1, 2, 3, 4), k as (select *, dense_rank() over (partition by ticker, section_type order by filing_date desc) as k from g), f as (select * from k where k <= 2 qualify row_number() over (partition by ticker, section_type, k order by doc_id) = 1),
+    w as (select ticker, section_type, k, list_distinct(list_filter(string_split_regex(lower(c), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2)) as w, greatest(0, least(10, floor(5 + 2 * contains(lower(c), 'the')::int - 1.5 * contains(lower(c), 'of')::int - 2 * contains(lower(c), 'tion')::int + 0.5)::int)) as q from f),
+    s as (select a.ticker, a.section_type, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 1 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double end, 6) as similarity, a.q - b.q as tone from w a join w b on b.ticker = a.ticker and b.section_type = a.section_type and a.k = 1 and b.k = 2) select *, similarity < 0.85 or abs(tone) >= 2 as changed from s""", CHUNKS,
+)
+SAID = "case doc_id % 4 when 0 then ' Revenue increased by ' || (doc_id % 90 + 1) || '% then' when 1 then ' margin FELL ' || (doc_id % 50 + 1) || '.5 percent' when 2 then ' Revenue was flat and margin rose ' || (doc_id % 9 + 1) || ' %.' else ' revenue changed by 7%' end"
+P.add(
+    "i8_trends", lambda s, d: narrative.trends(chunks(s, d).withColumn("content", F.concat("content", F.expr(SAID))), ["revenue", "margin"]).select("ticker", "metric", "direction", "magnitude"),
+    f"""with c as (select ticker, doc_id, chunk_index, {SAID} as t from chunks), h as (select *, lower(regexp_extract(t, '(?i)(revenue|margin)\\s+(increased|fell|rose)', 1)) as metric, lower(regexp_extract(t, '(?i)(revenue|margin)\\s+(increased|fell|rose)', 2)) as verb, try_cast(regexp_extract(t, '([0-9.]+)\\s?(%|percent)', 1) as double) as magnitude from c)
+    select ticker, metric, case when verb = 'fell' then 'down' else 'up' end as direction, magnitude from h where metric <> '' qualify row_number() over (partition by ticker, metric order by doc_id, chunk_index) = 1""", CHUNKS,
+)
+CAUSE = "case doc_id % 3 when 0 then 'It fell due to lower demand in area ' || (doc_id % 17) || '. ' when 1 then 'Mostly driven by cost. As a result of new prices in ' || (doc_id % 5) || '; ' else '' end"
+P.add(
+    "i9_drivers", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", F.array_join(narrative.drivers(F.concat(F.expr(CAUSE), F.col("content"))), "|").alias("drivers")),
+    f"select doc_id, chunk_index, array_to_string(list_transform(regexp_extract_all({CAUSE} || content, '(?i)(?:due to|driven by|as a result of|attributable to)\\s+([^.;]{{10,200}})[.;]', 1), lambda x: trim(x)), '|') as drivers from chunks", CHUNKS,
+)
+HOPE = "case doc_id % 4 when 0 then 'We expect strong growth. ' when 1 then 'Outlook is weak and weak demand. ' when 2 then 'The guidance is strong, not weak. ' else 'Nothing here. ' end"
+P.add(
+    "i11_guidance", lambda s, d: narrative.guidance(chunks(s, d).withColumn("content", F.concat(F.expr(HOPE), F.col("content"))), ["strong", "growth"], ["weak"]).select("doc_id", "chunk_index", "guidance", "tone"),
+    f"""with g as (select doc_id, chunk_index, trim(regexp_extract({HOPE} || content, '(?i)([^.]*\\b(?:expect|anticipate|outlook|guidance|forecast)\\w*\\b[^.]*\\.)', 1)) as guidance from chunks), t as (select *, string_split_regex(lower(guidance), '[^a-z]+') as w from g where guidance <> ''), n as (select *, len(list_filter(w, lambda x: x in ('strong', 'growth'))) as p, len(list_filter(w, lambda x: x = 'weak')) as n from t)
+    select doc_id, chunk_index, guidance, case when p > 1.5 * n then 'positive' when n > 1.5 * p then 'negative' else 'neutral' end as tone from n""", CHUNKS,
+)
+P.add("c20_diff_paragraphs", lambda s, d: (lambda c: narrative.diff_paragraphs(c.select("doc_id", F.col("text").alias("content")), c.select("doc_id", F.concat(F.lit("brand new opening line here\n"), F.col("text")).alias("content")), "doc_id", r"\n"))(table(s, d, "documents")).groupBy("change").agg(F.count("*").alias("n")))
+P.add(
+    "k3_filtered_vectors", lambda s, d: (lambda v: search.vector_search(v.filter("id % 100 = 0").withColumn("section", F.when(F.col("id") / 100 % 3 < 2, F.col("section")).otherwise("none")).withColumn("subsection", F.when(F.col("id") / 100 % 3 < 1, F.col("subsection")).otherwise("none")), v, 3).select("query_id", "id", "stage"))(vectors(s, d).select("id", "v", F.col("metric").cast("string").alias("section"), (F.col("id") % 2).cast("string").alias("subsection"))),
+    """with p as (select *, (query_id // 100) % 3 as kind, (select any_value(label) from embeddings e where e.vec_id = query_id) as own from cosx), c as (select query_id, id, score, case when kind = 0 and metric = own and id % 2 = query_id % 2 then 1 when kind < 2 and metric = own then 2 else 3 end as stage from p),
+    f as (select query_id, min(stage) as stage from c group by 1) select query_id, id, f.stage from c join f using (query_id) where c.stage <= f.stage qualify row_number() over (partition by query_id order by score desc, id) <= 3""", COS,
+)
+P.add("k8_embed_missing", lambda s, d: narrative.embed_missing(chunks(s, d).select("doc_id", "chunk_index", "content", F.when(F.col("chunk_index") % 2 == 1, F.array(F.lit(-1.0).cast("float"))).alias("v")), _lengths).select("doc_id", "chunk_index", F.col("v")[0].cast("int").alias("n")), "select doc_id, chunk_index, case when chunk_index % 2 = 1 then -1 else length(content)::int end as n from chunks", CHUNKS)
 P.add("a9_upsert_insiders", lambda s, d: (lambda i: __import__("tallyfold.sources.tables", fromlist=["x"]).upsert(i.filter("code <> '1'"), i.filter("code in ('1', '2')").withColumn("amount", F.lit(0.0)), ["ticker", "accession"]))(insiders(s, d)), "select ticker, accession, transaction_date, code, case when code in ('1', '2') then 0 else amount end as amount from insiders", INSIDERS)
 P.add("a10_filing_counts", lambda s, d: filings(s, d).join(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("accession")).agg(F.count("*").alias("metrics_count")), "accession", "left").select("accession", F.coalesce("metrics_count", F.lit(0)).alias("metrics_count"), F.col("metrics_count").isNotNull().alias("processed")), "with n as (select l_orderkey as accession, count(*) as c from lineitem group by 1) select accession, coalesce(c, 0) as metrics_count, c is not null as processed from filings left join n using (accession)", FILINGS)
 P.add("b14_insider_codes", lambda s, d: insiders(s, d).groupBy("code").agg(F.count("*").alias("n")), "select code, count(*) as n from insiders group by 1", INSIDERS)
-P.add("h25_quality_bands", lambda s, d: table(s, d, "documents").select(op.band_label(op.text_quality(F.col("text")), [(0.8, None, "good"), (None, 0.8, "poor")]).alias("band")).groupBy("band").agg(F.count("*").alias("n")))
+P.add("h25_quality_bands", lambda s, d: table(s, d, "documents").select("doc_id", op.band_label(op.text_quality(F.col("text")), [(0.8, None, "good"), (None, 0.8, "poor")]).alias("band")), "select doc_id, case when issues <= 1 then 'good' else 'poor' end as band from quality", QUALITY)
+P.add("h30_industry_parent", lambda s, d: fo.industry_of(facts(s, d).filter("filing_type = '10-K'"), table(s, d, "supplier").filter("s_nationkey < 20").select(F.upper("s_name").alias("ticker"), F.concat(F.lit("i"), "s_nationkey").alias("industry"))).withColumn("parent", fo.parent_metric(F.col("metric"), RULES)).select("ticker", "metric", "fiscal_period", "industry", "parent", fo.indent_of(F.col("metric"), F.col("parent")).alias("indent")),
+      "with p as (select ticker, metric, fiscal_period, coalesce('i' || s_nationkey, 'other') as industry, case when metric in ('cost_of_revenue', 'gross_sales') then 'revenue' when metric in ('operating_expenses', 'income_tax_expense') then 'net_income' end as parent from facts left join supplier on s_name = ticker and s_nationkey < 20 where filing_type = '10-K') select *, case when parent is null then 0 else 1 end as indent from p", FACTS)
+P.add("a8_upsert_chunks", lambda s, d: (lambda c: tables.upsert(c, c.filter("chunk_index = 0").withColumn("content", F.lit("new")), ["doc_id", "filing_type", "section_type", "chunk_index"]).select("doc_id", "chunk_index", F.length("content").alias("n")))(chunks(s, d)), "select doc_id, chunk_index, case when chunk_index = 0 then 3 else length(content) end::int as n from chunks", CHUNKS)
+P.add("a12_replace_documents", lambda s, d: (lambda c: tables.replace_documents(c, c.filter("doc_id % 3 = 0 and chunk_index = 0"), c.filter("doc_id % 3 = 0 or doc_id % 5 = 0").select("doc_id")))(chunks(s, d).select("doc_id", "chunk_index")), "select doc_id, chunk_index from chunks where not (doc_id % 3 = 0 or doc_id % 5 = 0) or (doc_id % 3 = 0 and chunk_index = 0)", CHUNKS)
 
 
 def _lengths(texts):

@@ -28,7 +28,10 @@ P.add(
 P.add("h5_period_from_filing", lambda s, d: filings(s, d).select("accession", per.period_from_filing(F.col("form"), F.col("filing_date")).alias("period")), "select accession, case form when '10-K' then 'FY' || year(filing_date) when '10-Q' then 'Q' || quarter(filing_date) || '-' || year(filing_date) else strftime(filing_date, '%Y-%m') end as period from filings", FILINGS)
 P.add("h6_quarter_label", lambda s, d: filings(s, d).select("accession", per.quarter_label(F.col("filing_date")).alias("quarter")), "select accession, 'Q' || quarter(filing_date) || ' ' || year(filing_date) as quarter from filings", FILINGS)
 P.add("h9_keywords", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(op.keywords(F.col("p_name"), ["the"], 2), " ").alias("words")), "select p_partkey, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}\\s]', ' ', 'g')), '\\s+'), lambda x: len(x) > 2 and x <> 'the')[1:2], ' ') as words from part")
-P.add("h10_query_pattern", lambda s, d: filings(s, d).select(op.query_pattern(F.concat(F.lit("show AAA for "), F.year("filing_date"), F.lit(" and "), "accession"), ["AAA"]).alias("p")).groupBy("p").count(), None)
+P.add(
+    "h10_query_pattern", lambda s, d: filings(s, d).select(op.query_pattern(F.concat(F.lit("show AAA for "), F.year("filing_date"), F.lit(" and "), "accession"), ["AAA"]).alias("p")).groupBy("p").agg(F.count("*").alias("n")),
+    r"""with p as (select lower(regexp_replace(regexp_replace(regexp_replace('show AAA for ' || year(filing_date) || ' and ' || accession, '\bAAA\b', '[TICKER]', 'g'), '\b(19|20)[0-9]{2}\b', '[PERIOD]', 'g'), '\b[0-9]+\b', '[NUMBER]', 'g')) as p from filings) select p, count(*) as n from p group by 1""", FILINGS,
+)
 P.add("h11_lookup_key", lambda s, d: table(s, d, "part").select("p_partkey", op.lookup_key(F.col("p_type")).alias("key"), op.slug(F.col("p_type")).alias("slug")), "select p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') as key, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') as slug from part")
 P.add("h12_jaccard", lambda s, d: (lambda p: p.alias("a").join(p.alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("k"), F.round(op.jaccard(F.col("a.p_name"), F.col("b.p_name")), 6).alias("sim")))(table(s, d, "part")),
       """with w as (select p_partkey as k, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: len(x) > 2)) as w from part) select a.k, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 1 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double end, 6) as sim from w a join w b on b.k = a.k + 1""")
@@ -36,16 +39,31 @@ P.add("h13_cosine", lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.co
       "select a.vec_id as k, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cos from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 P.add("h14_label_agrees", lambda s, d: table(s, d, "part").select("p_partkey", label_agrees(F.col("p_type"), F.substring_index("p_type", " ", 1)).alias("agrees")), "select p_partkey, contains(regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g'), regexp_replace(lower(split_part(p_type, ' ', 1)), '[^a-z0-9]', '', 'g')) as agrees from part")
 P.add("h15_parse_number", lambda s, d: table(s, d, "part").select("p_partkey", op.parse_number(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("($")).otherwise("$ "), F.format_number("p_retailprice", 2), F.when(F.col("p_partkey") % 3 == 0, F.lit(")")).otherwise(""))).alias("v")), "select p_partkey, round(p_retailprice, 2) * case when p_partkey % 3 = 0 then -1 else 1 end as v from part")
-P.add("h17_reporting_unit", lambda s, d: table(s, d, "pages").select("page_id", op.reporting_unit(F.concat("html", F.lit(" (in thousands)"))).alias("unit")), "select page_id, 'thousands' as unit from pages")
+P.add(
+    "h17_reporting_unit", lambda s, d: table(s, d, "pages").select("page_id", op.reporting_unit(F.concat(F.substring(F.reverse("html"), 1, 40), F.lit(" In "), F.element_at(F.array(*map(F.lit, ("Thousands", "MILLIONS", "billions", "shares"))), (F.length("html") % 4 + 1).cast("int")))).alias("unit")),
+    "select page_id, case length(html) % 4 when 0 then 'thousands' when 1 then 'millions' when 2 then 'billions' else 'units' end as unit from pages",
+)
 P.add("h18_statement_type", lambda s, d: facts(s, d).select("metric", op.statement_type(F.col("metric")).alias("kind")).distinct(), "select distinct metric, case when metric = 'units' then 'other' else 'income_statement' end as kind from facts", FACTS)
 P.add("h19_format_value", lambda s, d: facts(s, d).filter("filing_type = '10-K'").select("ticker", "metric", "fiscal_period", op.format_value(F.col("value")).alias("text"), op.metric_label(F.col("metric")).alias("label")).groupBy("metric", "label").agg(F.count("text").alias("n")), "select metric, case metric when 'revenue' then 'Revenue' when 'units' then 'Units' when 'gross_sales' then 'Gross Sales' when 'cost_of_revenue' then 'Cost Of Revenue' when 'operating_expenses' then 'Operating Expenses' when 'income_tax_expense' then 'Income Tax Expense' else 'Net Income' end as label, count(*) as n from facts where filing_type = '10-K' group by 1", FACTS)
 P.add("h20_metric_format", lambda s, d: facts(s, d).select("metric", op.metric_format(F.col("metric")).alias("format")).distinct(), "select distinct metric, case when metric = 'units' then 'number' else 'currency' end as format from facts", FACTS)
 P.add("h21_band_label", lambda s, d: table(s, d, "part").select("p_partkey", op.band_label(F.col("p_size"), [(40, None, "large"), (20, 40, "medium"), (None, 20, "small")]).alias("band")), "select p_partkey, case when p_size >= 40 then 'large' when p_size >= 20 then 'medium' else 'small' end as band from part")
 P.add("h22_relevance", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", op.relevance(F.col("content"), "the of", ["the", "of"], F.col("chunk_index")).alias("score")), "select doc_id, chunk_index, round(greatest(0.1, least(0.95, 0.3 + case when contains(lower(content), 'the of') then 0.4 else 0 end + 0.2 * (contains(lower(content), 'the')::int + contains(lower(content), 'of')::int) / 2 - 0.02 * chunk_index + case when length(content) > 1000 then 0.05 else 0 end))::double, 6) as score from chunks", CHUNKS)
 P.add("h23_token_estimate", lambda s, d: table(s, d, "documents").select("doc_id", op.token_estimate(F.col("text")).alias("tokens")), "select doc_id, ceil(length(text) / 4.0)::bigint as tokens from documents")
-P.add("h24_clean_text", lambda s, d: table(s, d, "pages").select("page_id", F.length(op.clean_text(F.col("html"))).alias("n")), None)
-P.add("h25_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", op.text_quality(F.col("text")).alias("quality")), None)
-P.add("h26_grounded", lambda s, d: table(s, d, "part").select("p_partkey", op.grounded(F.col("p_retailprice"), F.concat(F.lit("cost "), F.format_number("p_retailprice", 0))).alias("sure")), "select p_partkey, 1.0::double as sure from part")
+P.add(
+    "h24_clean_text", lambda s, d: table(s, d, "pages").select("page_id", F.md5(op.clean_text(F.col("html"))).alias("key")),
+    r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g') as t from pages),
+    b as (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b', ' ', 'g'), '\b[0-9]{10,}\b', ' ', 'g'), '[\x00-\x1F\x7F]', ' ', 'g') as t from a) select page_id, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) as key from b""",
+)
+QUALITY = r"""quality as (
+  select doc_id, coalesce((length(text) - length(regexp_replace(text, '[^\p{L}\p{N}\s.,;:!?''"()-]', '', 'g')))::double / nullif(length(text), 0) > 0.1, true)::int
+    + coalesce(len(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_full_match(x, '\p{L}')))::double / len(string_split_regex(trim(text), '\s+')) > 0.3, true)::int
+    + coalesce(length(text) < 100, true)::int + coalesce(not regexp_matches(text, '\s'), true)::int as issues from documents
+)"""
+P.add("h25_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", op.text_quality(F.col("text")).cast("double").alias("quality")), "select doc_id, round(1 - 0.2 * issues, 2)::double as quality from quality", QUALITY)
+P.add(
+    "h26_grounded", lambda s, d: table(s, d, "part").select("p_partkey", op.grounded(F.col("p_retailprice"), F.concat(F.lit("cost "), F.when(F.col("p_size") % 3 == 0, F.format_number("p_retailprice", 0)).when(F.col("p_size") % 3 == 1, F.concat(F.format_number(F.col("p_retailprice") / 1000, 0), F.lit(" thousand"))).otherwise("nothing"))).alias("sure")),
+    "select p_partkey, case p_size % 3 when 0 then 1.0 when 1 then 0.7 else 0.0 end::double as sure from part",
+)
 P.add("h27_content_key", lambda s, d: table(s, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("key")), "select doc_id, substring(sha256(text), 1, 16) as key from documents")
 P.add("h29_section_title", lambda s, d: chunks(s, d).select(op.section_title(F.concat(F.lit("item_"), "section_type")).alias("title")).distinct(), "select distinct 'Item ' || upper(section_type[1]) || section_type[2:] as title from chunks", CHUNKS)
 P.add("h31_excerpt", lambda s, d: table(s, d, "documents").select("doc_id", op.excerpt(F.col("text"), "the", 20).alias("excerpt")), "select doc_id, case when instr(lower(text), 'the') > 0 then substring(text, greatest(instr(lower(text), 'the') - 20, 1), 43) else substring(text, 1, 40) end as excerpt from documents")
@@ -59,8 +77,15 @@ KEYS = ["ticker", "section_type"]
 P.add("b12_validate_chunks", lambda s, d: op.validate_chunks(chunks(s, d)).groupBy("errors", "warnings").agg(F.count("*").alias("n")), "select '' as errors, case when length(content) < 100 then 'short' when length(content) > 8000 then 'long' else '' end as warnings, count(*) as n from chunks group by 2", CHUNKS)
 P.add("b5_query_chunks", lambda s, d: chunks(s, d).filter(F.lower("content").contains("the of") & (F.col("section_type") == "en")).orderBy(F.desc("filing_date"), "doc_id", "chunk_index").limit(50).select("doc_id", "chunk_index"), "select doc_id, chunk_index from chunks where contains(lower(content), 'the of') and section_type = 'en' order by filing_date desc, doc_id, chunk_index limit 50", CHUNKS)
 P.add("b15_scope_chunks", lambda s, d: chunks(s, d).filter("ticker = 'src1' and section_type = 'en' and filing_type = '10-K'").select("doc_id", "chunk_index"), "select doc_id, chunk_index from chunks where ticker = 'src1' and section_type = 'en' and filing_type = '10-K'", CHUNKS)
-P.add("i1_sentiment", lambda s, d: op.sentiment(chunks(s, d), POS, NEG, KEYS), None)
-P.add("i2_sentiment_delta", lambda s, d: op.sentiment_delta(op.sentiment(chunks(s, d), POS, NEG, ["ticker", "filing_date"]), ["ticker"]), None)
+BANDS = "case when score >= 0.5 then 'very positive' when score >= 0.1 then 'positive' when score >= -0.1 then 'neutral' when score >= -0.5 then 'negative' else 'very negative' end as label"
+TOKENS = r"string_split_regex(lower(content), '[^\\p{L}\\p{N}_]+')".replace("\\\\", "\\")
+TONE = f"toned as (select *, len(list_filter({TOKENS}, lambda x: x in ('the', 'der', 'les'))) as p, len(list_filter({TOKENS}, lambda x: x in ('of', 'und', 'la'))) as n from chunks)"
+P.add("i1_sentiment", lambda s, d: op.sentiment(chunks(s, d), POS, NEG, KEYS), f"with g as (select ticker, section_type, sum(p)::bigint as pos, sum(n)::bigint as neg from toned group by 1, 2), s as (select *, round((pos - neg) / greatest(pos + neg, 1)::double, 6) as score from g) select *, {BANDS} from s", CHUNKS, TONE)
+P.add(
+    "i2_sentiment_delta", lambda s, d: op.sentiment_delta(op.sentiment(chunks(s, d), POS, NEG, ["ticker", "filing_date"]), ["ticker"]),
+    f"""with g as (select ticker, filing_date, sum(p)::bigint as pos, sum(n)::bigint as neg from toned group by 1, 2), s as (select *, round((pos - neg) / greatest(pos + neg, 1)::double, 6) as score from g), l as (select *, {BANDS} from s qualify row_number() over (partition by ticker order by filing_date desc) <= 4),
+    t as (select *, round(score - lag(score) over (partition by ticker order by filing_date), 6) as delta from l) select *, abs(delta) > 0.3 as material, case when delta > 0.1 then 'up' when delta < -0.1 then 'down' else 'flat' end as direction from t where delta is not null""", CHUNKS, TONE,
+)
 P.add("i3_qualifiers", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", op.qualifiers(F.col("content"), ["the"], ["of", "und"], ["tion"]).alias("intensity")), "select doc_id, chunk_index, greatest(0, least(10, floor(5 + 2 * contains(lower(content), 'the')::int - 1.5 * (contains(lower(content), 'of')::int + contains(lower(content), 'und')::int) - 2 * contains(lower(content), 'tion')::int + 0.5)::int)) as intensity from chunks", CHUNKS)
 P.add("i4_defensive", lambda s, d: chunks(s, d).select("doc_id", "chunk_index", op.defensive(F.col("content"), ["the", "of", "tion", "es"]).alias("score")), "select doc_id, chunk_index, least(10, 2 * (contains(lower(content), 'the')::int + contains(lower(content), 'of')::int + contains(lower(content), 'tion')::int + contains(lower(content), 'es')::int)) as score from chunks", CHUNKS)
 P.add(
@@ -69,8 +94,16 @@ P.add(
 )
 P.add("i7_credibility", lambda s, d: op.credibility(op.forward_looking(chunks(s, d), {"strong": "the of", "weak": "tion"}), s.createDataFrame([("src1",), ("src1",)], "ticker string")),
       "with s as (select ticker, trim(unnest(string_split_regex(content, '[.!?]+'))) as s from chunks), c as (select ticker, count(*) filter (where lower(s) like '%the of%') as strong, count(*) filter (where lower(s) not like '%the of%') as weak from s where length(s) > 20 and (lower(s) like '%the of%' or lower(s) like '%tion%') group by 1), w as (select *, case when ticker = 'src1' then 2 else 0 end::bigint as walked from c) select *, round(greatest(0, least(100, case when strong = 0 then 50 else (strong - walked) / strong::double * 100 end)), 4) as score from w", CHUNKS)
-P.add("i10_risks", lambda s, d: op.risks(chunks(s, d), ["risk", "the"], ["of"]).groupBy("severity").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("titles")), None)
-P.add("e24_tone_shift", lambda s, d: op.tone_shift(chunks(s, d), ["the", "of", "der"], 1), None)
+P.add(
+    "i10_risks", lambda s, d: op.risks(chunks(s, d), ["risk", "the"], ["of"]),
+    r"""with s as (select ticker, trim(unnest(string_split_regex(content, '[.!?]+'))) as s from chunks), w as (select *, string_split_regex(lower(s), '[^\p{L}\p{N}_]+') as w from s where length(s) > 20), r as (select ticker, substring(lower(array_to_string(string_split_regex(s, '\s+')[1:8], ' ')), 1, 50) as title, case when list_contains(w, 'of') then 2 else 1 end as level from w where list_has_any(w, ['risk', 'the']))
+    select ticker, title, count(*) as mentions, max(level) as severity from r group by 1, 2""", CHUNKS,
+)
+P.add(
+    "e24_tone_shift", lambda s, d: op.tone_shift(chunks(s, d), ["the", "of", "der"], 1),
+    f"""with d as (select *, dense_rank() over (partition by ticker order by filing_date desc) as k from chunks), c as (select ticker, k, {TOKENS} as w from d where k <= 2), n as (select ticker, word, sum(case when k = 1 then len(list_filter(w, lambda x: x = word)) else 0 end)::bigint as now, sum(case when k = 2 then len(list_filter(w, lambda x: x = word)) else 0 end)::bigint as before from c, (values ('the'), ('of'), ('der')) v(word) group by 1, 2)
+    select *, now - before as change from n where abs(now - before) >= 1""", CHUNKS,
+)
 P.add("e28_budget", lambda s, d: search.budget(chunks(s, d).select(F.col("ticker").alias("query_id"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), F.round(1.0 / (1 + F.col("chunk_index")), 6).alias("score"), "content"), 2000).select("query_id", "id", "running"),
       "with h as (select ticker as query_id, doc_id * 1000 + chunk_index as id, round(1.0 / (1 + chunk_index), 6) as score, ceil(length(content) / 4.0)::bigint as t from chunks) select query_id, id, (sum(t) over (partition by query_id order by score desc, id))::bigint as running from h qualify running <= 2000", CHUNKS)
 
@@ -89,16 +122,42 @@ P.add("q2_new_sections", lambda s, d: changes.new_sections(*two_sides(s, d)), "w
 P.add("q3_risk_focus", lambda s, d: changes.risk_focus(*reversed(two_sides(s, d)), ["the", "tion"]),
       """with a as (select ticker, count(*) as n, count(*) filter (where contains(lower(content), 'the')) as w1, count(*) filter (where contains(lower(content), 'tion')) as w2 from chunks where filing_date >= date '2021-01-01' group by 1), b as (select ticker, count(*) as n, count(*) filter (where contains(lower(content), 'the')) as w1, count(*) filter (where contains(lower(content), 'tion')) as w2 from chunks where filing_date < date '2021-01-01' group by 1)
       select ticker, 'the' as word, a.w1 as old, b.w1 as new from a join b using (ticker) where b.n > a.n and b.w1 > 1.5 * a.w1 union all select ticker, 'tion', a.w2, b.w2 from a join b using (ticker) where b.n > a.n and b.w2 > 1.5 * a.w2""", CHUNKS)
-P.add("q4_keyword_changes", lambda s, d: changes.keyword_changes(*two_sides(s, d), ["the", "of", "und"]), None)
+P.add(
+    "q4_keyword_changes", lambda s, d: changes.keyword_changes(*two_sides(s, d), ["the", "of", "und"]),
+    f"""with c as (select ticker, filing_date >= date '2021-01-01' as late, {TOKENS} as w from chunks), n as (select ticker, word, late, sum(len(list_filter(w, lambda x: x = word)))::bigint as n from c, (values ('the'), ('of'), ('und')) v(word) group by 1, 2, 3),
+    j as (select a.ticker, a.word, a.n as old, b.n as new, round((b.n - a.n) / a.n::double * 100, 4) as pct from n a join n b on b.ticker = a.ticker and b.word = a.word and b.late and not a.late where a.n > 0) select *, case when abs(pct) > 100 then 'medium' else 'low' end as materiality from j where abs(pct) > 50""", CHUNKS,
+)
 P.add("q5_tone_class_shift", lambda s, d: changes.tone_class_shift(*two_sides(s, d), ["the"], ["tion"]),
       """with t as (select ticker, filing_date >= date '2021-01-01' as late, sum(contains(lower(content), 'the')::int) as p, sum(contains(lower(content), 'tion')::int) as n from chunks group by 1, 2), c as (select ticker, late, case when p > 1.2 * n then 'positive' when n > 1.2 * p then 'negative' else 'neutral' end as k from t)
       select a.ticker, a.k as old, b.k as new from c a join c b on b.ticker = a.ticker and b.late and not a.late where a.k <> b.k""", CHUNKS)
 P.add("q6_accounting_mentions", lambda s, d: changes.accounting_mentions(chunks(s, d), ["zzz", "ation", "und"]),
       """with w as (select *, case when contains(lower(content), 'ation') then 'ation' when contains(lower(content), 'und') then 'und' end as word from chunks), a as (select *, instr(lower(content), word) as pos from w where word is not null)
       select doc_id, chunk_index, word, substring(content, greatest(pos - 100, 1), pos - greatest(pos - 100, 1) + 200) as context from a""", CHUNKS)
-P.add("q7_change_summary", lambda s, d: changes.change_summary(changes.metric_changes(facts(s, d), "FY1998", "FY2001")), None)
-P.add("c19_align_sections", lambda s, d: (lambda x: changes.align_sections(x.filter("doc_id < 40").select(F.concat("section_type", F.col("doc_id") % 20).alias("section_type"), "content"), x.filter("doc_id between 50 and 75").select(F.concat("section_type", F.col("doc_id") % 20).alias("section_type"), "content")))(chunks(s, d).filter("chunk_index = 0")).groupBy("change").agg(F.count("*").alias("n")), None)
-P.add("g5_term_delta", lambda s, d: (lambda x: x.alias("a").join(x.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1).select(F.col("a.doc_id").alias("doc_id"), changes.term_delta(F.col("a.text"), F.col("b.text"), ["these"]).alias("t")).select("doc_id", "t.*"))(table(s, d, "documents").filter("lang = 'en'")), None)
+P.add(
+    "q7_change_summary", lambda s, d: changes.change_summary(changes.metric_changes(facts(s, d), "FY1998", "FY2001")),
+    """with j as (select coalesce(a.ticker, b.ticker) as ticker, coalesce(a.metric, b.metric) as metric, a.value as o, b.value as n, round((b.value - a.value) / nullif(abs(a.value), 0) * 100, 4) as pct from (select * from facts where fiscal_period = 'FY1998') a full join (select * from facts where fiscal_period = 'FY2001') b using (ticker, metric)),
+    c as (select *, case when n is null then 'discontinued' when o is null then 'new' when abs(pct) > 20 then 'changed' end as change from j), m as (select change, case when change = 'discontinued' then 'high' when change = 'new' then 'medium' when abs(pct) > 50 then 'high' else 'medium' end as materiality from c where change is not null)
+    select change, materiality, count(*) as n from m group by grouping sets ((change), (materiality), ())""", FACTS,
+)
+def whole(s, d):
+    """Whole documents as sections: even ids are the earlier filing, odd ones the later;
+    some sections have one side only, some are taken over unchanged."""
+    x = table(s, d, "documents").filter("text is not null").select(F.floor(F.col("doc_id") / 2).cast("string").alias("section_type"), "doc_id", F.col("text").alias("content"))
+    old, new = x.filter("doc_id % 2 = 0 and doc_id % 7 <> 0"), x.filter("doc_id % 2 = 1 and doc_id % 5 <> 0")
+    taken = x.filter("doc_id % 22 = 0").withColumn("section_type", F.concat(F.lit("t"), "section_type"))
+    return old.unionByName(taken), new.unionByName(taken)
+
+
+P.add(
+    "c19_align_sections", lambda s, d: changes.align_sections(*whole(s, d)).select("section_type", "change"),
+    """with x as (select (doc_id // 2)::varchar as k, doc_id, text from documents where text is not null), t as (select 't' || k as k, doc_id, text from x where doc_id % 22 = 0), o as (select * from x where doc_id % 2 = 0 and doc_id % 7 <> 0 union all select * from t), n as (select * from x where doc_id % 2 = 1 and doc_id % 5 <> 0 union all select * from t)
+    select coalesce(o.k, n.k) as section_type, case when o.k is null then 'added' when n.k is null then 'removed' when o.text = n.text then 'unchanged' else 'modified' end as change from o full join n on n.k = o.k""",
+)
+P.add(
+    "g5_term_delta", lambda s, d: (lambda x: x.alias("a").join(x.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1).select(F.col("a.doc_id").alias("doc_id"), changes.term_delta(F.col("a.text"), F.col("b.text"), ["these"]).alias("t")).select("doc_id", "t.*"))(table(s, d, "documents")),
+    r"""with f as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) > 4 and w <> 'these') as f from documents), t as (select doc_id, list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda p: list_position(f, p[1]) = p[2]), lambda p: p[1])[1:50] as t from f)
+    select a.doc_id, array_to_string(list_filter(b.t, lambda x: not list_contains(a.t, x))[1:10], ',') as added, array_to_string(list_filter(a.t, lambda x: not list_contains(b.t, x))[1:10], ',') as removed from t a join t b on b.doc_id = a.doc_id + 1""",
+)
 
 # --- chunking ------------------------------------------------------------------------
 
@@ -108,7 +167,11 @@ P.add("j2_chunk_chars", lambda s, d: chunking.chunk_chars(table(s, d, "documents
 P.add("j3_chunk_words", lambda s, d: chunking.chunk_words(table(s, d, "documents"), 100, 20).select("doc_id", "chunk_index", F.md5("content").alias("key")),
       "with w as (select doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from documents), n as (select doc_id, w, unnest(range(0, greatest((len(w) - 21) // 80, 0) + 1))::int as chunk_index from w) select doc_id, chunk_index, md5(array_to_string(w[chunk_index * 80 + 1 : chunk_index * 80 + 100], ' ')) as key from n")
 P.add("j4_chunk_sentences", lambda s, d: chunking.chunk_sentences(table(s, d, "documents"), 500).groupBy("doc_id").agg(F.count("*").alias("n")), None)
-P.add("j5_marker_sections", lambda s, d: chunking.marker_sections(table(s, d, "documents"), ["the of", "tion the"], 5).select("doc_id", "section", "at"), None)
+P.add(
+    "j5_marker_sections", lambda s, d: chunking.marker_sections(table(s, d, "documents"), ["the of", "tion the"], 5).select("doc_id", "section", "at"),
+    r"""with f as (select doc_id, text, unnest(['the of', 'tion the']) as section from documents), a as (select *, instr(lower(text), section) as p from f), m as (select *, lead(p) over (partition by doc_id order by p, section) as nxt from a where p > 0), c as (select *, substring(text, p, coalesce(nxt, length(text) + 1) - p) as content from m)
+    select doc_id, section, p as "at" from c where len(string_split(trim(regexp_replace(content, '\s+', ' ', 'g')), ' ')) >= 5""",
+)
 P.add("j6_speaker_turns", lambda s, d: chunking.speaker_turns(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).alias("line_no"), F.concat("role", F.lit(":")).alias("line")).unionByName(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2 + 1).alias("line_no"), F.col("text").alias("line"))), r"^(user|assistant|system):$").select("doc_id", "turn", "speaker", F.md5("content").alias("key")),
       "select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as turn, role as speaker, md5(role || ':' || chr(10) || text) as key from conversations")
 P.add("j7_split_call", lambda s, d: chunking.split_call(table(s, d, "documents"), {"the of": 0.9, "tion": 0.7, "x": 0.1}),
@@ -125,25 +188,45 @@ def vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("metric"))
 
 
-COS = "cosx as (select q.vec_id as query_id, c.vec_id as id, c.label as metric, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score from embeddings q, embeddings c where q.vec_id < 10 and c.vec_id <> q.vec_id)"
-P.add("f3_vector_top_k", lambda s, d: search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 5, 0.2).select("query_id", "id", F.round("score", 5).alias("score")), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, id, round(score, 5) as score from t where score >= 0.2", COS)
-P.add("f4_semantic_match", lambda s, d: search.semantic_match(vectors(s, d).filter("id < 10"), vectors(s, d), 3, 0.1).select("query_id", "metric", F.round("score", 5).alias("score")),
+COS = "cosx as (select q.vec_id as query_id, c.vec_id as id, c.label as metric, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score from embeddings q, embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)"
+P.add("f3_vector_top_k", lambda s, d: search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5, 0.2).select("query_id", "id", F.round("score", 5).alias("score")), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, id, round(score, 5) as score from t where score >= 0.2", COS)
+P.add("f4_semantic_match", lambda s, d: search.semantic_match(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 3, 0.1).select("query_id", "metric", F.round("score", 5).alias("score")),
       "with n as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 9), b as (select * from n where score >= 0.1 qualify row_number() over (partition by query_id, metric order by score desc, id) = 1) select query_id, metric, round(score, 5) as score from b qualify row_number() over (partition by query_id order by score desc, metric) <= 3", COS)
-P.add("g1_merge_hits", lambda s, d: (lambda h: search.merge_hits(h.filter("id % 2 = 0"), h.filter("id % 2 = 1"), 4).select("query_id", "id", "origin"))(search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 8)),
+P.add("g1_merge_hits", lambda s, d: (lambda h: search.merge_hits(h.filter("id % 2 = 0"), h.filter("id % 2 = 1"), 4).select("query_id", "id", "origin"))(search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 8)),
       "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 8), m as (select query_id, id, case when id % 2 = 1 then round(score + 0.1, 6) else score end as s, case when id % 2 = 1 then 'filing' else 'user' end as origin from t) select query_id, id, origin from m qualify row_number() over (partition by query_id order by s desc, origin, id) <= 4", COS)
-P.add("g2_merge_subqueries", lambda s, d: (lambda h: search.merge_subqueries(h.select((F.col("query_id") % 2).alias("query_id"), "id", "score", F.col("query_id").alias("priority")), 5).select("query_id", "id", "seen"))(search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 30)), None)
+P.add(
+    "g2_merge_subqueries", lambda s, d: (lambda h: search.merge_subqueries(h.select((F.col("query_id") / 100 % 2).cast("int").alias("query_id"), "id", "score", F.col("query_id").alias("priority")), 5).select("query_id", "id", "seen"))(search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 30)),
+    "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 30), m as (select (query_id / 100 % 2)::int as query_id, id, count(*)::int as seen, round(list_reduce(list(score order by t.query_id, score), lambda a, x: greatest(a, x) * 1.1::double), 6) as score from t group by 1, 2) select query_id, id, seen from m qualify row_number() over (partition by query_id order by score desc, id) <= 5", COS,
+)
 P.add("g6_dedupe_prefix", lambda s, d: search.dedupe_prefix(chunks(s, d)).select("doc_id", "chunk_index"), "select doc_id, chunk_index from chunks qualify row_number() over (partition by lower(trim(substring(content, 1, 100))) order by doc_id, chunk_index) = 1", CHUNKS)
 P.add("g7_dedupe_hash", lambda s, d: search.dedupe_hash(table(s, d, "documents").withColumn("tenant", F.col("lang"))).select("doc_id"), "select doc_id from documents qualify row_number() over (partition by lang, text order by doc_id desc) = 1")
 P.add("g8_new_hits", lambda s, d: (lambda c: search.new_hits(c.filter("chunk_index = 0"), c, ["ticker", "section_type", "chunk_index"]).select("doc_id", "chunk_index"))(chunks(s, d)), "select doc_id, chunk_index from chunks where (ticker, section_type, chunk_index) not in (select (ticker, section_type, chunk_index) from chunks where chunk_index = 0)", CHUNKS)
 P.add("c16_with_neighbours", lambda s, d: search.with_neighbours(chunks(s, d).filter("chunk_index = 1"), chunks(s, d), 900).select("doc_id", F.length("before").alias("b"), F.length("after").alias("a")),
       """with h as (select c.doc_id, ceil(length(c.content) / 4.0) as o, p.content as pc, n.content as nc from chunks c left join chunks p on p.doc_id = c.doc_id and p.chunk_index = 0 left join chunks n on n.doc_id = c.doc_id and n.chunk_index = 2 where c.chunk_index = 1),
       t as (select *, coalesce(ceil(length(pc) / 4.0), 0) as bt, coalesce(ceil(length(nc) / 4.0), 0) as nt from h) select doc_id, case when o + bt <= 900 then length(pc) end::int as b, case when o + case when o + bt <= 900 then bt else 0 end + nt <= 900 then length(nc) end::int as a from t""", CHUNKS)
-P.add("k1_search_chunks", lambda s, d: search.search_chunks(s.createDataFrame([(1, "the of", ["the", "tion"]), (2, "something else", ["und", "der"]), (3, "nothing", ["zzzzz"])], "query_id int, phrase string, terms array<string>"), chunks(s, d), 5).select("query_id", "stage").distinct(), None)
-P.add("k6_needs_follow_up", lambda s, d: search.needs_follow_up(search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 5)).select("query_id", "n", "follow_up"), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, count(*) as n, count(*) < 3 or avg(score) < 0.5 or var_pop(score) > 0.1 as follow_up from t group by 1", COS)
-P.add("k7_ann_top_k", lambda s, d: search.ann_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 5), None)
-P.add("c29_resolve_citations", lambda s, d: search.resolve_citations(s.createDataFrame([(1, "as [2] and [1], [2]"), (2, "[9] none"), (3, "[3]")], "query_id long, answer string"), search.vector_top_k(vectors(s, d).filter("id < 10"), vectors(s, d), 3).select("query_id", "rank", "id")),
-      "with t as (select query_id, id, row_number() over (partition by query_id order by score desc, id)::int as rank from cosx), m as (select * from (values (1, 0, 2), (1, 1, 1), (3, 0, 3)) v(query_id, position, rank)) select m.query_id::bigint as query_id, m.position::int as position, m.rank::int as rank, id from m join t on t.query_id = m.query_id and t.rank = m.rank where t.rank <= 3", COS)
-P.add("c32_retrieval_complete", lambda s, d: search.retrieval_complete(s.createDataFrame([(1, ["Supplier#000000001"]), (2, ["Supplier#000000001", "nobody"])], "query_id int, tickers array<string>"), facts(s, d)), None)
+def asked(s):
+    rows = [(1, "the of the ther", ["the", "tion"], None, None), (2, "something else", ["und", "der"], "de", None), (3, "nothing", ["zzzzz"], None, None), (4, "nothing", ["zzzzz"], None, "fr"), (5, "the", ["the"], "xx", None), (6, "of", ["the", "of"], "en", None)]
+    return s.createDataFrame(rows, "query_id int, phrase string, terms array<string>, section string, suggested string")
+
+
+P.add(
+    "k1_search_chunks", lambda s, d: search.search_chunks(asked(s), chunks(s, d), 5),
+    r"""with q as (select * from (values (1, 'the of the ther', ['the', 'tion'], null::varchar, null::varchar), (2, 'something else', ['und', 'der'], 'de', null), (3, 'nothing', ['zzzzz'], null, null), (4, 'nothing', ['zzzzz'], null, 'fr'), (5, 'the', ['the'], 'xx', null), (6, 'of', ['the', 'of'], 'en', null)) v(query_id, phrase, terms, section, suggested)),
+    w as (select doc_id, chunk_index, section_type, length(content) as n, lower(content) as c, list_distinct(string_split_regex(lower(content), '[^\p{L}\p{N}]+')) as w from chunks), m as (select query_id, doc_id, chunk_index, n, len(list_intersect(w, terms)) as matched, len(terms) as wanted, section is null or section = section_type as here, length(phrase) > 10 and contains(c, phrase) as said from w, q where list_has_any(w, terms)),
+    t as (select *, case when here and said then 1 when here and matched = wanted then 2 when here then 3 else 5 end as stage from m), f as (select * from t qualify stage = min(stage) over (partition by query_id)), g as (select query_id, doc_id, chunk_index, stage, round(least(0.95, 0.3 + case when stage = 1 then 0.4 else 0 end + 0.2 * matched / wanted::double + case when n > 1000 then 0.05 else 0 end)::double, 6) as score from f),
+    b as (select * from g qualify row_number() over (partition by query_id order by score desc, doc_id, chunk_index) <= 5), r as (select query_id, doc_id, chunk_index, 6 as stage, 0.3::double as score from q join chunks on section_type = suggested where query_id not in (select query_id from b) qualify row_number() over (partition by query_id order by doc_id, chunk_index) <= 5)
+    select * from b union all select * from r""", CHUNKS,
+)
+P.add("k6_needs_follow_up", lambda s, d: search.needs_follow_up(search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5)).select("query_id", "n", "follow_up"), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, count(*) as n, count(*) < 3 or avg(score) < 0.5 or var_pop(score) > 0.1 as follow_up from t group by 1", COS)
+P.add("k7_ann_top_k", lambda s, d: search.ann_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5), None)
+P.add(
+    "c29_resolve_citations", lambda s, d: search.resolve_citations(vectors(s, d).filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("as [2] and [1], [2]", "[9] none", "[3]"))), (F.col("id") / 100 % 3 + 1).cast("int")).alias("answer")), search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 3).select("query_id", "rank", "id")),
+    "with t as (select query_id, id, row_number() over (partition by query_id order by score desc, id)::int as rank from cosx), m as (select * from (values (0, 0, 2), (0, 1, 1), (2, 0, 3)) v(kind, position, rank)) select query_id, m.position::int as position, m.rank::int as rank, id from m join t on (t.query_id // 100) % 3 = m.kind and t.rank = m.rank where t.rank <= 3", COS,
+)
+P.add(
+    "c32_retrieval_complete", lambda s, d: search.retrieval_complete(table(s, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 3 == 0, F.array("s_name", F.lit("nobody"))).otherwise(F.array("s_name")).alias("tickers")), facts(s, d)),
+    "with r as (select s_suppkey as query_id, unnest(case when s_suppkey % 3 = 0 then [s_name, 'nobody'] else [s_name] end) as ticker from supplier), k as (select distinct ticker, 1 as hit from facts) select query_id, count(*) filter (where hit is null) as missing, count(*) filter (where hit is null) = 0 as complete from r left join k using (ticker) group by 1", FACTS,
+)
 
 # --- names ---------------------------------------------------------------------------
 
@@ -154,9 +237,30 @@ def part_names(s, d):
 
 P.add("c1_map_tags", lambda s, d: resolve.map_tags(facts(s, d).select("ticker", "fiscal_period", "raw_label"), s.createDataFrame([("us-gaap:revenue", "Revenue"), ("ifrs:units", "Units")], "tag string, canonical string")).groupBy("canonical", "map_confidence").agg(F.count("*").alias("n")),
       "select case metric when 'revenue' then 'Revenue' when 'units' then 'Units' else metric end as canonical, case metric when 'revenue' then 1.0 when 'units' then 0.95 else 0.5 end::double as map_confidence, count(*) as n from facts group by 1, 2", FACTS)
-P.add("c2_map_labels", lambda s, d: resolve.map_labels(table(s, d, "part").select(F.col("p_type").alias("label")), s.createDataFrame([("steel", "STEEL"), ("brass", "Brass"), ("std", "standard")], "canonical string, name string")).select("label", "canonical", "score"), None)
-P.add("c3_fuzzy_resolve", lambda s, d: resolve.fuzzy_resolve(table(s, d, "part").select(F.concat("p_type", F.lit("x")).alias("query")), part_names(s, d)[1]).groupBy("status").agg(F.count("*").alias("n")), None)
-P.add("c5_resolve_with_overlay", lambda s, d: resolve.resolve_with_overlay(table(s, d, "part").select(F.col("p_type").alias("query")).distinct(), part_names(s, d)[1], s.createDataFrame([("economy anodized steel", "own")], "name string, canonical string")).groupBy("origin").agg(F.count("*").alias("n")), None)
+P.add(
+    "c2_map_labels", lambda s, d: resolve.map_labels(table(s, d, "part").select(F.col("p_type").alias("label")), s.createDataFrame([("steel", "STEEL"), ("brass", "Brass"), ("std", "standard")], "canonical string, name string")).select("label", "canonical", "score"),
+    """with l as (select distinct p_type as label, ' ' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) || ' ' as t from part), m as (select label, canonical, case when t = ' ' || syn || ' ' then 1.0 else 0.9 end::double as score, syn from l, (values ('steel', 'steel'), ('brass', 'brass'), ('std', 'standard')) v(canonical, syn) where contains(t, ' ' || syn || ' ') or contains(' ' || syn || ' ', t))
+    select label, canonical, score from m qualify row_number() over (partition by label order by score desc, length(syn) desc, syn, canonical) = 1""",
+)
+DICE = r"""grams as (select side, name, len(g) as n, unnest(list_distinct(g)) as gram, g from (select side, name, list_transform(range(1, length(k)), lambda i: substring(k, i, 2)) as g from (select side, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as k from names))),
+counted as (select side, name, n, gram, len(list_filter(g, lambda x: x = gram)) as c from grams),
+dice as (select a.name as query, b.name as canonical, round(2 * sum(least(a.c, b.c)) / (a.n + b.n)::double, 6) as score from counted a join counted b on b.gram = a.gram and a.side = 'q' and b.side = 'n' group by a.name, a.n, b.name, b.n)"""
+P.add(
+    "c3_fuzzy_resolve", lambda s, d: resolve.fuzzy_resolve(table(s, d, "part").select(F.concat("p_type", F.lit("x")).alias("query")), part_names(s, d)[1]),
+    """with b as (select * from dice where score >= 0.7 qualify row_number() over (partition by query order by score desc, canonical) <= 3), g as (select query, max(score) as best, string_agg(canonical, '|' order by canonical) as options from b group by 1)
+    select q.query, case when best >= 0.85 then 'resolved' when best is not null then 'suggested' else 'unresolved' end as status, best as score, case when coalesce(best >= 0.85, false) then null else options end as suggestions from (select distinct p_type || 'x' as query from part) q left join g using (query)""",
+    "names as (select distinct 'q' as side, p_type || 'x' as name from part union all select distinct 'n', p_type from part)", DICE,
+)
+P.add(
+    "c4_match_concepts", lambda s, d: resolve.match_concepts(table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat("p_type", F.lit("xy"))).alias("query")), table(s, d, "part").select(F.col("p_type").alias("concept"), F.col("p_type").alias("name")).distinct()),
+    """with b as (select * from dice where score >= 0.8 and not ends_with(query, upper(right(query, 2))) qualify row_number() over (partition by query order by score desc, canonical) = 1)
+    select distinct upper(p_type) as query, p_type as concept, 1.0::double as score from part where p_partkey % 2 = 0 union all select query, canonical, score from b""",
+    "names as (select distinct 'q' as side, p_type || 'xy' as name from part where p_partkey % 2 = 1 union all select distinct 'n', p_type from part)", DICE,
+)
+P.add(
+    "c5_resolve_with_overlay", lambda s, d: resolve.resolve_with_overlay(table(s, d, "part").select(F.col("p_type").alias("query")).distinct(), part_names(s, d)[1], table(s, d, "part").filter("p_type like '%STEEL'").select(F.lower("p_type").alias("name"), F.lit("own").alias("canonical")).distinct()),
+    "select distinct p_type as query, case when p_type like '%STEEL' then 'own' else p_type end as canonical, case when p_type like '%STEEL' then 'overlay' else 'shared' end as origin from part",
+)
 P.add("d10_unmapped_tags", lambda s, d: resolve.unmapped_tags(facts(s, d), s.createDataFrame([("us-gaap:revenue",)], "tag string")), "select raw_label, count(*) as n, count(distinct ticker) as tickers, min(filing_date) as first_seen, max(filing_date) as last_seen, metric as suggested from facts where metric <> 'revenue' group by raw_label, metric", FACTS)
 P.add("c25_resolve_issuers", lambda s, d: resolve.resolve_issuers(table(s, d, "supplier").select(F.concat(F.upper("s_name"), F.lit(" Inc.")).alias("name")), table(s, d, "supplier").select(F.col("s_name").alias("company"), F.col("s_suppkey").alias("ticker"))), "select upper(s_name) || ' Inc.' as name, s_suppkey as ticker from supplier")
 P.add("e32_next_version", lambda s, d: resolve.next_version(table(s, d, "part").select(F.concat_ws(".", F.lit("1"), (F.col("p_size") % 3).cast("string"), "p_size").alias("version"))), "select '1.' || (p_size % 3) || '.' || (p_size + 1) as next_version from part order by p_size % 3 desc, p_size desc limit 1")

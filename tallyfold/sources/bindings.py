@@ -16,34 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _money(df: DataFrame, keys: list[str]) -> DataFrame:
-    price, disc, tax = (F.col(c).cast("decimal(12,2)") for c in ("l_extendedprice", "l_discount", "l_tax"))
-    one = F.lit(1).cast("decimal(3,2)")
-    sums = df.groupBy(*keys).agg(
-        F.sum(price).alias("gross_sales"), F.sum(price * (one - disc)).alias("revenue"), F.sum(price * disc).alias("operating_expenses"),
-        F.sum(price * (one - disc) * tax).alias("income_tax_expense"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("units"),
-    )
-    two = lambda c: F.col(c).cast("decimal(20,2)")
-    cost = (F.col("gross_sales") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(20,2)")
-    sums = sums.select(*keys, *(two(c).alias(c) for c in ("gross_sales", "revenue", "operating_expenses", "income_tax_expense", "units")), cost.alias("cost_of_revenue"))
-    net = F.col("revenue") - F.col("cost_of_revenue") - F.col("operating_expenses") - F.col("income_tax_expense")
-    return sums.withColumn("net_income", net.cast("decimal(20,2)"))
+SUMS = ["gross_sales", "revenue", "operating_expenses", "income_tax_expense", "units"]
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: one row per ticker, metric, fiscal period and form."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+def _facts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric values of each supplier key, period and form. Line items are summed once, by
+    quarter; years are sums of those, so the large table is shuffled once and narrow."""
+    price, disc, tax, qty = (F.col(c).cast("decimal(12,2)") for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity"))
+    net = price * (F.lit(1).cast("decimal(3,2)") - disc)
     day = F.to_date("l_shipdate")
+    quarters = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null").groupBy("l_suppkey", F.year(day).alias("y"), F.quarter(day).alias("q"))
+    quarters = quarters.agg(*(F.sum(x).alias(c) for c, x in zip(SUMS, (price, net, price * disc, net * tax, qty), strict=True)))
     spans = F.array(
-        F.struct(F.concat(F.lit("FY"), F.year(day)).alias("fiscal_period"), F.lit("10-K").alias("filing_type"), F.lit("annual").alias("period_type"), F.make_date(F.year(day), F.lit(12), F.lit(31)).alias("statement_date")),
-        F.struct(F.concat(F.lit("Q"), F.quarter(day), F.lit(" "), F.year(day)).alias("fiscal_period"), F.lit("10-Q").alias("filing_type"), F.lit("quarterly").alias("period_type"), F.last_day(F.make_date(F.year(day), F.quarter(day) * 3, F.lit(1))).alias("statement_date")),
+        F.struct(F.concat(F.lit("FY"), F.col("y")).alias("fiscal_period"), F.lit("10-K").alias("filing_type"), F.lit("annual").alias("period_type"), F.make_date("y", F.lit(12), F.lit(31)).alias("statement_date")),
+        F.struct(F.concat(F.lit("Q"), F.col("q"), F.lit(" "), F.col("y")).alias("fiscal_period"), F.lit("10-Q").alias("filing_type"), F.lit("quarterly").alias("period_type"), F.last_day(F.make_date("y", F.col("q") * 3, F.lit(1))).alias("statement_date")),
     )
-    rows = rows.select("s_suppkey", F.col("s_name").alias("ticker"), "l_extendedprice", "l_discount", "l_tax", "l_quantity", F.explode(spans).alias("p")).select("*", "p.*").drop("p")
-    keys = ["s_suppkey", "ticker", "fiscal_period", "filing_type", "period_type", "statement_date"]
-    tall = _money(rows, keys).unpivot(keys, TAGS, "metric", "amount")
-    return tall.select(
+    keys = ["l_suppkey", "fiscal_period", "filing_type", "period_type", "statement_date"]
+    sums = quarters.select("l_suppkey", *SUMS, F.explode(spans).alias("p")).select("*", "p.*").groupBy(*keys).agg(*(F.sum(c).cast("decimal(20,2)").alias(c) for c in SUMS))
+    wide = sums.withColumn("cost_of_revenue", (F.col("gross_sales") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(20,2)"))
+    income = F.col("revenue") - F.col("cost_of_revenue") - F.col("operating_expenses") - F.col("income_tax_expense")
+    return wide.withColumn("net_income", income.cast("decimal(20,2)")).unpivot(keys, TAGS, "metric", "amount")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: one row per ticker, metric, fiscal period and form."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("ticker"))
+    return _facts_by_key(spark, sf_dir).join(names, "l_suppkey").select(
         "ticker", "metric", F.concat(F.lit("us-gaap:"), F.col("metric")).alias("raw_label"), F.col("amount").cast("double").alias("value"), "fiscal_period", "period_type", "filing_type",
-        F.lit("income_statement").alias("statement_type"), F.date_add("statement_date", 45).alias("filing_date"), "statement_date", ((65 + 5 * (F.col("s_suppkey") % 8)) / 100).alias("confidence"),
+        F.lit("income_statement").alias("statement_type"), F.date_add("statement_date", 45).alias("filing_date"), "statement_date", ((65 + 5 * (F.col("l_suppkey") % 8)) / 100).alias("confidence"),
     )
 
 
@@ -190,11 +190,12 @@ filings as (
 def peer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: facts summed by nation; the universe is the region."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    names = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_name").alias("company"), F.col("n_name").alias("peer"), F.col("r_name").alias("universe"))
-    f = facts(spark, sf_dir).join(names, F.col("ticker") == F.col("company"))
-    keys = ["universe", "peer", "metric", "fiscal_period", "filing_type", "statement_date", "filing_date"]
-    out = f.groupBy(*keys).agg(F.sum(F.col("value").cast("decimal(20,2)")).cast("double").alias("value"))
-    return out.withColumnRenamed("peer", "ticker")
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("universe"))
+    nation_of = s.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    keys = ["metric", "fiscal_period", "filing_type", "statement_date"]
+    sums = _facts_by_key(spark, sf_dir).join(nation_of, "l_suppkey").groupBy("s_nationkey", *keys).agg(F.sum("amount").cast("double").alias("value"))
+    out = sums.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    return out.select("universe", "ticker", *keys, F.date_add("statement_date", 45).alias("filing_date"), "value")
 
 
 PEERS = """

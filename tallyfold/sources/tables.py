@@ -1,15 +1,16 @@
 """Sources and sinks: payloads to rows, files, and tables with keyed writes.
 
-Keyed writes (upsert, insert-ignore, replace, drop) read the target once and write a new
-version beside it; the caller's path is a directory of versions, and readers take the
-newest. So a failed write leaves the old version whole.
+Keyed writes (upsert, insert-ignore, replace, drop) are DataFrames of the new state of a
+table. ``write_version`` writes one as a new version beside the old ones and
+``read_newest`` takes the newest that is whole, so a failed write leaves the last state.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators.facts import ranked
@@ -67,11 +68,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = "_order") -> DataFrame:
     """A7-A10. Rows of the batch replace those of the same key; of several in one batch
-    the last by ``order`` wins, if it has that column."""
+    the last by ``order`` wins if it has that column, else the greatest."""
     if order in batch.columns:
         batch = ranked(batch, keys, F.desc(order)).drop(order)
     else:
-        batch = batch.dropDuplicates(list(keys))
+        batch = ranked(batch, keys, *(F.desc(c) for c in batch.columns if c not in keys))
     return target.join(batch.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(batch.select(*target.columns))
 
 
@@ -80,6 +81,34 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> D
     return target.unionByName(batch.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
 
 
+def replace_documents(target: DataFrame, batch: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A12. All rows of the ``documents`` (one column, ``key``) go and those of the batch
+    come, also for a document whose new set is empty. Rows of the batch of other documents
+    are left out."""
+    ids = documents.select(key).distinct()
+    return target.join(ids, key, "left_anti").select(*target.columns).unionByName(batch.join(ids, key, "left_semi").select(*target.columns))
+
+
+def write_version(df: DataFrame, path: str) -> str:
+    """Writes ``df`` as the next version under ``path``, then a line in its log; its place."""
+    version = f"v{time.time_ns():020d}"
+    df.write.parquet(f"{path.rstrip('/')}/{version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{path.rstrip('/')}/log")
+    return f"{path.rstrip('/')}/{version}"
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version under ``path`` that the log has, so one written to its end."""
+    last = spark.read.schema("version string").json(f"{path.rstrip('/')}/log").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{last}")
+
+
+def write_lake(df: DataFrame, root: str, visibility: Column, source: str, stage: str) -> None:
+    """A14. Rows under visibility / source / stage / ticker / filing type / period."""
+    rows = df.withColumns({"visibility": visibility, "source": F.lit(source), "stage": F.lit(stage)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("visibility", "source", "stage", "ticker", "filing_type", "fiscal_period").parquet(root)
+
+
 def drop_entity(tables: Sequence[DataFrame], ticker: str) -> list[DataFrame]:
     """A13. The tables without one ticker."""
     return [t.filter(~F.col("ticker").eqNullSafe(ticker)) for t in tables]
@@ -91,9 +120,12 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def export_sections(sections: DataFrame, path: str) -> None:
-    """A15. One JSON record per section, by ticker."""
-    keyed = sections.withColumn("key", F.regexp_replace(F.concat_ws("_", "ticker", "filing_type", "section_type"), "[^A-Za-z0-9_-]", "_"))
-    keyed.write.mode("overwrite").partitionBy("ticker").json(path)
+    """A15. One JSON record per section under ``text``, and one about it (sizes, digest,
+    no text) under ``metadata``, both by ticker."""
+    keyed = sections.withColumn("key", F.regexp_replace(F.concat_ws("_", F.col("ticker").cast("string"), "filing_type", "section_type", F.col("doc_id").cast("string")), "[^A-Za-z0-9_-]", "_"))
+    keyed.write.mode("overwrite").partitionBy("ticker").json(f"{path}/text")
+    about = keyed.select("ticker", "key", *(c for c in sections.columns if c not in ("ticker", "content")), F.length("content").alias("characters"), F.sha2("content", 256).alias("digest"))
+    about.write.mode("overwrite").partitionBy("ticker").json(f"{path}/metadata")
 
 
 def export_chunks(chunks: DataFrame, public: Sequence[str]) -> DataFrame:

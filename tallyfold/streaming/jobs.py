@@ -29,6 +29,23 @@ def stream_new_filings(src: DataFrame) -> DataFrame:
     return timed(src).dropDuplicatesWithinWatermark(["accession"])
 
 
+def detection_state(state: DataFrame | None, batch: DataFrame, checked: str, failed: DataFrame | None = None) -> DataFrame:
+    """O1. Per ticker: last check, last filing, filings seen, consecutive failures, after
+    a micro-batch of (ticker, accession, ts) and the tickers whose check ``failed``. For
+    ``foreachBatch``: the caller writes it as the next version of the state."""
+    now = F.lit(checked).cast("timestamp")
+    seen = batch.groupBy("ticker").agg(F.max("ts").cast("timestamp").alias("new_filing"), F.countDistinct("accession").alias("found"))
+    fails = (failed if failed is not None else batch.limit(0)).select("ticker").distinct().withColumn("failed", F.lit(True))
+    j = seen.join(fails, "ticker", "full")
+    old = state if state is not None else batch.limit(0).select("ticker", now.alias("last_check"), now.alias("last_filing"), F.lit(0).cast("long").alias("filings"), F.lit(0).cast("long").alias("failures"))
+    j = old.join(j, "ticker", "full")
+    none, touched = F.lit(0).cast("long"), F.col("found").isNotNull() | F.col("failed").isNotNull()
+    return j.select(
+        "ticker", F.when(touched, now).otherwise(F.col("last_check")).alias("last_check"), F.greatest("last_filing", "new_filing").alias("last_filing"), (F.coalesce("filings", none) + F.coalesce("found", none)).alias("filings"),
+        F.when(F.col("failed"), F.coalesce("failures", none) + 1).when(F.col("found").isNotNull(), none).otherwise(F.coalesce("failures", none)).alias("failures"),
+    )
+
+
 def stream_notify(filings: DataFrame, deals: DataFrame) -> DataFrame:
     """O2. Stream-static join: every tenant that follows the ticker."""
     return filings.join(deals.select("ticker", "tenant_id").distinct(), "ticker")

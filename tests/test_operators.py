@@ -135,11 +135,105 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_lsh_recall(spark):
+    """The registered query, with its own parameters and queries, against exact search."""
+    from tallyfold.plans.text import P, vectors
+
+    sf = "/root/testdata/sf0.01"
+    v = vectors(spark, sf)
+    exact = {(r.query_id, r.id) for r in search.vector_top_k(v.filter("id % 100 = 0"), v, 5).collect()}
+    near = {(r.query_id, r.id) for r in P.queries["k7_ann_top_k"](spark, sf).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) > 0
+
+
+def test_vector_top_k_in_parts(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = v.filter("id < 10")
-    exact = {(r.query_id, r.id) for r in search.vector_top_k(q, v, 5).collect()}
-    near = {(r.query_id, r.id) for r in search.ann_top_k(q, v, 5, tables=12).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    rows = lambda limit: sorted(map(tuple, search.vector_top_k(v.filter("id % 20 = 0"), v, 3, limit=limit).select("query_id", "rank", "id").collect()))
+    assert rows(1) == rows(1000) != []
+
+
+def test_vector_search_relaxes(spark):
+    rows = [(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (3, [0.8, 0.2], "a", "x"), (4, [0.0, 1.0], "b", "x")]
+    v = spark.createDataFrame(rows, "id long, v array<double>, section string, subsection string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (4, [0.0, 1.0], "b", "x"), (9, [1.0, 0.0], None, None)], v.schema)
+    got = {(r.query_id, r["rank"]): (r.id, r.stage) for r in search.vector_search(q, v, 2).collect()}
+    assert got == {(1, 1): (3, 1), (2, 1): (1, 2), (2, 2): (3, 2), (4, 1): (3, 3), (4, 2): (2, 3), (9, 1): (1, 3), (9, 2): (2, 3)}
+
+
+def test_search_stages(spark):
+    chunks = spark.createDataFrame([(1, 0, "net revenue grew strongly", "md", "a"), (2, 0, "revenue fell", "md", "b"), (3, 0, "risk of loss", "rf", "c")], "doc_id int, chunk_index int, content string, section_type string, subsection string")
+    rows = [(1, "revenue grew strongly", ["revenue"], "md", "a", None), (2, "x", ["revenue", "net"], "md", None, None), (3, "x", ["revenue", "gain"], "md", "b", None), (4, "x", ["revenue"], "md", "zz", None), (5, "x", ["risk"], "md", None, None), (6, "x", ["nothing"], None, None, "rf"), (7, "x", ["nothing"], None, None, None)]
+    q = spark.createDataFrame(rows, "query_id int, phrase string, terms array<string>, section string, subsection string, suggested string")
+    got = {(r.query_id, r.doc_id): r.stage for r in search.search_chunks(q, chunks, 5).collect()}
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 2): 3, (4, 1): 4, (4, 2): 4, (5, 3): 5, (6, 3): 6}
+
+
+def test_large_and_deep_hierarchies(spark):
+    n = 1_100_000
+    nodes = spark.range(1, n + 1).select("id", F.when(F.col("id") >= 10, F.floor(F.col("id") / 10)).alias("parent"), F.col("id").alias("pos"))
+    assert hierarchy.paths(nodes).filter("depth = length(cast(id as string)) - 1").count() == n
+    chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").alias("pos"))
+    assert hierarchy.max_depth(chain).first()[0] == 299
+    assert [r.depth for r in hierarchy.subtree(chain, 290).collect()] == list(range(10))
+    lost = spark.createDataFrame([(1, None, 1), (2, 1, 1), (3, 9, 1), (4, 5, 1), (5, 4, 1)], "id int, parent int, pos int")
+    assert sorted(r.path for r in hierarchy.paths(lost).collect()) == ["1", "1/2"]
+
+
+def test_long_cycles_and_many_levels(spark):
+    ring = spark.range(25).select(F.col("id").alias("src"), ((F.col("id") + 1) % 25).alias("dst")).unionByName(spark.createDataFrame([(30, 3), (7, 40), (50, 51), (51, 50), (50, 52), (52, 50)], "src long, dst long"))
+    got = {r.cycle: r.length for r in hierarchy.cycles(ring).collect()}
+    assert got == {">".join(map(str, [*range(25), 0])): 25, "50>51>50": 2}
+    deep = spark.range(1, 61).select(F.col("id").alias("metric"), (F.col("id") - 1).alias("input"))
+    assert hierarchy.levels(deep).agg(F.max("level"), F.count("*")).first()[:] == (60, 61)
+
+
+def test_versions_and_layouts(spark, tmp_path):
+    base = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    tables.write_version(df, base)
+    tables.write_version(df.withColumn("v", F.lit("b")), base)
+    (tmp_path / "t" / "v99999999999999999999").mkdir()  # a write that failed
+    assert tables.read_newest(spark, base).first().v == "b"
+    rows = spark.createDataFrame([("A", "10-K", "FY2020", 1.0, True), ("B", "10-Q", "Q1 2020", 2.0, False)], "ticker string, filing_type string, fiscal_period string, value double, open boolean")
+    tables.write_lake(rows, str(tmp_path / "lake"), F.when(F.col("open"), "public").otherwise("private"), "sec", "raw")
+    assert (tmp_path / "lake" / "visibility=public" / "source=sec" / "stage=raw" / "ticker=A" / "filing_type=10-K" / "fiscal_period=FY2020").is_dir()
+    sections = spark.createDataFrame([("A", "10-K", "Item 1/A", 7, "some text")], "ticker string, filing_type string, section_type string, doc_id int, content string")
+    tables.export_sections(sections, str(tmp_path / "out"))
+    about = spark.read.json(f"{tmp_path}/out/metadata").first()
+    assert (about.key, about.characters, about.ticker) == ("A_10-K_Item_1_A_7", 9, "A") and "content" not in about
+    assert spark.read.json(f"{tmp_path}/out/text").first().content == "some text"
+
+
+def test_replace_documents(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z")], t.schema)
+    got = tables.replace_documents(t, new, spark.createDataFrame([(1,), (2,)], "doc_id int"))
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (1, "y"), (3, "c")]
+
+
+def test_concepts_industries_and_bounds(spark):
+    from tallyfold.operators import facts as fo
+    from tallyfold.operators import pipelines
+
+    concepts = spark.createDataFrame([("growth", "revenue growth"), ("margin", "gross margin")], "concept string, name string")
+    q = spark.createDataFrame([("Revenue-Growth",), ("gross margins",), ("nothing alike",)], "query string")
+    assert {r["query"]: r.concept for r in resolve.match_concepts(q, concepts).collect()} == {"Revenue-Growth": "growth", "gross margins": "margin"}
+    rows = spark.createDataFrame([("abc", "cost_of_sales"), ("zzz", "total_assets")], "ticker string, metric string")
+    m = spark.createDataFrame([("ABC", "banks")], "ticker string, industry string")
+    parent = fo.parent_metric(F.col("metric"), [("^cost", "revenue")])
+    got = fo.industry_of(rows, m).select("industry", parent.alias("p"), fo.indent_of(F.col("metric"), parent).alias("i")).collect()
+    assert sorted(map(tuple, got)) == [("banks", "revenue", 1), ("other", None, 0)]
+    with pytest.raises(ValueError):
+        fo.small(spark.range(20), 10)
+    many = spark.range(1001).select(F.concat(F.lit("f"), "id").alias("name"), F.lit("a").alias("formula"), F.lit("approved").alias("status"))
+    with pytest.raises(ValueError):
+        pipelines.register_formulas(many, facts(spark, [1.0]))
+
+
+def test_ttm_chain_of_a_quarter_told_many_times(spark):
+    f = facts(spark, [1.0, 2.0, 3.0, 4.0])
+    again = f.filter("fiscal_period = 'Q4 2020'").join(spark.range(20), how="cross").withColumn("filing_date", F.date_add("filing_date", F.col("id").cast("int"))).drop("id")
+    r = series.ttm_chain(f.unionByName(again)).first()
+    assert (r.links, r.ttm) == (4, 10.0)
 
 
 def test_sections_align(spark):

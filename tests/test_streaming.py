@@ -1,5 +1,8 @@
 """Structured Streaming jobs with availableNow, against their batch form."""
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +15,15 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def stream_of(spark, tmp_path_factory):
     def make(df, files=3):
+        df = df.withColumn("second", F.col("ts").cast("timestamp").cast("double"))
         path = str(tmp_path_factory.mktemp("src"))
-        df.repartitionByRange(files, "ts").write.mode("overwrite").parquet(path)
+        # one file after the other, in the order of their names: streams read the oldest first
+        ends = df.approxQuantile("second", [k / files for k in range(1, files)], 0) if files > 1 else []
+        for k, (a, b) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+            part = df.filter((F.lit(a is None) | (F.col("second") > a)) & (F.lit(b is None) | (F.col("second") <= b)))
+            part.drop("second").coalesce(1).write.parquet(f"{path}/{k}")
+            os.utime(next(Path(path, str(k)).glob("part*")), (1e9 + k, 1e9 + k))
+        df, path = df.drop("second"), f"{path}/*"
         return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
     return make
@@ -65,3 +75,34 @@ def test_ingest_is_idempotent_and_quarantines(spark, stream_of, tmp_path):
         stream_of(rows).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start().awaitTermination(120)
     assert state["target"].count() == rows.filter("method <> 'error'").count()
     assert state["bad"] == 2 * rows.filter("method = 'error'").count()
+
+
+def test_late_rows(spark, tmp_path):
+    """O9. Rows within a day of the newest are counted, later ones are left out; what goes
+    by key takes them whenever they come."""
+    start, day = 1_700_000_000, 86_400
+    times = [[0, 60, 3 * day], [3 * day - 3600, 120], [3 * day + 7200]]  # of the second file one row is late by an hour, one by days
+    for k, some in enumerate(times):
+        rows = spark.createDataFrame([(k * 10 + j, "view", 1.0, True, start + t) for j, t in enumerate(some)], "event_id int, method string, latency double, success boolean, second long")
+        rows.withColumn("ts", F.timestamp_seconds("second")).drop("second").coalesce(1).write.parquet(f"{tmp_path}/src/{k}")
+        os.utime(next((tmp_path / "src" / str(k)).glob("part*")), (1e9 + k, 1e9 + k))
+    schema = spark.read.parquet(f"{tmp_path}/src/0").schema
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/src/*")
+    got = run(spark, jobs.stream_counters(read()), "late", tmp_path / "a", "update")
+    counted = {r.s for r in got.select((F.col("w.start").cast("long") - start).alias("s")).collect()}
+    assert any(3 * day - 3900 <= s <= 3 * day - 3600 for s in counted) and max(counted) >= 3 * day + 6900
+    early = got.filter(F.col("w.start").cast("long") < start + 300).agg(F.max("n")).first()[0]
+    assert early == 2  # the row at 120 came days late
+    ids = run(spark, jobs.stream_new_filings(read().select(F.lit(1).alias("ticker"), F.col("event_id").alias("accession"), "ts")), "late2", tmp_path / "b")
+    assert ids.count() >= 5
+
+
+def test_detection_state(spark):
+    def rows(*x):
+        return spark.createDataFrame(x, "ticker string, accession string, second long").withColumn("ts", F.timestamp_seconds("second"))
+
+    one = jobs.detection_state(None, rows(("A", "1", 100), ("A", "2", 200), ("B", "3", 50)), "2024-01-01 00:00:00")
+    two = jobs.detection_state(one, rows(("A", "4", 300)), "2024-01-02 00:00:00", spark.createDataFrame([("B",)], "ticker string"))
+    three = jobs.detection_state(two, rows(), "2024-01-03 00:00:00", spark.createDataFrame([("B",)], "ticker string"))
+    got = {r.ticker: (r.last_filing.timestamp(), r.filings, r.failures, str(r.last_check)[:10]) for r in three.withColumn("last_check", F.col("last_check").cast("string")).collect()}
+    assert {k: v[1:] for k, v in got.items()} == {"A": (3, 0, "2024-01-02"), "B": (1, 2, "2024-01-03")}
