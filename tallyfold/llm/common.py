@@ -123,7 +123,7 @@ class WordHasher(dict):
     """64-bit hash of each word, remembered for repeated words; the memory is bounded and
     lasts as long as the task that made it."""
 
-    limit = 200_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -139,33 +139,37 @@ def prefix(s: np.ndarray, order: int, often: tuple[np.ndarray, np.ndarray], need
     return s[np.argsort(key, kind="stable")[: prefix_length(len(s), need, of)]]
 
 
-def parts_of(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Into how many parts the bucket of each token is split: 1 but for frequent ones."""
-    out = np.ones(len(tokens), np.int32)
+def part_of(tokens: np.ndarray, doc: int | None, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which part of each token's bucket a document is in: -1 where the token is not known
+    to be frequent and its bucket is not split."""
+    out = np.full(len(tokens), -1, np.int32)
     known, counts = often
-    if len(known) and len(tokens):
+    if len(known) and len(tokens) and doc is not None:
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        hit = known[at] == tokens
-        out[hit] = -(-counts[at[hit]] // PART)
+        hit = np.flatnonzero((known[at] == tokens) & (counts[at] > PART))
+        if len(hit):
+            out[hit] = mix64(np.array([doc], np.int64).view(np.uint64))[0] % (counts[at[hit]] // PART + 1).astype(np.uint64)
     return out
 
 
 def prefixes(docs: DataFrame, copies: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(token, parts, part, doc_id, n, pos): the prefix under the first order, one row per
-    token, of all (doc_id, print) but ``copies``."""
+    """(token, part, place, doc_id): the prefix under the first order, one row per token, of
+    all (doc_id, print) but ``copies``. ``place`` holds the set size and the position."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(it, width):
+            ids = batch["doc_id"].to_pylist()
             first = [prefix(s, 1, often) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
-            parts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([parts_of(s, often) for s in first])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_print(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(first), parts], names=["doc_id", "print", "n", "token", "parts"])
+            part = np.concatenate([part_of(f, i, often) for f, i in zip(first, ids, strict=True)])
+            place = np.concatenate([(len(s) << 32) + np.arange(len(f)) for s, f in zip(sets, first, strict=True)])
+            rows = pa.StructArray.from_arrays([pa.array(_long(np.concatenate(first))), pa.array(part), pa.array(place.astype(np.int64))], names=["token", "part", "place"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_print(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, rows)], names=["doc_id", "print", "t"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "doc_id long, print binary, n int, token array<long>, parts array<int>")
+    rows = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "doc_id long, print binary, t array<struct<token:long,part:int,place:long>>")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = rows.join(F.broadcast(copies) if few else copies, ["doc_id", "print"], "left_anti")
-    rows = rows.select("doc_id", "n", F.posexplode(F.arrays_zip("token", "parts")).alias("pos", "t"))
-    return rows.select("t.token", "t.parts", F.pmod(F.xxhash64("doc_id"), F.col("t.parts")).cast("int").alias("part"), "doc_id", "n", "pos")
+    return rows.select("doc_id", F.inline("t")).select("token", "part", "place", "doc_id")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, often: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
@@ -222,21 +226,23 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     ties = members.groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = members.join(ties, "doc_id", "left_semi").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
+    # most tokens are one document's alone: they go before anything else is asked of a bucket
     by_part = W.partitionBy("token", "part")
-    buckets = prefixes(docs, copies, often, width).withColumn("k", F.count("*").over(by_part)).filter("k > 1 or parts > 1").drop("k")
-    buckets = buckets.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_part))
-    buckets = materialize(buckets.withColumn("hot", F.col("parts") > 1).distinct().drop("parts", "part"), "buckets")
-
-    # leads of the parts of a frequent token follow the smallest of them
-    leads = buckets.filter("hot").select("token", "lead").distinct()
-    leads = leads.join(F.broadcast(leads.groupBy("token").agg(F.min("lead").alias("least"))), "token")
-    led = buckets.select("lead", F.struct("doc_id", "n").alias("own")).unionByName(leads.select(F.col("least").alias("lead"), F.col("lead").alias("own")))
+    shared = prefixes(docs, copies, often, width).withColumn("k", F.count("*").over(by_part)).filter("k > 1 or part >= 0").distinct()
+    n, pos = F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(2**32 - 1).cast("int").alias("pos")
+    buckets = materialize(shared.select("token", "doc_id", n, pos, (F.col("part") >= 0).alias("hot")), "buckets")
+
+    # every bucket has one lead, so near copies have the same one in all of theirs; at most
+    # MAX_FREQUENT tokens are hot: their leads travel to the rows, not the rows to them
+    least = F.min(F.struct("doc_id", "n"))
+    cold = buckets.filter("not hot").withColumn("lead", least.over(W.partitionBy("token")))
+    hot = buckets.filter("hot").join(F.broadcast(buckets.filter("hot").groupBy("token").agg(least.alias("lead"))), "token")
+    led = cold.unionByName(hot.select(*cold.columns)).select("lead", F.struct("doc_id", "n").alias("own"))
     led = led.filter("own.doc_id <> lead.doc_id").filter(sizes_allow(F.col("own.n"), F.col("lead.n")))
     star = led.groupBy(F.col("lead.doc_id").alias("a"), F.col("own.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("own.n", "lead.n")).alias("n"))
     star = materialize(star.filter(F.col("shared") >= LED_SHARE * F.col("n")).select("a", "b"), "star")
     found = ties.unionByName(_compared(docs, star, often, width))
 
-    buckets = buckets.drop("lead")
     for k in range(MORE_LEADS):
         lead = _led_again(_mixed(buckets, components(found)), k).join(star, ["a", "b"], "left_anti")
         lead = materialize(lead, "star")
