@@ -100,7 +100,8 @@ def test_near_join_of_shared_boilerplate_makes_no_pairs(spark):
     scanned = near_join.scan(docs)
     often = near_join.frequent(scanned)
     none = scanned.select("doc_id", "print").limit(0)
-    alone = near_join.prefixes(docs, none, often).withColumn("component", F.col("doc_id"))
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(2**32 - 1).cast("int")
+    alone = near_join.prefixes(docs, none, often).select("token", "doc_id", n.alias("n"), pos.alias("pos"), F.col("doc_id").alias("component"))
     assert alone.groupBy("token").count().agg(F.max("count")).first()[0] >= 3000
     assert near_join._met(alone).count() == 0
     got = near_join.groups(docs)
