@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import chat, decontaminate, html_extract, language_model, licenses, near_join, packing, pii, quality, vector_search
+from tallyfold.llm import chat, decontaminate, filter_audit, html_extract, language_model, licenses, near_join, packing, pii, quality, secrets, source_audit, vector_search
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_exact_top_k": vector_search.op10_exact_top_k,
+    "op11_source_divergence_audit": source_audit.op11_source_divergence_audit,
+    "op12_secret_scans": secrets.op12_secret_scans,
+    "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
 }
 
-SQL: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL, "op10_exact_top_k": vector_search.OP10_SQL}
+SQL: dict[str, str] = {
+    "op5_chat_formatting": chat.OP5_SQL,
+    "op10_exact_top_k": vector_search.OP10_SQL,
+    "op11_source_divergence_audit": source_audit.OP11_SQL,
+    "op13_filter_interaction_audit": filter_audit.OP13_SQL,
+}

@@ -1,4 +1,4 @@
-"""The ten operators on small inputs: brute force, round trips, odd rows."""
+"""The first ten operators on small inputs: brute force, round trips, odd rows."""
 
 import hashlib
 import itertools
