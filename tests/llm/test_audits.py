@@ -200,7 +200,7 @@ def brute_filters(rows, labels):
     for i, t, *_ in rows:
         if i is not None:
             first[t or ""] = min(i, first.get(t or "", i))
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}
     docs = []
     for i, t, _, source in rows:
         t = t or ""
