@@ -55,6 +55,7 @@ def read(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, DataF
     )
     found = materialize(found, "failures")
     owner = found.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").select("print", "first")
+    owner = materialize(owner, "owners")  # so that the join below is between tables, and a text of very many copies may be split in it
     fails = {f: found.filter(f).select("row") for f in "ABCD"}
     fails["E"] = found.select("row", "doc_id", "print").join(owner, "print").filter("doc_id > first").select("row")
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int"))
