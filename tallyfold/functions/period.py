@@ -98,7 +98,7 @@ def period_from_text(col: Column) -> Column:
     year-over-year, latest."""
     t = F.lower(col)
     num = lambda p, n=1: _group(t, p, n)
-    span, quarter, fiscal, last, decade = r"((?:19|20)\d{2})\s*(?:-|to|through|and)\s*((?:19|20)\d{2})", r"q([1-4])\s*(?:fy)?\s*((?:19|20)\d{2})", r"(?:fy|fiscal year|fiscal)?\s*((?:19|20)\d{2})", r"(?:last|past|previous)\s+(\d{1,3})\s+years?", r"\b(?:last|past)\s+decade\b"
+    span, quarter, fiscal, last, decade = r"((?:19|20)\d{2})\s*(?:-|to|through|and)\s*((?:19|20)\d{2})", r"q([1-4])[-\s]*(?:fy)?\s*((?:19|20)\d{2})", r"(?:fy|fiscal year|fiscal)?\s*((?:19|20)\d{2})", r"(?:last|past|previous)\s+(\d{1,3})\s+years?", r"\b(?:last|past)\s+decade\b"
     null = F.lit(None).cast("int")
 
     def out(kind: str, a: Column = null, b: Column = null, q: Column = null) -> Column:

@@ -8,8 +8,10 @@ from tallyfold.functions import period as per
 from tallyfold.operators import changes, chunking, resolve, search
 from tallyfold.operators import text as op
 from tallyfold.operators.facts import label_agrees
+from tallyfold.operators.vector_index import InvertedFile
 from tallyfold.plans.base import Plans
 from tallyfold.sources.bindings import CHUNKS, FACTS, FILINGS, chunks, facts, filings, table
+from tallyfold.sources.scratch import scratch_path
 
 P = Plans()
 POS, NEG = ["the", "der", "les"], ["of", "und", "la"]
@@ -67,7 +69,7 @@ P.add(
 P.add("h27_content_key", lambda s, d: table(s, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("key")), "select doc_id, substring(sha256(text), 1, 16) as key from documents")
 P.add("h29_section_title", lambda s, d: chunks(s, d).select(op.section_title(F.concat(F.lit("item_"), "section_type")).alias("title")).distinct(), "select distinct 'Item ' || upper(section_type[1]) || section_type[2:] as title from chunks", CHUNKS)
 P.add("h31_excerpt", lambda s, d: table(s, d, "documents").select("doc_id", op.excerpt(F.col("text"), "the", 20).alias("excerpt")), "select doc_id, case when instr(lower(text), 'the') > 0 then substring(text, greatest(instr(lower(text), 'the') - 20, 1), 43) else substring(text, 1, 40) end as excerpt from documents")
-P.add("h7_period_from_text", lambda s, d: filings(s, d).select("accession", per.period_from_text(F.concat(F.lit("growth in "), per.period_from_filing(F.col("form"), F.col("filing_date")))).alias("p")).select("accession", "p.kind", "p.from_year"), "select accession, case when form = '10-Q' then 'quarter' else 'year' end as kind, year(filing_date)::int as from_year from filings".replace("case when form = '10-Q' then 'quarter' else 'year' end", "'year'").replace("from filings", "from filings where form = '10-K' union all select accession, 'year', year(filing_date)::int from filings where form not in ('10-K', '10-Q') union all select accession, 'year', year(filing_date)::int from filings where form = '10-Q'"), FILINGS)
+P.add("h7_period_from_text", lambda s, d: filings(s, d).select("accession", per.period_from_text(F.concat(F.lit("growth in "), per.period_from_filing(F.col("form"), F.col("filing_date")))).alias("p")).select("accession", "p.kind", "p.from_year"), "select accession, case when form = '10-Q' then 'quarter' else 'year' end as kind, year(filing_date)::int as from_year from filings", FILINGS)
 P.add("h8_tickers_in", lambda s, d: op.tickers_in(table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_type"), "p_type", s.createDataFrame([("STEEL",), ("BRASS",)], "ticker string")), "select p_partkey as id, t as ticker from part, (values ('STEEL'), ('BRASS')) v(t) where list_contains(string_split_regex(lower(p_type), '[^a-z0-9.]+'), lower(t))")
 
 # --- chunk analytics -----------------------------------------------------------------
@@ -189,9 +191,9 @@ def vectors(s, d):
 
 
 COS = "cosx as (select q.vec_id as query_id, c.vec_id as id, c.label as metric, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score from embeddings q, embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)"
-P.add("f3_vector_top_k", lambda s, d: search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5, 0.2).select("query_id", "id", F.round("score", 5).alias("score")), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, id, round(score, 5) as score from t where score >= 0.2", COS)
-P.add("f4_semantic_match", lambda s, d: search.semantic_match(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 3, 0.1).select("query_id", "metric", F.round("score", 5).alias("score")),
-      "with n as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 9), b as (select * from n where score >= 0.1 qualify row_number() over (partition by query_id, metric order by score desc, id) = 1) select query_id, metric, round(score, 5) as score from b qualify row_number() over (partition by query_id order by score desc, metric) <= 3", COS)
+P.add("f3_vector_top_k", lambda s, d: search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5, 0.2).select("query_id", "id", "score"), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, id, score from t where score >= 0.2", COS)
+P.add("f4_semantic_match", lambda s, d: search.semantic_match(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 3, 0.1).select("query_id", "metric", "score"),
+      "with n as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 9), b as (select * from n where score >= 0.1 qualify row_number() over (partition by query_id, metric order by score desc, id) = 1) select query_id, metric, score from b qualify row_number() over (partition by query_id order by score desc, metric) <= 3", COS)
 P.add("g1_merge_hits", lambda s, d: (lambda h: search.merge_hits(h.filter("id % 2 = 0"), h.filter("id % 2 = 1"), 4).select("query_id", "id", "origin"))(search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 8)),
       "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 8), m as (select query_id, id, case when id % 2 = 1 then round(score + 0.1, 6) else score end as s, case when id % 2 = 1 then 'filing' else 'user' end as origin from t) select query_id, id, origin from m qualify row_number() over (partition by query_id order by s desc, origin, id) <= 4", COS)
 P.add(
@@ -218,6 +220,18 @@ P.add(
     select * from b union all select * from r""", CHUNKS,
 )
 P.add("k6_needs_follow_up", lambda s, d: search.needs_follow_up(search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5)).select("query_id", "n", "follow_up"), "with t as (select * from cosx qualify row_number() over (partition by query_id order by score desc, id) <= 5) select query_id, count(*) as n, count(*) < 3 or avg(score) < 0.5 or var_pop(score) > 0.1 as follow_up from t group by 1", COS)
+
+
+def inverted_file(s, d) -> InvertedFile:
+    return InvertedFile.build(vectors(s, d), scratch_path(s, "vector-index"))
+
+
+P.add("k7_inverted_file", lambda s, d: (lambda x: x.search(vectors(s, d).filter("id % 100 = 0"), 5, x.tuned(5)))(inverted_file(s, d)).select("query_id", "id", F.round("score", 6).alias("score"), "rank"), None)
+P.add(
+    "k7_inverted_file_exact", lambda s, d: inverted_file(s, d).search_exact(vectors(s, d).filter("id % 100 = 0"), 5, probes=2).select("query_id", "id", F.round("score", 6).alias("score"), "rank"),
+    """with t as (select q.vec_id as query_id, c.vec_id as id, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) as score from embeddings q, embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+    r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from t) select query_id, id, round(score, 6) as score, rank from r where rank <= 5""",
+)
 P.add("k7_ann_top_k", lambda s, d: search.ann_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 5), None)
 P.add(
     "c29_resolve_citations", lambda s, d: search.resolve_citations(vectors(s, d).filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("as [2] and [1], [2]", "[9] none", "[3]"))), (F.col("id") / 100 % 3 + 1).cast("int")).alias("answer")), search.vector_top_k(vectors(s, d).filter("id % 100 = 0"), vectors(s, d), 3).select("query_id", "rank", "id")),

@@ -100,6 +100,8 @@ def write_version(df: DataFrame, path: str) -> str:
 def read_newest(spark: SparkSession, path: str) -> DataFrame:
     """The newest version under ``path`` that the log has, so one written to its end."""
     last = spark.read.schema("version string").json(f"{path.rstrip('/')}/log").agg(F.max("version")).first()[0]
+    if last is None:
+        raise ValueError(f"no whole version under {path}")
     return spark.read.parquet(f"{path.rstrip('/')}/{last}")
 
 
