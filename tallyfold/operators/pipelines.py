@@ -15,15 +15,23 @@ from tallyfold.operators.hierarchy import ordered
 from tallyfold.operators.ratios import evaluate
 from tallyfold.operators.resolve import next_version, resolve_with_overlay
 from tallyfold.operators.search import budget, search_chunks, with_neighbours
+from tallyfold.operators.text_index import TextIndex
 
 
-def search_multi(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """K2. The cascade per query and ticker, then best k of each pair. ``queries``:
-    (query_id, ticker, phrase, terms)."""
-    per = queries.select(F.concat_ws("|", F.col("query_id").cast("string"), "ticker").alias("query_id"), "ticker", "phrase", "terms")
-    hits = search_chunks(per.drop("ticker"), chunks, 4 * k).join(chunks.select("doc_id", "chunk_index", "ticker"), ["doc_id", "chunk_index"])
-    own = hits.filter(F.substring_index("query_id", "|", -1) == F.col("ticker"))
-    return ranked(own, ["query_id"], F.desc("score"), "doc_id", "chunk_index", top=k).select(F.substring_index("query_id", "|", 1).alias("query_id"), "ticker", "doc_id", "chunk_index", "score")
+def _searched(queries: DataFrame, chunks: DataFrame | TextIndex, k: int) -> tuple[DataFrame, DataFrame]:
+    """Hits, and the chunks they are of: from an index where there is one."""
+    if isinstance(chunks, TextIndex):
+        return chunks.search(queries, k), chunks.texts
+    return search_chunks(queries, chunks, k), chunks
+
+
+def search_multi(queries: DataFrame, chunks: DataFrame | TextIndex, k: int) -> DataFrame:
+    """K2. The cascade for each query and ticker over that ticker's chunks, best k of each.
+    ``queries``: (query_id, ticker, phrase, terms)."""
+    each = F.concat_ws("|", F.col("query_id").cast("string"), "ticker")
+    hits, _ = _searched(queries.withColumn("query_id", each), chunks, k)
+    back = queries.select(each.alias("each"), "query_id", "ticker").distinct()
+    return hits.withColumnRenamed("query_id", "each").join(back, "each").select("query_id", "ticker", "doc_id", "chunk_index", "stage", "score")
 
 
 def context_metrics(terms: DataFrame, synonyms: DataFrame, facts: DataFrame, default: Sequence[str]) -> DataFrame:
@@ -36,11 +44,12 @@ def context_metrics(terms: DataFrame, synonyms: DataFrame, facts: DataFrame, def
     return got.unionByName(none).join(last, "metric").select("query_id", "ticker", "metric", "fiscal_period", "value")
 
 
-def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, max_tokens: int) -> DataFrame:
+def retrieve_context(queries: DataFrame, chunks: DataFrame | TextIndex, k: int, max_tokens: int) -> DataFrame:
     """K5. Search, budget, neighbours as one plan."""
-    hits = search_chunks(queries, chunks, k).join(chunks.select("doc_id", "chunk_index", "section_type", "content"), ["doc_id", "chunk_index"])
+    hits, texts = _searched(queries, chunks, k)
+    hits = hits.join(texts.select("doc_id", "chunk_index", "section_type", "content"), ["doc_id", "chunk_index"])
     kept = budget(hits.withColumn("id", F.struct("doc_id", "chunk_index")), max_tokens)
-    return with_neighbours(kept, chunks, max_tokens)
+    return with_neighbours(kept, texts, max_tokens)
 
 
 def register_formulas(formulas: DataFrame, facts: DataFrame) -> DataFrame:

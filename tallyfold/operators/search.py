@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,34 +89,45 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, max_tokens: int) -> Data
     return j.withColumn("before", F.when(keep_b, F.col("before"))).withColumn("after", F.when(keep_a, F.col("after")))
 
 
+def in_scope(wanted: str, own: str) -> Column:
+    """Whether a row is of the section (or the like) that is wanted, if one is."""
+    return F.col(wanted).isNull() | F.col(wanted).eqNullSafe(F.col(own))
+
+
+def hit_score(stage: str, matched: str, n: str, chars: str) -> Column:
+    said, long = F.when(F.col(stage) == 1, 0.4).otherwise(0.0), F.when(F.col(chars) > 1000, 0.05).otherwise(0.0)
+    return F.round(F.least(F.lit(0.95), F.lit(0.3) + said + 0.2 * F.col(matched) / F.col(n) + long), 6)
+
+
 def search_chunks(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """K1. Cascade: the phrase, all key words, any key word, each within the wanted section
     and subsection; then any key word in the section, then anywhere, then whatever the
     section that the query's words suggest has to offer. Of each query only the first
     stage that finds something.
 
-    ``queries``: (query_id, phrase, terms) and, if wanted, section, subsection and
-    suggested (the section its words suggest); chunks may have section_type and
-    subsection. Chunks meet queries on a shared word, so the join is an equi-join; stages
-    are then read off the matched terms.
+    ``queries``: (query_id, phrase, terms) and, if wanted, section, subsection, ticker
+    (only its chunks count) and suggested (the section its words suggest); chunks may have
+    section_type, subsection and ticker. Chunks meet queries on a shared word, so the join
+    is an equi-join; stages are then read off the matched terms. This reads all chunks;
+    ``text_index.TextIndex`` gives the same rows from postings.
     """
-    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    asked = queries.select("query_id", "phrase", "terms", *(has(queries, c).alias(c) for c in ("section", "subsection", "suggested")))
-    texts = chunks.select("doc_id", "chunk_index", "content", *(has(chunks, c).alias(n) for c, n in (("section_type", "own_section"), ("subsection", "own_subsection"))))
-    t = asked.select("query_id", "phrase", "section", "subsection", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    has = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    wanted = ("section", "subsection", "ticker")
+    asked = queries.select("query_id", "phrase", "terms", *(has(queries, c).alias(c) for c in (*wanted, "suggested")))
+    texts = chunks.select("doc_id", "chunk_index", "content", *(has(chunks, c).alias(n) for c, n in (("section_type", "own_section"), ("subsection", "own_subsection"), ("ticker", "own_ticker"))))
+    t = asked.select("query_id", "phrase", *wanted, F.size("terms").alias("n"), F.explode("terms").alias("term"))
     w = texts.select("doc_id", "chunk_index", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    hits = w.join(t, "term").groupBy("query_id", "phrase", "n", "section", "subsection", "doc_id", "chunk_index").agg(F.count("*").alias("matched"))
-    hits = hits.join(texts.withColumn("c", F.lower("content")).drop("content"), ["doc_id", "chunk_index"])
-    in_section = F.col("section").isNull() | F.col("section").eqNullSafe(F.col("own_section"))
-    in_both = in_section & (F.col("subsection").isNull() | F.col("subsection").eqNullSafe(F.col("own_subsection")))
+    hits = w.join(t, "term").groupBy("query_id", "phrase", "n", *wanted, "doc_id", "chunk_index").agg(F.count("*").alias("matched"))
+    hits = hits.join(texts.withColumn("c", F.lower("content")).drop("content"), ["doc_id", "chunk_index"]).filter(in_scope("ticker", "own_ticker"))
+    in_section = in_scope("section", "own_section")
+    in_both = in_section & in_scope("subsection", "own_subsection")
     phrase = (F.length("phrase") > 10) & F.col("c").contains(F.lower(F.col("phrase")))
     stage = F.when(in_both & phrase, 1).when(in_both & (F.col("matched") == F.col("n")), 2).when(in_both, 3).when(in_section, 4).otherwise(5)
-    staged = hits.withColumn("stage", stage).withColumn("first", F.min("stage").over(W.partitionBy("query_id"))).filter("stage = first")
-    score = F.round(F.least(F.lit(0.95), F.lit(0.3) + F.when(F.col("stage") == 1, 0.4).otherwise(0.0) + 0.2 * F.col("matched") / F.col("n") + F.when(F.length("c") > 1000, 0.05).otherwise(0.0)), 6)
+    staged = hits.withColumn("stage", stage).withColumn("first", F.min("stage").over(W.partitionBy("query_id"))).filter("stage = first").withColumn("chars", F.length("c"))
     cols = ["query_id", "doc_id", "chunk_index", "stage", "score"]
-    best = ranked(staged.withColumn("score", score), ["query_id"], F.desc("score"), "doc_id", "chunk_index", top=k).select(*cols)
-    nothing = asked.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("suggested").alias("own_section"))
-    rest = ranked(nothing.join(texts, "own_section"), ["query_id"], "doc_id", "chunk_index", top=k)
+    best = ranked(staged.withColumn("score", hit_score("stage", "matched", "n", "chars")), ["query_id"], F.desc("score"), "doc_id", "chunk_index", top=k).select(*cols)
+    nothing = asked.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "ticker", F.col("suggested").alias("own_section"))
+    rest = ranked(nothing.join(texts, "own_section").filter(in_scope("ticker", "own_ticker")), ["query_id"], "doc_id", "chunk_index", top=k)
     return best.unionByName(rest.select("query_id", "doc_id", "chunk_index", F.lit(6).alias("stage"), F.lit(0.3).alias("score")))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import search, vector_index
+from tallyfold.operators.text_index import TextIndex
 from tallyfold.operators.vector_index import InvertedFile
 
 VECTORS = "id long, v array<double>"
@@ -96,3 +97,63 @@ def test_a_half_written_index_is_none(spark, tmp_path):
         from tallyfold.sources.tables import read_newest
 
         read_newest(spark, str(tmp_path))
+
+
+# --- words ---------------------------------------------------------------------------
+
+
+def chunk_rows(n=300, seed=2):
+    rng = np.random.default_rng(seed)
+    words = np.array([f"w{k}" for k in range(40)] + ["Net", "revenue", "grew", "été", "x-y"])
+    weights = 1 / np.arange(1, len(words) + 1)
+    rows = []
+    for k in range(n):
+        text = " ".join(rng.choice(words, rng.integers(0, 12), p=weights / weights.sum()))
+        rows.append((k // 3, k % 3, text + (" " + "pad " * 300 if k % 17 == 0 else ""), f"s{k % 4}" if k % 11 else None, f"u{k % 2}", f"t{k % 5}"))
+    return rows
+
+
+CHUNKS = "doc_id long, chunk_index int, content string, section_type string, subsection string, ticker string"
+
+
+def asked_rows(seed=3):
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[rng.integers(len(x))]
+    phrases = ["w0 w1 w0 w2", "0 w0 W1 w", "net revenue grew", "w3", "absent words here", "grew   w0 w1 w1", "", None, "longsingleword", "w2 w0 w0 w0"]
+    return [(k, phrases[k % len(phrases)], ["zzz"] if k % 6 == 5 else [f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 4))] + (["zzz"] if k % 7 == 0 else []) + (["w1", "w1"] if k % 9 == 0 else []), pick(["s0", "s1", None, "none"]), pick(["u0", None]), pick(["s2", None]), pick(["t1", None, None])) for k in range(60)]
+
+
+ASKED = "query_id long, phrase string, terms array<string>, section string, subsection string, suggested string, ticker string"
+
+
+def rows_of(found):
+    return sorted(map(tuple, found.select("query_id", "doc_id", "chunk_index", "stage", "score").collect()))
+
+
+def test_word_index_gives_the_rows_of_a_full_search(spark, tmp_path):
+    rows = chunk_rows()
+    chunks, queries = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(asked_rows(), ASKED)
+    index = TextIndex.build(chunks.filter("doc_id < 60"), str(tmp_path / "index"), buckets=8)
+    index.add(chunks.filter("doc_id >= 60"))
+    want = rows_of(search.search_chunks(queries, chunks, 4))
+    assert {r[3] for r in want} == {1, 2, 3, 4, 5, 6}
+    assert rows_of(index.search(queries, 4)) == want
+    assert rows_of(TextIndex(spark, str(tmp_path / "index")).search(queries, 4)) == want
+
+
+def test_word_index_without_scope_columns_or_rows(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, "the one text"), (1, 1, None)], "doc_id long, chunk_index int, content string")
+    queries = spark.createDataFrame([(1, "", ["one"]), (2, "", ["none"]), (3, "", [])], "query_id long, phrase string, terms array<string>")
+    index = TextIndex.build(chunks, str(tmp_path / "a"))
+    assert [r[:4] for r in rows_of(index.search(queries, 3))] == [(1, 1, 0, 2)]
+    assert index.search(queries.limit(0), 3).count() == 0
+
+
+def test_only_the_folders_of_the_words_are_read(spark, tmp_path):
+    index = TextIndex.build(spark.createDataFrame(chunk_rows(), CHUNKS), str(tmp_path / "index"), buckets=16)
+    words = spark.createDataFrame([("w1", 1)], "term string, query_id int")
+    read = index._of(words, ["query_id"])
+    assert len({f.split("bucket=")[1].split("/")[0] for f in index.postings.inputFiles()}) > 8
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "PartitionFilters" in plan
+    assert read.count() == sum("w1" in r[2].split() for r in chunk_rows())
