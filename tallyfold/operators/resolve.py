@@ -20,15 +20,28 @@ def map_tags(rows: DataFrame, mapping: DataFrame, tag: str = "raw_label") -> Dat
     return j.select(*rows.columns, F.coalesce("c1", "c2", slug(F.regexp_replace(F.col(tag), "^[A-Za-z0-9-]+:", ""))).alias("canonical"), conf.alias("map_confidence"))
 
 
+def keyed_by_rarest(a: DataFrame, b: DataFrame, words_a: str, words_b: str) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` where the word of ``a`` that the fewest rows of
+    ``b`` have is a word of ``b``. Whatever holds all words of a row of ``a`` is among its
+    pairs, and a row has as many pairs as its rarest word has rows, however many share
+    its frequent ones. ``words_a``, ``words_b``: array columns, dropped."""
+    each = b.withColumn("w", F.explode(F.array_distinct(words_b))).drop(words_b)
+    held = each.groupBy("w").agg(F.count("*").alias("held"))
+    mine = a.withColumn("w", F.explode(F.array_distinct(words_a))).join(held, "w", "left")
+    # a word that nothing has: no row can hold them all
+    rarest = ranked(mine, [c for c in a.columns if c != words_a], F.coalesce("held", F.lit(0)), "w").filter("held is not null")
+    return rarest.drop("held", words_a).join(each, "w").drop("w")
+
+
 def map_labels(labels: DataFrame, synonyms: DataFrame) -> DataFrame:
     """C2. Exact match (1.0), else containment either way (0.9): the longest synonym,
-    then the first by name. Candidates share a word, found by an equi-join; containment
-    of words is then checked, so no nested-loop join is needed."""
-    own = labels.select("label").distinct().withColumn("text", F.trim(F.regexp_replace(F.lower("label"), r"[^a-z0-9]+", " ")))
-    syn = synonyms.select("canonical", "name").distinct().withColumn("syn", F.trim(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", " ")))
-    a = own.withColumn("w", F.explode(F.array_distinct(F.split("text", " "))))
-    b = syn.withColumn("w", F.explode(F.array_distinct(F.split("syn", " "))))
-    pairs = a.join(b, "w").drop("w").distinct()
+    then the first by name. What contains a text has its rarest word, so both ways are an
+    equi-join on one word a text; containment of the words in order is then checked."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+    own = labels.select("label").distinct().select("label", plain("label").alias("text"), F.split(plain("label"), " ").alias("text_words"))
+    syn = synonyms.select("canonical", "name").distinct().select("canonical", "name", plain("name").alias("syn"), F.split(plain("name"), " ").alias("syn_words"))
+    cols = ["label", "text", "canonical", "name", "syn"]
+    pairs = keyed_by_rarest(syn, own, "syn_words", "text_words").select(*cols).unionByName(keyed_by_rarest(own, syn, "text_words", "syn_words").select(*cols)).distinct()
     within = F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "syn", F.lit(" "))) | F.concat(F.lit(" "), "syn", F.lit(" ")).contains(F.concat(F.lit(" "), "text", F.lit(" ")))
     found = pairs.filter(within).withColumn("score", F.when(F.col("text") == F.col("syn"), 1.0).otherwise(0.9))
     return ranked(found, ["label"], F.desc("score"), F.desc(F.length("syn")), "syn", "canonical").select("label", "canonical", "name", "score")
@@ -39,22 +52,58 @@ def bigram_list(col: Column) -> Column:
     return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
 
 
-def fuzzy(queries: DataFrame, synonyms: DataFrame, floor: float = 0.7) -> DataFrame:
-    """C3's scores: Dice over character bigrams (multisets) of every pair that shares one.
+def fuzzy_candidates(queries: DataFrame, names: DataFrame, floor: float) -> DataFrame:
+    """(query, name, n, m, a, b): pairs that may have a Dice of at least ``floor``, with
+    their bigram numbers and bigrams.
 
-    ``queries``: (query); ``synonyms``: (canonical, name). Equi-join on (bigram, number of
-    its occurrence), so the shared count of a pair is the multiset intersection.
+    A text's bigrams, numbered where they repeat, are put in one order for all texts, the
+    rarest first. Texts of n and m bigrams with that Dice share at least need = floor *
+    (n + m) / 2 of them, so the first two shared are among the first n - need + 2 of one
+    and m - need + 2 of the other: texts meet on two bigrams of their beginnings (on one,
+    where need is one), and frequent bigrams, which come last, hardly ever count. Of the
+    pairs that meet, those go on whose shared bigrams so far and what may follow the last
+    of them reach need.
     """
+    least = floor - 5e-7  # scores are rounded to six places
+    whole = lambda x: F.ceil(x - 1e-9)
 
     def grams(df: DataFrame, col: str) -> DataFrame:
-        counted = df.select(col).distinct().withColumn("n", F.size(bigram_list(F.col(col)))).withColumn("g", F.explode(bigram_list(F.col(col)))).groupBy(col, "n", "g").agg(F.count("*").alias("k"))
-        return counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-
-    a, b = grams(queries, "query"), grams(synonyms.select("name"), "name").withColumnRenamed("n", "m")
-    # Dice of at least the floor needs sizes within these bounds
-    sizes = (F.col("m") >= floor * F.col("n") / (2 - floor) - 1e-9) & (F.col("m") <= (2 - floor) * F.col("n") / floor + 1e-9)
-    both = a.join(b, ["g", "k"]).filter(sizes).groupBy("query", "name", "n", "m").agg(F.count("*").alias("both"))
-    scored = both.withColumn("score", F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6)).filter(F.col("score") >= floor)
+        rows = df.select(col).distinct().withColumn("g", bigram_list(F.col(col))).filter(F.size("g") > 0)
+        nth = lambda x, i: F.size(F.filter(F.slice("g", F.lit(1), i + 1), lambda y: y == x)).cast("string")
+        return rows.withColumn("g", F.transform("g", lambda x, i: F.concat(x, nth(x, i))))
+
+    left, right = grams(queries, "query"), grams(names, "name")
+    count = left.select(F.explode("g").alias("t")).unionByName(right.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
+
+    def ordered(df: DataFrame, col: str, size: str, own: str) -> DataFrame:
+        each = df.select(col, F.size("g").alias(size), F.explode("g").alias("t")).join(count, "t")
+        return each.groupBy(col, size).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias(own))
+
+    def keyed(df: DataFrame, col: str, size: str, own: str, at: str) -> DataFrame:
+        """Two bigrams of the beginning (a single one for the shortest), and the later's place."""
+        fewest = whole(least * (F.col(size) + whole(least * F.col(size) / (2 - least))) / 2)
+        rows = df.withColumn("start", F.slice(own, F.lit(1), F.least(F.col(size), F.col(size) - fewest + 2).cast("int")))
+        two = F.flatten(F.transform("start", lambda t, y: F.transform(F.slice("start", F.lit(1), y), lambda u: F.struct(y.alias(at), F.concat(u, F.lit("|"), t).alias("t")))))
+        one = F.when(fewest <= 1, F.transform("start", lambda t, y: F.struct(y.alias(at), t.alias("t")))).otherwise(F.slice(F.array(F.struct(F.lit(0).alias(at), F.lit("").alias("t"))), 1, 0))
+        return rows.select(col, size, F.inline(F.concat(two, one)))
+
+    a, b = ordered(left, "query", "n", "a"), ordered(right, "name", "m", "b")
+    need = whole(least * (F.col("n") + F.col("m")) / 2)
+    inside = (F.col("i") <= F.col("n") - need + 1) & (F.col("j") <= F.col("m") - need + 1)
+    met = keyed(a, "query", "n", "a", "i").join(keyed(b, "name", "m", "b", "j"), "t").filter(F.when(F.col("t").contains("|"), (need > 1) & inside).otherwise(need <= 1))
+    # s shared bigrams are s * (s - 1) / 2 shared keys
+    met = met.groupBy("query", "name", "n", "m").agg(F.count("*").alias("keys"), F.max("i").alias("i"), F.max("j").alias("j"))
+    both = F.when(need > 1, (1 + F.sqrt(1 + 8 * F.col("keys"))) / 2).otherwise(F.col("keys"))
+    met = met.filter(whole(both) + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= need)
+    return met.select("query", "name", "n", "m").join(a.select("query", "a"), "query").join(b.select("name", "b"), "name")
+
+
+def fuzzy(queries: DataFrame, synonyms: DataFrame, floor: float = 0.7) -> DataFrame:
+    """C3's scores: Dice over character bigrams (multisets) of every pair of at least the
+    floor. ``queries``: (query); ``synonyms``: (canonical, name)."""
+    pairs = fuzzy_candidates(queries, synonyms.select("name"), floor)
+    score = F.round(2 * F.size(F.array_intersect("a", "b")) / (F.col("n") + F.col("m")), 6)
+    scored = pairs.select("query", "name", score.alias("score")).filter(F.col("score") >= floor)
     named = scored.join(synonyms.select("name", "canonical").distinct(), "name")
     return named.groupBy("query", "canonical").agg(F.max("score").alias("score"))
 
