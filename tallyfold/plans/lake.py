@@ -8,7 +8,7 @@ from tallyfold.operators import statements
 from tallyfold.plans.base import Plans
 from tallyfold.sources import tables as op
 from tallyfold.sources.bindings import CHUNKS, FACTS, FILINGS, LOG, chunks, facts, filings, log, table
-from tallyfold.streaming import jobs
+from tallyfold.streaming import jobs, state
 
 P = Plans()
 TEMPLATE = [(1, "Income", None, True, 0), (2, "Revenue", "revenue", False, 1), (3, "Profit", "net_income", False, 1), (4, "Never", "ebitda", False, 1)]
@@ -88,3 +88,9 @@ P.add(
 )
 P.add("o6_rates", lambda s, d: jobs.stream_rates(log(s, d), 2, "1 hour").select(F.col("w.start").alias("from_ts"), "n"), "select date_trunc('hour', ts) as from_ts, count(*) as n from log group by 1 having count(*) > 2", LOG)
 P.add("o2_expire", lambda s, d: jobs.expire(log(s, d), "2024-02-10").select("event_id"), "select event_id from log where ts > timestamp '2024-01-11'", LOG)
+P.add(
+    "o1_detections", lambda s, d: state.detections(log(s, d).select(F.col("user_id").alias("ticker"), F.when(F.col("success"), F.col("event_id") % 500).alias("accession"), "ts", (~F.col("success")).alias("failed"))),
+    """with c as (select user_id as ticker, case when success then event_id % 500 end as accession, ts, not success as failed from log), f as (select ticker, accession, min(ts) as ts from c where accession is not null group by 1, 2),
+    g as (select ticker, max(ts) as last_filing, count(*) as filings from f group by 1), r as (select ticker, ts, min((failed)::int) over (partition by ticker order by ts desc, accession desc nulls last rows unbounded preceding) as failing from c),
+    h as (select ticker, max(ts) as last_check, sum(failing)::bigint as failures from r group by 1) select h.ticker, last_check, last_filing, coalesce(filings, 0) as filings, failures from h left join g using (ticker)""", LOG,
+)
