@@ -11,7 +11,7 @@ from tallyfold.operators import series
 from tallyfold.operators.facts import ranked, small
 from tallyfold.operators.ratios import apply_sign
 from tallyfold.operators.resolve import map_tags
-from tallyfold.operators.text import slug
+from tallyfold.operators.text import slug, tone_shift
 
 
 def statement_completeness(extracted: DataFrame, available: DataFrame, expected: DataFrame) -> DataFrame:
@@ -38,16 +38,29 @@ def gap_report(completeness: DataFrame, industries: DataFrame) -> DataFrame:
     return g.withColumn("advice", F.when(F.col("mean") < 0.5, "extend mappings").when(F.col("mean") < 0.9, "review gaps").otherwise("none"))
 
 
-def validate_ingest(batch: DataFrame, history: DataFrame, mapping: DataFrame, conventions: dict[str, str]) -> DataFrame:
-    """M11. Name by slug and mapping, sign by convention, range by history; a list of
-    flags per row."""
+NET_INCOME = ("net_income", "netincome", "net_earnings", "net_profit")
+
+
+def validate_ingest(batch: DataFrame, history: DataFrame, mapping: DataFrame, conventions: dict[str, str], statements: DataFrame | None = None, tolerance: float = 1e6) -> DataFrame:
+    """M11. Name by slug and mapping, sign by convention, range by history, net income
+    against the same period's on another statement of ``statements`` (as C26, where given);
+    a list of flags per row."""
     named = map_tags(batch.withColumn("metric", slug(F.col("metric"))), mapping)
     rule = F.lit("any")
     for metric, convention in conventions.items():
         rule = F.when(F.col("metric") == metric, convention).otherwise(rule)
     signed = named.withColumn("signed", apply_sign(F.col("value"), rule))
     checked = series.range_check(signed, history)
-    flags = F.array_compact(F.array(F.when(F.col("map_confidence") < 0.9, "unmapped"), F.when(F.col("signed") != F.col("value"), "sign"), F.when(F.col("out_of_range"), "range")))
+    parts = F.lit(False)
+    if statements is not None:
+        income = lambda c: F.lower(c).isin(*NET_INCOME)
+        known = statements.filter(income("metric")).groupBy("ticker", "fiscal_period", F.col("statement_type").alias("other_type")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+        rows = checked.filter(income("metric")).select("ticker", "fiscal_period", "statement_type", "signed").distinct()
+        apart = F.greatest(F.abs(F.col("signed") - F.col("least")), F.abs(F.col("signed") - F.col("most"))) > tolerance
+        apart = rows.join(known, ["ticker", "fiscal_period"]).filter((F.col("statement_type") != F.col("other_type")) & apart).select("ticker", "fiscal_period", "statement_type", "signed").distinct().withColumn("apart", F.lit(True))
+        checked = checked.join(apart, ["ticker", "fiscal_period", "statement_type", "signed"], "left")
+        parts = F.coalesce("apart", F.lit(False)) & income("metric")
+    flags = F.array_compact(F.array(F.when(F.col("map_confidence") < 0.9, "unmapped"), F.when(F.col("signed") != F.col("value"), "sign"), F.when(F.col("out_of_range"), "range"), F.when(parts, "reconcile")))
     return checked.select("ticker", "fiscal_period", "filing_type", "canonical", F.col("signed").alias("value"), F.array_join(flags, ",").alias("flags"), "checked_confidence")
 
 
@@ -57,13 +70,16 @@ def record_failures(checks: DataFrame, open_rows: DataFrame) -> DataFrame:
     return checks.filter("status = 'failed'").select(*keys).distinct().join(open_rows.select(*keys), keys, "left_anti")
 
 
-def anomalies(facts: DataFrame, z: float = 2.0) -> DataFrame:
-    """M14. Outliers, runs and reversals as one list with a severity."""
+def anomalies(facts: DataFrame, chunks: DataFrame, words: Sequence[str], z: float = 2.0, run: int = 4, shift: int = 3) -> DataFrame:
+    """M14, F1. Outliers, runs, reversals and shifts of tone (``metric`` is the word) as one
+    list, the most severe first, then by kind. ``facts`` and ``chunks``: of any tickers."""
     cols = ["ticker", "metric", "fiscal_period"]
     a = series.zscore_outliers(facts, limit=z).select(*cols, F.lit("outlier").alias("kind"), "severity")
-    b = series.streaks(facts).select(*cols, F.lit("streak").alias("kind"), F.when(F.col("run") > 6, "high").otherwise("medium").alias("severity"))
+    b = series.streaks(facts, least=run).select(*cols, F.lit("streak").alias("kind"), F.when(F.col("run") > 6, "high").otherwise("medium").alias("severity"))
     c = series.reversals(facts).select(*cols, F.lit("reversal").alias("kind"), F.lit("medium").alias("severity"))
-    return a.unionByName(b).unionByName(c)
+    d = tone_shift(chunks, words, shift).select("ticker", F.col("word").alias("metric"), F.lit(None).cast("string").alias("fiscal_period"), F.lit("tone_shift").alias("kind"), F.lit("low").alias("severity"))
+    order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return a.unionByName(b).unionByName(c).unionByName(d).orderBy(order, "kind", *cols)
 
 
 def persistable(metrics: DataFrame, registry: DataFrame) -> DataFrame:
