@@ -8,6 +8,8 @@ from tallyfold.operators import statements
 from tallyfold.plans.base import Plans
 from tallyfold.sources import tables as op
 from tallyfold.sources.bindings import CHUNKS, FACTS, FILINGS, LOG, chunks, facts, filings, log, table
+from tallyfold.sources.keyed import KeyedTable
+from tallyfold.sources.scratch import scratch_path
 from tallyfold.streaming import jobs, state
 
 P = Plans()
@@ -94,3 +96,27 @@ P.add(
     g as (select ticker, max(ts) as last_filing, count(*) as filings from f group by 1), r as (select ticker, ts, min((failed)::int) over (partition by ticker order by ts desc, accession desc nulls last rows unbounded preceding) as failing from c),
     h as (select ticker, max(ts) as last_check, sum(failing)::bigint as failures from r group by 1) select h.ticker, last_check, last_filing, coalesce(filings, 0) as filings, failures from h left join g using (ticker)""", LOG,
 )
+
+
+def keyed(s, rows, by) -> KeyedTable:
+    out = KeyedTable.create(s, scratch_path(s, "keyed"), rows.schema, by, 32)
+    out.upsert(rows, rows.columns)
+    return out
+
+
+def _facts_upserted(s, d):
+    f = facts(s, d).select(*KEYS, "value")
+    target = keyed(s, f.filter("filing_type = '10-K'"), ["ticker"])
+    target.upsert(f.filter("fiscal_period in ('FY1998', 'Q1 1998')").withColumn("value", F.col("value") + 1), KEYS)
+    return target.read()
+
+
+def _documents_replaced(s, d):
+    c = chunks(s, d).select("doc_id", "chunk_index")
+    target = keyed(s, c, ["doc_id"])
+    target.replace_documents(c.filter("doc_id % 3 = 0 and chunk_index = 0"), c.filter("doc_id % 3 = 0 or doc_id % 5 = 0").select("doc_id"))
+    return target.read()
+
+
+P.add("a7_keyed_upsert", _facts_upserted, P.sql["a7_upsert_facts"])
+P.add("a12_keyed_replace", _documents_replaced, "select doc_id, chunk_index from chunks where not (doc_id % 3 = 0 or doc_id % 5 = 0) or (doc_id % 3 = 0 and chunk_index = 0)", CHUNKS)

@@ -69,16 +69,19 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = "_order") -> DataFrame:
     """A7-A10. Rows of the batch replace those of the same key; of several in one batch
     the last by ``order`` wins if it has that column, else the greatest."""
+    rest = [c for c in batch.columns if c not in keys]
     if order in batch.columns:
         batch = ranked(batch, keys, F.desc(order)).drop(order)
     else:
-        batch = ranked(batch, keys, *(F.desc(c) for c in batch.columns if c not in keys))
+        batch = ranked(batch, keys, *map(F.desc, rest)) if rest else batch.distinct()
     return target.join(batch.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(batch.select(*target.columns))
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A11. Only rows whose key is new are added."""
-    return target.unionByName(batch.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
+    """A11. Only rows whose key is new are added; of several in one batch the least."""
+    rest = [c for c in batch.columns if c not in keys]
+    first = ranked(batch, keys, *rest) if rest else batch.distinct()
+    return target.unionByName(first.join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
 
 
 def replace_documents(target: DataFrame, batch: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
