@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import materialize, slices, table
+from tallyfold.llm.common import low_hashes, materialize, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the patterns of the four kinds
@@ -232,17 +232,23 @@ _NAME = {"email": _local, "secret": _local | frozenset("/=")}
 _DIGITS = frozenset("0123456789")
 
 
-def widened(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
-    """The span to the ends of the names and numbers it begins and ends in."""
-    inside = _NAME.get(kind, _DIGITS)
+def widened(text: str, kind: str, a: int, b: int, runs: dict[tuple[str, str], tuple[int, int]] | None = None) -> tuple[int, int]:
+    """The span to the ends of the names and numbers it begins and ends in. ``runs``: the
+    runs last walked through, so that many spans in one run cost its length once."""
+    inside, runs = _NAME.get(kind, _DIGITS), {} if runs is None else runs
     while a < b and text[a] not in inside and text[a] not in "(+":
         a += 1
     while b > a and not text[b - 1].isalnum():
         b -= 1
-    while a > 0 and text[a - 1] in inside and a < b:
-        a -= 1
-    while b < len(text) and text[b] in inside and text[b] not in "." and a < b:
-        b += 1
+    if a < b:
+        (lo, hi), at = runs.get((kind, "before"), (0, 0)), a
+        while a > 0 and text[a - 1] in inside:
+            a = lo if lo < a <= hi else a - 1
+        runs[kind, "before"] = a, at
+        (lo, hi), at = runs.get((kind, "after"), (0, 0)), b
+        while b < len(text) and text[b] in inside and text[b] != ".":
+            b = hi if lo <= b < hi else b + 1
+        runs[kind, "after"] = at, b
     if kind == "email" and a < b:  # the rest of a spelt-out address
         while more := _tail.match(text, b):
             b = more.end()
@@ -455,7 +461,10 @@ def labelled_windows(docs: DataFrame, limit: int = MAX_WINDOWS) -> tuple[np.ndar
                         tags.append(bytes(tag))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array(tags, pa.binary())], names=["key", "part", "tags"])
 
-    rows = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text").mapInArrow(run, "key string, part string, tags binary")
+    # windows of a few times as many documents as are needed, those of lowest hash, so that
+    # what is sorted below does not grow with the table
+    hinted = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    rows = low_hashes(hinted, 4 * limit, "doc_id", "text").mapInArrow(run, "key string, part string, tags binary")
     # written first: collected directly, every task would hand the driver ``limit`` rows
     got = materialize(rows.orderBy("key", "part").limit(limit), "windows").toPandas().sort_values(["key", "part"])
     rng, rows = np.random.default_rng(7), []
@@ -497,11 +506,12 @@ def found_by(net: Tagger | None, texts: list[str], min_confidence: float = MIN_C
                 total[s - a : s - a + n] += emit[i, :n] * _WEIGHT[:n, None]
                 weight[s - a : s - a + n] += _WEIGHT[:n, None]
                 i += 1
-            joined = total / np.maximum(weight, 1e-6)
-            path = viterbi(joined, net.p["pair"])
+            # sums over a stretch of any length: float32 would make its confidence meaningless
+            joined, pair = (total / np.maximum(weight, 1e-6)).astype(np.float64), net.p["pair"].astype(np.float64)
+            path = viterbi(joined, pair)
             if not path.any():
                 continue
-            fwd, back, whole = crf_marginals(joined[:, None], net.p["pair"])
+            fwd, back, whole = crf_marginals(joined[:, None], pair)
             sure = np.exp(fwd + back - whole[:, None])[:, 0]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], path, [0]])))
             for lo, hi in zip(edges, edges[1:], strict=False):
@@ -513,11 +523,14 @@ def found_by(net: Tagger | None, texts: list[str], min_confidence: float = MIN_C
 
 def added(text: str, known: list[Span], found: list[Span]) -> list[Span]:
     """Of the tagger's spans, those clear of the known ones and plausible."""
-    taken, out = bytearray(len(text)), []
+    taken, out, runs, tried = bytearray(len(text)), [], {}, set()
     for _, a, b in known if found else ():
         taken[a:b] = b"\1" * (b - a)
     for kind, a, b in found:
-        a, b = widened(text, kind, a, b)
+        a, b = widened(text, kind, a, b, runs)
+        if (kind, a, b) in tried:
+            continue
+        tried.add((kind, a, b))
         for _ in range(3 if kind == "email" else 0):  # a spelt-out address may end in words too many
             if plausible(kind, text[a:b]) or not (m := _last_word.search(text, a, b)):
                 break

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyfold.llm.common import crc_mod, slices, table
+from tallyfold.llm.common import crc_mod, lowest, slices, table
 
 CUT_SCORE = 0.7
 MAX_LABELS = 20_000
@@ -110,11 +110,7 @@ def _features(texts: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Ranker:
     """Learn from labelled documents; the sample is at most ``max_labels`` rows, so the
     broadcast and what comes to the driver are bounded (20,000 rows of 36 numbers)."""
-    kept = (
-        labels.filter("doc_id is not null and quality is not null")
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    )
+    kept = lowest(labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), max_labels, "doc_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, "text"):
@@ -127,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Ran
 
 
 def score(docs: DataFrame, model: Ranker, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score as ``name``, which must be new."""
-    if name in docs.columns:
+    """All columns of ``docs`` and the score as ``name``, which must be new in any case."""
+    if name.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"there is a column {name} already: give the score another name")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import table
+from tallyfold.llm.common import lowest, table
 
 SCALE, TOP = 1024, 10
 QUERY_BLOCK, ROW_BLOCK, SAMPLE = 1024, 4096, 4096
@@ -152,7 +152,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP) -> DataFrame:
     n_queries, n_rows = queries.count(), rows.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     dealt = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("qb"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = lowest(rows, SAMPLE, "vec_id").collect()
     some = unpacked(*_pack([r.vec_id for r in sample], [r.v for r in sample]))
 
     def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
