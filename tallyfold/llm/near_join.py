@@ -304,14 +304,14 @@ def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
     lo, hi = F.greatest("lo", F.ceil(NEED * F.col("x_n") / OF)), F.least("hi", F.floor(OF * F.col("x_n") / NEED))
     least = lambda n: NEED * (F.col("x_n") + n) / (OF + NEED) - NEED * F.greatest("x_n", n) / OF
     near = near.filter(lo <= hi).filter(F.col("shared") >= F.least(least(lo), least(hi))).select("x_doc_id", "x_n", "component")
-    # each of the few left meets the members one by one, on whole prefixes
+    # each of the few left meets the members one by one
+    near = near.join(rows.filter("large").select("doc_id", "n", "component").distinct(), "component").filter(sizes_allow(F.col("n"), F.col("x_n")))
+    pairs = near.select("x_doc_id", "x_n", "doc_id", "n").unionByName(_met(rows.filter("not large")))
+    # all that are left are counted on whole prefixes
     prefixes_ = rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("p"))
-    pairs = near.select("x_doc_id", "x_n", "component").join(rows.filter("large").select("doc_id", "n", "component").distinct(), "component").filter(sizes_allow(F.col("n"), F.col("x_n"))).drop("component")
     pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, ["doc_id", "n"])
-    to_large = pairs.select("x_doc_id", "x_n", "doc_id", "n", F.size(F.array_intersect("x_p", "p")).alias("shared"))
-    small = _met(rows.filter("not large"))
-    to_large = to_large.filter(prefixes_allow(F.col("shared"), F.col("x_n"), F.col("n")))
-    return to_large.select("doc_id", "x_doc_id").unionByName(small).select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
+    pairs = pairs.filter(prefixes_allow(F.size(F.array_intersect("x_p", "p")), F.col("x_n"), F.col("n")))
+    return pairs.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
 
 
 def band(n):
@@ -327,19 +327,21 @@ def least_shared(n, b):
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(x_doc_id, doc_id) of different components whose prefixes allow a link."""
+    """(x_doc_id, x_n, doc_id, n) of different components that share a token which, for sets
+    of just these sizes, is early enough in both for a link. Bands decide where a row
+    goes; the join itself asks for the two sizes, so texts that share a passage, but too
+    little for a link, make no row."""
     bands = F.sequence(band(F.ceil(NEED * F.col("n") / OF)), band(F.floor(OF * F.col("n") / NEED)))
     fitting = F.filter(bands, lambda b: F.col("pos") <= F.col("n") - least_shared(F.col("n"), b))
-    dealt = rows.select("token", "doc_id", "n", "component", band(F.col("n")).alias("own"), F.explode(fitting).alias("other"))
-    dealt = dealt.withColumn("need", least_shared(F.col("n"), F.col("other")))
+    dealt = rows.select("token", "doc_id", "n", "pos", "component", band(F.col("n")).alias("own"), F.explode(fitting).alias("other"))
     key = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
-    cols = ("doc_id", "n", "component", "need")
+    cols = ("doc_id", "n", "pos", "component")
     x = dealt.filter("own <= other").select("token", *key, *(F.col(c).alias(f"x_{c}") for c in cols))
     y = dealt.filter("own >= other").select("token", *key, *cols)
-    pairs = x.join(y, ["token", "lo", "hi"]).filter("component <> x_component and (lo < hi or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")))
-    # every token in both parts of the prefixes gives the pair once, so the count is exact
-    counted = pairs.groupBy("x_doc_id", "x_n", "doc_id", "n").agg(F.count("*").alias("shared"), F.max(F.greatest("need", "x_need")).alias("need"))
-    return counted.filter(F.col("shared") + F.col("need") - 1 >= F.ceil(NEED * (F.col("n") + F.col("x_n")) / (OF + NEED))).select("x_doc_id", "doc_id")
+    need = F.ceil(NEED * (F.col("n") + F.col("x_n")) / (OF + NEED))
+    early = (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
+    pairs = x.join(y, ["token", "lo", "hi"]).filter("component <> x_component and (lo < hi or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")) & early)
+    return pairs.select("x_doc_id", "x_n", "doc_id", "n").distinct()
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
