@@ -18,9 +18,10 @@ Steps, each written once to shared storage:
    largest component for those still outside. Then documents of one bucket that are in
    different components meet if their sizes and the token's place in both sets still
    allow a link: a bucket is dealt into pairs of size bands, and into each goes only the
-   part of the prefix that two sets of such sizes must share. So texts that share most
-   of their words, but too few for a link, do not meet there. The pairs that do are
-   counted over their buckets, compared if the count allows a link, and components are
+   part of the prefix that two sets of such sizes must share; where they meet, the two
+   sizes themselves are asked. So texts that share most of their words, but too few for
+   a link, do not meet there. The tokens shared by the pairs that do are counted on whole
+   prefixes, the pairs are compared if the count allows a link, and components are
    formed again. A link that is never compared lies inside a component already, so the
    components are exact.
 
