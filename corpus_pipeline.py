@@ -57,6 +57,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_join.groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
     groups = materialize(groups.join(rows.select(row, "doc_id"), row), "groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialize(first, "first")  # a join of two tables: a group of very many copies may be split in it
     dropped = groups.join(first, "component_id").filter(F.col(row) != F.col(f"first.{row}")).select(row)
     return without(rows, row, dropped)
 
