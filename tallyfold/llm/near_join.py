@@ -305,9 +305,12 @@ def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
     lo, hi = F.greatest("lo", F.ceil(NEED * F.col("x_n") / OF)), F.least("hi", F.floor(OF * F.col("x_n") / NEED))
     least = lambda n: NEED * (F.col("x_n") + n) / (OF + NEED) - NEED * F.greatest("x_n", n) / OF
     near = near.filter(lo <= hi).filter(F.col("shared") >= F.least(least(lo), least(hi))).select("x_doc_id", "x_n", "component")
-    # each of the few left meets the members one by one
-    near = near.join(rows.filter("large").select("doc_id", "n", "component").distinct(), "component").filter(sizes_allow(F.col("n"), F.col("x_n")))
-    pairs = near.select("x_doc_id", "x_n", "doc_id", "n").unionByName(_met(rows.filter("not large")))
+    # the few left meet those members in their buckets that their sizes let them link with
+    left = near.select(F.col("x_doc_id").alias("doc_id"), F.col("x_n").alias("n"), F.col("component").alias("met"))
+    x = _dealt(rows.drop("component")).join(left, ["doc_id", "n"]).select("token", F.col("own").alias("lo"), F.col("other").alias("hi"), F.col("met").alias("component"), *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos")))
+    y = _dealt(rows.filter("large")).select("token", F.col("other").alias("lo"), F.col("own").alias("hi"), "component", "doc_id", "n", "pos")
+    near = x.join(y, ["token", "lo", "hi", "component"]).filter(_early())
+    pairs = near.select("x_doc_id", "x_n", "doc_id", "n").distinct().unionByName(_met(rows.filter("not large")))
     # all that are left are counted on whole prefixes
     prefixes_ = rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("p"))
     pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, ["doc_id", "n"])
@@ -327,21 +330,29 @@ def least_shared(n, b):
     return F.ceil(NEED * (n + F.greatest(start, F.ceil(NEED * n / OF))) / (OF + NEED)).cast("int")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with their size's band (own), one for each band (other) of sizes that a set
+    of theirs may link with on this token."""
+    bands = F.sequence(band(F.ceil(NEED * F.col("n") / OF)), band(F.floor(OF * F.col("n") / NEED)))
+    fitting = F.filter(bands, lambda b: F.col("pos") <= F.col("n") - least_shared(F.col("n"), b))
+    return rows.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(fitting))
+
+
+def _early():
+    """Whether a pair's sizes allow a link and its token is early enough in both for it."""
+    need = F.ceil(NEED * (F.col("n") + F.col("x_n")) / (OF + NEED))
+    return sizes_allow(F.col("n"), F.col("x_n")) & (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """(x_doc_id, x_n, doc_id, n) of different components that share a token which, for sets
     of just these sizes, is early enough in both for a link. Bands decide where a row
     goes; the join itself asks for the two sizes, so texts that share a passage, but too
     little for a link, make no row."""
-    bands = F.sequence(band(F.ceil(NEED * F.col("n") / OF)), band(F.floor(OF * F.col("n") / NEED)))
-    fitting = F.filter(bands, lambda b: F.col("pos") <= F.col("n") - least_shared(F.col("n"), b))
-    dealt = rows.select("token", "doc_id", "n", "pos", "component", band(F.col("n")).alias("own"), F.explode(fitting).alias("other"))
-    key = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
-    cols = ("doc_id", "n", "pos", "component")
-    x = dealt.filter("own <= other").select("token", *key, *(F.col(c).alias(f"x_{c}") for c in cols))
-    y = dealt.filter("own >= other").select("token", *key, *cols)
-    need = F.ceil(NEED * (F.col("n") + F.col("x_n")) / (OF + NEED))
-    early = (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
-    pairs = x.join(y, ["token", "lo", "hi"]).filter("component <> x_component and (lo < hi or x_doc_id < doc_id)").filter(sizes_allow(F.col("n"), F.col("x_n")) & early)
+    dealt, cols = _dealt(rows), ("doc_id", "n", "pos", "component")
+    x = dealt.filter("own <= other").select("token", F.col("own").alias("lo"), F.col("other").alias("hi"), *(F.col(c).alias(f"x_{c}") for c in cols))
+    y = dealt.filter("own >= other").select("token", F.col("other").alias("lo"), F.col("own").alias("hi"), *cols)
+    pairs = x.join(y, ["token", "lo", "hi"]).filter("component <> x_component and (lo < hi or x_doc_id < doc_id)").filter(_early())
     return pairs.select("x_doc_id", "x_n", "doc_id", "n").distinct()
 
 
