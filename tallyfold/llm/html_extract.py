@@ -7,12 +7,14 @@ weights, less between paths of different parents) and fused into one value; path
 value reaches a share of the spread of all values are content, and so are the texts on
 them. Besides the ratios a path's value has two priors:
 
-- furniture: a step of a menu, form, footer, advert, comment, ... by its tag, role or a
-  whole name among its classes and ids, divides the value. A step that holds the content
-  root is no furniture whatever its name, and neither is a heading;
+- furniture: a step of a menu, form, footer, advert, comment, ... by its tag, role or the
+  head word of a class or id ("main-menu", "comment-list", not "menu-of-the-day") divides
+  the value; a name that only mentions furniture divides it where half of the path's text
+  is links. A step that holds the content root is no furniture whatever its name, and
+  neither is a heading;
 - the content root: the ``article`` or ``main`` with most text. Paths inside it have at
-  least a share of its best path's value, so short paragraphs, headings and lists stay;
-  the value of paths outside is divided.
+  least a share of its best path's value, so short paragraphs, headings and lists stay,
+  but not rows of blocks that are links throughout; the value of paths outside is divided.
 
 Without such a root, texts between the first and the last content path that stand beside
 content and are not mostly links are filled in, and headings just before it.
@@ -22,8 +24,8 @@ alone, in the task that reads it; there is no shuffle.
 
 Results on odd input: null or empty html, and pages of furniture alone, give the empty
 text; very long or deep pages are read whole; broken markup is read leniently (unclosed
-tags end with their parent, an unclosed quote at the next ``>``, a ``<`` without a tag is
-text); repeated rows are extracted once each, as are rows without an id; ties between
+tags end with their parent, an unclosed quote at the next ``>``, an unclosed title at the
+next tag, an unclosed script or style with the page, a ``<`` without a tag is text); repeated rows are extracted once each, as are rows without an id; ties between
 roots go to the first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +35,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,33 +46,43 @@ from tallyfold.llm.common import slices, table
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _STOP = re.compile(r"[\"'>]")
-_ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_ATTR = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 # fixed values: element names, and the names that mark page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+FOREIGN = frozenset(("svg", "math"))  # only there does a slash close a raw element
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 FURNITURE = frozenset("nav footer aside form head button select menu dialog fieldset label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# names of furniture wherever they stand in a class or id, and those that must be the whole of it
-PART_NAMES = frozenset(
-    "advert adverts advertisement advertising adsense sponsored promo promotion cookie cookies gdpr popup modal navbar nav navigation menu breadcrumb breadcrumbs "
-    "sidebar widget widgets footer masthead comment comments disqus newsletter subscribe subscription pagination pager".split()
+# names of furniture as the head word of a class or id, words of layout that may follow the
+# head, and names that must be the whole
+HEAD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsored promo promotion cookie cookies gdpr popup modal navbar nav navigation menu breadcrumb breadcrumbs "
+    "sidebar widget widgets footer masthead comment comments commentary disqus newsletter subscribe subscription pagination pager".split()
+)
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons col column consent container content form group header holder icon icons info inner item items law layer left link links list main message "
+    "module notice banner outer overlay panel policy primary region right row secondary section signup slot small text thread title toggle top unit warning wrap wrapper zone".split()
 )
 WHOLE_NAMES = frozenset(
-    "ad ads ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper adbox sponsor banner consent consent-banner notice notices site-notice alert alerts overlay header site-header page-header top-header "
-    "respond share sharing share-buttons share-links share-bar social social-links social-share related related-posts related-articles related-links related-stories recommended "
+    "adbox sponsor banner consent consent-banner notice notices site-notice alert alerts overlay header site-header page-header top-header "
+    "respond share share-this share-buttons share-links share-bar share-icons sharing social social-links social-share social-icons "
+    "related related-content related-posts related-articles related-links related-stories recommended replies reply-list "
     "search search-form search-box signup login login-form toolbar copyright legal disclaimer skip-link".split()
 )
+CLASS_NAMES = frozenset("discussion responses reviews".split())  # as ids they name chapters
 NEGATIONS = frozenset("no not has have with without is hide show js".split())
+NAMED, WEAK = 2, 3  # furniture by a name, and by a mention
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK - {"br", "button"}
 _MARKS = re.compile(r"[.,;:!?…。，！？]")
 SPREAD = 0.5  # of the values' standard deviation: the least value of a content path
 OF_FURNITURE, OUTSIDE, INSIDE = 0.02, 0.2, 0.5  # priors
+ALL_LINKS = 0.9  # share of links from which a path of several blocks is not lifted
 APART = 0.05  # weight in smoothing between paths of different parents
 
 
@@ -80,21 +93,26 @@ class Page:
     name: list[str] = field(default_factory=lambda: [""])
     step: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
-    marked: list[int] = field(default_factory=lambda: [0])  # furniture: 1 by its tag or role, 2 by a name
+    marked: list[int] = field(default_factory=lambda: [0])  # furniture: 1 by its tag or role, NAMED or WEAK
     home: list[bool] = field(default_factory=lambda: [False])
     texts: list[tuple[int, str] | None] = field(default_factory=list)  # None at every block edge
 
     def open(self, name: str, attrs: str, parent: int) -> int:
         found: dict[str, str] = {}
         for m in _ATTR.finditer(attrs):
-            found.setdefault((m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower())
-        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        classes = found.get("class", "").split()
+        names = [*classes, *found.get("id", "").split()]
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         marked = 0
         if name in FURNITURE - {"form"} or found.get("role") in ROLES or hidden:
             marked = 1
-        elif name == "form" or name not in HEADINGS and any(map(furniture, names)):
-            marked = 2
+        elif name == "form":
+            marked = NAMED
+        elif name not in HEADINGS and names:
+            marked = min((k for k in map(furniture, names) if k), default=0)
+            if not CLASS_NAMES.isdisjoint(classes):
+                marked = NAMED
         if name in ("html", "body"):
             marked = 0
         self.name.append(name)
@@ -105,12 +123,46 @@ class Page:
         return len(self.name) - 1
 
 
-def furniture(name: str) -> bool:
-    """Whether a class or id names page furniture."""
-    parts = re.split(r"[-_]+", name)
+def furniture(name: str) -> int:
+    """NAMED if the head of a class or id names page furniture, WEAK if a word before the
+    last does, else 0."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
     if name in WHOLE_NAMES or "-".join(parts) in WHOLE_NAMES:
-        return True
-    return parts[0] not in NEGATIONS and not PART_NAMES.isdisjoint(parts)
+        return NAMED
+    if not NEGATIONS.isdisjoint(parts[:-1]):
+        return 0
+    head = len(parts)
+    while head > 1 and parts[head - 1] not in HEAD_NAMES and (parts[head - 1] in LAYOUT or not parts[head - 1].isalpha()):
+        head -= 1
+    if head and parts[head - 1] in HEAD_NAMES:
+        return NAMED
+    return 0 if HEAD_NAMES.isdisjoint(parts) else WEAK
+
+
+def _closed(attrs: str) -> bool:
+    """Whether a tag ends in a slash of its own, not in that of an unquoted value."""
+    last = (attrs.split() or [""])[-1]
+    return last.endswith("/") and ("=" not in last or last[-2:-1] in ("'", '"'))
+
+
+def _raw_end(page: str, name: str, at: int, lost: set[str]) -> int:
+    """Where the text of a raw element ends, its end tag included."""
+    if name not in lost:
+        if m := _raw_close(name).search(page, at):
+            end = page.find(">", m.end() - 1)
+            return end + 1 if end >= 0 else len(page)
+        lost.add(name)
+    if name in ("script", "style"):
+        return len(page)
+    if name == "title":
+        end = page.find("<", at)
+        return end if end >= 0 else len(page)
+    return at
+
+
+@cache
+def _raw_close(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}[\s/>]", re.I)
 
 
 def _tag_end(page: str, at: int, lost: set[str]) -> int:
@@ -176,9 +228,9 @@ def parse(page: str) -> Page:
                 drop(k)
             continue
         attrs = page[m.end() : end]
-        if name in RAW and not attrs.rstrip().endswith("/"):
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = text_from = close.end() if close else size
+        if name in RAW:
+            if not (name in FOREIGN and _closed(attrs)):
+                at = text_from = _raw_end(page, name, at, lost)
             continue
         if name in VOID:
             continue
@@ -200,13 +252,13 @@ def _root(page: Page, length: np.ndarray) -> int:
     marked, near, below = np.zeros(n, bool), np.zeros(n, np.int64), length.copy()
     for e in range(1, n):
         up = page.parent[e]
-        marked[e] = marked[up] or page.marked[e] > 0
+        marked[e] = marked[up] or page.marked[e] in (1, NAMED)
         near[e] = up if page.home[up] else near[up]
     homes = [e for e in range(1, n) if page.home[e] and not marked[e]]
     if homes:
         below[marked] = 0
     else:  # all in furniture: in a form around the whole page, say
-        homes = [e for e in range(1, n) if page.home[e] and not page.marked[e]]
+        homes = [e for e in range(1, n) if page.home[e] and page.marked[e] not in (1, NAMED)]
     for e in range(n - 1, 0, -1):
         below[page.parent[e]] += below[e]
     best = 0
@@ -265,16 +317,16 @@ def path_values(page: Page) -> Paths:
         clear = {k for k in range(1, n) if page.name[k] == "form" and below[k] >= 0.6 * below[0]}
         e = next((k for k in range(1, n) if page.name[k] == "h1"), 0)
         while e:
-            if page.marked[e] == 2:
+            if page.marked[e] == NAMED:
                 clear.add(e)
             e = page.parent[e]
     # an inline element's text is its block's; a block's path is its parent's and its step
     block, path = np.zeros(n, np.int64), np.zeros(n, np.int64)
     numbers: dict[tuple[int, str], int] = {}
-    bad, inside, above = [False], [root == 0], [0]
+    bad, weak, inside, above, heading = [False], [False], [root == 0], [0], [False]
     for e in range(1, n):
         up = page.parent[e]
-        mark = page.marked[e] > 0 and e not in clear
+        mark = page.marked[e] in (1, NAMED) and e not in clear
         if page.name[e] not in BLOCK and not mark:
             block[e], path[e] = block[up], path[up]
             continue
@@ -282,6 +334,8 @@ def path_values(page: Page) -> Paths:
         if key not in numbers:
             numbers[key] = len(bad)
             bad.append(mark or bad[path[up]])
+            weak.append(page.marked[e] == WEAK and e not in clear or weak[path[up]])
+            heading.append(page.name[e] in HEADINGS or heading[path[up]])
             inside.append(inside[path[up]] or e == root)
             above.append(int(path[up]))
         block[e], path[e] = e, numbers[key]
@@ -291,13 +345,15 @@ def path_values(page: Page) -> Paths:
     count = np.bincount(path[filled], minlength=len(bad))
     used, bad, inside = np.flatnonzero(count), np.array(bad), np.array(inside)
     linked, value = a / np.maximum(text, 1), np.zeros(len(bad))
+    bad = bad | np.array(weak) & (linked >= 0.5)
+    links_only = (linked >= ALL_LINKS) & (count > 1) & ~np.array(heading)
     if len(used):
         up = np.array(above)[used]
         ratio = _smooth((text * (1 - linked))[used] / count[used], up)
         fused = np.sqrt(ratio * (1 + _smooth(mark[used] / count[used], up))) * np.where(bad[used], OF_FURNITURE, 1)
         if root:
-            mine = inside[used] & ~bad[used]
-            fused = np.where(mine, np.maximum(fused, INSIDE * fused[mine].max(initial=0)), fused * np.where(inside[used], 1, OUTSIDE))
+            mine = inside[used] & ~bad[used] & ~links_only[used]
+            fused = np.where(mine, np.maximum(fused, INSIDE * fused[mine].max(initial=0)), fused * np.where((inside & ~links_only)[used], 1, OUTSIDE))
         value[used] = fused
     return Paths(own, block, value, linked, bad, used, root)
 

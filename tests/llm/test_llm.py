@@ -394,6 +394,26 @@ def test_html_content(page, text):
     assert content(page or "") == text
 
 
+@pytest.mark.parametrize(
+    ("block", "text"),
+    [
+        ('<script src=/js/>alert("no")</script>', ""), ("<style media=/x/>p{}</style>", ""), ("<iframe src=/a/>no</iframe>", ""), ("<noscript/>no</noscript>", ""), ("<svg/>yes", "yes"), ("<svg a=/x/>no</svg>", ""),
+        ("<noscript>yes", "yes"), ("<title>no<p>yes</p>", "yes"), ("<script>no</SCRIPT >yes", "yes"), ("<object><p>yes</p></object>", "yes"),
+        ('<p data-2="hidden cost">yes</p>', "yes"), ("<p data-x=hidden @b:c_d='hidden'>yes</p>", "yes"), ("<p hidden>no</p>", ""), ("<p HIDDEN=''>no</p>", ""),
+        ('<section id="navigation-systems"><p>yes</p></section>', "yes"), ('<p class="comment-worthy">yes</p>', "yes"), ('<section class="menu-of-the-day"><p>yes</p></section>', "yes"), ('<p class="ad-hoc">yes</p>', "yes"), ("<div class='layout-with-sidebar'>yes</div>", "yes"),
+        ('<div class="share-this">no <a>no</a></div>', ""), ('<div class="related-content"><p>no, no</p></div>', ""), ('<div class="discussion"><p>no, no</p></div>', ""), ('<div class="replies"><p>no, no</p></div>', ""),
+        ('<div class="comment__body"><p>no, no</p></div>', ""), ('<div class="cookie-law-info">no</div>', ""), ('<div id="ad-300x250">no</div>', ""), ('<div class="menu-of-links"><a>no</a> <a>no</a></div>', ""),
+        ('<section id="discussion"><h2>yes</h2><p>yes</p></section>', "yes yes"), ("<div><a>no</a></div><div><a>no</a></div>", ""), ("<h2><a>yes</a></h2><h2><a>yes</a></h2>", "yes yes"), ("<p><a>yes</a></p>", "yes"),
+    ],
+)
+def test_html_blocks_inside_an_article(block, text):
+    from tallyfold.llm.html_extract import content
+
+    some = "A long paragraph of words, and more of it. " * 8
+    got = content(f"<article><p>{some}</p>{block}<p>{some}</p></article>")
+    assert got == " ".join(f"{some} {text} {some}".split())
+
+
 def test_html_threshold_decides():
     import pyarrow.parquet as pq
 
@@ -419,7 +439,7 @@ def test_html_path_values_equal_plain_sums():
     assert got.value[got.used] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("page", ["<div>x" * 100_000, "</b>" * 100_000, '<a "' * 100_000, "<a href='" * 50_000, "<!" * 100_000, "<p><b>" * 50_000, "<article>" * 50_000 + "x", "<p><button>" + "<b>" * 4000 + "<div></div>" * 20_000, "<ul>" + "<li>a, b.<ul>" * 30_000])
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "</b>" * 100_000, '<a "' * 100_000, "<a href='" * 50_000, "<!" * 100_000, "<p><b>" * 50_000, "<article>" * 50_000 + "x", "<p><button>" + "<b>" * 4000 + "<div></div>" * 20_000, "<ul>" + "<li>a, b.<ul>" * 30_000, "<svg>" * 100_000, "<script>" + "</script" * 100_000, "<p " + "a='" * 100_000 + ">", "<p " + "a  " * 100_000 + ">"])
 def test_html_reads_any_page_in_linear_time(page):
     import time
 
