@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.operators import logs as op
+from tallyfold.operators import sketches
 from tallyfold.operators.facts import ranked
 from tallyfold.plans.base import Plans
 from tallyfold.sources.bindings import FACTS, FILINGS, HOLDINGS, INSIDERS, LOG, facts, filings, holdings, insiders, log, table
+from tallyfold.sources.scratch import scratch_path
 
 P = Plans()
 
@@ -64,6 +66,24 @@ P.add(
     """with r as (select method, latency, success, row_number() over (partition by method order by latency) - 1 as rn, count(*) over (partition by method) as n from log where latency is not null)
     select method, max(n) as n, max(latency) filter (where rn = least(floor(n * 0.5), n - 1)) as p50, max(latency) filter (where rn = least(floor(n * 0.99), n - 1)) as p99, round(avg(success::int), 6) as success_rate from r group by 1""", LOG,
 )
+
+
+def parts_of(s, d):
+    """Five-minute parts of the log, kept in two batches that share their windows."""
+    path = scratch_path(s, "parts")
+    for k in (0, 1):
+        sketches.store(sketches.windowed(log(s, d).filter(F.col("event_id") % 2 == k)), path, k)
+    return sketches.stored(s, path)
+
+
+COUNTED = """count(*) as rows, count(latency) as n, count(*) filter (where not success) as failures, count(*) filter (where latency > 5) as over_5, count(*) filter (where latency > 10) as over_10, count(*) filter (where latency > 30) as over_30, count(*) filter (where latency > 120) as over_120"""
+P.add(
+    "d21_sketch_profile", lambda s, d: sketches.checked(sketches.profile(sketches.rolled(parts_of(s, d), ["tenant", "method"])), log(s, d), ["tenant", "method"]).drop("p50", "p95", "p99"),
+    f"""with p as (select tenant, method, {COUNTED}, quantile_disc(latency, 0.95) as p95, min(latency) as min, max(latency) as max, round(sum(latency::decimal(20,4))::double / count(latency), 6) as avg from log group by 1, 2)
+    select * exclude (p95), n < 10 or (p95 <= 5 and over_120 = 0 and over_10 < 0.2 * n) as healthy, true as p50_near, true as p95_near, true as p99_near from p""", LOG,
+)
+P.add("d22_sketch_metrics", lambda s, d: sketches.metrics(sketches.rolled(parts_of(s, d), ["tenant"], "day")).drop("p50", "p99"), f"select tenant, date_trunc('day', ts) as start, {COUNTED}, round(1 - count(*) filter (where not success) / count(*)::double, 6) as success_rate from log group by 1, 2", LOG)
+P.add("o4_counters_by_hour", lambda s, d: sketches.rolled(parts_of(s, d), ["method"], "hour").select("method", "start", *sketches.COUNTS, F.col("total").cast("double").alias("total"), "min", "max"), f"select method, date_trunc('hour', ts) as start, {COUNTED}, sum(latency::decimal(20,4))::double as total, min(latency) as min, max(latency) as max from log group by 1, 2", LOG)
 P.add("e29_recent_profile", lambda s, d: op.latency_profile(op.recent(log(s, d), 200)), f"with p as (select {PROFILE} from (select * from log order by ts desc, event_id desc limit 200)) select *, n < 10 or (p95 <= 5 and over_120 = 0 and over_10 < 0.2 * n) as healthy from p", LOG)
 P.add("a20_latest_valid", lambda s, d: op.latest_valid(log(s, d), "user_id", "2024-01-20", "2 DAYS").select("user_id", "event_id", "latency"), "select user_id, event_id, latency from (select * from log where ts <= timestamp '2024-01-20' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where ts > timestamp '2024-01-18'", LOG)
 P.add(
