@@ -61,10 +61,10 @@ P.add("p4_with_embedding", lambda s, d: op.with_embedding(chunks(s, d), _size).s
 def _chunked(s, d):
     s.udtf.register("chunk_text", op.ChunkText)
     table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("texts_to_chunk")
-    return s.sql("select doc_id, count(*) as n from texts_to_chunk, lateral chunk_text(text, 1500, 200) group by doc_id")
+    return s.sql("select doc_id, chunk_index, start, md5(content) as key from texts_to_chunk, lateral chunk_text(text, 1500, 200)")
 
 
-P.add("p5_chunk_udtf", _chunked)
+P.add("p5_chunk_udtf", _chunked, text.P.sql["j2_chunk_chars"])
 P.add("n3_statement_tree", lambda s, d: op.statement_tree(tree(s, d).withColumn("name", F.concat(F.lit("row "), "id"))).select("id", "indent", "name", "value"), "select id, level as indent, 'row ' || id as name, value from tree", TREE)
 
 

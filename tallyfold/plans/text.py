@@ -19,7 +19,20 @@ POS, NEG = ["the", "der", "les"], ["of", "und", "la"]
 # --- scalar functions ----------------------------------------------------------------
 
 P.add("h1_period_key", lambda s, d: facts(s, d).select("fiscal_period", per.period_key(F.col("fiscal_period")).alias("key")).distinct(), "select distinct fiscal_period, case when fiscal_period like 'FY%' then right(fiscal_period, 4)::int * 10000 else right(fiscal_period, 4)::int * 10000 + substring(fiscal_period, 2, 1)::int * 100 end as key from facts", FACTS)
-P.add("h1_chart_key", lambda s, d: facts(s, d).select(F.regexp_replace("fiscal_period", r" 19|FY19|20(?=\d\d$)", " ").alias("p")).distinct().select("p", (per.chart_key(F.concat(F.lit("FY"), F.substring("p", -2, 2))) % 1000000).alias("k")), None)
+def _chart_labels(s, d):
+    p, year, short, q = F.col("fiscal_period"), F.substring("fiscal_period", -4, 4), F.substring("fiscal_period", -2, 2), F.substring("fiscal_period", 2, 1)
+    annual = F.array(p, F.concat(F.lit("FY"), short), F.concat(F.lit("fy "), short), year)
+    quarterly = F.array(p, F.concat(F.lit("Q"), q, F.lit(" "), short), F.concat(F.lit("Q"), q, F.lit("-"), short), F.concat(q, F.lit("Q"), short), F.concat(q, F.lit("Q"), year), F.lit("H1"))
+    labels = facts(s, d).select("fiscal_period").distinct().select("fiscal_period", F.explode(F.when(p.startswith("FY"), annual).otherwise(quarterly)).alias("label"))
+    return labels.select("fiscal_period", "label", per.chart_key(F.col("label")).alias("key"))
+
+
+P.add(
+    "h1_chart_key", _chart_labels,
+    """with p as (select distinct fiscal_period, right(fiscal_period, 4) as y, right(fiscal_period, 2) as yy, case when fiscal_period like 'FY%' then 0 else substring(fiscal_period, 2, 1)::int end as q from facts),
+    l as (select *, unnest(case when q = 0 then [fiscal_period, 'FY' || yy, 'fy ' || yy, y] else [fiscal_period, 'Q' || q || ' ' || yy, 'Q' || q || '-' || yy, q || 'Q' || yy, q || 'Q' || y, 'H1'] end) as label from p)
+    select fiscal_period, label, case when label = 'H1' then 0 else (case when contains(label, y) then y::int else 2000 + yy::int end) * 10000 + q * 100 end as key from l""", FACTS,
+)
 P.add("h2_same_period", lambda s, d: facts(s, d).select("fiscal_period", per.same_period(F.col("fiscal_period"), F.lit("1998 Q2")).alias("no"), per.same_period(F.col("fiscal_period"), F.lit("Q2FY1998")).alias("same")).distinct(), "select distinct fiscal_period, false as no, fiscal_period = 'Q2 1998' as same from facts", FACTS)
 P.add("h3_prev_period", lambda s, d: facts(s, d).select("fiscal_period", per.prev_period(F.col("fiscal_period")).alias("prev")).distinct(), "select distinct fiscal_period, case when fiscal_period like 'FY%' then 'FY' || (right(fiscal_period, 4)::int - 1) when fiscal_period like 'Q1%' then 'Q4 ' || (right(fiscal_period, 4)::int - 1) else 'Q' || (substring(fiscal_period, 2, 1)::int - 1) || ' ' || right(fiscal_period, 4) end as prev from facts", FACTS)
 P.add(
@@ -165,10 +178,22 @@ P.add(
 
 P.add("j1_split_sections", lambda s, d: chunking.split_sections(table(s, d, "documents"), r"\n", 50, {"the": "the of", "tion": "tion"}).select("doc_id", "position", "section_type"),
       "with s as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1)::int - 1 as position from documents), t as (select *, lower(substring(trim(content), 1, 500)) as h from s where length(trim(content)) >= 50) select doc_id, position, case when contains(h, 'the of') then 'the' when contains(h, 'tion') then 'tion' else 'other' end as section_type from t")
-P.add("j2_chunk_chars", lambda s, d: chunking.chunk_chars(table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n")), None)
+# a window ends at the text's end, or past its last ". " or before its last line end if that is more than 900 characters in
+CHAR_WINDOWS = r"""cuts as (select doc_id, text, 0 as "at", greatest(length(regexp_extract(left(text, 1500), '^(.*)\. ', 1, 's')) + 1, length(regexp_extract(left(text, 1500), '^(.*)\n', 1, 's'))) as cut, length(text) as n from documents where length(text) > 0
+    union all select doc_id, rest, nxt, greatest(length(regexp_extract(left(rest, 1500), '^(.*)\. ', 1, 's')) + 1, length(regexp_extract(left(rest, 1500), '^(.*)\n', 1, 's'))), n
+    from (select *, substring(text, nxt - "at" + 1) as rest from (select *, greatest("at" + case when cut > 900 then cut else 1500 end - 200, "at" + 1) as nxt from cuts where "at" + 1500 < n and "at" + case when cut > 900 then cut else 1500 end < n))),
+    parts as (select doc_id, "at", regexp_replace(left(text, case when "at" + 1500 < n and cut > 900 then cut else 1500 end), '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') as content from cuts)
+    select doc_id, (row_number() over (partition by doc_id order by "at") - 1)::int as chunk_index, "at"::bigint as start, md5(content) as key from parts where length(content) > 50"""
+P.add("j2_chunk_chars", lambda s, d: chunking.chunk_chars(table(s, d, "documents")).select("doc_id", "chunk_index", "start", F.md5("content").alias("key")), f"with recursive {CHAR_WINDOWS}")
 P.add("j3_chunk_words", lambda s, d: chunking.chunk_words(table(s, d, "documents"), 100, 20).select("doc_id", "chunk_index", F.md5("content").alias("key")),
       "with w as (select doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from documents), n as (select doc_id, w, unnest(range(0, greatest((len(w) - 21) // 80, 0) + 1))::int as chunk_index from w) select doc_id, chunk_index, md5(array_to_string(w[chunk_index * 80 + 1 : chunk_index * 80 + 100], ' ')) as key from n")
-P.add("j4_chunk_sentences", lambda s, d: chunking.chunk_sentences(table(s, d, "documents"), 500).groupBy("doc_id").agg(F.count("*").alias("n")), None)
+P.add(
+    "j4_chunk_sentences", lambda s, d: chunking.chunk_sentences(table(s, d, "documents"), 500).select("doc_id", "chunk_index", F.md5("content").alias("key")),
+    r"""with l as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as l from documents),
+    packed as (select doc_id, list_reduce(l, lambda a, x: a || case when length(string_split(a, chr(2))[-1]) + 1 + length(x) <= 500 then ' ' else chr(2) end || x) as packed from l where len(l) > 0),
+    c as (select doc_id, string_split(packed, chr(2)) as c from packed)
+    select doc_id, (i - 1)::int as chunk_index, md5(c[i]) as key from (select doc_id, c, unnest(range(1, len(c) + 1)) as i from c)""",
+)
 P.add(
     "j5_marker_sections", lambda s, d: chunking.marker_sections(table(s, d, "documents"), ["the of", "tion the"], 5).select("doc_id", "section", "at"),
     r"""with f as (select doc_id, text, unnest(['the of', 'tion the']) as section from documents), a as (select *, instr(lower(text), section) as p from f), m as (select *, lead(p) over (partition by doc_id order by p, section) as nxt from a where p > 0), c as (select *, substring(text, p, coalesce(nxt, length(text) + 1) - p) as content from m)
