@@ -13,10 +13,11 @@ after the first character of every control string, so no text can end or open a
 and ``unescape`` gives it back exactly.
 
 Results on odd input: a null text or role is empty; a parent that is not there makes a
-root; messages on or below a cycle have no root and are in no path; conversations
-without an id form one conversation; ties in score go to the smallest leaf; repeated
-rows of a linear conversation are turns of their own; an empty table gives no rows;
-other columns are ignored.
+root; messages on or below a cycle have no root and are in no path; rows without an id
+form one conversation, so one task numbers them and writes their one text, as for any
+conversation of that length; ties in score go to the smallest leaf; repeated rows of a
+linear conversation are turns of their own; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

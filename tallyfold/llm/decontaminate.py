@@ -15,9 +15,11 @@
 
 No alignment of ``min_score`` is lost: the result is that of aligning all pairs.
 
-The join's small side, the items, travels to the tasks in blocks of at most
-``BLOCK_ITEMS``, two scans per block, so what a task holds is bounded however large the
-benchmark is, and no text is ever shuffled.
+The join's small side, the items, travels to the tasks in blocks dealt by a hash, of
+about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes of text at most, two scans per
+block. So what a task and the driver hold is bounded however many items a benchmark has
+and however long they are (a single longer item is held whole), and no text is ever
+shuffled.
 
 Results on odd input: null or blank texts match nothing and blank items are never found; a
 very long text is read whole, window by window; several texts of one item id are all
@@ -42,6 +44,7 @@ from tallyfold.llm.common import slices, table, text_bytes
 MIN_SCORE = 0.5
 MATCH, MISS, GAP = 2, -1, 1
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4_000_000
 HITS = "doc_id long, item_id long, score double, start_word long, n_words long"
 
 _PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -243,7 +246,8 @@ def seed_counts(docs: DataFrame, items: Items) -> dict[tuple[bool, int], int]:
             yield pa.RecordBatch.from_arrays([pa.array([paired] * len(at), pa.bool_()), pa.array(items.seeds[paired][0][at]), pa.array(n[at])], names=["paired", "gram", "n"])
 
     counted = docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, "paired boolean, gram long, n long").groupBy("paired", "gram").agg(F.sum("n").alias("n"))
-    return {(r.paired, r.gram): r.n for r in counted.collect()}  # at most the block's own seeds
+    got = counted.toArrow()  # at most the block's own seeds
+    return dict(zip(zip(got["paired"].to_pylist(), got["gram"].to_pylist(), strict=True), got["n"].to_pylist(), strict=True))
 
 
 def _scan(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
@@ -267,7 +271,8 @@ def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) ->
     """One row per (doc_id, item_id) whose passage aligns: the best score as a share of
     the highest possible, and the window's first word and length."""
     items = benchmark.select("item_id", text_bytes().alias("raw")).distinct()
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-total["n"] // BLOCK_ITEMS), -(-total["size"] // BLOCK_BYTES))
     out = None
     for k in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "raw"), F.lit(blocks)) == k).orderBy("item_id", "raw").collect()

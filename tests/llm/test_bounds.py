@@ -95,3 +95,20 @@ def test_quality_weights_agree_with_descent_on_all_pairs():
     assert np.corrcoef(a, b)[0, 1] > 0.99
     right = max(((b >= c) == (y == 1)).mean() for c in b)
     assert (((model.scores(x) >= quality.CUT_SCORE)) == (y == 1)).mean() >= right - 0.03
+
+
+def test_decontamination_blocks_by_items_and_by_bytes(spark, monkeypatch):
+    from tallyfold.llm import decontaminate as op
+
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    blocks = []
+    monkeypatch.setattr(op.Items, "__init__", lambda self, ids, *a, own=op.Items.__init__: (blocks.append(len(ids)), own(self, ids, *a))[1])
+    want = sorted(op.find(docs, items).collect())
+    assert want and blocks == [items.select("item_id", "text").distinct().count()]
+    n, size = items.select("item_id", "text").distinct().agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    for name, value in (("BLOCK_ITEMS", n // 3 + 1), ("BLOCK_BYTES", size // 3 + 1)):
+        blocks.clear()
+        with monkeypatch.context() as m:
+            m.setattr(op, name, value)
+            assert sorted(op.find(docs, items).collect()) == want
+        assert len(blocks) == 3 and sum(blocks) == n and max(blocks) < n
