@@ -44,3 +44,14 @@ def test_half_up():
     x = np.array([93 / 128, -93 / 128, 0.1234565, 0.9999995, 0.0, float("nan"), 1e-9])
     assert list(map(repr, vector_blocks.half_up(x, 6).tolist())) == ["0.726563", "-0.726563", "0.123457", "1.0", "0.0", "nan", "0.0"]
 
+
+def test_inverted_file_scores_by_list(spark):
+    """Unusable vectors are left out; of a list no more than k rows a query leave their task."""
+    from tallyfold.operators import vector_index
+
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [float("inf"), 1.0]), (7, [])], "id long, v array<float>")
+    assert [(r.id, r.u) for r in vector_index.unit(df).collect()] == [(1, [0.6, 0.8])]
+    many = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("v"))
+    index = vector_index.InvertedFile.build(many, scratch_path(spark, "blocks"), lists=4)
+    plan = index.search(many.filter("id % 500 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
