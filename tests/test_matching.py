@@ -1,6 +1,7 @@
 """Greedy paragraph matching by rounds of joins against the pass it stands for."""
 
 import random
+import time
 
 import pytest
 
@@ -52,3 +53,15 @@ def test_paragraphs_equal_the_pass(spark):
     df = spark.createDataFrame(docs, "id int, a string, b string")
     got = narrative.diff_paragraphs(df.selectExpr("id", "a as content"), df.selectExpr("id", "b as content"), "id")
     assert set(map(tuple, got.select("id", "old", "new", "change", "similarity").collect())) == want
+
+
+def test_repeated_paragraphs_take_one_pass(spark):
+    """Hundreds of equal lines in one document, which took a round of jobs each."""
+    lines = ["one and the same line", "another line of text here", "", "..."] * 300
+    df = spark.createDataFrame([(1, "\n".join(lines), "\n".join([lines[1], *lines[:900]])), (2, None, "only new"), (3, "only old", None)], "id int, a string, b string")
+    out = narrative.diff_paragraphs(df.selectExpr("id", "a as content"), df.selectExpr("id", "b as content"), "id", r"\n")
+    got = out.collect()
+    assert sum(r.change == "unchanged" for r in got) == 225 + 226 + 225 and sum(r.change == "removed" for r in got if r.id == 1) == 900 - 676
+    assert sum(r.change == "added" for r in got if r.id == 1) == 0
+    assert [(r.old, r.new, r.change) for r in sorted(got, key=lambda r: r.id) if r.id > 1] == [(None, 0, "added"), (0, None, "removed")]
+    assert min((r.old, r.new) for r in got if r.id == 1 and r.new == 0) == (1, 0)
