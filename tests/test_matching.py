@@ -65,3 +65,19 @@ def test_repeated_paragraphs_take_one_pass(spark):
     assert sum(r.change == "added" for r in got if r.id == 1) == 0
     assert [(r.old, r.new, r.change) for r in sorted(got, key=lambda r: r.id) if r.id > 1] == [(None, 0, "added"), (0, None, "removed")]
     assert min((r.old, r.new) for r in got if r.id == 1 and r.new == 0) == (1, 0)
+
+
+def test_guidance_equals_one_pattern(spark):
+    """The first sentence with a key word as the pattern over the whole text finds it, and
+    a long text without a full stop is read once, not from each of its characters."""
+    from pyspark.sql import functions as F
+
+    texts = ["We expect growth. More.", "none. Our OUTLOOK\nis weak. We expect.", "unexpected things. forecasts rise", ".. guidance.", "expect", "", None, " a.b expect c.d", "reforecast. x-forecast."]
+    df = spark.createDataFrame([("t", i, 0, t) for i, t in enumerate(texts)], "ticker string, doc_id int, chunk_index int, content string")
+    plain = F.trim(F.regexp_extract("content", r"(?i)([^.]*\b(?:expect|anticipate|outlook|guidance|forecast)\w*\b[^.]*\.)", 1))
+    want = sorted((r.doc_id, r.g) for r in df.select("doc_id", plain.alias("g")).filter("g <> ''").collect())
+    assert sorted((r.doc_id, r.guidance) for r in narrative.guidance(df, ["growth"], ["weak"]).collect()) == want != []
+    long = spark.createDataFrame([("t", 0, 0, "word " * 40_000)], df.schema)
+    started = time.monotonic()
+    assert narrative.guidance(long, ["growth"], ["weak"]).count() == 0
+    assert time.monotonic() - started < 20
