@@ -81,3 +81,19 @@ def test_guidance_equals_one_pattern(spark):
     started = time.monotonic()
     assert narrative.guidance(long, ["growth"], ["weak"]).count() == 0
     assert time.monotonic() - started < 20
+
+
+def test_year_ends_meet_in_parts(spark, monkeypatch):
+    """Tickers of few days are dealt, and each pair is found once."""
+    import datetime
+
+    from tallyfold.operators import peers
+
+    monkeypatch.setattr(peers, "PART", 7)
+    ends = [datetime.date(2001, m, d) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
+    rows = [(f"t{i:02}", ends[i * i % 4 if i % 3 else i % 4]) for i in range(40)]
+    out = peers.fy_mismatch(spark.createDataFrame(rows, "ticker string, year_end date"))
+    gap = lambda a, b: min(abs(a - b), 365 - abs(a - b))
+    day = {t: e.timetuple().tm_yday for t, e in rows}
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, gap(day[a], day[b])) for a in day for b in day if a < b and gap(day[a], day[b]) > 60)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
