@@ -55,3 +55,13 @@ def test_inverted_file_scores_by_list(spark):
     index = vector_index.InvertedFile.build(many, scratch_path(spark, "blocks"), lists=4)
     plan = index.search(many.filter("id % 500 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+def test_first_stage_is_no_window(spark):
+    """K1: a query's hits, nearly all chunks perhaps, do not meet in one task with their texts."""
+    chunks = spark.createDataFrame([(i, 0, "the revenue grew") for i in range(9)], "doc_id int, chunk_index int, content string")
+    queries = spark.createDataFrame([(1, "x", ["the"])], "query_id int, phrase string, terms array<string>")
+    out = search.search_chunks(queries, chunks, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Window [" in line and "min(" in line]
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
