@@ -53,6 +53,7 @@ LOCAL_COUNT, BLOCK = 6, 2_000_000
 LED_SHARE = 0.03  # of a set: tokens a leader must share; the others are decided later
 MORE_LEADS = 1  # rounds of comparing with one member of the largest component
 LARGE = 8  # members from which a component is met as a whole first
+LISTED = 64  # members up to which those near a large component are then paired with each
 BROADCAST_IDS = 2_000_000
 PART = 4096  # documents of a frequent token that are kept together
 FEW, RATIO = 16, 1.15  # set sizes with a band of their own; growth of the bands beyond
@@ -293,8 +294,8 @@ def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
     whole: the buckets it shares with any member bound those it shares with one. Most
     strangers in the buckets of a large group fall here, at one row per bucket.
     """
-    large = comps.groupBy("component").count().filter(F.col("count") >= LARGE).select("component", F.lit(True).alias("large"))
-    rows = mixed.drop("major").join(large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    large = comps.groupBy("component").count().filter(F.col("count") >= LARGE).select("component", F.lit(True).alias("large"), (F.col("count") <= LISTED).alias("listed"))
+    rows = mixed.drop("major").join(large, "component", "left").na.fill(False, ["large", "listed"])
     rows = materialize(rows, "mixed")
     x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "component", "large")))
 
@@ -305,19 +306,31 @@ def _undecided(mixed: DataFrame, comps: DataFrame) -> DataFrame:
     lo, hi = F.greatest("lo", F.ceil(NEED * F.col("x_n") / OF)), F.least("hi", F.floor(OF * F.col("x_n") / NEED))
     least = lambda n: NEED * (F.col("x_n") + n) / (OF + NEED) - NEED * F.greatest("x_n", n) / OF
     near = near.filter(lo <= hi).filter(F.col("shared") >= F.least(least(lo), least(hi))).select("x_doc_id", "x_n", "component")
-    # the few left meet those members in their buckets that their sizes let them link with
-    left = near.select(F.col("x_doc_id").alias("doc_id"), F.col("x_n").alias("n"), F.col("component").alias("met"))
-    x = _dealt(rows.drop("component")).join(left, ["doc_id", "n"]).select("token", F.col("own").alias("lo"), F.col("other").alias("hi"), F.col("met").alias("component"), *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos")))
-    y = _dealt(rows.filter("large")).select("token", F.col("other").alias("lo"), F.col("own").alias("hi"), "component", "doc_id", "n", "pos")
-    near = x.join(y, ["token", "lo", "hi", "component"]).filter(_early())
-    pairs = near.select("x_doc_id", "x_n", "doc_id", "n").distinct().unionByName(_met(rows.filter("not large")))
-    # all that are left are counted on whole prefixes
-    prefixes_ = rows.groupBy("doc_id", "n").agg(F.collect_list("token").alias("p"))
-    pairs = pairs.join(prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p")), ["x_doc_id", "x_n"]).join(prefixes_, ["doc_id", "n"])
-    pairs = pairs.filter(prefixes_allow(F.size(F.array_intersect("x_p", "p")), F.col("x_n"), F.col("n")))
+    near = materialize(near.join(large.select("component", "listed"), "component"), "near")
+    pairs = _paired(near, rows).distinct().unionByName(_met(rows.filter("not large")))
+    # all that are left are counted on whole prefixes, by 31 bits of each token; ``twice``
+    # is what a document's tokens that are alike there could add to its count
+    bits = F.collect_list(F.col("token").bitwiseAND(2**31 - 1).cast("int"))
+    prefixes_ = rows.groupBy("doc_id", "n").agg(bits.alias("p"))
+    own = prefixes_.select(F.col("doc_id").alias("x_doc_id"), F.col("n").alias("x_n"), F.col("p").alias("x_p"), (F.size("p") - F.size(F.array_distinct("p"))).alias("twice"))
+    pairs = pairs.join(own, ["x_doc_id", "x_n"]).join(prefixes_, ["doc_id", "n"])
+    pairs = pairs.filter(prefixes_allow(F.size(F.array_intersect("x_p", "p")) + F.col("twice"), F.col("x_n"), F.col("n")))
     return pairs.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
 
 
+def _paired(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """(x_doc_id, x_n, doc_id, n): each document near a large component, with every member
+    that its size allows if these are few, once and not in each bucket they share; of a
+    larger component with those members that it shares an early token with."""
+    ends = ("x_doc_id", "x_n", "doc_id", "n")
+    members = rows.filter("listed").select("component", "doc_id", "n").distinct()
+    listed = near.filter("listed").join(members, "component").filter(sizes_allow(F.col("n"), F.col("x_n"))).select(*ends)
+    left = near.filter("not listed").select(F.col("x_doc_id").alias("doc_id"), F.col("x_n").alias("n"), F.col("component").alias("met"))
+    x = _dealt(rows.drop("component").join(left, ["doc_id", "n"])).select("token", F.col("own").alias("lo"), F.col("other").alias("hi"), F.col("met").alias("component"), *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos")))
+    y = _dealt(rows.filter("large and not listed")).select("token", F.col("other").alias("lo"), F.col("own").alias("hi"), "component", "doc_id", "n", "pos")
+    return listed.unionByName(x.join(y, ["token", "lo", "hi", "component"]).filter(_early()).select(*ends))
+
+
 def band(n):
     """Size band: sizes up to FEW each have their own, later ones grow by RATIO."""
     n = n.cast("double")
@@ -332,10 +345,11 @@ def least_shared(n, b):
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """``rows`` with their size's band (own), one for each band (other) of sizes that a set
-    of theirs may link with on this token."""
-    bands = F.sequence(band(F.ceil(NEED * F.col("n") / OF)), band(F.floor(OF * F.col("n") / NEED)))
-    fitting = F.filter(bands, lambda b: F.col("pos") <= F.col("n") - least_shared(F.col("n"), b))
-    return rows.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(fitting))
+    of theirs may link with on this token: those of which it must share no more than what
+    is left from the token on."""
+    n = F.col("n")
+    lo, hi = F.ceil(NEED * n / OF), F.least(F.floor(OF * n / NEED), F.floor((OF + NEED) * (n - F.col("pos")) / NEED) - n)
+    return rows.withColumn("own", band(n)).filter(lo <= hi).withColumn("other", F.explode(F.sequence(band(lo), band(hi))))
 
 
 def _early():

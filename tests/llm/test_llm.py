@@ -108,6 +108,28 @@ def test_near_join_of_shared_boilerplate_makes_no_pairs(spark):
     assert got.filter("component_id <> doc_id").isEmpty() and got.count() == 3500
 
 
+def test_near_join_meets_members_once_not_in_each_bucket(spark, monkeypatch):
+    """Texts close to a group of near copies, but not linked, share many early tokens with
+    each member: one row a pair, and the same components as with a row a token."""
+    from tallyfold.llm import near_join
+
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(12)]
+    rows += [(20 + k, " ".join([*base[:95], *(f"s{k}.{j}" for j in range(25))])) for k in range(6)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_components({i: shingle_set(t) for i, t in rows})
+    made, paired = [], near_join._paired
+
+    def counted(near, buckets):
+        made.append(paired(near, buckets).count())
+        return paired(near, buckets)
+
+    monkeypatch.setattr(near_join, "_paired", counted)
+    for listed in (64, 0):
+        monkeypatch.setattr(near_join, "LISTED", listed)
+        assert {r.doc_id: r.component_id for r in near_join.groups(docs).collect()} == want
+    assert 0 < made[0] <= 12 * 6 < made[1]
+
+
 def test_near_join_size_bands_are_safe(spark):
     from tallyfold.llm import near_join
 
