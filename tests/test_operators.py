@@ -240,3 +240,13 @@ def test_sections_align(spark):
     a = spark.createDataFrame([("x", "same"), ("y", "old words here"), ("z", "gone")], "section_type string, content string")
     b = spark.createDataFrame([("x", "same"), ("y", "new words here"), ("w", "fresh")], "section_type string, content string")
     assert {r.section_type: r.change for r in changes.align_sections(a, b).collect()} == {"x": "unchanged", "y": "modified", "z": "removed", "w": "added"}
+
+
+def test_wide_is_one_aggregate_and_a_pivot(spark):
+    """Grouping by key and metric first, as a pivot does, takes memory for every metric."""
+    rows = [("A", "FY2020", "10-K", "revenue", 5.0), ("A", "FY2020", "10-K", "revenue", 7.0), ("A", "FY2020", "10-K", "other", 1.0), ("A", "Q1 2020", None, None, 2.0), ("B", "FY2020", "10-K", "units", None), ("B", "FY2021", "10-K", "units", float("nan"))]
+    facts = spark.createDataFrame(rows, "ticker string, fiscal_period string, filing_type string, metric string, value double")
+    got = ratios.wide(facts, ["revenue", "units", "none"])
+    want = facts.groupBy(*ratios.PERIOD).pivot("metric", ["revenue", "units", "none"]).agg({"value": "max"})
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
