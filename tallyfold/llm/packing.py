@@ -30,6 +30,7 @@ if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 MAX_TOKENS = 4096
+BLOCK_BYTES = 6_000_000  # of text looked up at once, about 20 times that in a worker's memory
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -158,7 +159,7 @@ class WordPieces:
             first = last
 
 
-def together(it: Iterator[pa.RecordBatch], least: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def together(it: Iterator[pa.RecordBatch], least: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches joined to at least that many bytes: words that repeat are looked up once."""
     some: list[pa.RecordBatch] = []
     for batch in it:
@@ -176,7 +177,7 @@ def cut(docs: DataFrame, name: str = TOKENIZER, max_tokens: int = MAX_TOKENS, en
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_pieces(name)
-        for batch in slices(together(it), "text", 16_000_000):
+        for batch in slices(together(it), "text", BLOCK_BYTES):
             ids_of, at = batch["doc_id"].to_pylist(), 0
             for flat, edges in encode(batch["text"]):
                 rows = []

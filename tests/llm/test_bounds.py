@@ -112,3 +112,16 @@ def test_decontamination_blocks_by_items_and_by_bytes(spark, monkeypatch):
             m.setattr(op, name, value)
             assert sorted(op.find(docs, items).collect()) == want
         assert len(blocks) == 3 and sum(blocks) == n and max(blocks) < n
+
+
+def test_packing_looks_up_a_few_megabytes_at_once():
+    import pyarrow as pa
+
+    from tallyfold.llm import packing
+    from tallyfold.llm.common import slices
+
+    texts = [f"{k} " + "x" * 99_990 for k in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[k : k + 10]}) for k in range(0, 300, 10)]
+    got = list(slices(packing.together(iter(batches)), "text", packing.BLOCK_BYTES))
+    assert [t for b in got for t in b["text"].to_pylist()] == texts
+    assert max(b.nbytes for b in got) < 8_000_000 and len(got) < 10
