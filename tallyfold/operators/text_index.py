@@ -1,13 +1,13 @@
 """K1, K2, K5. Inverted word index of chunks: written once, searched by postings.
 
-Below its path: ``postings`` has a row per distinct word of a chunk with the chunk's key,
-scope (ticker, section, subsection) and length, in folders by the word's hash and sorted by
-word, so that a search opens the folders of its words and skips within their files; dealt
-by range, a frequent word fills several files. ``terms`` has each word's number of chunks
-and is a versioned table that is written last: a folder without it is no index. ``texts``
-has the chunks, in folders by document.
-
-``search`` gives the rows that ``search.search_chunks`` gives, without reading the chunks:
+Below its path: ``postings`` has a row (word, chunk) per distinct word of a chunk, in folders
+by the word's hash, so that a search opens the folders of its words; a folder of many chunks
+has several files, so that no word passes through one task. ``terms`` has each word's number
+of chunks and is a versioned table that is written last: a folder without it is no index.
+``texts`` has the chunks with their scope (ticker, section, subsection) and length, in
+folders by batch and document.
+
+``search`` gives the rows that ``search.search_chunks`` gives, without reading all texts:
 all key words are intersected from the rarest on; a phrase is looked for in the chunks that
 hold its rarest whole word, the only texts that are fetched; any key word is a sum over
 postings. A chunk is (doc_id, chunk_index); missing scope columns count as null.
@@ -15,6 +15,8 @@ postings. A chunk is (doc_id, chunk_index); missing scope columns count as null.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from tallyfold.sources.scratch import materialize
 from tallyfold.sources.tables import read_newest, write_version
 
 BUCKETS = 64
+PART_CHUNKS = 2_000_000  # a bucket's postings of about so many chunks go through one task
 CHUNK = ["doc_id", "chunk_index"]
 SCOPE = {"ticker": "own_ticker", "section_type": "own_section", "subsection": "own_subsection"}
 
@@ -44,7 +47,9 @@ class TextIndex:
         self.terms = read_newest(spark, f"{self.path}/terms")
         self.buckets = self.terms.agg(F.max("buckets")).first()[0] or BUCKETS
         self.postings = spark.read.parquet(f"{self.path}/postings")
-        self.texts = spark.read.parquet(f"{self.path}/texts").drop("bucket")
+        texts = spark.read.parquet(f"{self.path}/texts")
+        self.texts = texts.drop("chars", "batch", "bucket")
+        self.chunks = texts.select(*CHUNK, "chars", *(F.col(c).alias(n) for c, n in SCOPE.items()))
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, buckets: int = BUCKETS) -> TextIndex:
@@ -86,18 +91,18 @@ class TextIndex:
         whole = long.select("query_id", F.explode(inner).alias("term")).filter("term <> ''")
         loose = long.join(whole.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("terms").alias("term")).distinct()
         phrase = self._rarest(whole).select("query_id", "term").unionByName(loose).withColumn("said", F.lit(True))
-        found = self._of(seeds.unionByName(phrase), ["query_id", "said"]).join(wanted, "query_id").filter(here)
+        found = self._of(seeds.unionByName(phrase), ["query_id", "said"]).join(self.chunks, CHUNK).join(wanted, "query_id").filter(here)
         found = materialize(found.groupBy("query_id", "n", *CHUNK, "chars").agg(F.max("said").alias("said")), "seeds")
         text = self.texts.select(*CHUNK, F.lower("content").alias("c")).join(found.filter("said").select(*CHUNK).distinct(), CHUNK)
         said = found.filter("said").select("query_id", *CHUNK).join(text, CHUNK).join(long.select("query_id", F.lower("phrase").alias("p")), "query_id").filter(F.col("c").contains(F.col("p"))).select("query_id", *CHUNK, F.lit(1).alias("phrase"))
-        matched = self._of(entries.join(found.select("query_id").distinct(), "query_id", "left_semi"), ["query_id"]).join(found, ["query_id", *CHUNK, "chars"]).groupBy("query_id", "n", *CHUNK, "chars").agg(F.count("*").alias("matched"))
+        matched = self._of(entries.join(found.select("query_id").distinct(), "query_id", "left_semi"), ["query_id"]).join(found, ["query_id", *CHUNK]).groupBy("query_id", "n", *CHUNK, "chars").agg(F.count("*").alias("matched"))
         best = matched.join(said, ["query_id", *CHUNK], "left")
         best = best.withColumn("stage", F.when(F.col("phrase") == 1, 1).when(F.col("matched") == F.col("n"), 2)).filter("stage is not null")
         best = materialize(best.select("query_id", *CHUNK, "stage", "matched", "n", "chars"), "stage-1-2")
 
         # of the other queries any key word
         rest = entries.join(best.select("query_id").distinct(), "query_id", "left_anti")
-        any_word = self._of(rest, ["query_id"]).groupBy("query_id", *CHUNK, "chars", *SCOPE.values()).agg(F.count("*").alias("matched")).join(wanted, "query_id").filter(in_scope("ticker", "own_ticker"))
+        any_word = self._of(rest, ["query_id"]).groupBy("query_id", *CHUNK).agg(F.count("*").alias("matched")).join(self.chunks, CHUNK).join(wanted, "query_id").filter(in_scope("ticker", "own_ticker"))
         stage = F.when(here, 3).when(in_scope("section", "own_section"), 4).otherwise(5)
         any_word = materialize(any_word.select("query_id", *CHUNK, stage.alias("stage"), "matched", "n", "chars"), "stage-3-5")
         hits = best.unionByName(any_word)
@@ -111,12 +116,17 @@ class TextIndex:
 
 
 def _write(chunks: DataFrame, path: str, buckets: int) -> None:
+    """Texts first; the postings are made from what was written, so ``chunks`` is worked
+    out once, and what holds for a chunk is written once and not with each of its words."""
     has = lambda c: F.col(c).cast("string") if c in chunks.columns else F.lit(None).cast("string")
-    texts = chunks.select(*CHUNK, *(has(c).alias(c) for c in SCOPE), "content", bucket(F.col("doc_id"), buckets).alias("bucket"))
-    texts.repartition("bucket", F.pmod("chunk_index", F.lit(16))).write.mode("append").partitionBy("bucket").parquet(f"{path}/texts")
-    rows = chunks.select(*CHUNK, *(has(c).alias(n) for c, n in SCOPE.items()), F.length(F.lower("content")).alias("chars"), F.explode(word_list(F.col("content"))).alias("term"))
-    rows = rows.withColumn("bucket", bucket(F.col("term"), buckets))
-    rows.repartitionByRange("bucket", "term", *CHUNK).sortWithinPartitions("bucket", "term", *CHUNK).write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    batch = f"b{uuid.uuid4().hex}"
+    texts = chunks.select(*CHUNK, *(has(c).alias(c) for c in SCOPE), "content", F.length(F.lower("content")).alias("chars"), F.lit(batch).alias("batch"), bucket(F.col("doc_id"), buckets).alias("bucket"))
+    texts.repartition("bucket", F.pmod("chunk_index", F.lit(16))).write.mode("append").partitionBy("batch", "bucket").parquet(f"{path}/texts")
+    written = chunks.sparkSession.read.schema(texts.schema).parquet(f"{path}/texts").filter(F.col("batch") == batch)
+    parts = 1 + written.count() // PART_CHUNKS
+    rows = written.select(*CHUNK, F.explode(word_list(F.col("content"))).alias("term")).withColumn("bucket", bucket(F.col("term"), buckets))
+    place = F.col("bucket") + buckets * bucket(F.struct(*CHUNK), parts)
+    rows.repartitionById(buckets * parts, place).write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def _count(spark: SparkSession, path: str, buckets: int) -> None:

@@ -157,3 +157,24 @@ def test_only_the_folders_of_the_words_are_read(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "PartitionFilters" in plan
     assert read.count() == sum("w1" in r[2].split() for r in chunk_rows())
+
+
+def test_a_word_of_a_chunk_takes_no_work_on_the_chunk(spark, tmp_path, monkeypatch):
+    """Chunks are worked out once, and what holds for one is not written with each word."""
+    from tallyfold.operators import text_index
+
+    monkeypatch.setattr(text_index, "PART_CHUNKS", 100)
+    seen, rows = spark.sparkContext.accumulator(0), chunk_rows()
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    chunks = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(counted), CHUNKS)
+    index = TextIndex.build(chunks, str(tmp_path / "index"), buckets=4)
+    assert seen.value == len(rows)
+    assert set(index.postings.columns) == {"doc_id", "chunk_index", "term", "bucket"}
+    files = [f.split("bucket=")[1].split("/")[0] for f in index.postings.inputFiles()]
+    assert 4 < len(files) <= 4 * 4  # several tasks for a bucket
+    queries = spark.createDataFrame(asked_rows(), ASKED)
+    assert rows_of(index.search(queries, 4)) == rows_of(search.search_chunks(queries, spark.createDataFrame(rows, CHUNKS), 4))
