@@ -126,7 +126,7 @@ class WordPieces:
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.checks, self.start, self.length = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.checks, checks), (self.start, start), (self.length, length)))
 
-    def __call__(self, texts: pa.Array, words: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def __call__(self, texts: pa.Array, words: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Some texts at a time, in order: all their ids in a row, and where each text's
         begin (one place more at the end). ``texts``: strings without nulls."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))

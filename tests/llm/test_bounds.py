@@ -125,3 +125,17 @@ def test_packing_looks_up_a_few_megabytes_at_once():
     got = list(slices(packing.together(iter(batches)), "text", packing.BLOCK_BYTES))
     assert [t for b in got for t in b["text"].to_pylist()] == texts
     assert max(b.nbytes for b in got) < 8_000_000 and len(got) < 10
+
+
+def test_packing_holds_the_ids_of_few_words_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyfold.llm import packing
+
+    texts = pa.array([f"text {k} " + "the of and a " * 250 for k in range(400)])
+    encode = packing.word_pieces(packing.TOKENIZER)
+    parts = [(flat, edges) for flat, edges in encode(texts)]
+    assert sum(len(edges) - 1 for _, edges in parts) == 400
+    assert max(len(flat) for flat, _ in parts) < 120_000
+    assert (np.concatenate([flat for flat, _ in parts]) == np.concatenate([flat for flat, _ in encode(texts, 10**9)])).all()
