@@ -17,8 +17,9 @@ common weights on all its training texts and the weights are averaged in proport
 the tokens, in Spark, block by block and in two steps, so that no task meets more than
 about ``FAN_IN`` vectors. A round covers every training text at every size.
 
-Scoring reads whole texts; the state is carried across windows. Counts of words beyond
-``TOP_WORDS`` are found by one join.
+Texts are split into words and numbered once, and written as 16-bit ids; the rounds and
+the scores read these. Scoring reads whole texts; the state is carried across windows.
+Counts of words beyond ``TOP_WORDS`` are found by one join.
 
 Results on odd input: a null text is the empty text (its only token is the end); a very
 long one is read whole; rows without an id count as training rows; repeated rows are
@@ -36,11 +37,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import crc_mod, materialize, most_frequent, slices, table, text_bytes, words
+from tallyfold.llm.common import crc_mod, materialize, most_frequent, slices, table, text_bytes, words  # noqa: F401 words: the plain form of tokens
 
 CLASSES, PER_CLASS, RARE_CLASSES = 48, 64, 96
 TOP_WORDS = 65_536
@@ -49,10 +51,24 @@ STEPS, STREAMS = 20, 256
 ROUNDS = 3
 FAN_IN = 1024
 FLUSH = 300_000
+CACHED = 512  # rows of a product
+ROWS = 8192  # predictions worked out at once
+IDS_BYTES = 1_200_000  # of a training step's texts
 END = b"\n"  # no word can hold it
 HALF = 0.5
 
 
+def tokens(raw: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``common.words`` of each text, one after the other, and how many each text has."""
+    wide = pa.types.is_large_binary(raw.type)
+    text = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(raw), raw.buffers(), offset=raw.offset)  # bytes are not checked
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    there = pc.not_equal(pc.binary_length(flat), 0)  # none at a text's ends
+    upto = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))
+    return flat.filter(there).view(pa.large_binary() if wide else pa.binary()), np.diff(upto[ends - ends[0]])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over whole texts, the end token included."""
 
@@ -65,11 +81,12 @@ def count_words(docs: DataFrame) -> DataFrame:
             return b
 
         for batch in slices(it, "raw"):
-            for raw in batch["raw"].to_pylist():
-                seen.update(words(raw))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield out()
+            got = pc.value_counts(tokens(batch["raw"])[0])
+            for w, n in zip(got.field(0).to_pylist(), got.field(1).to_pylist(), strict=True):
+                seen[w] += n
+            seen[END] += batch.num_rows
+            if len(seen) > FLUSH:
+                yield out()
         if seen:
             yield out()
 
@@ -145,14 +162,33 @@ def fresh(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return p
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def gates(w: np.ndarray) -> np.ndarray:
+    """Weights of the gates z, r and the new state, one after the other: (3, SIZE, SIZE).
+    Each gate is then a contiguous array. Those of z and r are halved, see ``step``."""
+    out = w.reshape(-1, 3, SIZE).swapaxes(0, 1).copy()
+    out[:2] *= 0.5
+    return out
+
+
+def blocks(first: int, end: int) -> list[slice]:
+    """Rows in parts that stay in a core's cache, where products of narrow matrices are quickest."""
+    return [slice(a, min(a + CACHED, end)) for a in range(first, end, CACHED)]
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``, summed block by block."""
+    return sum((a[some].T @ b[some] for some in blocks(0, len(a))), np.zeros((a.shape[1], b.shape[1]), b.dtype))
 
 
 def classes_of(ids: np.ndarray) -> np.ndarray:
     return np.minimum(ids // PER_CLASS, CLASSES).astype(np.uint8)
 
 
+def own_of(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Numbers of the words within their class."""
+    return ids - cls.astype(np.int64) * PER_CLASS
+
+
 def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Rows in the order of their class, and (class, first, end) of each that occurs."""
     order = np.argsort(cls, kind="stable")
@@ -160,36 +196,59 @@ def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
 
-def members(p: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases of the members of a class."""
-    return (p["word"][k], p["word_b"][k]) if k < CLASSES else (p["rare"], p["rare_b"])
-
-
-def step(pre: np.ndarray, h: np.ndarray, hw: np.ndarray):
-    """One GRU step from the input's projection; the gates, for the way back."""
-    s = h.shape[1]
-    u = h @ hw
-    zr = sigmoid(pre[:, : 2 * s] + u[:, : 2 * s])
-    z, r, un = zr[:, :s], zr[:, s:], u[:, 2 * s :]
-    n = np.tanh(pre[:, 2 * s :] + r * un)
-    return n + z * (h - n), z, r, n, un
+def step(pre: np.ndarray, h: np.ndarray, hw: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
+    """One GRU step from the input's projection, which becomes the gates z, r and the new
+    state; ``u``: what the state gives to them. sigmoid(x) is (1 + tanh(x / 2)) / 2."""
+    np.matmul(h, hw, out=u)
+    zr, new = pre[:2], pre[2]
+    zr += u[:2]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    new += zr[1] * u[2]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= zr[0]
+    out += new
 
 
 def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of each row and their sum, unnormalised."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    return x, x.sum(1)
+    """Exponentials of each row and their sum, unnormalised. Logits are small here (weights
+    of a bounded state, biases at most about 0), so the plain sum is tried first."""
+    ones = np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(x)
+        total = e @ ones
+    if not (np.isfinite(total).all() and total.all()):
+        e = np.exp(x - x.max(1, keepdims=True))
+        total = e @ ones
+    return e, total
+
+
+def with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with their bias as one more row, for states with one more column of ones."""
+    return np.concatenate([w, b[..., None, :]], -2)
+
+
+def member_logits(flat: np.ndarray, parts: list[tuple[int, int, int]], p: dict[str, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows of frequent words, their logits, and those of the rare ones, which
+    are last; ``flat``: states in the order of their class, and ones."""
+    n = parts[-1][1] if parts and parts[-1][0] == CLASSES else len(flat)
+    weights, x = with_bias(p["word"], p["word_b"]), np.empty((n, PER_CLASS), flat.dtype)
+    for k, a, b in parts:
+        if k < CLASSES:
+            np.matmul(flat[a:b], weights[k], out=x[a:b])
+    return n, x, flat[n:] @ with_bias(p["rare"], p["rare_b"])
 
 
 def log_norm(x: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row. Logits are small here (weights of a
-    bounded state, biases at most about 0), so the plain sum is tried first."""
-    with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(x).sum(1))
+    """Log of the summed exponentials of each row."""
+    ones = np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        out = np.log(np.exp(x) @ ones)
     if not np.isfinite(out).all():
         m = x.max(1)
-        out = m + np.log(np.exp(x - m[:, None]).sum(1))
+        out = m + np.log(np.exp(x - m[:, None]) @ ones)
     return out
 
 
@@ -197,24 +256,25 @@ def log_probs(h: np.ndarray, ids: np.ndarray, p: dict[str, np.ndarray]) -> np.nd
     """Natural log of P(class) * P(member | class)."""
     cls = classes_of(ids)
     order, parts = by_class(cls)
-    h, ids, cls = h[order], ids[order], cls[order]
-    x = h @ p["cls"] + p["cls_b"]
-    got = x[np.arange(len(ids)), cls] - log_norm(x)
-    for k, a, b in parts:
-        w, bias = members(p, k)
-        x = h[a:b] @ w + bias
-        got[a:b] += x[np.arange(b - a), ids[a:b] - k * PER_CLASS] - log_norm(x)
+    flat = np.ones((len(ids), SIZE + 1), h.dtype)
+    flat[:, :SIZE] = h[order]
+    cls, own, at = cls[order], own_of(ids[order], cls[order]), np.arange(len(ids))
+    x = flat @ with_bias(p["cls"], p["cls_b"])
+    got = x[at, cls] - log_norm(x)
+    n, x, rare = member_logits(flat, parts, p)
+    got[:n] += x[at[:n], own[:n]] - log_norm(x)
+    got[n:] += rare[at[: len(at) - n], own[n:]] - log_norm(rare)
     out = np.empty(len(ids))
     out[order] = got
     return out
 
 
-def text_log_probs(texts: list[np.ndarray], p: dict[str, np.ndarray], group: int = 512, window: int = 32) -> np.ndarray:
+def text_log_probs(texts: list[np.ndarray], p: dict[str, np.ndarray], group: int = 2048, window: int = 32) -> np.ndarray:
     """Summed log probability of each id sequence, the state carried across windows.
     Texts of like length run in step; those that end leave the group."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    table_ = p["x"] @ p["xw"] + p["b"]
+    table_, hw = p["x"] @ gates(p["xw"]) + gates(p["b"]), gates(p["hw"])
     for g in range(0, len(order), group):
         part = order[g : g + group]
         lens = np.array([len(texts[k]) for k in part])
@@ -228,13 +288,16 @@ def text_log_probs(texts: list[np.ndarray], p: dict[str, np.ndarray], group: int
                 ids[r, : len(piece)] = piece
             h, last = h[:live], last[:live]
             states = np.empty((wide, live, SIZE), np.float32)
+            u = np.empty((3, live, SIZE), np.float32)
             for t in range(wide):
-                h = states[t] = step(table_[last], h, p["hw"])[0]  # has read the tokens before t
-                last = ids[:, t]
+                step(np.take(table_, last, axis=1), h, hw, u, states[t])  # has read the tokens before t
+                h, last = states[t], ids[:, t]
             there = (np.arange(at, at + wide)[:, None] < lens[None, :live]).ravel()
             rows = np.flatnonzero(there)
-            lp = log_probs(states.reshape(-1, SIZE)[rows], ids.T.ravel()[rows], p)
-            out[part[:live]] += np.bincount(rows % live, weights=lp, minlength=live)
+            flat, y = states.reshape(-1, SIZE), ids.T.ravel()
+            for lo in range(0, len(rows), ROWS):
+                some = rows[lo : lo + ROWS]
+                out[part[:live]] += np.bincount(some % live, weights=log_probs(flat[some], y[some], p), minlength=live)
             at += wide
     return out
 
@@ -242,55 +305,91 @@ def text_log_probs(texts: list[np.ndarray], p: dict[str, np.ndarray], group: int
 def gradient(ids: np.ndarray, prev: np.ndarray, h: np.ndarray, p: dict[str, np.ndarray]):
     """Mean loss of a window (time, streams), its gradient, and the last state. A stream
     whose previous token is START begins a text: its state is cleared there."""
-    steps, n = ids.shape
-    tables = p["x"][prev]
-    pre = tables @ p["xw"] + p["b"]
-    kept, states = [], np.empty((steps, n, SIZE), np.float32)
+    (steps, n), total, kind = ids.shape, ids.size, p["hw"].dtype
+    xw, hw, prev_ = gates(p["xw"]), gates(p["hw"]), prev.ravel()
+    x = p["x"][prev_]
+    g_ = x @ xw  # projections, then the gates
+    g_ += gates(p["b"])
+    g_ = g_.reshape(3, steps, n, SIZE)
+    before, states, given = (np.empty((steps, n, SIZE), kind) for _ in range(3))
+    u, begins = np.empty((3, n, SIZE), kind), [np.flatnonzero(row == START) for row in prev]
     for t in range(steps):
-        fresh_ = prev[t] == START
-        h0 = np.where(fresh_[:, None], np.float32(0), h)
-        h, z, r, m, un = step(pre[t], h0, p["hw"])
-        kept.append((h0, z, r, m, un, fresh_))
-        states[t] = h
+        before[t] = h
+        before[t, begins[t]] = 0
+        h = states[t]
+        step(g_[:, t], before[t], hw, u, h)
+        given[t] = u[2]
+
     y = ids.ravel()
-    order, parts = by_class(classes_of(y))
-    flat, y, total = states.reshape(-1, SIZE)[order], y[order], steps * n
-    cls, at = classes_of(y), np.arange(total)
-    d, norm = softmax(flat @ p["cls"] + p["cls_b"])
-    loss = -np.log(d[at, cls] / norm).sum()
-    d *= (1 / (total * norm))[:, None]
-    d[at, cls] -= 1 / total
-    g = {"cls": flat.T @ d, "cls_b": d.sum(0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"]), "rare": np.zeros_like(p["rare"]), "rare_b": np.zeros_like(p["rare_b"])}
-    dsorted = d @ p["cls"].T
-    for k, a, b in parts:
-        own, i = y[a:b] - k * PER_CLASS, at[: b - a]
-        w, bias = members(p, k)
-        d, norm = softmax(flat[a:b] @ w + bias)
-        loss -= np.log(d[i, own] / norm).sum()
+    cls = classes_of(y)
+    order, parts = by_class(cls)
+    flat, at = np.ones((total, SIZE + 1), kind), np.arange(total)
+    flat[:, :SIZE] = states.reshape(-1, SIZE)[order]
+    cls, own, loss = cls[order], own_of(y[order], cls[order]), 0.0
+
+    def surprise(logits: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Adds to the loss; its gradient by the logits."""
+        nonlocal loss
+        d, norm = softmax(logits)
+        rows = at[: len(mine)]
+        got = d[rows, mine] / norm
+        loss -= np.log(got).sum()
         d *= (1 / (total * norm))[:, None]
-        d[i, own] -= 1 / total
-        gw, gb = members(g, k)
-        gw[:], gb[:] = flat[a:b].T @ d, d.sum(0)
-        dsorted[a:b] += d @ w.T
-    dflat = np.empty_like(dsorted)
-    dflat[order] = dsorted
-    dh_out = dflat.reshape(states.shape)
-    dh, g["hw"] = np.zeros((n, SIZE), np.float32), np.zeros_like(p["hw"])
-    dpre = np.empty_like(pre)
+        d[rows, mine] = (got - 1) / total
+        return d
+
+    weights, dsorted, gc = with_bias(p["cls"], p["cls_b"]), np.empty((total, SIZE), kind), 0
+    for some in blocks(0, total):
+        d = surprise(flat[some] @ weights, cls[some])
+        np.matmul(d, p["cls"].T, out=dsorted[some])
+        gc = gc + flat[some].T @ d
+    frequent, logits, rare = member_logits(flat, parts, p)
+    d, gw = surprise(logits, own[:frequent]), np.zeros((CLASSES, SIZE + 1, PER_CLASS), kind)
+    for k, a, b in parts:
+        if k < CLASSES:
+            for some in blocks(a, b):
+                gw[k] += flat[some].T @ d[some]
+            dsorted[a:b] += d[a:b] @ p["word"][k].T
+    d = surprise(rare, own[frequent:])
+    gr = product(flat[frequent:], d)
+    dsorted[frequent:] += d @ p["rare"].T
+    g = {"cls": gc[:-1], "cls_b": gc[-1], "word": gw[:, :-1], "word_b": gw[:, -1], "rare": gr[:-1], "rare_b": gr[-1]}
+
+    dout = np.empty_like(dsorted)
+    dout[order] = dsorted
+    dout, dh = dout.reshape(states.shape), np.zeros((n, SIZE), kind)
+    z, r, m = g_
+    keep = 1 - z
+    by_z = np.subtract(before, m)
+    by_z *= z
+    by_z *= keep
+    by_m = np.multiply(m, m, out=m)
+    np.subtract(1, by_m, out=by_m)
+    by_m *= keep
+    by_r = np.multiply(given, r, out=given)
+    by_r *= np.subtract(1, r, out=keep)
+    du, dm, back = np.empty((3, steps, n, SIZE), kind), np.empty((steps, n, SIZE), kind), gates(p["hw"]).swapaxes(1, 2).copy()
+    back[:2] *= 2  # not halved
     for t in range(steps - 1, -1, -1):
-        h0, z, r, m, un, fresh_ = kept[t]
-        dh = dh + dh_out[t]
-        dm = dh * (1 - z) * (1 - m * m)
-        dz = dh * (h0 - m) * z * (1 - z)
-        dr = dm * un * r * (1 - r)
-        dpre[t] = np.concatenate([dz, dr, dm], 1)
-        du = np.concatenate([dz, dr, dm * r], 1)
-        g["hw"] += h0.T @ du
-        dh = np.where(fresh_[:, None], np.float32(0), dh * z + du @ p["hw"].T)
-    dp = dpre.reshape(-1, 3 * SIZE)
-    g["b"], g["xw"] = dp.sum(0), tables.reshape(-1, SIZE).T @ dp
-    g["x"] = np.zeros_like(p["x"])
-    np.add.at(g["x"], prev.ravel(), dp @ p["xw"].T)
+        dh += dout[t]
+        np.multiply(dh, by_z[t], out=du[0, t])
+        np.multiply(dh, by_m[t], out=dm[t])
+        np.multiply(dm[t], by_r[t], out=du[1, t])
+        np.multiply(dm[t], r[t], out=du[2, t])
+        np.matmul(du[:, t], back, out=u)
+        dh *= z[t]
+        dh += u[0]
+        dh += u[1]
+        dh += u[2]
+        dh[begins[t]] = 0
+    rows = np.empty((total, 3 * SIZE), kind)
+    for k, a in enumerate(du):
+        rows[:, k * SIZE : (k + 1) * SIZE] = a.reshape(total, SIZE)
+    g["hw"] = product(before.reshape(total, SIZE), rows)
+    rows[:, 2 * SIZE :] = dm.reshape(total, SIZE)
+    g["b"], g["xw"], dx = np.ones(total, kind) @ rows, product(x, rows), rows @ p["xw"].T
+    cells = prev_[:, None].astype(np.int64) * SIZE + np.arange(SIZE)
+    g["x"] = np.bincount(cells.ravel(), dx.ravel(), p["x"].size).astype(kind).reshape(p["x"].shape)
     return loss / total, g, h
 
 
@@ -298,8 +397,9 @@ class Trainer:
     """Truncated backpropagation over parallel streams of texts, by Adam."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
-        self.p, self.rate, self.t, self.tokens = {k: a.copy() for k, a in p.items()}, rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        self.flat, self.rate, self.t, self.tokens = flatten(p), rate, 0, 0
+        self.p = unflatten(self.flat)  # views
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.rest = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def read(self, texts: list[np.ndarray], last: bool = True) -> None:
@@ -322,13 +422,22 @@ class Trainer:
 
     def update(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        g_ = flatten(g)
+        norm = math.sqrt(float(g_ @ g_))
         rate = self.rate * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
-        for k, a in g.items():
-            a *= min(1.0, 1.0 / (norm + 1e-9))
-            self.m[k] += 0.1 * (a - self.m[k])
-            self.v[k] += 0.02 * (a * a - self.v[k])
-            self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
+        g_ *= min(1.0, 1.0 / (norm + 1e-9))
+        for at in range(0, len(g_), BLOCK):  # stays in the cache
+            a, m, v, p = (x[at : at + BLOCK] for x in (g_, self.m, self.v, self.flat))
+            m += np.float32(0.1) * (a - m)
+            a *= a
+            a -= v
+            a *= np.float32(0.02)
+            v += a
+            np.sqrt(v, out=a)
+            a += np.float32(1e-6)
+            np.divide(m, a, out=a)
+            a *= np.float32(rate)
+            p -= a
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -336,10 +445,11 @@ def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflatten(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameters by name: views."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = math.prod(s)
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        out[k] = x[at : at + n].reshape(s)
         at += n
     return out
 
@@ -355,18 +465,76 @@ def token_ids(toks: list[bytes], index: dict[bytes, int]) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+ENCODED = "uid long, doc_id long, ids binary, n_known long, base double, share double, far array<binary>"
+
+
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Each text as 16-bit ids with the end, so that no later step splits it again; of its
+    words within the top their number, the summed log10 of (count + 1/2) and the rare ones'
+    log10 share of their ending; the words beyond the top, whose counts a join finds."""
+    top, index = v.top, v.index
+    rare_norm = np.log10(v.rare_mass)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {w: k for k, w in enumerate(top)}
+        logs = np.log10(np.array([*top.values()], float) + HALF)
+        number = np.array([index[w] if w in index else WORDS + ending_class(w) for w in top])
+        end = rank[END]
+        for batch in slices(it, "raw"):
+            n = batch.num_rows
+            flat, lens = tokens(batch["raw"])
+            coded = flat.dictionary_encode()
+            names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            # by distinct word
+            at = np.fromiter(map(rank.get, names, repeat(-1)), np.int64, len(names))
+            inside = at >= 0
+            ids = np.empty(len(names), np.int64)
+            ids[inside] = number[at[inside]]
+            ids[~inside] = [WORDS + ending_class(names[i]) for i in np.flatnonzero(~inside).tolist()]
+            log = np.zeros(len(names))
+            log[inside] = logs[at[inside]]
+            rare = ids >= WORDS
+            share = np.where(rare, log, 0)
+            share[rare] -= rare_norm[ids[rare] - WORDS]
+            # by text
+            doc, beyond = np.repeat(np.arange(n), lens), ~inside[which]
+            upto = np.append(0, np.cumsum(lens))
+            raw = np.insert(ids[which], upto[1:], 0).astype(np.uint16).tobytes()
+            cuts = 2 * (upto + np.arange(n + 1))
+            far = np.bincount(doc[beyond], minlength=n)
+            words_ = flat.filter(pa.array(beyond)).cast(pa.binary())
+            cols = [
+                batch["uid"], batch["doc_id"],
+                pa.array([raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary()),
+                pa.array(lens - far + (top[END] > 0), pa.int64()), pa.array(np.bincount(doc, log[which], n) + logs[end], pa.float64()), pa.array(np.bincount(doc, share[which], n), pa.float64()),
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(far)), pa.int32()), words_),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ENCODED.split(", ")])
+
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_bytes().alias("raw")).mapInArrow(run, ENCODED)
+
+
+def id_arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch["ids"].to_pylist()]
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The network after rounds over the texts of ``docs``."""
+    return learn(encode(docs, v), v, rounds)
+
+
+def learn(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Rounds of local training and weighted averaging, starting at the unigram model."""
     p = fresh(v)
     if not v.tokens:
         return p
     for k in range(rounds):
-        flat, index, rate = flatten(p), v.index, 0.012 / (1 + k)
+        flat, rate = flatten(p), 0.012 / (1 + k)
 
-        def run(it: Iterator[pa.RecordBatch], flat=flat, index=index, rate=rate) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], flat=flat, rate=rate) -> Iterator[pa.RecordBatch]:
             net = Trainer(unflatten(flat), rate)
-            for batch in slices(it, "raw"):
-                net.read([token_ids(words(r), index) for r in batch["raw"].to_pylist()], last=False)
+            for batch in slices(it, "ids", IDS_BYTES):
+                net.read(id_arrays(batch), last=False)
             net.read([])
             if net.tokens:
                 x = flatten(net.p)
@@ -380,7 +548,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.
             return pa.table({"lot": rows["lot"][:1], "block": rows["block"][:1], "weight": [float(w.sum())], "part": pa.array([(total / w.sum()).astype(np.float32).tobytes()], pa.binary())})
 
         schema = "lot int, block int, weight double, part binary"
-        mine = docs.select(text_bytes().alias("raw")).mapInArrow(run, schema)
+        mine = encoded.select("ids").mapInArrow(run, schema)
         got = mine.groupBy("lot", "block").applyInArrow(mean, schema).groupBy("block").applyInArrow(mean, schema).toPandas().sort_values("block")
         if len(got):
             p = unflatten(np.concatenate([np.frombuffer(bytes(x), np.float32) for x in got["part"]]))
@@ -392,46 +560,26 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    flat, top, index = flatten(p), v.top, v.index
-    rare_norm = np.log10(v.rare_mass)
+    return score_encoded(materialize(encode(docs, v), "encoded"), counts, v, p)
+
+
+def score_encoded(encoded: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
+    """The same from the written rows of ``encode``."""
+    flat = flatten(p)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, rank = unflatten(flat), {w: k for k, w in enumerate(top)}
-        logs = np.log10(np.array([*top.values(), 0], float) + HALF)  # the last: not in the top
-        number = np.array([index[w] if w in index else WORDS + ending_class(w) for w in top] + [-1])
-        end = rank[END]
-        for batch in slices(it, "raw"):
-            far_uid, far_word, far_n, heads, ids = [], [], [], [], []
-            for uid, doc, raw in zip(batch["uid"].to_pylist(), batch["doc_id"].to_pylist(), batch["raw"].to_pylist(), strict=True):
-                toks = words(raw)
-                at = np.fromiter(map(rank.get, toks, repeat(-1)), np.int64, len(toks))
-                x = np.append(number[at], 0)
-                out = np.flatnonzero(at < 0)
-                beyond = [toks[i] for i in out.tolist()]
-                x[out] = [WORDS + ending_class(t) for t in beyond]
-                ids.append(x)
-                inside = logs[at[at >= 0]].sum()
-                rare = x[:-1] >= WORDS
-                # log10 of (count + 1/2) / mass of rare words; for those beyond the top the join adds the first part
-                share = logs[at[rare & (at >= 0)]].sum() - rare_norm[x[:-1][rare] - WORDS].sum()
-                heads.append((uid, doc, len(x), len(toks) - len(beyond) + (top[END] > 0), inside + logs[end], share))
-                for t, n in Counter(beyond).items():
-                    far_uid.append(uid)
-                    far_word.append(t)
-                    far_n.append(n)
+        net = unflatten(flat)
+        for batch in slices(it, "ids", IDS_BYTES):
+            ids = id_arrays(batch)
             lp = text_log_probs(ids, net) / math.log(10)
-            heads = [(*r[:5], r[5] + s) for r, s in zip(heads, lp.tolist(), strict=True)]
-            none, pad = [None] * len(far_uid), [None] * len(heads)
-            h = list(zip(*heads, strict=True)) if heads else [[]] * 6
-            cols = [[*h[0], *far_uid], *([*c, *none] for c in h[1:]), [*pad, *far_word], [*pad, *far_n]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["uid", "doc_id", "n_tokens", "n_known", "base", "model", "word", "n"])
-
-    schema = "uid long, doc_id long, n_tokens long, n_known long, base double, model double, word binary, n long"
-    parts = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_bytes().alias("raw")).mapInArrow(run, schema), "scores")
-    far = parts.filter("word is not null").select("uid", "word", "n").join(counts.withColumnRenamed("n", "c"), "word", "left")
-    far = far.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + HALF)).alias("far"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known"))
-    heads = parts.filter("word is null").drop("word", "n").join(far, "uid", "left").na.fill({"far": 0.0, "far_known": 0})
+            cols = [batch["uid"], batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), batch["n_known"], batch["base"], pa.array(lp + batch["share"].to_numpy())]
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n_tokens", "n_known", "base", "model"])
+
+    schema = "uid long, doc_id long, n_tokens long, n_known long, base double, model double"
+    heads = materialize(encoded.select("uid", "doc_id", "ids", "n_known", "base", "share").mapInArrow(run, schema), "scores")
+    far = encoded.select("uid", F.explode("far").alias("word")).join(counts.withColumnRenamed("n", "c"), "word", "left")
+    far = far.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + HALF)).alias("far"), F.count(F.when(F.col("c") > 0, 1)).alias("far_known"))
+    heads = heads.join(far, "uid", "left").na.fill({"far": 0.0, "far_known": 0})
     return heads.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("far_known")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("far") - F.col("n_tokens") * F.lit(v.base_norm)).alias("base_score"), (F.col("model") + F.col("far")).alias("score"),
@@ -441,8 +589,8 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.nda
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
-    learn = docs.filter(~held_out)
-    counts = materialize(count_words(learn), "counts")
+    counts = materialize(count_words(docs.filter(~held_out)), "counts")
     v = vocabulary(counts)
-    scored = score(docs, counts, v, train(learn, v))
+    encoded = materialize(encode(docs, v), "encoded")
+    scored = score_encoded(encoded, counts, v, learn(encoded.filter(~held_out), v))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

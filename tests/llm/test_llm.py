@@ -301,6 +301,26 @@ def test_language_model_counts_the_end_of_few_long_texts(spark, monkeypatch):
     assert r.score == pytest.approx(r.base_score, rel=0.02)
 
 
+def test_language_model_splits_each_text_once(spark, odd):
+    """The rounds and the scores read numbers that are written once; these are the words'."""
+    import pyarrow as pa
+
+    from tallyfold.llm import language_model as lm
+
+    raws = [b"", b" ", b" A b\x0bC\x0c ", b"\x1cab \x85 x\x00y", "\u00dcn\u00ef\u00a0\u00c4 b\u2003c".encode(), b"a\r\n\tB "]
+    flat, lens = lm.tokens(pa.array(raws, pa.binary()).slice(1))
+    assert flat.to_pylist() == [w for r in raws[1:] for w in lm.words(r)] and lens.tolist() == [len(lm.words(r)) for r in raws[1:]]
+
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    v = lm.vocabulary(lm.count_words(docs))
+    for rows in (docs, docs.limit(0)):
+        got = lm.encode(rows, v).collect()
+        want = [lm.token_ids(lm.words((r.text or "").encode()), v.index).tolist() for r in rows.collect()]
+        assert sorted(np.frombuffer(r.ids, np.uint16).tolist() for r in got) == sorted(want)
+    p = lm.learn(lm.encode(docs, v), v, 1)
+    assert lm.flatten(lm.train(docs, v, 1)) == pytest.approx(lm.flatten(p), abs=1e-5)
+
+
 def test_language_model_averages_in_two_steps(spark, monkeypatch):
     from tallyfold.llm import language_model as lm
 
