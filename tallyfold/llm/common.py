@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS, BATCH_BYTES = 2000, 2**23
+BATCH_ROWS, BATCH_BYTES = 2000, 2**21
 
 
 def small_batches(spark: SparkSession) -> None:
     """Rows travel to Python in batches of this size at most, unless the session asks for
-    smaller ones: both sides hold whole batches, outside the heap."""
+    smaller ones: both sides hold whole batches, outside the heap. The JVM's buffers double
+    as they fill; up to 4 MB they come from its pool and are used again, larger ones are
+    taken from the machine one by one, and what is freed of them need not go back to it."""
     for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.max{name}PerBatch"
         now = spark.conf.get(key).rstrip("b")

@@ -139,3 +139,20 @@ def test_packing_holds_the_ids_of_few_words_at_once():
     assert sum(len(edges) - 1 for _, edges in parts) == 400
     assert max(len(flat) for flat, _ in parts) < 120_000
     assert (np.concatenate([flat for flat, _ in parts]) == np.concatenate([flat for flat, _ in encode(texts, 10**9)])).all()
+
+
+def test_rows_travel_in_batches_of_two_megabytes(spark):
+    """Larger buffers are beyond the executors' pool and stay with it, outside the heap."""
+    from tallyfold.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(2**23))
+    small_batches(spark)
+    assert int(spark.conf.get(key)) <= 2**21
+    rows = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 500000)").alias("text"))
+    sizes = rows.mapInArrow(lambda it: (b.select(["text"]).from_pydict({"n": [b.nbytes]}) for b in it), "n long").toPandas()["n"]
+    assert sizes.sum() >= 20_000_000 and sizes.max() <= 2**21 + 600_000
+    spark.conf.set(key, str(2**20))
+    small_batches(spark)
+    assert spark.conf.get(key) == str(2**20)
+    spark.conf.unset(key)
