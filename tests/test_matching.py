@@ -97,3 +97,26 @@ def test_year_ends_meet_in_parts(spark, monkeypatch):
     day = {t: e.timetuple().tm_yday for t, e in rows}
     assert sorted(map(tuple, out.collect())) == sorted((a, b, gap(day[a], day[b])) for a in day for b in day if a < b and gap(day[a], day[b]) > 60)
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_year_ends_meet_without_a_shuffle_per_pair(spark, monkeypatch, sent):
+    """Tickers are sent whole while they are few bytes, else dealt by two ranges; missing
+    days and tickers, repeated tickers and a limit below any gap are as in SQL."""
+    import datetime
+
+    from tallyfold.operators import peers
+
+    monkeypatch.setattr(peers, "PART", 11)
+    monkeypatch.setattr(peers, "SENT", sent)
+    ends = [datetime.date(y, m, d) for y in (2000, 2001) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
+    rows = [(f"t{i * 7 % 60:02}", ends[i * i % 8 if i % 3 else i % 8]) for i in range(60)] + [("t07", ends[0]), ("t07", ends[1]), ("t08", None), (None, ends[2]), ("é", ends[3]), ("T", ends[6])]
+    known = [(t, e.timetuple().tm_yday) for t, e in rows if t and e]
+    gap = lambda a, b: min(abs(a - b), 365 - abs(a - b))
+    for limit in (60, -2):
+        out = peers.fy_mismatch(spark.createDataFrame(rows, "ticker string, year_end date"), limit)
+        assert sorted(map(tuple, out.collect())) == sorted((a, b, gap(x, y)) for a, x in known for b, y in known if a < b and gap(x, y) > limit)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("ShuffledHashJoin" in plan) == (sent == 0)
+    none = peers.fy_mismatch(spark.createDataFrame([], "ticker string, year_end date"))
+    assert none.collect() == [] and none.columns == ["a", "b", "gap"]
