@@ -109,6 +109,7 @@ def test_year_ends_meet_without_a_shuffle_per_pair(spark, monkeypatch, sent):
 
     monkeypatch.setattr(peers, "PART", 11)
     monkeypatch.setattr(peers, "SENT", sent)
+    monkeypatch.setattr(peers, "PACK", 3)
     ends = [datetime.date(y, m, d) for y in (2000, 2001) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
     rows = [(f"t{i * 7 % 60:02}", ends[i * i % 8 if i % 3 else i % 8]) for i in range(60)] + [("t07", ends[0]), ("t07", ends[1]), ("t08", None), (None, ends[2]), ("é", ends[3]), ("T", ends[6])]
     known = [(t, e.timetuple().tm_yday) for t, e in rows if t and e]
